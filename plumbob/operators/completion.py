@@ -11,7 +11,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 import yaml
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbob.operators.evaluate import run_instant
@@ -102,17 +103,20 @@ def complete_batch(
     keyed = prompts.withColumn("model", F.lit(model)).withColumn(
         "cache_key", cache_key(F.lit(model), F.col("prompt"), F.lit(schema) if schema else None)
     )
-    before = spark.read.schema(COMPLETION).parquet(cache_path) if _exists(spark, cache_path) else None
+    before = _read_cache(spark, cache_path)
     todo = missing_prompts(keyed, before if use_cache else None, now, ttl_days)
     call(todo, complete, now).write.mode("append").parquet(cache_path)
-    stored = valid_entries(spark.read.schema(COMPLETION).parquet(cache_path), now, ttl_days)
+    stored = valid_entries(_read_cache(spark, cache_path), now, ttl_days)
     known = F.col("completed_at") < F.lit(now)
     return keyed.join(stored.drop("model"), "cache_key").withColumn("cached", known)
 
 
-def _exists(spark, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+def _read_cache(spark: SparkSession, path: str) -> DataFrame | None:
+    """The cache table, or ``None`` before its first entry."""
+    try:
+        return spark.read.schema(COMPLETION).parquet(path)
+    except AnalysisException:
+        return None
 
 
 # -- answers -------------------------------------------------------------------
