@@ -22,6 +22,35 @@ def ref(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def quoted(name: str) -> str:
+    """A column by its exact name, for SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def present_sql(name: str, dtype: T.DataType) -> str:
+    """:func:`present` as SQL text. Wide tables are described by text: one call per expression."""
+    col = quoted(name)
+    if isinstance(dtype, FRACTIONAL):
+        return f"CASE WHEN NOT isnan({col}) THEN {col} + CAST(0 AS {dtype.simpleString()}) END"
+    return col
+
+
+def text_sql(expression: str, dtype: T.DataType) -> str:
+    """:func:`text_of` as SQL text, for a value without NaN."""
+    if isinstance(dtype, T.StringType):
+        return expression
+    if isinstance(dtype, T.BinaryType):
+        return f"base64({expression})"
+    if isinstance(dtype, NESTED):
+        return f"CASE WHEN {expression} IS NOT NULL THEN to_json({expression}, map('ignoreNullFields', 'false')) END"
+    return f"CAST({expression} AS STRING)"
+
+
 def type_of(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
 

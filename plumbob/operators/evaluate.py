@@ -181,7 +181,7 @@ def _row_counts(df: DataFrame, compiled: Sequence[_Compiled]) -> DataFrame:
     def counted(part: Sequence[_Compiled]) -> DataFrame:
         wide = df.agg(
             F.count(F.lit(1)).alias("total"),
-            *(F.count_if(c.passes).alias(f"pass_{c.no}") for c in part),
+            *(F.sum(c.passes.cast("int")).alias(f"pass_{c.no}") for c in part),
         )
         return wide.select(
             F.inline(

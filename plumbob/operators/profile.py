@@ -1,20 +1,23 @@
 """Column and dataset profiles.
 
-Two scans, whatever the number of columns:
-
-1. one fused aggregate with every count, moment, length and extreme;
-2. one value-frequency table ``(column, value, n)``, laid out long and counted
-   before it is shuffled, from which distinct counts, top values and patterns
-   are read.
-
-Exact quartiles add a third read of the numeric columns. The fused aggregate
-brackets each quartile with a quantile sketch; only the few values inside a
-bracket are then counted, so no task ever holds a whole column.
+Two reads of each column, whatever the number of columns:
+
+1. fused aggregates with every count, moment, length and extreme; a few columns
+   per aggregate, so that the generated code stays small enough to be compiled
+   (a row-oriented source is read once per aggregate: raise
+   ``COLUMNS_PER_AGGREGATE`` or store it as Parquet first);
+2. a value-frequency table ``(position, value, n)`` per cell type, laid out long
+   and counted before its only exchange, which distinct counts, top values and
+   patterns all read.
+
+Exact quartiles read the numeric columns twice more, but move almost nothing: a
+sketch encloses each quartile, and only the values inside are ranked.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,20 +26,27 @@ from pyspark.sql import Window as W
 
 from plumbob.functions.columns import (
     generalise,
-    is_missing,
+    literal,
     local_table,
-    present,
+    present_sql,
+    quoted,
     ref,
     share,
     text_of,
+    text_sql,
 )
 
 # Rank error of the sketch is at most rows / SKETCH_ACCURACY; brackets are
 # twice as wide on either side.
 SKETCH_ACCURACY = 10_000
 BRACKET = 2.0 / SKETCH_ACCURACY
+# The values inside a bracket are ranked in this many pieces.
+PIECES = 64
 QUARTILES = (0.25, 0.5, 0.75)
 
+# Columns per aggregate. Wider ones outgrow what the JVM compiles.
+COLUMNS_PER_AGGREGATE = 4
+
 _NO_ORDER = (T.MapType, T.VariantType, T.NullType)
 _FIXED_WIDTH = {
     T.BooleanType: 1,
@@ -59,84 +69,108 @@ def _fields(df: DataFrame, columns: Sequence[str] | None) -> list[tuple[int, T.S
     return [(i, f) for i, f in enumerate(df.schema) if names is None or f.name in names]
 
 
-def _cell_bytes(col: Column, dtype: T.DataType) -> Column:
+def _cell_bytes(f: T.StructField) -> str:
+    dtype, col = f.dataType, quoted(f.name)
     width = _FIXED_WIDTH.get(type(dtype))
-    if width is not None:
-        return F.count(col) * width
     if isinstance(dtype, T.DecimalType):
-        return F.count(col) * (8 if dtype.precision <= 18 else 16)
-    return F.coalesce(F.sum(F.octet_length(text_of(col, dtype))), F.lit(0))
+        width = 8 if dtype.precision <= 18 else 16
+    if width is not None:
+        return f"count({col}) * {width}"
+    return f"coalesce(sum(octet_length({text_sql(col, dtype)})), 0)"
 
 
-def column_statistics(df: DataFrame, columns: Sequence[str] | None = None, sketch: bool = True) -> DataFrame:
-    """Counts, extremes, moments and lengths: one scan, one aggregate, one row per column."""
-    wanted = _fields(df, columns)
-    aggregates, rows = [F.count(F.lit(1)).alias("total")], []
-    for i, f in wanted:
-        col, dtype = ref(f.name), f.dataType
-        value = present(col, dtype)
-        put = {"null_count": F.count_if(is_missing(col, dtype)), "bytes": _cell_bytes(col, dtype)}
+def _chunks(items: list, size: int = COLUMNS_PER_AGGREGATE) -> list[list]:
+    return [items[i : i + size] for i in range(0, len(items), size)]
+
+
+def column_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Counts, extremes, moments and lengths: one row per column."""
+    return reduce(DataFrame.unionByName, (_statistics(df, part) for part in _chunks(_fields(df, columns))))
+
+
+# Output of the statistics; a column that has no such statistic gets null.
+_STATISTICS = {
+    "bytes": "bigint",
+    "min_value": "string",
+    "max_value": "string",
+    "min_number": "double",
+    "mean": "double",
+    "std": "double",
+    "min_length": "int",
+    "max_length": "int",
+    "avg_length": "double",
+}
+
+
+def _statistics(df: DataFrame, part: list[tuple[int, T.StructField]]) -> DataFrame:
+    aggregates, rows = ["count(1) AS total"], []
+    for i, f in part:
+        dtype, value = f.dataType, present_sql(f.name, f.dataType)
+        put = {"valued": f"count({value})", "bytes": _cell_bytes(f)}
+        shown = {"bytes": f"bytes_{i}"}
         if not isinstance(dtype, _NO_ORDER):
-            put["min_value"] = text_of(F.min(value), dtype)
-            put["max_value"] = text_of(F.max(value), dtype)
+            put |= {"min": f"min({value})", "max": f"max({value})"}
+            shown |= {"min_value": text_sql(f"min_{i}", dtype), "max_value": text_sql(f"max_{i}", dtype)}
         if isinstance(dtype, T.NumericType):
-            number = value.cast("double")
-            put["mean"] = F.avg(number)
-            put["std"] = F.stddev_samp(number)
-            put["min_number"] = F.min(number)
-            if sketch:
-                edges = [e for q in QUARTILES for e in (max(q - BRACKET, 0.0), min(q + BRACKET, 1.0))]
-                put["edges"] = F.percentile_approx(number, edges, SKETCH_ACCURACY)
+            number = f"CAST({value} AS DOUBLE)"
+            put |= {"mean": f"avg({number})", "std": f"stddev_samp({number})"}
+            shown |= {"min_number": f"min_{i}", "mean": f"mean_{i}", "std": f"std_{i}"}
         if isinstance(dtype, T.StringType):
-            put["min_length"] = F.min(F.length(col))
-            put["max_length"] = F.max(F.length(col))
-            put["avg_length"] = F.avg(F.length(col))
-        aggregates += [a.alias(f"{k}_{i}") for k, a in put.items()]
-
-        def take(field: str, type_: str, i=i, put=put) -> Column:
-            c = F.col(f"{field}_{i}") if field in put else F.lit(None)
-            return c.cast(type_).alias(field)
-
+            put |= {f"{g}_length": f"{g}(length({value}))" for g in ("min", "max", "avg")}
+            shown |= {f"{g}_length": f"{g}_length_{i}" for g in ("min", "max", "avg")}
+        aggregates += [f"{a} AS {k}_{i}" for k, a in put.items()]
+        fields = ", ".join(f"CAST({shown.get(k, 'NULL')} AS {t}) AS {k}" for k, t in _STATISTICS.items())
         rows.append(
-            F.struct(
-                F.lit(i).alias("position"),
-                F.lit(f.name).alias("name"),
-                F.lit(dtype.simpleString()).alias("dtype"),
-                F.col("total").alias("total_count"),
-                take("null_count", "bigint"),
-                take("bytes", "bigint"),
-                take("min_value", "string"),
-                take("max_value", "string"),
-                take("min_number", "double"),
-                take("mean", "double"),
-                take("std", "double"),
-                take("min_length", "int"),
-                take("max_length", "int"),
-                take("avg_length", "double"),
-                take("edges", "array<double>"),
-            )
+            f"struct({i} AS position, {literal(f.name)} AS name, {literal(dtype.simpleString())} AS dtype, "
+            f"total AS total_count, total - valued_{i} AS null_count, {fields})"
         )
-    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+    return df.agg(*map(F.expr, aggregates)).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
-def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``(position, value, n)`` over the present cells of all columns, in one exchange."""
-    cells = F.array(
-        *(
-            F.struct(F.lit(i).alias("position"), text_of(ref(f.name), f.dataType).alias("value"))
-            for i, f in _fields(df, columns)
-        )
-    )
-    return (
-        df.select(F.inline(cells))
-        .where(F.col("value").isNotNull())
+def _family(dtype: T.DataType) -> T.DataType:
+    """The type a column's cells are counted in; whole numbers and doubles stay numbers."""
+    if isinstance(dtype, T.IntegralType):
+        return T.LongType()
+    return dtype if isinstance(dtype, T.DoubleType) else T.StringType()
+
+
+def _frequencies_by_family(df: DataFrame, columns: Sequence[str] | None) -> dict[T.DataType, DataFrame]:
+    """``(position, value, n)`` of the present cells, one table per cell type.
+
+    Each table is read in one scan of its columns and counted before its one
+    exchange. Numbers are neither printed nor parsed.
+    """
+    families: dict[T.DataType, list] = {}
+    for i, f in _fields(df, columns):
+        families.setdefault(_family(f.dataType), []).append((i, f))
+
+    def cell(i: int, f: T.StructField, family: T.DataType) -> str:
+        value = present_sql(f.name, f.dataType)
+        value = text_sql(value, f.dataType) if isinstance(family, T.StringType) else f"CAST({value} AS {family.simpleString()})"
+        return f"struct({i} AS position, {value} AS value)"
+
+    return {
+        family: df.selectExpr(f"inline(array({', '.join(cell(i, f, family) for i, f in part)}))")
+        .where("value IS NOT NULL")
         .groupBy("position", "value")
         .agg(F.count(F.lit(1)).alias("n"))
-    )
+        for family, part in families.items()
+    }
+
+
+def _as_text(families: dict[T.DataType, DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, (t.withColumn("value", F.col("value").cast("string")) for t in families.values()))
+
+
+def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """``(position, value, n)``: how often each present cell occurs, as text."""
+    return _as_text(_frequencies_by_family(df, columns))
 
 
 def distinct_counts(frequencies: DataFrame) -> DataFrame:
-    return frequencies.groupBy("position").agg(F.count(F.lit(1)).alias("distinct_count"))
+    # Counting by `n` keeps it in the plan, so the exchange equals that of the
+    # other readers and is reused.
+    return frequencies.groupBy("position").agg(F.count_if(F.col("n") > 0).alias("distinct_count"))
 
 
 def _leading(counted: DataFrame, what: str, k: int) -> DataFrame:
@@ -150,71 +184,184 @@ def top_values(frequencies: DataFrame, k: int = 10) -> DataFrame:
     return _leading(frequencies, "value", k)
 
 
-def value_patterns(frequencies: DataFrame, k: int = 10) -> DataFrame:
-    """``(position, rank, pattern, n, pct)``; pct is the share among the kept patterns."""
-    counted = frequencies.groupBy("position", generalise(F.col("value")).alias("pattern")).agg(
-        F.sum("n").alias("n")
-    )
+def value_patterns(frequencies: DataFrame, k: int = 10, positions: Sequence[int] | None = None) -> DataFrame:
+    """``(position, rank, pattern, n, pct)``; pct is the share among the kept patterns.
+
+    Columns outside ``positions`` collapse to one null pattern that is dropped
+    at the end: a filter here would travel below the exchange and keep it from
+    being shared.
+    """
+    pattern = generalise(F.col("value"))
+    if positions is not None:
+        pattern = F.when(F.col("position").isin(list(positions)), pattern)
+    counted = frequencies.groupBy("position", pattern.alias("pattern")).agg(F.sum("n").alias("n"))
     kept = F.sum("n").over(W.partitionBy("position"))
-    return _leading(counted, "pattern", k).withColumn("pct", F.round(F.col("n") * 100.0 / kept, 1))
+    leading = _leading(counted, "pattern", k).withColumn("pct", F.round(F.col("n") * 100.0 / kept, 1))
+    return leading.where(F.col("pattern").isNotNull())
 
 
-def quartiles(df: DataFrame, statistics: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Exact, linearly interpolated quartiles: ``(position, p25, median, p75)``.
+def _numeric(df: DataFrame, columns: Sequence[str] | None) -> list[tuple[int, T.StructField]]:
+    return [(i, f) for i, f in _fields(df, columns) if isinstance(f.dataType, T.NumericType)]
+
+
+def _number(f: T.StructField) -> str:
+    return f"CAST({present_sql(f.name, f.dataType)} AS DOUBLE)"
 
-    A cell below a bracket is only counted and one above it is dropped, both
-    before the shuffle. What remains per quartile is about
-    ``4 * rows / SKETCH_ACCURACY`` values, whose running count gives the ranks.
+
+def _double(value: float) -> str:
+    """A SQL double that reads back as the same number."""
+    return f"CAST('{value!r}' AS DOUBLE)"
+
+
+def quartile_brackets(df: DataFrame, columns: Sequence[str] | None = None) -> dict[int, list[float]]:
+    """Per numeric column, six values that enclose the three quartiles pairwise.
+
+    Runs the quantile sketches and collects these few numbers, so that the next
+    pass compares with constants. Columns without any number are left out.
     """
-    numeric = [(i, f) for i, f in _fields(df, columns) if isinstance(f.dataType, T.NumericType)]
-    cells = F.array(
-        *(
-            F.struct(
-                F.lit(i).alias("position"),
-                present(ref(f.name), f.dataType).cast("double").alias("v"),
+    edges = [e for q in QUARTILES for e in (max(q - BRACKET, 0.0), min(q + BRACKET, 1.0))]
+
+    shares = ", ".join(map(repr, edges))
+
+    def sketched(part) -> DataFrame:
+        wide = df.agg(
+            *(
+                F.expr(f"percentile_approx({_number(f)}, array({shares}), {SKETCH_ACCURACY}) AS e_{i}")
+                for i, f in part
             )
-            for i, f in numeric
         )
+        rows = ", ".join(f"struct({i} AS position, e_{i} AS edges)" for i, _ in part)
+        return wide.selectExpr(f"inline(array({rows}))")
+
+    parts = [sketched(part) for part in _chunks(_numeric(df, columns))]
+    if not parts:
+        return {}
+    rows = reduce(DataFrame.unionByName, parts).where(F.col("edges").isNotNull()).collect()
+    return {r["position"]: list(r["edges"]) for r in rows}
+
+
+def quartiles(df: DataFrame, brackets: dict[int, list[float]], columns: Sequence[str] | None = None) -> DataFrame:
+    """Exact, linearly interpolated quartiles: ``(position, p25, median, p75)``.
+
+    What lies below a bracket is only counted; what lies inside one, about
+    ``4 * rows / SKETCH_ACCURACY`` rows, is shuffled and ranked. No task ever
+    holds a whole column.
+    """
+    marks = range(len(QUARTILES))
+    chosen = [(i, f) for i, f in _numeric(df, columns) if i in brackets]
+    if not chosen:
+        empty = df.select(F.lit(0).alias("position")).limit(0)
+        return empty.select("position", *(F.lit(None).cast("double").alias(c) for c in ("p25", "median", "p75")))
+
+    def counted(part) -> DataFrame:
+        aggregates, rows = [], []
+        for i, f in part:
+            aggregates.append(f"count({_number(f)}) AS rows_{i}")
+            aggregates += [
+                f"coalesce(sum(CAST({_number(f)} < {_double(brackets[i][2 * q])} AS INT)), 0) AS below_{i}_{q}" for q in marks
+            ]
+            each = ", ".join(f"below_{i}_{q}" for q in marks)
+            rows.append(f"struct({i} AS position, rows_{i} AS rows, array({each}) AS below)")
+        return df.agg(*map(F.expr, aggregates)).selectExpr(f"inline(array({', '.join(rows)}))")
+
+    def enclosed(part) -> DataFrame:
+        cells = []
+        for i, f in part:
+            v, e = _number(f), list(map(_double, brackets[i]))
+            hit = " OR ".join(f"({v} >= {e[2 * q]} AND {v} <= {e[2 * q + 1]})" for q in marks)
+            cells.append(f"struct({i} AS position, CASE WHEN {hit} THEN {v} END AS v)")
+        return df.selectExpr(f"inline(array({', '.join(cells)}))").where("v IS NOT NULL")
+
+    below = reduce(DataFrame.unionByName, map(counted, _chunks(chosen)))
+    values = (
+        reduce(DataFrame.unionByName, map(enclosed, _chunks(chosen)))
+        .groupBy("position", "v")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    # One row per column: the size of this side is the width of the table.
-    brackets = statistics.where(F.col("edges").isNotNull()).select(
-        "position", (F.col("total_count") - F.col("null_count")).alias("rows"), "edges"
+    listed = ", ".join(f"{i}, array({', '.join(map(_double, brackets[i]))})" for i, _ in chosen)
+    hits = ", ".join(f"CASE WHEN v >= edges[{2 * q}] AND v <= edges[{2 * q + 1}] THEN {q} END" for q in marks)
+    inside = values.selectExpr("position", "v", "n", f"map({listed})[position] AS edges").selectExpr(
+        "position", "v", "n", f"explode(array_compact(array({hits}))) AS q"
     )
-    q_of = F.array(*(F.struct(F.lit(k).alias("q"), F.lit(p).alias("p")) for k, p in enumerate(QUARTILES)))
-    low = F.element_at("edges", F.col("q") * 2 + 1)
-    high = F.element_at("edges", F.col("q") * 2 + 2)
-    inside = (
-        df.select(F.inline(cells))
-        .where(F.col("v").isNotNull())
-        .join(F.broadcast(brackets), "position")
-        .select("position", "v", "rows", "edges", F.inline(q_of))
-        .where(F.col("v") <= high)
-        .select("position", "q", "p", "rows", F.when(F.col("v") >= low, F.col("v")).alias("v"))
-        .groupBy("position", "q", "p", "rows", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
+    # The running count is taken piece by piece: pieces are cut at quantiles of
+    # the enclosed values, so even a bracket is never ranked by a single task.
+    cuts = inside.groupBy("position", "q").agg(
+        F.percentile_approx(F.when(F.col("n") > 0, F.col("v")), [i / PIECES for i in range(1, PIECES)], 20 * PIECES).alias("cuts")
+    )
+    pieced = inside.join(F.broadcast(cuts), ["position", "q"]).select(
+        "position", "q", "v", "n", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("piece")
     )
-    # The collapsed count of smaller cells sorts first as null.
-    running = W.partitionBy("position", "q").orderBy(F.col("v").asc_nulls_first())
-    ranked = inside.withColumn("upto", F.sum("n").over(running)).where(F.col("v").isNotNull())
-    at = F.col("p") * (F.col("rows") - 1)
-    start = F.col("upto") - F.col("n")
-    holds = lambda rank: (start <= rank) & (rank < F.col("upto"))
-    fraction = at - F.floor(at)
+    before_piece = W.partitionBy("position", "q").orderBy("piece")
+    pieces = pieced.groupBy("position", "q", "piece").agg(F.sum("n").alias("size"))
+    pieces = pieces.withColumn("ahead", F.sum("size").over(before_piece) - F.col("size")).drop("size")
+    in_piece = W.partitionBy("position", "q", "piece").orderBy("v")
+    ranked = (
+        pieced.withColumn("within", F.sum("n").over(in_piece))
+        .join(F.broadcast(pieces), ["position", "q", "piece"])
+        .join(F.broadcast(below), "position")
+        .withColumn("upto", F.col("within") + F.col("ahead") + F.element_at("below", F.col("q") + 1))
+    )
+    p = F.element_at(F.array(*map(F.lit, QUARTILES)), F.col("q") + 1)
+    at = p * (F.col("rows") - 1)
+    holds = lambda rank: (F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto"))
     picked = ranked.groupBy("position", "q").agg(
         F.max(F.when(holds(F.floor(at)), F.col("v"))).alias("lower"),
         F.max(F.when(holds(F.ceil(at)), F.col("v"))).alias("upper"),
-        F.max(fraction).alias("fraction"),
+        F.max(at - F.floor(at)).alias("fraction"),
     )
     exact = F.col("lower") + (F.col("upper") - F.col("lower")) * F.col("fraction")
-    named = picked.withColumn("value", exact)
-    return named.groupBy("position").agg(
-        *(
-            F.max(F.when(F.col("q") == k, F.col("value"))).alias(name)
-            for k, name in enumerate(("p25", "median", "p75"))
-        )
+    return picked.groupBy("position").agg(
+        *(F.max(F.when(F.col("q") == q, exact)).alias(name) for q, name in enumerate(("p25", "median", "p75")))
     )
 
 
+def _gathered(ranked: DataFrame, name: str, **fields: str) -> DataFrame:
+    """Ranked rows as one array per column; the ranking keeps the arrays short."""
+    entries = F.array_sort(F.collect_list(F.struct("rank", *fields.values())))
+    return ranked.groupBy("position").agg(
+        F.transform(entries, lambda e: F.struct(*(e[c].alias(f) for f, c in fields.items()))).alias(name)
+    )
+
+
+def _sketched(df: DataFrame, columns: Sequence[str] | None, top_k: int, pattern_k: int) -> DataFrame:
+    """Distinct counts, top values and patterns from sketches."""
+
+    def leading(text: Column, k: int) -> Column:
+        return F.call_function("approx_top_k", text, F.lit(k))
+
+    def chunk(part: list[tuple[int, T.StructField]]) -> DataFrame:
+        aggregates, rows = [], []
+        for i, f in part:
+            text = text_of(ref(f.name), f.dataType)
+            is_text = isinstance(f.dataType, T.StringType)
+            aggregates += [F.approx_count_distinct(text).alias(f"d_{i}"), leading(text, top_k).alias(f"t_{i}")]
+            if is_text:
+                aggregates.append(leading(generalise(text), pattern_k).alias(f"p_{i}"))
+            top = F.filter(f"t_{i}", lambda e: e["item"].isNotNull())
+            shapes = F.filter(f"p_{i}", lambda e: e["item"].isNotNull()) if is_text else None
+            kept = F.aggregate(shapes, F.lit(0).cast("bigint"), lambda a, e: a + e["count"]) if is_text else None
+            rows.append(
+                F.struct(
+                    F.lit(i).alias("position"),
+                    F.col(f"d_{i}").alias("distinct_count"),
+                    F.transform(top, lambda e: F.struct(e["item"].alias("value"), e["count"].alias("count"))).alias("top_k"),
+                    (
+                        F.transform(
+                            shapes,
+                            lambda e: F.struct(
+                                e["item"].alias("pattern"), e["count"].alias("count"), F.round(e["count"] * 100.0 / kept, 1).alias("pct")
+                            ),
+                        )
+                        if is_text
+                        else F.lit(None).cast("array<struct<pattern:string,count:bigint,pct:double>>")
+                    ).alias("patterns"),
+                )
+            )
+        return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+
+    return reduce(DataFrame.unionByName, map(chunk, _chunks(_fields(df, columns))))
+
+
 def profile(
     df: DataFrame,
     columns: Sequence[str] | None = None,
@@ -224,53 +371,35 @@ def profile(
 ) -> DataFrame:
     """One row per column with every statistic.
 
-    ``approx=True`` replaces distinct counts and quartiles by sketches and drops
-    their exchanges; top values and patterns stay exact.
+    ``approx=True`` takes distinct counts, quartiles, top values and patterns
+    from sketches, so that no value is shuffled at all.
     """
-    statistics = column_statistics(df, columns)
-    frequencies = value_frequencies(df, columns)
-    texts = [i for i, f in _fields(df, columns) if isinstance(f.dataType, T.StringType)]
-
+    wanted = _fields(df, columns)
+    texts = [i for i, f in wanted if isinstance(f.dataType, T.StringType)]
+    brackets = quartile_brackets(df, columns)
     if approx:
-        wanted = _fields(df, columns)
-        sketches = df.agg(
-            *(F.approx_count_distinct(present(ref(f.name), f.dataType)).alias(f"d_{i}") for i, f in wanted)
-        )
-        distinct = sketches.select(
-            F.inline(
-                F.array(
-                    *(F.struct(F.lit(i).alias("position"), F.col(f"d_{i}").alias("distinct_count")) for i, _ in wanted)
-                )
-            )
-        )
+        sides = [_sketched(df, columns, top_k, pattern_k)]
+        # The lower edge of a bracket is an approximate quartile.
+        if brackets:
+            near = [(i, *(e[2 * q] for q in range(len(QUARTILES)))) for i, e in brackets.items()]
+            sides.append(local_table(df.sparkSession, near, "position int, p25 double, median double, p75 double"))
     else:
-        distinct = distinct_counts(frequencies)
-    top = top_values(frequencies, top_k).groupBy("position").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("rank", "value", "n"))),
-            lambda t: F.struct(t["value"].alias("value"), t["n"].alias("count")),
-        ).alias("top_k")
-    )
-    shapes = (
-        value_patterns(frequencies.where(F.col("position").isin(texts)) if texts else frequencies.limit(0), pattern_k)
-        .groupBy("position")
-        .agg(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("rank", "pattern", "n", "pct"))),
-                lambda t: F.struct(t["pattern"].alias("pattern"), t["n"].alias("count"), t["pct"].alias("pct")),
-            ).alias("patterns")
-        )
-    )
+        families = _frequencies_by_family(df, columns)
+        frequencies = _as_text(families)
+        sides = [distinct_counts(frequencies), _gathered(top_values(frequencies, top_k), "top_k", value="value", count="n")]
+        if texts:
+            shapes = value_patterns(families[T.StringType()], pattern_k, texts)
+            sides.append(_gathered(shapes, "patterns", pattern="pattern", count="n", pct="pct"))
+        if brackets:
+            sides.append(quartiles(df, brackets, columns))
     # Each joined side holds at most one row per column.
-    joined = statistics
-    for side in (distinct, top, shapes):
+    joined = column_statistics(df, columns)
+    for side in sides:
         joined = joined.join(F.broadcast(side), "position", "left")
-    numeric = any(isinstance(f.dataType, T.NumericType) for _, f in _fields(df, columns))
-    if approx or not numeric:
-        p25, median, p75 = (F.element_at("edges", 2 * k + 1) for k in range(3))
-    else:
-        joined = joined.join(F.broadcast(quartiles(df, statistics, columns)), "position", "left")
-        p25, median, p75 = F.col("p25"), F.col("median"), F.col("p75")
+    absent = {"patterns": "array<struct<pattern:string,count:bigint,pct:double>>", "p25": "double", "median": "double", "p75": "double"}
+    for name, dtype in absent.items():
+        if name not in joined.columns:
+            joined = joined.withColumn(name, F.lit(None).cast(dtype))
 
     total, distinct_n = F.col("total_count"), F.coalesce("distinct_count", F.lit(0))
     return joined.select(
@@ -286,9 +415,9 @@ def profile(
         "max_value",
         "mean",
         "std",
-        median.alias("median"),
-        p25.alias("p25"),
-        p75.alias("p75"),
+        "median",
+        "p25",
+        "p75",
         "min_length",
         "max_length",
         F.round("avg_length", 2).alias("avg_length"),
@@ -305,7 +434,8 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     Rows are compared by a 256-bit digest of all cells, so the exchange moves 32
     bytes per row however wide the table is.
     """
-    digest = F.unhex(F.sha2(F.to_json(F.array(*(text_of(ref(f.name), f.dataType) for f in df.schema))), 256))
+    cells = ", ".join(text_sql(present_sql(f.name, f.dataType), f.dataType) for f in df.schema)
+    digest = F.expr(f"unhex(sha2(to_json(array({cells})), 256))")
     return (
         df.select(digest.alias("digest"))
         .groupBy("digest")
@@ -317,7 +447,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 def dataset_profile(df: DataFrame) -> DataFrame:
     """One row: row, column and duplicate counts, cell bytes, share of null cells."""
     width = len(df.columns)
-    sums = column_statistics(df, sketch=False).agg(
+    sums = column_statistics(df).agg(
         F.max("total_count").alias("row_count"),
         F.sum("null_count").alias("nulls"),
         F.sum("bytes").alias("memory_bytes"),

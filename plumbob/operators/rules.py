@@ -348,11 +348,13 @@ def _fresh(rule: Rule, df: DataFrame, as_of: Column) -> Column:
     if not isinstance(dtype, (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)):
         raise RuleError(f"freshness check needs times, '{rule.column}' is {dtype.simpleString()}")
     age = F.make_dt_interval(secs=F.lit(decimal.Decimal(str(rule.params["max_age_hours"] * 3600))))
-    col = ref(rule.column)
+    oldest, col = as_of - age, ref(rule.column)
     if isinstance(dtype, (T.TimestampNTZType, T.DateType)):
-        # Zone-less values are UTC whatever the session's zone is.
-        col = F.convert_timezone(F.lit("UTC"), F.current_timezone(), col.cast("timestamp_ntz"))
-    return col.try_cast("timestamp") >= as_of - age
+        # Zone-less values are UTC. The limit is moved, not the values: it is a
+        # constant, so nothing is converted per row.
+        oldest = F.convert_timezone(F.current_timezone(), F.lit("UTC"), oldest.cast("timestamp_ntz"))
+        return col.cast("timestamp_ntz") >= oldest
+    return col.try_cast("timestamp") >= oldest
 
 
 def literals_for(dtype: T.DataType, values: Iterable[Any]) -> list[Any]:
