@@ -32,7 +32,7 @@ FORMATS = {
 
 _TOKEN = re.compile(
     r"(?P<escape>\\.)|(?P<cls>\[\^?\]?(?:\\.|[^\]\\])*\])|(?P<named>\(\?P<(?P<name>\w+)>)"
-    r"|(?P<back>\(\?P=(?P<back_name>\w+)\))|(?P<cond>\(\?\()|(?P<open>\{,(?=\d+\}))",
+    r"|(?P<back>\(\?P=(?P<back_name>\w+)\))|(?P<cond>\(\?\()|(?P<open>\{,(?=\d*\}))",
     re.S,
 )
 

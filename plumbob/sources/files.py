@@ -105,6 +105,8 @@ def dataset_bytes(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
 
 def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Column names of each file, from its footer or header line; null if unreadable."""
+    from urllib.parse import quote
+
     import pyarrow.fs as fs
     import pyarrow.parquet as pq
 
@@ -112,7 +114,7 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = []
         for path, ext in zip(batch["path"], batch["extension"]):
             try:
-                system, inner = fs.FileSystem.from_uri(path)
+                system, inner = fs.FileSystem.from_uri(quote(path, safe="/:@"))
                 if READERS[ext] == "parquet":
                     with system.open_input_file(inner) as file:
                         found.append(list(pq.read_schema(file).names))
@@ -161,16 +163,17 @@ def list_datasets(
         counted = counts if counted is None else counted.unionByName(counts)
     if counted is None:
         counted = files.select("path", F.lit(None).cast("bigint").alias("row_count")).limit(0)
-    empty_but_readable = F.col("columns").isNotNull()
-    # Joined on the unescaped path: the file metadata column percent-encodes it.
-    plain = F.regexp_replace("path", r"^file:/+", "file:/")
+    readable = F.col("columns").isNotNull()
+    # The metadata column percent-encodes paths, the file listing does not.
+    one_slash = lambda path: F.regexp_replace(path, r"^file:/+", "file:/")
+    decoded = F.url_decode(F.regexp_replace("path", r"\+", "%2B"))
     return (
-        described.withColumn("k", plain)
-        .join(counted.select(F.regexp_replace(F.url_decode("path"), r"^file:/+", "file:/").alias("k"), "row_count"), "k", "left")
+        described.withColumn("k", one_slash(F.col("path")))
+        .join(counted.select(one_slash(decoded).alias("k"), "row_count"), "k", "left")
         .select(
             "name",
             F.col("path").alias("source"),
-            F.when(empty_but_readable, F.coalesce("row_count", F.lit(0))).alias("row_count"),
+            F.when(readable, F.coalesce("row_count", F.lit(0))).alias("row_count"),
             F.coalesce(F.size("columns"), F.lit(0)).alias("column_count"),
             F.coalesce("columns", F.array().cast("array<string>")).alias("columns"),
             "size_bytes",
