@@ -87,12 +87,40 @@ def compact(text: Column) -> Column:
     return F.when(F.length(text) > DIGEST_OVER, F.concat(F.lit("#"), F.sha2(text, 256))).otherwise(text)
 
 
-def row_key(df: DataFrame, names: Sequence[str]) -> Column:
-    """Grouping key of one or several columns; nulls are equal to each other."""
-    texts = [text_of(ref(n), type_of(df, n)) for n in names]
+def _unbounded(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.StringType, T.BinaryType, *NESTED))
+
+
+def packed(texts: Sequence[Column], dtypes: Sequence[T.DataType]) -> Column:
+    """One grouping key from the texts of several cells; nulls are equal to each other.
+
+    Free texts carry their length, so no two rows share a key by accident. A
+    single cell is its own key and stays null when missing.
+    """
+    open_ended = any(map(_unbounded, dtypes))
     if len(texts) == 1:
-        return compact(texts[0])
-    return compact(F.to_json(F.array(*texts)))
+        return compact(texts[0]) if open_ended else texts[0]
+    parts = [
+        F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t) if _unbounded(d) else t, F.lit("~"))
+        for t, d in zip(texts, dtypes, strict=True)
+    ]
+    key = F.concat_ws("|", *parts)
+    return compact(key) if open_ended else key
+
+
+def row_key(df: DataFrame, names: Sequence[str]) -> Column:
+    """Grouping key of one or several columns."""
+    dtypes = [type_of(df, n) for n in names]
+    return packed([text_of(ref(n), d) for n, d in zip(names, dtypes)], dtypes)
+
+
+def row_text_sql(fields: Sequence[T.StructField]) -> str:
+    """All cells of a row as one unambiguous text, as SQL text."""
+    parts = []
+    for f in fields:
+        text = text_sql(present_sql(f.name, f.dataType), f.dataType)
+        parts.append(f"coalesce(concat(length({text}), ':', {text}), '~')" if _unbounded(f.dataType) else f"coalesce({text}, '~')")
+    return f"concat_ws('|', {', '.join(parts)})"
 
 
 def as_number(col: Column, dtype: T.DataType) -> Column:
@@ -110,9 +138,16 @@ def generalise(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\p{L}+", "A+"), r"\p{Nd}+", "D+")
 
 
+# The characters that count as white space.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(text: Column) -> Column:
     """Trim all Unicode white space, not only blanks."""
-    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+    return F.btrim(text, F.lit(WHITESPACE))
 
 
 def word_count(text: Column) -> Column:

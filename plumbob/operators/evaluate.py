@@ -21,9 +21,9 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from plumbob.functions.columns import (
-    compact,
     is_missing,
     local_table,
+    packed,
     present,
     ref,
     row_key,
@@ -95,17 +95,17 @@ def _paired_keys(df: DataFrame, names, other: DataFrame, other_names) -> tuple[C
 
     A key with a missing part is null on both sides.
     """
-    left, right, present_all, other_all = [], [], F.lit(True), F.lit(True)
+    left, right, types, present_all, other_all = [], [], [], F.lit(True), F.lit(True)
     for name, other_name in zip(names, other_names, strict=True):
         dtype, other_dtype = type_of(df, name), type_of(other, other_name)
         common = _common_key(dtype, other_dtype)
+        types.append(common)
         left.append(text_of(ref(name).try_cast(common), common))
         right.append(text_of(ref(other_name).try_cast(common), common))
         present_all &= ~is_missing(ref(name), dtype)
         other_all &= ~is_missing(ref(other_name), other_dtype)
-    pack = (lambda t: compact(t[0])) if len(left) == 1 else (lambda t: compact(F.to_json(F.array(*t))))
-    keys = other.where(other_all).select(pack(right).alias("key"))
-    return F.when(present_all, pack(left)), keys
+    keys = other.where(other_all).select(packed(right, types).alias("key"))
+    return F.when(present_all, packed(left, types)), keys
 
 
 def _compile(no: int, rule: Rule, df: DataFrame, as_of: Column) -> _Compiled:
@@ -276,7 +276,8 @@ def _truth_sides(rule: Rule, df: DataFrame) -> _Truth:
 
 
 def _truth_key(keys: Sequence[Column], value: Column) -> Column:
-    return compact(F.to_json(F.array(*keys, value.cast("string"))))
+    texts = [*keys, value.cast("string")]
+    return packed(texts, [T.StringType()] * len(texts))
 
 
 def _judged_truth(df: DataFrame, c: _Compiled, order: Column | None) -> DataFrame:

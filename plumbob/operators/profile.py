@@ -31,6 +31,7 @@ from plumbob.functions.columns import (
     present_sql,
     quoted,
     ref,
+    row_text_sql,
     share,
     text_of,
     text_sql,
@@ -434,8 +435,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     Rows are compared by a 256-bit digest of all cells, so the exchange moves 32
     bytes per row however wide the table is.
     """
-    cells = ", ".join(text_sql(present_sql(f.name, f.dataType), f.dataType) for f in df.schema)
-    digest = F.expr(f"unhex(sha2(to_json(array({cells})), 256))")
+    digest = F.expr(f"unhex(sha2({row_text_sql(df.schema.fields)}, 256))")
     return (
         df.select(digest.alias("digest"))
         .groupBy("digest")

@@ -148,9 +148,18 @@ REDACTIONS = (
 
 
 def redacted(text: Column) -> Column:
-    for token, pattern in REDACTIONS:
-        text = F.regexp_replace(text, pattern, token)
-    return text
+    """Apply the redactions to a text column.
+
+    Mail addresses are only looked for in texts with an ``@``, the rest only in
+    texts with a digit. Replacements contain neither, so the original text
+    decides for the whole chain.
+    """
+    (mail, mail_pattern), *numeric = REDACTIONS
+    without_mail = F.when(text.contains("@"), F.regexp_replace(text, mail_pattern, mail)).otherwise(text)
+    cleaned = without_mail
+    for token, pattern in numeric:
+        cleaned = F.regexp_replace(cleaned, pattern, token)
+    return F.when(text.rlike("[0-9]"), cleaned).otherwise(without_mail)
 
 
 def redact(df: DataFrame, columns: Sequence[str]) -> DataFrame:
