@@ -389,6 +389,57 @@ SELECT rule_name, concat_ws(chr(10), 'A data quality rule failed. Explain why.',
 FROM results JOIN notes ON name = rule_name WHERE NOT passed"""
 
 
+_DTYPES = dict(zip(COLUMNS, ("bigint", "bigint", "string", "bigint", "string", "string", "int", "double")))
+
+
+def _described() -> str:
+    """CTE ``facts``: what the prompts say about each column of the dirty table."""
+    parts = []
+    for i, c in enumerate(COLUMNS):
+        v = _clean(c)
+        ranked = f"(SELECT list({{'value': value, 'count': n}} ORDER BY rank) FROM ({_top('(SELECT ' + v + ' AS ' + c + ' FROM dirty)', c)}))"
+        text, number = c in TEXT, c not in TEXT
+        shapes = f"(SELECT list(pattern ORDER BY rank) FROM ({_patterns('dirty', c)}))" if text else "CAST(NULL AS VARCHAR[])"
+        parts.append(
+            f"SELECT {i} AS position, '{c}' AS name, '{_DTYPES[c]}' AS dtype, count(*) AS total, count(*) - count({v}) AS nulls, "
+            f"round(100.0 * (count(*) - count({v})) / count(*), 2) AS null_pct, count(DISTINCT {v}) AS distincts, "
+            f"round(100.0 * count(DISTINCT {v}) / count(*), 2) AS distinct_pct, "
+            f"{f'min(length({c}))' if text else 'NULL'} AS shortest, {f'max(length({c}))' if text else 'NULL'} AS longest, "
+            f"{f'avg({v})' if number else 'NULL'} AS mean, {f'stddev_samp({v})' if number else 'NULL'} AS std, "
+            f"{ranked} AS top, {shapes} AS shapes FROM dirty"
+        )
+    return f"{DIRTY}, facts AS ({' UNION ALL '.join(parts)})"
+
+
+def _classification_prompts() -> str:
+    kinds = ", ".join([d.type for d in DETECTORS] + ["numeric_id", "categorical", "free_text"])
+    shown = lambda c: f"coalesce(CAST({c} AS VARCHAR), 'n/a')"
+    return f"""WITH {_described()} SELECT name AS column_name, concat_ws(chr(10), 'Which kind of data does this column hold?', '',
+concat('column: ', name), concat('type: ', dtype), concat('nulls: ', nulls, ' of ', total, ' (', null_pct, '%)'),
+concat('distinct: ', distincts, ' (', distinct_pct, '%)'), concat('length: ', {shown("shortest")}, ' to ', {shown("longest")}),
+concat('top values: ', CAST(to_json(top[1:5]) AS VARCHAR)), concat('samples: ', CAST(to_json([t.value FOR t IN top]) AS VARCHAR)), '',
+'Answer in JSON with semantic_type ({kinds} or another), confidence (0 to 1), pii_detected,',
+'pii_category (none, low, medium, high, critical), pii_types, suggested_validation and rationale.') AS prompt FROM facts"""
+
+
+def _proposal_prompt() -> str:
+    line = (
+        "concat('- ', name, ': type=', dtype, ', nulls=', nulls, '/', total, ' (', null_pct, '%), distinct=', distincts, ' (', distinct_pct, '%)', "
+        "', unique=', CASE WHEN nulls = 0 AND distincts = total THEN 'true' ELSE 'false' END, "
+        "CASE WHEN mean IS NULL THEN '' ELSE concat(', mean=', printf('%.2f', mean), ', std=', printf('%.2f', std)) END, "
+        "CASE WHEN shortest IS NULL THEN '' ELSE concat(', length=', shortest, '..', longest) END, "
+        "concat(', top=', CAST(to_json([t.value FOR t IN top[1:3]]) AS VARCHAR)), "
+        "CASE WHEN shapes IS NULL THEN '' ELSE concat(', patterns=', CAST(to_json(shapes[1:3]) AS VARCHAR)) END)"
+    )
+    return f"""WITH {_described()}, head AS (SELECT count(*) AS total, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty)) AS dups FROM dirty)
+SELECT 'customers' AS table_name, concat_ws(chr(10), 'Propose data quality rules for this table.', '',
+concat('table: customers, rows: ', head.total, ', columns: 8, duplicate rows: ', dups), 'context: billing', '',
+(SELECT string_agg({line}, chr(10) ORDER BY position) FROM facts), '',
+'rule types and their params: null_check, unique_check, range_check (min_value, max_value),',
+'regex_check (pattern), freshness_check (max_age_hours), foreign_key_check (reference_values)',
+'Answer in JSON: rules, a list of rule_type, column, params, severity (critical, high, medium, low), dimension ({", ".join(DIMENSIONS)}), rationale, confidence (0 to 1).') AS prompt FROM head"""
+
+
 def _manifest() -> str:
     return """files AS (SELECT concat(url, '#', CAST(page_id AS VARCHAR)) AS path, CAST(length(html) AS BIGINT) AS size_bytes FROM pages WHERE page_id % 9 <> 4),
 manifest AS (SELECT concat(url, '#', CAST(page_id AS VARCHAR)) AS path, CAST(CASE WHEN page_id % 7 = 0 THEN NULL WHEN page_id % 5 = 0 THEN length(html) + 1 ELSE length(html) END AS BIGINT) AS expected_bytes FROM pages WHERE page_id % 11 <> 3),
@@ -591,6 +642,8 @@ count(*) FILTER (WHERE NOT native) AS ocr_page_count FROM pages_ GROUP BY doc_id
     "semantic_types": _semantic(),
     "redact_text": f"SELECT doc_id, sha256({_redacted('text')}) AS redacted_hash, length({_redacted('text')}) AS redacted_chars FROM documents",
     "explanation_prompts": _explanations(),
+    "classification_prompts": _classification_prompts(),
+    "proposal_prompt": _proposal_prompt(),
     "completion_cache": f"""WITH {_KEYS}, first_run AS (SELECT DISTINCT cache_key FROM keyed WHERE conv_id % 3 = 0)
 SELECT conv_id, turn, cache_key, concat('{{"words": ', {_WORDS}, '}}') AS content, cache_key IN (SELECT cache_key FROM first_run) AS cached FROM keyed""",
     "completion_usage": f"""WITH {_KEYS}, once AS (SELECT DISTINCT cache_key, text FROM keyed)
