@@ -18,6 +18,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 HEADLINE = (
     "scan_filter",
     "dataset_profile",
+    "full_profile",
     "column_counts",
     "numeric_stats",
     "string_lengths",

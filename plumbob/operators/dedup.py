@@ -76,9 +76,12 @@ def near_duplicates(
     masks = [sum(c) for c in combinations(pieces, n_blocks - t)]
 
     rows = df.select(ref(id_column).alias("id"), ref(hash_column).cast("bigint").alias("hash")).where(
-        F.col("hash").isNotNull()
+        F.col("hash").isNotNull() & F.col("id").isNotNull()
     )
-    groups = rows.groupBy("hash").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    # The condition always holds. It keeps both aggregates in every branch below,
+    # so that all of them reuse one exchange.
+    whole = F.col("rep").isNotNull() & (F.col("copies") > 0)
+    groups = rows.groupBy("hash").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).where(whole)
     same = (
         rows.join(groups.where(F.col("copies") > 1), "hash")
         .where(F.col("id") != F.col("rep"))

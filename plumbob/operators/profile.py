@@ -41,6 +41,8 @@ from plumbob.functions.columns import (
 # twice as wide on either side.
 SKETCH_ACCURACY = 10_000
 BRACKET = 2.0 / SKETCH_ACCURACY
+# The parts of a profile beyond the fused statistics.
+PARTS = ("distinct", "top", "patterns", "quartiles")
 # The values inside a bracket are ranked in this many pieces.
 PIECES = 64
 QUARTILES = (0.25, 0.5, 0.75)
@@ -369,17 +371,24 @@ def profile(
     top_k: int = 10,
     pattern_k: int = 10,
     approx: bool = False,
+    include: Sequence[str] = PARTS,
 ) -> DataFrame:
     """One row per column with every statistic.
 
+    ``include`` names the parts that cost an extra read: ``distinct``, ``top``,
+    ``patterns`` and ``quartiles``. A part left out is null or empty.
     ``approx=True`` takes distinct counts, quartiles, top values and patterns
     from sketches, so that no value is shuffled at all.
     """
     wanted = _fields(df, columns)
     texts = [i for i, f in wanted if isinstance(f.dataType, T.StringType)]
-    brackets = quartile_brackets(df, columns)
+    unknown = set(include) - set(PARTS)
+    if unknown:
+        raise ValueError(f"unknown parts: {sorted(unknown)}")
+    brackets = quartile_brackets(df, columns) if "quartiles" in include else {}
+    sides = []
     if approx:
-        sides = [_sketched(df, columns, top_k, pattern_k)]
+        sides.append(_sketched(df, columns, top_k, pattern_k))
         # The lower edge of a bracket is an approximate quartile.
         if brackets:
             near = [(i, *(e[2 * q] for q in range(len(QUARTILES)))) for i, e in brackets.items()]
@@ -387,8 +396,11 @@ def profile(
     else:
         families = _frequencies_by_family(df, columns)
         frequencies = _as_text(families)
-        sides = [distinct_counts(frequencies), _gathered(top_values(frequencies, top_k), "top_k", value="value", count="n")]
-        if texts:
+        if "distinct" in include:
+            sides.append(distinct_counts(frequencies))
+        if "top" in include:
+            sides.append(_gathered(top_values(frequencies, top_k), "top_k", value="value", count="n"))
+        if "patterns" in include and texts:
             shapes = value_patterns(families[T.StringType()], pattern_k, texts)
             sides.append(_gathered(shapes, "patterns", pattern="pattern", count="n", pct="pct"))
         if brackets:
@@ -397,12 +409,14 @@ def profile(
     joined = column_statistics(df, columns)
     for side in sides:
         joined = joined.join(F.broadcast(side), "position", "left")
-    absent = {"patterns": "array<struct<pattern:string,count:bigint,pct:double>>", "p25": "double", "median": "double", "p75": "double"}
+    absent = {"distinct_count": "bigint", "top_k": _BARE, "patterns": "array<struct<pattern:string,count:bigint,pct:double>>", "p25": "double", "median": "double", "p75": "double"}
     for name, dtype in absent.items():
         if name not in joined.columns:
             joined = joined.withColumn(name, F.lit(None).cast(dtype))
 
-    total, distinct_n = F.col("total_count"), F.coalesce("distinct_count", F.lit(0))
+    total, distinct_n = F.col("total_count"), F.col("distinct_count")
+    if approx or "distinct" in include:
+        distinct_n = F.coalesce(distinct_n, F.lit(0))
     return joined.select(
         "position",
         "name",
@@ -462,7 +476,10 @@ def dataset_profile(df: DataFrame) -> DataFrame:
 
 
 def profile_view(profiles: DataFrame) -> DataFrame:
-    """The short form: type, nulls, distincts, extremes and moments."""
+    """The short form: type, nulls, distincts, extremes and moments.
+
+    Needs no other part than ``distinct``.
+    """
     return profiles.select(
         "name",
         "dtype",
@@ -519,7 +536,7 @@ def auto_rules(df: DataFrame, profiles: DataFrame | None = None) -> list:
     """Collect the derived rules (a few per column) as rule specifications."""
     from plumbob.operators.rules import null_check, range_check, regex_check, unique_check
 
-    profiles = profile(df) if profiles is None else profiles
+    profiles = profile(df, include=("distinct",)) if profiles is None else profiles
     rules = []
     for r in derived_rules(profiles).orderBy("position", "rule_no").collect():
         if r["type"] == "null_check":

@@ -30,6 +30,24 @@ TEXT = ("email", "bal_text", "segment")
 WHOLE = ("c_custkey", "dup_key", "age", "nation_fk")
 
 
+TABLE_COLUMNS = {
+    "benchmark": "item_id,text",
+    "conversations": "conv_id,turn,role,text",
+    "customer": "c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment",
+    "documents": "doc_id,text,lang,source,n_chars",
+    "embeddings": "vec_id,embedding,label",
+    "events": "event_id,ts,user_id,event_type,value,props",
+    "labels": "doc_id,quality,toxic",
+    "lineitem": "l_orderkey,l_partkey,l_suppkey,l_linenumber,l_quantity,l_extendedprice,l_discount,l_tax,l_returnflag,l_linestatus,l_shipdate",
+    "nation": "n_nationkey,n_name,n_regionkey",
+    "orders": "o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority",
+    "pages": "page_id,url,html",
+    "part": "p_partkey,p_name,p_brand,p_type,p_size,p_retailprice",
+    "region": "r_regionkey,r_name",
+    "supplier": "s_suppkey,s_name,s_nationkey,s_acctbal",
+}
+
+
 def _clean(column: str) -> str:
     return f"(CASE WHEN isnan({column}) THEN NULL ELSE {column} END)" if column == "bal_nan" else column
 
@@ -247,6 +265,23 @@ def _numeric(columns, source, moments=True) -> list[str]:
     return out
 
 
+def _full_profile() -> str:
+    parts = []
+    for c in TABLE_COLUMNS["lineitem"].split(","):
+        text, number = c in ("l_returnflag", "l_linestatus"), c not in ("l_returnflag", "l_linestatus", "l_shipdate")
+        quantile = lambda q: f"round(quantile_cont(CAST({c} AS DOUBLE), {q}), 4)" if number else "CAST(NULL AS DOUBLE)"
+        moment = lambda f: f"round({f}({c}), 4)" if number else "CAST(NULL AS DOUBLE)"
+        first = lambda field: f"(SELECT {field} FROM ({_top('lineitem', c)}) WHERE rank = 1)"
+        shapes = f"(SELECT string_agg(pattern, ',' ORDER BY rank) FROM ({_patterns('lineitem', c)}))" if text else "''"
+        parts.append(
+            f"SELECT '{c}' AS name, count(*) AS total_count, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS distinct_count, "
+            f"count(DISTINCT {c}) = count(*) AS is_unique, {moment('avg')} AS mean, {moment('stddev_samp')} AS std, "
+            f"{quantile(0.5)} AS median, {quantile(0.25)} AS p25, {quantile(0.75)} AS p75, {first('value')} AS top_value, "
+            f"{first('n')} AS top_count, (SELECT count(*) FROM ({_top('lineitem', c)})) AS top_values, {shapes} AS patterns FROM lineitem"
+        )
+    return " UNION ALL ".join(parts)
+
+
 def _top(source: str, column: str) -> str:
     return (
         f"SELECT '{column}' AS name, rank, value, n FROM (SELECT value, n, row_number() OVER (ORDER BY n DESC, value) AS rank "
@@ -448,24 +483,6 @@ checked AS (SELECT coalesce(f.path, m.path) AS path, CASE WHEN f.path IS NULL TH
   FROM files AS f FULL OUTER JOIN manifest AS m ON f.path = m.path)"""
 
 
-TABLE_COLUMNS = {
-    "benchmark": "item_id,text",
-    "conversations": "conv_id,turn,role,text",
-    "customer": "c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment",
-    "documents": "doc_id,text,lang,source,n_chars",
-    "embeddings": "vec_id,embedding,label",
-    "events": "event_id,ts,user_id,event_type,value,props",
-    "labels": "doc_id,quality,toxic",
-    "lineitem": "l_orderkey,l_partkey,l_suppkey,l_linenumber,l_quantity,l_extendedprice,l_discount,l_tax,l_returnflag,l_linestatus,l_shipdate",
-    "nation": "n_nationkey,n_name,n_regionkey",
-    "orders": "o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority",
-    "pages": "page_id,url,html",
-    "part": "p_partkey,p_name,p_brand,p_type,p_size,p_retailprice",
-    "region": "r_regionkey,r_name",
-    "supplier": "s_suppkey,s_name,s_nationkey,s_acctbal",
-}
-
-
 def _failing() -> str:
     numbered = lambda name, condition: (
         f"SELECT '{name}' AS rule_name, rank, c_custkey, email FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) AS rank "
@@ -535,6 +552,7 @@ round(100.0 * ({" + ".join(f"count(*) - count({_clean(c)})" for c in COLUMNS)})
         + " FROM supplier"
         for c in ("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
     ),
+    "full_profile": _full_profile(),
     "auto_rules": _auto_rules(),
     "rule_null": _with(
         *(

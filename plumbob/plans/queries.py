@@ -146,7 +146,7 @@ def duplicate_rows(spark, sf):
 
 
 def column_counts(spark, sf):
-    return profiling.profile(dirty_customer(spark, sf)).select(
+    return profiling.profile(dirty_customer(spark, sf), include=("distinct",)).select(
         "name", "total_count", "null_count", "null_pct", "distinct_count", "distinct_pct", "min_value", "max_value", "is_unique"
     )
 
@@ -156,12 +156,12 @@ def _rounded(df, names, digits=4):
 
 
 def numeric_stats(spark, sf):
-    p = profiling.profile(table(spark, sf, "lineitem"))
+    p = profiling.profile(table(spark, sf, "lineitem"), include=("quartiles",))
     return p.where(F.col("mean").isNotNull()).select("name", *_rounded(p, ("mean", "std", "median", "p25", "p75")))
 
 
 def quartiles_with_missing(spark, sf):
-    p = profiling.profile(dirty_customer(spark, sf), columns=["age", "nation_fk", "bal_nan"])
+    p = profiling.profile(dirty_customer(spark, sf), columns=["age", "nation_fk", "bal_nan"], include=("quartiles",))
     return p.select("name", *_rounded(p, ("median", "p25", "p75")))
 
 
@@ -196,12 +196,24 @@ def value_patterns(spark, sf):
 
 
 def profile_view(spark, sf):
-    p = profiling.profile_view(profiling.profile(table(spark, sf, "supplier")))
+    p = profiling.profile_view(profiling.profile(table(spark, sf, "supplier"), include=("distinct",)))
     return p.select("name", "null_count", "distinct_count", "is_unique", "min", "max", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
 
 
+def full_profile(spark, sf):
+    """Every statistic of every column of the largest table."""
+    p = profiling.profile(table(spark, sf, "lineitem"))
+    return p.select(
+        "name", "total_count", "null_count", "distinct_count", "is_unique", *_rounded(p, ("mean", "std", "median", "p25", "p75")),
+        F.element_at("top_k", 1)["value"].alias("top_value"),
+        F.element_at("top_k", 1)["count"].alias("top_count"),
+        F.size("top_k").cast("bigint").alias("top_values"),
+        F.array_join(F.transform("patterns", lambda x: x["pattern"]), ",").alias("patterns"),
+    )
+
+
 def auto_rules(spark, sf):
-    derived = profiling.derived_rules(profiling.profile(dirty_customer(spark, sf)))
+    derived = profiling.derived_rules(profiling.profile(dirty_customer(spark, sf), include=("distinct",)))
     return derived.select("column", "type", "severity", "pattern", "min_value")
 
 
@@ -649,7 +661,7 @@ QUERIES = {
     for f in (
         scan_filter, scan_count, sample_rows, preview_rows, list_files, csv_source, flatten_json, dataset_registry,
         dataset_profile, duplicate_rows, column_counts, numeric_stats, quartiles_with_missing, string_lengths,
-        top_values, value_patterns, profile_view, auto_rules,
+        top_values, value_patterns, profile_view, full_profile, auto_rules,
         rule_null, rule_unique, rule_unique_multi, rule_range, rule_regex, rule_fk_values, rule_fk_long_list,
         rule_fk_table, rule_freshness, rule_consistency, rule_consistency_pairs, rule_accuracy, rule_set,
         rule_skipped, rule_by_dimension, rule_report, failing_samples,

@@ -42,6 +42,15 @@ def test_texts(profiled):
     assert profiled["age"].patterns == [] and profiled["age"].min_length is None
 
 
+def test_parts(spark, people):
+    rows = {r["name"]: r for r in profile(people, include=("distinct",)).collect()}
+    assert rows["city"].distinct_count == 3 and rows["city"].top_k == [] and rows["id"]["median"] is None
+    bare = profile(people, include=()).where("name = 'id'").first()
+    assert (bare.distinct_count, bare.is_unique, bare["mean"]) == (None, None, 50.5)
+    with pytest.raises(ValueError):
+        profile(people, include=("everything",))
+
+
 def test_top_k_limit_and_ties(spark):
     df = spark.createDataFrame([(c,) for c in "zyxwv"], "c string")
     (row,) = profile(df, top_k=3).collect()
