@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 # The two patterns used by derived rules.
 EMAIL_RULE = r"^[^@]+@[^@]+\.[^@]+$"

@@ -138,6 +138,16 @@ def parsed(content: Column) -> Column:
     return F.when(value.isNull() | value.isin(*_EMPTY), text).otherwise(value)
 
 
+# Texts that stand for a missing part of an explanation.
+MISSING_PARTS = {
+    "summary": "No summary available.",
+    "root_cause": "Unknown.",
+    "impact": "Unknown impact.",
+    "suggested_fix": "Manual review recommended.",
+    "severity_assessment": "",
+}
+
+
 def classifications(answers: DataFrame) -> DataFrame:
     """Typed column classifications from ``(column_name, parsed)``."""
     shape = (
@@ -185,14 +195,9 @@ def explanations(answers: DataFrame) -> DataFrame:
         "severity_assessment string, tags array<string>"
     )
     a = answers.withColumn("a", F.from_json("parsed", shape))
-    # Texts that stand for a missing part.
     return a.select(
         "rule_name",
-        F.coalesce("a.summary", F.lit("No summary available.")).alias("summary"),
-        F.coalesce("a.root_cause", F.lit("Unknown.")).alias("root_cause"),
-        F.coalesce("a.impact", F.lit("Unknown impact.")).alias("impact"),
-        F.coalesce("a.suggested_fix", F.lit("Manual review recommended.")).alias("suggested_fix"),
-        F.coalesce("a.severity_assessment", F.lit("")).alias("severity_assessment"),
+        *(F.coalesce(f"a.{part}", F.lit(text)).alias(part) for part, text in MISSING_PARTS.items()),
         F.col("fail_count").alias("affected_rows_estimate"),
         F.coalesce("a.tags", F.array().cast("array<string>")).alias("tags"),
     )

@@ -10,8 +10,9 @@ Two reads of each column, whatever the number of columns:
    and counted before its only exchange, which distinct counts, top values and
    patterns all read.
 
-Exact quartiles read the numeric columns twice more, but move almost nothing: a
-sketch encloses each quartile, and only the values inside are ranked.
+Exact quartiles need one read of the numeric columns more: a sketch encloses
+each quartile, and only the values inside, taken from the frequencies, are
+ranked.
 """
 
 from __future__ import annotations
@@ -243,18 +244,9 @@ def quartile_brackets(df: DataFrame, columns: Sequence[str] | None = None) -> di
     return {r["position"]: list(r["edges"]) for r in rows}
 
 
-def quartiles(df: DataFrame, brackets: dict[int, list[float]], columns: Sequence[str] | None = None) -> DataFrame:
-    """Exact, linearly interpolated quartiles: ``(position, p25, median, p75)``.
-
-    What lies below a bracket is only counted; what lies inside one, about
-    ``4 * rows / SKETCH_ACCURACY`` rows, is shuffled and ranked. No task ever
-    holds a whole column.
-    """
+def _split_by_scan(df: DataFrame, chosen: list, brackets: dict[int, list[float]]) -> tuple[DataFrame, DataFrame]:
+    """Counts below each bracket, and the enclosed values, from the table itself."""
     marks = range(len(QUARTILES))
-    chosen = [(i, f) for i, f in _numeric(df, columns) if i in brackets]
-    if not chosen:
-        empty = df.select(F.lit(0).alias("position")).limit(0)
-        return empty.select("position", *(F.lit(None).cast("double").alias(c) for c in ("p25", "median", "p75")))
 
     def counted(part) -> DataFrame:
         aggregates, rows = [], []
@@ -276,14 +268,58 @@ def quartiles(df: DataFrame, brackets: dict[int, list[float]], columns: Sequence
         return df.selectExpr(f"inline(array({', '.join(cells)}))").where("v IS NOT NULL")
 
     below = reduce(DataFrame.unionByName, map(counted, _chunks(chosen)))
-    values = (
-        reduce(DataFrame.unionByName, map(enclosed, _chunks(chosen)))
-        .groupBy("position", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
+    cells = reduce(DataFrame.unionByName, map(enclosed, _chunks(chosen)))
+    return below, cells.groupBy("position", "v").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _split_by_frequency(numbers: list[DataFrame], edges: str) -> tuple[DataFrame, DataFrame]:
+    """The same from value-frequency tables, whose exchange is already there."""
+    marks = range(len(QUARTILES))
+
+    def marked(t: DataFrame) -> DataFrame:
+        return t.selectExpr("position", "CAST(value AS DOUBLE) AS v", "n", f"{edges} AS e")
+
+    all_cells = reduce(DataFrame.unionByName, map(marked, numbers))
+    below = all_cells.groupBy("position").agg(
+        F.sum("n").alias("rows"),
+        F.array(*(F.expr(f"sum(CASE WHEN v < e[{2 * q}] THEN n ELSE 0L END)") for q in marks)).alias("below"),
+    )
+    hit = " OR ".join(f"(v >= e[{2 * q}] AND v <= e[{2 * q + 1}])" for q in marks)
+    # The condition is on `n`, so that it stays above the shared exchange.
+    values = all_cells.selectExpr("position", "v", f"CASE WHEN {hit} THEN n ELSE 0L END AS n").where("n > 0")
+    return below, values
+
+
+def quartiles(
+    df: DataFrame,
+    brackets: dict[int, list[float]],
+    columns: Sequence[str] | None = None,
+    families: dict[T.DataType, DataFrame] | None = None,
+) -> DataFrame:
+    """Exact, linearly interpolated quartiles: ``(position, p25, median, p75)``.
+
+    What lies below a bracket is only counted; what lies inside one, about
+    ``4 * rows / SKETCH_ACCURACY`` rows, is ranked. No task ever holds a whole
+    column. With value-frequency tables at hand the table is not read again.
+    """
+    marks = range(len(QUARTILES))
+    chosen = [(i, f) for i, f in _numeric(df, columns) if i in brackets]
+    if not chosen:
+        empty = df.select(F.lit(0).alias("position")).limit(0)
+        return empty.select("position", *(F.lit(None).cast("double").alias(c) for c in ("p25", "median", "p75")))
+    # Edges by position; columns without a bracket have none.
+    listed = ", ".join(
+        f"array({', '.join(map(_double, brackets[i]))})" if i in brackets else "CAST(NULL AS ARRAY<DOUBLE>)"
+        for i in range(max(brackets) + 1)
     )
-    listed = ", ".join(f"{i}, array({', '.join(map(_double, brackets[i]))})" for i, _ in chosen)
+    edges = f"array({listed})[position]"
+    if families is None or any(isinstance(_family(f.dataType), T.StringType) for _, f in chosen):
+        below, values = _split_by_scan(df, chosen, brackets)
+    else:
+        numbers = [t for d, t in families.items() if not isinstance(d, T.StringType)]
+        below, values = _split_by_frequency(numbers, edges)
     hits = ", ".join(f"CASE WHEN v >= edges[{2 * q}] AND v <= edges[{2 * q + 1}] THEN {q} END" for q in marks)
-    inside = values.selectExpr("position", "v", "n", f"map({listed})[position] AS edges").selectExpr(
+    inside = values.selectExpr("position", "v", "n", f"{edges} AS edges").selectExpr(
         "position", "v", "n", f"explode(array_compact(array({hits}))) AS q"
     )
     # The running count is taken piece by piece: pieces are cut at quantiles of
@@ -404,7 +440,8 @@ def profile(
             shapes = value_patterns(families[T.StringType()], pattern_k, texts)
             sides.append(_gathered(shapes, "patterns", pattern="pattern", count="n", pct="pct"))
         if brackets:
-            sides.append(quartiles(df, brackets, columns))
+            shared = families if {"distinct", "top"} & set(include) else None
+            sides.append(quartiles(df, brackets, columns, shared))
     # Each joined side holds at most one row per column.
     joined = column_statistics(df, columns)
     for side in sides:

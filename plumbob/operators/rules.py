@@ -40,6 +40,16 @@ DIMENSIONS = (
     "conformity",
 )
 
+# Detail texts of results.
+DETAILS = {
+    "null_check": "Null check on '{column}'",
+    "unique_check": "Uniqueness check on {columns}",
+    "range_check": "Range [{min_value}, {max_value}] on '{column}'",
+    "regex_check": "Regex '{pattern}' on '{column}'",
+    "foreign_key_check": "FK check: '{column}' against {count} reference values",
+    "freshness_check": "Freshness: '{column}' within {max_age_hours}h",
+}
+
 # Longer literal lists are joined as a table instead of becoming an IN list.
 IN_LIST_LIMIT = 1000
 
@@ -89,7 +99,7 @@ def _rule(kind, column, dimension, severity, threshold, name, details, prefix=No
 def null_check(column: str, threshold=1.0, severity="high", name=None) -> Rule:
     """Fails where the value is null or NaN."""
     return _rule(
-        "null_check", column, "completeness", severity, threshold, name, f"Null check on '{column}'"
+        "null_check", column, "completeness", severity, threshold, name, DETAILS["null_check"].format(column=column)
     )
 
 
@@ -104,7 +114,7 @@ def range_check(
         severity,
         threshold,
         name,
-        f"Range [{min_value}, {max_value}] on '{column}'",
+        DETAILS["range_check"].format(column=column, min_value=min_value, max_value=max_value),
         min_value=min_value,
         max_value=max_value,
     )
@@ -120,7 +130,7 @@ def regex_check(column: str, pattern: str, threshold=1.0, severity="medium", nam
         severity,
         threshold,
         name,
-        f"Regex '{pattern}' on '{column}'",
+        DETAILS["regex_check"].format(column=column, pattern=pattern),
         pattern=pattern,
     )
 
@@ -150,7 +160,7 @@ def freshness_check(column: str, max_age_hours=24.0, threshold=1.0, severity="hi
         severity,
         threshold,
         name,
-        f"Freshness: '{column}' within {max_age_hours}h",
+        DETAILS["freshness_check"].format(column=column, max_age_hours=max_age_hours),
         max_age_hours=float(max_age_hours),
     )
 
@@ -197,7 +207,7 @@ def unique_check(column: str | Sequence[str], threshold=1.0, severity="high", na
         severity,
         threshold,
         name,
-        f"Uniqueness check on {columns}",
+        DETAILS["unique_check"].format(columns=columns),
     )
 
 
@@ -220,7 +230,7 @@ def foreign_key_check(
             severity,
             threshold,
             name,
-            f"FK check: '{column}' against {len(set(values))} reference values",
+            DETAILS["foreign_key_check"].format(column=column, count=len(set(values))),
             prefix="fk_check",
             reference_values=values,
         )

@@ -4,7 +4,7 @@ import pytest
 
 from plumbob import dataset_score, dimension_scores, null_check, range_check, report_on, run_quality, unique_check, weights_from_yaml
 from plumbob.operators import monitor
-from plumbob.operators.score import SEVERITY_WEIGHTS, grade, run_view, score_view
+from plumbob.operators.score import SEVERITY_WEIGHTS, run_view, score_view
 from plumbob.session import scratch_path
 from plumbob.sources import history as h
 
