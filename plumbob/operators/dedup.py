@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from plumbob.functions.columns import local_table, ref
 
+# Flips are only listed up to this many; see near_duplicates.
+MOST_FLIPS = 2_000_000
 # Buckets with more distinct hashes than this are compared by bit flips.
 HOT_BUCKET = 1000
 
@@ -64,7 +66,11 @@ def near_duplicates(
     every pair (exact). A bucket that many distinct hashes share is not joined
     with itself: its members emit the hashes a few flips away on the bits that
     may still differ, and meet there. That is exact too, and bounds each
-    meeting point whatever the bucket's size.
+    meeting point whatever the bucket's size. From seven bits on, the flips are
+    too many to list; buckets are then joined as they are, still exact, but a
+    crowded one costs the square of its size.
+
+    The table is read twice, so store hashes that are costly to compute.
     """
     t = max_distance
     if not 0 <= t < 32:
@@ -95,12 +101,6 @@ def near_duplicates(
         *(F.struct(F.lit(i).alias("choice"), F.col("hash").bitwiseAND(m).alias("key")) for i, m in enumerate(mask_literals))
     )
     keyed = groups.select("hash", "rep", F.inline(buckets))
-    hot = (
-        keyed.groupBy("choice", "key")
-        .agg(F.count(F.lit(1)).alias("members"))
-        .where(F.col("members") > hot_bucket)
-        .select("choice", "key")
-    )
 
     def near(a: str, b: str) -> Column:
         return F.bit_count(F.col(f"{a}.hash").bitwiseXOR(F.col(f"{b}.hash"))).cast("int")
@@ -112,16 +112,30 @@ def near_duplicates(
             near("a", "b").alias("distance"),
         )
 
-    calm = keyed.join(hot, ["choice", "key"], "left_anti")
-    met = calm.alias("a").join(
-        calm.alias("b"),
-        (F.col("a.choice") == F.col("b.choice"))
-        & (F.col("a.key") == F.col("b.key"))
-        & (F.col("a.hash") < F.col("b.hash"))
-        & (near("a", "b") <= t),
+    def together(left: DataFrame, right: DataFrame, place: str) -> DataFrame:
+        """Near pairs among rows that share a choice and a place."""
+        return pair(
+            left.alias("a").join(
+                right.alias("b"),
+                (F.col("a.choice") == F.col("b.choice"))
+                & (F.col(f"a.{place}") == F.col(f"b.{place}"))
+                & (F.col("a.hash") < F.col("b.hash"))
+                & (near("a", "b") <= t),
+            )
+        )
+
+    # A pair may agree on several choices of blocks, hence the distinct.
+    if _flip_count(masks, t) > MOST_FLIPS:
+        return together(keyed, keyed, "key").distinct().unionByName(same)
+
+    hot = (
+        keyed.groupBy("choice", "key")
+        .agg(F.count(F.lit(1)).alias("members"))
+        .where(F.col("members") > hot_bucket)
+        .select("choice", "key")
     )
-    if _flip_count(masks, t) > 2_000_000:
-        raise ValueError("this distance needs more blocks: too few bits are fixed per choice")
+    calm = keyed.join(hot, ["choice", "key"], "left_anti")
+    crowded = keyed.join(hot, ["choice", "key"], "left_semi")
     flips = [
         (i, side, _signed(f))
         for i, m in enumerate(masks)
@@ -130,7 +144,6 @@ def near_duplicates(
     ]
     # The table of flips depends on the parameters only, never on the data.
     flip_table = local_table(df.sparkSession, flips, "choice int, side string, flip bigint")
-    crowded = keyed.join(hot, ["choice", "key"], "left_semi")
 
     def flipped(side: str) -> DataFrame:
         moves = flip_table.where(F.col("side") == side).select("choice", "flip")
@@ -138,15 +151,8 @@ def near_duplicates(
             "hash", "rep", "choice", F.col("hash").bitwiseXOR(F.col("flip")).alias("meet")
         )
 
-    met_hot = flipped("a").alias("a").join(
-        flipped("b").alias("b"),
-        (F.col("a.choice") == F.col("b.choice"))
-        & (F.col("a.meet") == F.col("b.meet"))
-        & (F.col("a.hash") < F.col("b.hash"))
-        & (near("a", "b") <= t),
-    )
-    # A pair may agree on several choices of blocks.
-    return pair(met).unionByName(pair(met_hot)).distinct().unionByName(same)
+    found = together(calm, calm, "key").unionByName(together(flipped("a"), flipped("b"), "meet"))
+    return found.distinct().unionByName(same)
 
 
 def _flip_count(masks: list[int], t: int) -> int:

@@ -71,7 +71,7 @@ def brute_pairs(rows, distance):
     return out
 
 
-@pytest.mark.parametrize("distance, hot", [(0, 1000), (1, 1000), (3, 1000), (3, 2), (2, 0), (4, 3)])
+@pytest.mark.parametrize("distance, hot", [(0, 1000), (1, 1000), (3, 1000), (3, 2), (2, 0), (4, 3), (8, 1000)])
 def test_near_duplicates_are_exact(spark, distance, hot):
     rng = np.random.default_rng(distance * 10 + hot)
     base = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 12)]
