@@ -5,19 +5,47 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbob.llm import tokens
+from plumbob.llm import host_quality, pieces, tokens, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_quality.judge_documents(_table(spark, sf_dir, "documents"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op3_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+#: Allow and block rules, by host and start of the path.
+URL_RULES = (
+    ("org/", "allow"),
+    ("example.org/es/", "block"),
+    ("example.org/en/1", "block"),
+    ("com/fr/", "allow"),
+    ("com/de/", "block"),
+)
+
+
+def op6_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_pages(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES = {
+    "op1_host_quality": op1_host_quality,
     "op2_token_files": op2_token_files,
+    "op3_piece_round_trip": op3_piece_round_trip,
+    "op6_url_aliases": op6_url_aliases,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_host_quality": host_quality.ORACLE,
+    "op6_url_aliases": url_filter.ORACLE,
+}
