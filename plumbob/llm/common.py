@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,16 +57,14 @@ def texts(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
 def text_blocks(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches with about ``BLOCK_BYTES`` of text each, and their texts; a null text is empty."""
     for batch in batches:
-        values = batch.column(column).to_pylist()
         start = size = 0
-        for i, value in enumerate(values):
-            values[i] = value = value or ""
-            size += len(value)
-            if size >= BLOCK_BYTES:
-                yield batch.slice(start, i + 1 - start), values[start : i + 1]
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        for i, length in enumerate(lengths):
+            size += length
+            if size >= BLOCK_BYTES or i + 1 == len(lengths):
+                part = batch.slice(start, i + 1 - start)
+                yield part, [t or "" for t in part.column(column).to_pylist()]
                 start, size = i + 1, 0
-        if start < len(values):
-            yield batch.slice(start), values[start:]
 
 
 def id_lists(blobs: list[bytes], value_type: pa.DataType = pa.int32()) -> pa.ListArray:
