@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbob.llm import host_quality, packing, pieces, tokens, url_filter
+from plumbob.llm import host_quality, packing, pieces, tokens, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op6_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_pages(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op10_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack_documents(_table(spark, sf_dir, "documents"), path, end_id=1, with_tokens=False)
@@ -48,10 +52,12 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_piece_round_trip": op3_piece_round_trip,
     "op6_url_aliases": op6_url_aliases,
+    "op9_warc_segments": op9_warc_segments,
     "op10_lexical_packing": op10_lexical_packing,
 }
 
 ORACLE: dict[str, str] = {
     "op1_host_quality": host_quality.ORACLE,
     "op6_url_aliases": url_filter.ORACLE,
+    "op9_warc_segments": warc.ORACLE,
 }
