@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbob.llm import host_quality, packing, pieces, tokens, url_filter, warc
+from plumbob.llm import host_quality, html_text, packing, pieces, tokens, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op6_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_pages(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_piece_round_trip": op3_piece_round_trip,
     "op6_url_aliases": op6_url_aliases,
+    "op8_article_text": op8_article_text,
     "op9_warc_segments": op9_warc_segments,
     "op10_lexical_packing": op10_lexical_packing,
 }
