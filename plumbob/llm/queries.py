@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbob.llm import host_quality, html_text, packing, pieces, tokens, url_filter, warc
+from plumbob.llm import host_quality, html_text, packing, pieces, tokens, topk, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,10 @@ def op3_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), k=5, queries=F.col("vec_id") % 50 == 0)
+
+
 #: Allow and block rules, by host and start of the path.
 URL_RULES = (
     ("org/", "allow"),
@@ -55,6 +60,7 @@ QUERIES = {
     "op1_host_quality": op1_host_quality,
     "op2_token_files": op2_token_files,
     "op3_piece_round_trip": op3_piece_round_trip,
+    "op5_threshold_top_k": op5_threshold_top_k,
     "op6_url_aliases": op6_url_aliases,
     "op8_article_text": op8_article_text,
     "op9_warc_segments": op9_warc_segments,
@@ -63,6 +69,7 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op1_host_quality": host_quality.ORACLE,
+    "op5_threshold_top_k": topk.ORACLE,
     "op6_url_aliases": url_filter.ORACLE,
     "op9_warc_segments": warc.ORACLE,
 }
