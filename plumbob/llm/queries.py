@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbob.llm import host_quality, html_text, packing, pieces, tokens, topk, url_filter, warc
+from plumbob.llm import host_quality, html_text, packing, pieces, pii, tokens, topk, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op6_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_pages(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op7_span_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op8_article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(_table(spark, sf_dir, "pages"))
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op3_piece_round_trip": op3_piece_round_trip,
     "op5_threshold_top_k": op5_threshold_top_k,
     "op6_url_aliases": op6_url_aliases,
+    "op7_span_votes": op7_span_votes,
     "op8_article_text": op8_article_text,
     "op9_warc_segments": op9_warc_segments,
     "op10_lexical_packing": op10_lexical_packing,
