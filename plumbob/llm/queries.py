@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbob.llm import host_quality, html_text, packing, pieces, pii, tokens, topk, url_filter, warc
+from plumbob.llm import host_quality, html_text, ngram_join, packing, pieces, pii, tokens, topk, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_adaptive_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_components(_table(spark, sf_dir, "documents"))
+
+
 def op5_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), k=5, queries=F.col("vec_id") % 50 == 0)
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op1_host_quality": op1_host_quality,
     "op2_token_files": op2_token_files,
     "op3_piece_round_trip": op3_piece_round_trip,
+    "op4_adaptive_join": op4_adaptive_join,
     "op5_threshold_top_k": op5_threshold_top_k,
     "op6_url_aliases": op6_url_aliases,
     "op7_span_votes": op7_span_votes,
