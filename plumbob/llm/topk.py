@@ -4,9 +4,9 @@ A score is the sum of partial scores, one per list: each list holds a part of th
 vectors' components. Candidates lie in blocks, and a block's list scores one
 query block at a time.
 
-1. Every list of every block gives its best entries per query. Their sums, with
-   the list's least score where an entry is missing, are lower bounds; the k-th
-   best of them is a score that k candidates reach.
+1. Every list of a block names its best entries per query. The block adds them
+   up, with the list's least score where an entry is missing, and gives its best
+   sums: lower bounds, and the k-th best of all is a score that k candidates reach.
 2. That bound, divided evenly among the lists, goes to all blocks as the cutoff
    of a query. Each list gives the entries that reach it: a candidate that
    reaches it in no list cannot be among the best. Sums and the cutoff bound
@@ -33,6 +33,8 @@ from plumbob.llm.common import as_long, stored
 LARGEST = 1 << 28
 CANDIDATES_PER_BLOCK = 4096
 QUERIES_PER_BLOCK = 512
+#: Entries that a block's list names per query in the first phase.
+DEPTH = 128
 #: Groups over which candidate blocks are dealt; query blocks go to each of them.
 GROUPS = 32
 NEVER = -(1 << 63)
@@ -116,21 +118,22 @@ def _first_lists(k: int, lists: int) -> Callable[[Iterable[pa.RecordBatch]], Ite
         for batch in batches:
             for i in range(batch.num_rows):
                 q_rows, c_rows, scores, own = _partial_scores(batch, i, lists)
-                for j, s in enumerate(scores):
-                    least = s.min(axis=1)
-                    ranked = np.where(own, NEVER, s)
-                    n = min(k, len(c_rows))
-                    best = np.argpartition(-(ranked + 1), n - 1, axis=1)[:, :n]
-                    kept = ~np.take_along_axis(own, best, 1)
-                    qs, at = np.nonzero(kept)
-                    cs = best[qs, at]
-                    columns = [
-                        np.concatenate([q_rows[qs], q_rows]),
-                        np.concatenate([c_rows[cs], np.full(len(q_rows), -1)]),
-                        np.full(len(qs) + len(q_rows), j, np.int32),
-                        np.concatenate([s[qs, cs], least]),
-                    ]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["q", "c", "list", "score"])
+                bounds = np.zeros(own.shape, np.int64)
+                named = np.zeros(own.shape, bool)
+                depth = min(DEPTH, len(c_rows))
+                for s in scores:
+                    best = np.argpartition(-s, depth - 1, axis=1)[:, :depth]
+                    listed = np.zeros(own.shape, bool)
+                    np.put_along_axis(listed, best, True, 1)
+                    named |= listed
+                    bounds += np.where(listed, s, s.min(axis=1)[:, None])
+                bounds[own | ~named] = NEVER
+                n = min(k, len(c_rows))
+                best = np.argpartition(-(bounds + 1), n - 1, axis=1)[:, :n]
+                bounds = np.take_along_axis(bounds, best, 1)
+                qs, at = np.nonzero(bounds > NEVER)
+                columns = [q_rows[qs], bounds[qs, at]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["q", "bound"])
 
     return run
 
@@ -184,11 +187,8 @@ def top_k(
 
     # 1: local lists, and a score that k candidates reach.
     pairs = offered.join(_query_blocks(asking.select("row", "v")), ["group", "dim"])
-    first = stored(pairs.mapInArrow(_first_lists(k, lists), _ENTRY), "first-lists")
-    least = first.where("c < 0").groupBy("q", "list").agg(F.min("score").alias("least"))
-    floor = least.groupBy("q").agg(F.sum("least").alias("floor"))
-    seen = first.where("c >= 0").join(least, ["q", "list"]).groupBy("q", "c").agg(F.sum(F.col("score") - F.col("least")).alias("above"))
-    reached = _kth(seen.join(floor, "q").select("q", (F.col("above") + F.col("floor")).alias("bound")), k, "bound")
+    first = pairs.mapInArrow(_first_lists(k, lists), "q bigint, bound bigint")
+    reached = stored(_kth(first, k, "bound"), "first-lists")
     # 2: the cutoff goes to the blocks with the queries, and enough entries come back.
     cutoff = F.coalesce(F.ceil(F.col("bound") / lists), F.lit(NEVER))
     asking_on = asking.join(reached.withColumnRenamed("q", "row"), "row", "left")

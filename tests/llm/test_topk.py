@@ -41,6 +41,13 @@ def test_odd_rows(frame):
     assert got == brute(rows, 5, lambda i: i is not None and i % 5 == 0)
 
 
+def test_small_blocks_and_lists(frame, monkeypatch):
+    for name, n in (("CANDIDATES_PER_BLOCK", 16), ("QUERIES_PER_BLOCK", 4), ("DEPTH", 3)):
+        monkeypatch.setattr(topk, name, n)
+    rows = random_rows(200, 6, 3)
+    assert run(frame(rows, SCHEMA)) == brute(rows, 5, lambda i: i % 5 == 0)
+
+
 @pytest.mark.parametrize("rows", [[], [(5, [1.0, 2.0])], [(5, [1.0, 2.0]), (7, [3.0, 4.0])]])
 def test_few(frame, rows):
     assert run(frame(rows, SCHEMA)) == brute(rows, 5, lambda i: i % 5 == 0)
