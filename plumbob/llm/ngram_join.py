@@ -48,6 +48,8 @@ TILE = 1000
 REMEMBERED = 100_000
 STAR_ROUNDS = 3
 SALTS = 16
+#: Near copies are looked up by broadcast up to this many, and by shuffle beyond.
+BROADCAST_KEYS = 200_000
 
 
 def _buckets(hashes):
@@ -329,14 +331,8 @@ def _remaining_pairs(postings: DataFrame, threshold: int) -> DataFrame:
     return counted.where(_may_link(threshold)).select("a", "b")
 
 
-def near_components(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id``, the smallest id reachable by links.
-
-    A text of fewer than five words is one shingle; without words, or null, its
-    set is empty and it is a component by itself. Rows are told apart by what
-    they hold, not by their ids, so repeated rows and ids stay; a null id counts
-    for no component's smallest. Other columns are ignored.
-    """
+def _linked(df: DataFrame, id_column: str, text_column: str, threshold: int) -> tuple[DataFrame, DataFrame | None]:
+    """Documents as ``doc_id, text_key, cls, n_shingles``, and the components ``(cls, label)`` of linked sets, if any."""
     text = F.coalesce(ref(text_column).cast("string"), F.lit(""))
     docs = df.select(as_long(id_column).alias("doc_id"), text.alias("text"))
     docs = docs.withColumn("text_key", F.xxhash64("text"))
@@ -362,7 +358,63 @@ def near_components(df: DataFrame, id_column: str = "doc_id", text_column: str =
     if not found.isEmpty():
         links = found if links is None else links.union(found)
         components = stored(connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("label")), "components")
-    return _with_components(hashed, components)
+    return hashed, components
+
+
+def near_components(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """One row per document: ``doc_id, n_shingles, component_id``, the smallest id reachable by links.
+
+    A text of fewer than five words is one shingle; without words, or null, its
+    set is empty and it is a component by itself. Rows are told apart by what
+    they hold, not by their ids, so repeated rows and ids stay; a null id counts
+    for no component's smallest. Other columns are ignored.
+    """
+    return _with_components(*_linked(df, id_column, text_column, threshold))
+
+
+def one_per_group(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of ``df`` less the near copies: of each component of linked documents one row stays, of the smallest id.
+
+    Documents without words are linked with nothing and stay. All columns stay
+    as they are. Rows are found again by id and a hash of the text.
+    """
+    hashed, components = _linked(df, id_column, text_column, threshold)
+    rows = hashed.where("cls IS NOT NULL")
+    classes = rows.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"), F.count(F.lit(1)).alias("n"))
+    label = F.col("cls")
+    if components is not None:
+        classes = classes.join(components, "cls", "left")
+        label = F.coalesce("label", "cls")
+    classes = classes.select("cls", label.alias("label"), "first", "n")
+    groups = classes.groupBy("label").agg(F.min("first").alias("kept"), F.sum("n").alias("n")).where("n > 1")
+    members = classes.join(groups.select("label", "kept"), "label").select("cls", F.inline(F.array("kept")))
+    members = members.select("cls", F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"))
+    salted = members.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    grouped = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SALTS)).cast("int")).join(salted, ["cls", "salt"])
+    kept = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key"))
+    keys = stored(grouped.groupBy("doc_id", "text_key").agg(F.max(kept).alias("kept"), F.count(F.lit(1)).alias("n")), "near-copies")
+    keys = keys.where("NOT kept OR n > 1")  # all others stay as they are
+
+    k, t, i = (_fresh(df, f"near_copy_{x}") for x in ("kept", "key", "id"))
+    keys = keys.select(F.col("doc_id").alias(i), F.col("text_key").alias(t), F.col("kept").alias(k))
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    key = F.xxhash64(F.coalesce(ref(text_column).cast("string"), F.lit("")))
+    same = as_long(id_column).eqNullSafe(keys[i]) & (key == keys[t])
+    found = df.join(keys, same, "left")
+    alone = found.where(F.col(k).isNull()).select(*map(ref, df.columns))
+    again = keys.where(F.col(k))
+    if again.isEmpty():
+        return alone
+    # A kept row that is there several times.
+    return alone.union(found.where(F.col(k)).dropDuplicates([i, t]).select(*map(ref, df.columns)))
+
+
+def _fresh(df: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
 
 
 def _with_components(hashed: DataFrame, components: DataFrame | None) -> DataFrame:

@@ -9,7 +9,8 @@ from plumbob.llm import queries
 from test_shingles import brute
 
 
-def components(rows):
+def groups(rows):
+    """Sets, and the rows of each component, by comparing all pairs that share a shingle."""
     sets = [brute(t or "") for _, t in rows]
     holders = {}
     for i, s in enumerate(sets):
@@ -31,11 +32,19 @@ def components(rows):
                     k = len(sets[a] & sets[b])
                     if 100 * k >= 80 * (len(sets[a]) + len(sets[b]) - k):
                         up[find(a)] = find(b)
-    least = {}
-    for i, (d, _) in enumerate(rows):
-        if d is not None:
-            least[find(i)] = min(least.get(find(i), d), d)
-    return sorted(((d, len(s), least.get(find(i), d)) for i, ((d, _), s) in enumerate(zip(rows, sets))), key=str)
+    members = {}
+    for i in range(len(rows)):
+        members.setdefault(find(i), []).append(i)
+    return sets, list(members.values())
+
+
+def components(rows):
+    sets, members = groups(rows)
+    out = []
+    for g in members:
+        least = min((rows[i][0] for i in g if rows[i][0] is not None), default=None)
+        out += [(rows[i][0], len(sets[i]), least if least is not None else rows[i][0]) for i in g]
+    return sorted(out, key=str)
 
 
 def run(df):
@@ -114,3 +123,22 @@ def test_prefixes_share_enough():
 def test_costly_prefixes_grow():
     assert nj.choose_prefix(np.zeros(30, int), 100, 80)[0] == 1
     assert nj.choose_prefix(np.full(30, 500), 100, 80)[0] > 1
+
+
+@pytest.mark.parametrize("limit", [nj.BROADCAST_KEYS, 0])
+def test_one_stays(frame, monkeypatch, limit):
+    monkeypatch.setattr(nj, "BROADCAST_KEYS", limit)
+    rows = crowd(4)
+    df = frame([(i, t, "en", str(k)) for k, (i, t) in enumerate(rows)])
+    got = nj.one_per_group(df)
+    assert got.columns == df.columns
+    kept = [int(r.source) for r in got.collect()]
+    assert len(set(kept)) == len(kept)
+    _, members = groups(rows)
+    for g in members:
+        stay = [k for k in g if k in kept]
+        if not brute(rows[g[0]][1] or ""):
+            assert stay == g
+        else:
+            ids = [rows[k][0] for k in g if rows[k][0] is not None]
+            assert len(stay) == 1 and rows[stay[0]][0] == min(ids, default=None)
