@@ -36,12 +36,16 @@ from plumbob.llm.graph import connected_components
 SHINGLE = 5
 THRESHOLD = 80
 #: Buckets of the table of counts, as a power of two. The driver and each worker hold it once.
-BUCKET_BITS = 20
+BUCKET_BITS = 22
 SLICES = 64
-#: The longest extension of a prefix that is tried.
-MOST_SHARED = 4
-#: A candidate's comparison, in postings read.
-VERIFY_COST = 4
+#: Marks of the texts whose sets are hashed again, as a power of two.
+MARK_BITS = 20
+#: The most shared shingles that a prefix asks for.
+MOST_SHARED = 16
+#: Other holders of a shingle that the table of counts cannot show.
+UNSEEN = 0.2
+#: A comparison moves whole sets: its cost in postings, per shingle of the set.
+VERIFY_COST = 0.25
 #: Estimated holders of a shingle per tile.
 TILE = 1000
 #: Sets and texts a task remembers to have sent; only saves sending them again.
@@ -52,17 +56,16 @@ SALTS = 16
 BROADCAST_KEYS = 200_000
 
 
-def _buckets(hashes):
+def _buckets(hashes, bits: int):
     import numpy as np
 
-    return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _slices(counts) -> pa.RecordBatch:
     import numpy as np
 
-    parts = np.split(counts.astype("<i8"), SLICES)
-    blobs = [zlib.compress(p.tobytes(), 1) for p in parts]
+    blobs = [zlib.compress(p.astype("<i8").tobytes(), 1) for p in np.split(counts, SLICES)]
     return pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], ["slice", "counts"])
 
 
@@ -80,12 +83,12 @@ def _add_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(blobs, pa.binary())], ["slice", "counts"])
 
 
-def _table(slices: DataFrame):
-    """The whole table of counts, of 2^BUCKET_BITS numbers, on the driver."""
+def _table(slices: DataFrame, bits: int):
+    """The whole table of counts, of ``2^bits`` numbers, on the driver."""
     import numpy as np
 
     merged = slices.select("slice", "counts").repartition(SLICES, "slice").mapInArrow(_add_up, "slice int, counts binary")
-    counts = np.zeros((SLICES, (1 << BUCKET_BITS) // SLICES), np.int64)
+    counts = np.zeros((SLICES, (1 << bits) // SLICES), np.int64)
     for r in merged.toLocalIterator():
         counts[r["slice"]] += np.frombuffer(zlib.decompress(r["counts"]), "<i8")
     return counts.reshape(-1)
@@ -97,33 +100,36 @@ def _identity(own) -> int:
     return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
 
 
-def _hash_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import numpy as np
+def _hash_sets(bits: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        from plumbob.llm.shingles import shingle_sets
+
+        names = ["doc_id", "text_key", "cls", "n_shingles", "slice", "counts"]
+        counts, any_text = np.zeros(1 << bits, np.int32), False
+        for batch, block in text_blocks(batches):
+            sets = shingle_sets(block, SHINGLE)
+            np.add.at(counts, _buckets(np.concatenate(sets), bits), 1)
+            any_text = True
+            n = len(sets)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    batch.column("text_key"),
+                    pa.array([_identity(s) if len(s) else None for s in sets], pa.int64()),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.nulls(n, pa.int32()),
+                    pa.nulls(n, pa.binary()),
+                ],
+                names,
+            )
+        if any_text:
+            part = _slices(counts)
+            empty = [pa.nulls(part.num_rows, pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([*empty, part.column(0), part.column(1)], names)
 
-    from plumbob.llm.shingles import shingle_sets
-
-    names = ["doc_id", "text_key", "cls", "n_shingles", "slice", "counts"]
-    counts, any_text = np.zeros(1 << BUCKET_BITS, np.int64), False
-    for batch, block in text_blocks(batches):
-        sets = shingle_sets(block, SHINGLE)
-        counts += np.bincount(_buckets(np.concatenate(sets)), minlength=1 << BUCKET_BITS)
-        any_text = True
-        n = len(sets)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                batch.column("text_key"),
-                pa.array([_identity(s) if len(s) else None for s in sets], pa.int64()),
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.nulls(n, pa.int32()),
-                pa.nulls(n, pa.binary()),
-            ],
-            names,
-        )
-    if any_text:
-        part = _slices(counts)
-        empty = [pa.nulls(part.num_rows, pa.int64())] * 4
-        yield pa.RecordBatch.from_arrays([*empty, part.column(0), part.column(1)], names)
+    return run
 
 
 def needed_overlap(n: int, threshold: int = THRESHOLD) -> int:
@@ -140,24 +146,20 @@ def choose_prefix(estimates, n: int, threshold: int) -> tuple[int, int]:
     import numpy as np
 
     need = needed_overlap(n, threshold)
-    met = np.cumsum(estimates)
-    best = None
-    for shared in range(1, min(MOST_SHARED, need) + 1):
-        length = n - need + shared
-        postings = float(met[length - 1])
-        cost = length + postings + VERIFY_COST * postings / shared
-        if best is None or cost < best[0]:
-            best = (cost, shared, length)
-    return best[1], best[2]
-
-
-def _prefixes(table, threshold: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    shared = np.arange(1, min(MOST_SHARED, need) + 1)
+    length = n - need + shared
+    postings = np.cumsum(estimates + UNSEEN)[length - 1]
+    best = int(np.argmin(length + postings + VERIFY_COST * n * postings / shared))
+    return int(shared[best]), int(length[best])
+
+
+def _prefixes(table, bits: int, threshold: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         from plumbob.llm.shingles import shingle_sets
 
-        counts = np.frombuffer(zlib.decompress(table.value), "<i8")
+        counts = np.minimum(np.frombuffer(zlib.decompress(table.value), "<i8"), (1 << 31) - 1).astype(np.int32)
         usual = int(np.median(counts))
         sent: set[int] = set()
         for _, block in text_blocks(batches):
@@ -172,7 +174,7 @@ def _prefixes(table, threshold: int) -> Callable[[Iterable[pa.RecordBatch]], Ite
                     sent.clear()
                 sent.add(cls)
                 n = len(own)
-                held = counts[_buckets(own)]
+                held = counts[_buckets(own, bits)]
                 order = np.argsort(held, kind="stable")  # rare first, then by hash
                 longest = n - needed_overlap(n, threshold) + MOST_SHARED
                 first = order[:longest]
@@ -191,13 +193,13 @@ def _prefixes(table, threshold: int) -> Callable[[Iterable[pa.RecordBatch]], Ite
     return run
 
 
-def _postings(docs: DataFrame, table, threshold: int) -> DataFrame:
+def _postings(docs: DataFrame, table, bits: int, threshold: int) -> DataFrame:
     """Prefix shingles that several distinct sets hold: ``shingle, tile, tiles, cls, n, l``.
 
     The holders of one shingle are in one tile, or spread over several by the
     estimate; a tile of several stays even if it has a single holder.
     """
-    rows = docs.select("text").mapInArrow(_prefixes(table, threshold), "shingle bigint, tiles int, cls bigint, n bigint, l bigint")
+    rows = docs.select("text").mapInArrow(_prefixes(table, bits, threshold), "shingle bigint, tiles int, cls bigint, n bigint, l bigint")
     rows = rows.withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")).repartition("shingle", "tile")
     once = rows.groupBy("shingle", "tile", "cls").agg(*(F.first(c).alias(c) for c in ("tiles", "n", "l")))
     # Counted with the rows of a tile together, where the exchange has put them.
@@ -211,11 +213,11 @@ def _sets(wanted) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatc
 
         from plumbob.llm.shingles import shingle_sets
 
-        bits = np.frombuffer(zlib.decompress(wanted.value), "<i8") > 0
+        marked = np.unpackbits(np.frombuffer(wanted.value, np.uint8)).astype(bool)
         sent: set[int] = set()
         for batch in batches:
             keys = np.asarray(batch.column("text_key")).view(np.uint64)
-            part = batch.filter(pa.array(bits[_buckets(keys)]))
+            part = batch.filter(pa.array(marked[_buckets(keys, MARK_BITS)]))
             for _, block in text_blocks([part]):
                 found = {}
                 for own in shingle_sets(block, SHINGLE):
@@ -229,25 +231,15 @@ def _sets(wanted) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatc
     return run
 
 
-def _key_slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import numpy as np
-
-    counts = np.zeros(1 << BUCKET_BITS, np.int64)
-    for batch in batches:
-        keys = np.asarray(batch.column("text_key")).view(np.uint64)
-        counts += np.bincount(_buckets(keys), minlength=1 << BUCKET_BITS)
-    if counts.any():
-        yield _slices(counts)
-
-
 def _fetch_sets(docs: DataFrame, hashed: DataFrame, classes: DataFrame) -> DataFrame:
     """``(cls, elements)`` of the given sets, hashed again from texts that a table of their keys lets through."""
     import numpy as np
 
-    spark = docs.sparkSession
     keys = hashed.join(classes, "cls").groupBy("cls").agg(F.min("text_key").alias("text_key"))
-    marks = _table(keys.select("text_key").mapInArrow(_key_slices, "slice int, counts binary"))
-    wanted = spark.sparkContext.broadcast(zlib.compress(marks.astype("<i8").tobytes(), 1))
+    buckets = keys.select(F.shiftrightunsigned("text_key", 64 - MARK_BITS).alias("bucket")).distinct()
+    marks = np.zeros(1 << MARK_BITS, bool)
+    marks[np.asarray(buckets.toArrow().column("bucket"))] = True  # at most as many rows as buckets
+    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(marks).tobytes())
     found = docs.select("text_key", "text").mapInArrow(_sets(wanted), "cls bigint, elements binary")
     return found.join(classes, "cls", "left_semi").groupBy("cls").agg(F.first("elements").alias("elements"))
 
@@ -268,11 +260,17 @@ def _compare(threshold: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """``(a, b)`` of the pairs whose whole sets link."""
-    rows = pairs.select("a", "b").join(sets.select(F.col("cls").alias("a"), F.col("elements").alias("x")), "a")
+def _verified(docs: DataFrame, hashed: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
+    """``(a, b)`` of the pairs whose whole sets link. Only their sets are hashed again and moved."""
+    pairs = stored(pairs.select("a", "b"), "candidates")
+    if pairs.isEmpty():
+        return pairs
+    classes = stored(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "candidate-sets")
+    sets = _fetch_sets(docs, hashed, classes)
+    rows = pairs.join(sets.select(F.col("cls").alias("a"), F.col("elements").alias("x")), "a")
     rows = rows.join(sets.select(F.col("cls").alias("b"), F.col("elements").alias("y")), "b")
-    return rows.select("a", "b", "x", "y").mapInArrow(_compare(threshold), "a bigint, b bigint, linked boolean").where("linked").drop("linked")
+    found = rows.select("a", "b", "x", "y").mapInArrow(_compare(threshold), "a bigint, b bigint, linked boolean")
+    return stored(found.where("linked").drop("linked"), "links")
 
 
 def _may_link(threshold: int):
@@ -281,12 +279,11 @@ def _may_link(threshold: int):
     return (F.col("shared") >= F.least("l_a", "l_b")) & sizes
 
 
-def _labelled(postings: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+def _labelled(postings: DataFrame, components: DataFrame | None) -> DataFrame:
     """Postings with the component of each set; sets without links are components by themselves."""
-    if links is None:
-        return postings.withColumn("label", F.col("cls")), None
-    components = stored(connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("label")), "components")
-    return postings.join(components, "cls", "left").withColumn("label", F.coalesce("label", "cls")), components
+    if components is None:
+        return postings.withColumn("label", F.col("cls"))
+    return postings.join(components, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
 
 
 def _star_pairs(postings: DataFrame, turn: int, threshold: int) -> DataFrame:
@@ -331,7 +328,7 @@ def _remaining_pairs(postings: DataFrame, threshold: int) -> DataFrame:
     return counted.where(_may_link(threshold)).select("a", "b")
 
 
-def _linked(df: DataFrame, id_column: str, text_column: str, threshold: int) -> tuple[DataFrame, DataFrame | None]:
+def _linked(df: DataFrame, id_column: str, text_column: str, threshold: int, bits: int) -> tuple[DataFrame, DataFrame | None]:
     """Documents as ``doc_id, text_key, cls, n_shingles``, and the components ``(cls, label)`` of linked sets, if any."""
     text = F.coalesce(ref(text_column).cast("string"), F.lit(""))
     docs = df.select(as_long(id_column).alias("doc_id"), text.alias("text"))
@@ -339,29 +336,28 @@ def _linked(df: DataFrame, id_column: str, text_column: str, threshold: int) ->
     spark = df.sparkSession
 
     schema = "doc_id bigint, text_key bigint, cls bigint, n_shingles bigint, slice int, counts binary"
-    rows = stored(docs.select("doc_id", "text_key", "text").mapInArrow(_hash_sets, schema), "shingles")
+    rows = stored(docs.select("doc_id", "text_key", "text").mapInArrow(_hash_sets(bits), schema), "shingles")
     hashed = rows.where("slice IS NULL").select("doc_id", "text_key", "cls", "n_shingles")
-    table = spark.sparkContext.broadcast(zlib.compress(_table(rows.where("slice IS NOT NULL")).tobytes(), 1))
+    table = spark.sparkContext.broadcast(zlib.compress(_table(rows.where("slice IS NOT NULL"), bits).tobytes(), 1))
 
-    postings = stored(_postings(docs, table, threshold), "postings")
-    sets = stored(_fetch_sets(docs, hashed, postings.select("cls").distinct()), "sets")
+    postings = stored(_postings(docs, table, bits, threshold), "postings")
 
     links = components = None
-    for turn in range(STAR_ROUNDS):
-        labelled, components = _labelled(postings, links)
-        found = stored(_verified(_star_pairs(labelled, turn, threshold), sets, threshold), "links")
+    labelled = _labelled(postings, None)
+    for turn in range(STAR_ROUNDS + 1):
+        pairs = _star_pairs(labelled, turn, threshold) if turn < STAR_ROUNDS else _remaining_pairs(labelled, threshold)
+        found = _verified(docs, hashed, pairs, threshold)
         if found.isEmpty():
-            break
-        links = found if links is None else links.union(found)
-    labelled, components = _labelled(postings, links)
-    found = stored(_verified(_remaining_pairs(labelled, threshold), sets, threshold), "links")
-    if not found.isEmpty():
+            continue
         links = found if links is None else links.union(found)
         components = stored(connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("label")), "components")
+        labelled = _labelled(postings, components)
     return hashed, components
 
 
-def near_components(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+def near_components(
+    df: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: int = THRESHOLD, bucket_bits: int = BUCKET_BITS
+) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``, the smallest id reachable by links.
 
     A text of fewer than five words is one shingle; without words, or null, its
@@ -369,16 +365,18 @@ def near_components(df: DataFrame, id_column: str = "doc_id", text_column: str =
     they hold, not by their ids, so repeated rows and ids stay; a null id counts
     for no component's smallest. Other columns are ignored.
     """
-    return _with_components(*_linked(df, id_column, text_column, threshold))
+    return _with_components(*_linked(df, id_column, text_column, threshold, bucket_bits))
 
 
-def one_per_group(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+def one_per_group(
+    df: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: int = THRESHOLD, bucket_bits: int = BUCKET_BITS
+) -> DataFrame:
     """The rows of ``df`` less the near copies: of each component of linked documents one row stays, of the smallest id.
 
     Documents without words are linked with nothing and stay. All columns stay
     as they are. Rows are found again by id and a hash of the text.
     """
-    hashed, components = _linked(df, id_column, text_column, threshold)
+    hashed, components = _linked(df, id_column, text_column, threshold, bucket_bits)
     rows = hashed.where("cls IS NOT NULL")
     classes = rows.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"), F.count(F.lit(1)).alias("n"))
     label = F.col("cls")
