@@ -27,13 +27,10 @@ COMPLETION = (
 
 
 def cache_key(model: Column, prompt: Column, schema: Column | None = None, attachments: Column | None = None) -> Column:
-    """Digest of everything that decides an answer."""
-    parts = [model, prompt]
-    if schema is not None or attachments is not None:
-        parts.append(F.coalesce(schema if schema is not None else F.lit(None), F.lit("")))
-    if attachments is not None:
-        parts.append(F.coalesce(F.to_json(attachments), F.lit("")))
-    return F.sha2(F.concat_ws("::", *parts), 256)
+    """Digest of everything that decides an answer, each part apart from the others."""
+    none = F.lit(None).cast("string")
+    parts = {"model": model, "prompt": prompt, "schema": none if schema is None else schema, "attachments": none if attachments is None else attachments}
+    return F.sha2(F.to_json(F.struct(*(c.alias(n) for n, c in parts.items())), {"ignoreNullFields": "false"}), 256)
 
 
 def missing_prompts(requests: DataFrame, cache: DataFrame | None, as_of=None, ttl_days: float = CACHE_DAYS) -> DataFrame:
@@ -115,8 +112,10 @@ def _read_cache(spark: SparkSession, path: str) -> DataFrame | None:
     """The cache table, or ``None`` before its first entry."""
     try:
         return spark.read.schema(COMPLETION).parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as err:
+        if err.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 # -- answers -------------------------------------------------------------------

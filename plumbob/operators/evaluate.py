@@ -31,7 +31,7 @@ from plumbob.functions.columns import (
     text_of,
     type_of,
 )
-from plumbob.operators.rules import Rule, RuleError, is_key_rule, literals_for, row_predicate
+from plumbob.operators.rules import Rule, RuleError, is_key_rule, row_predicate
 
 # Wider aggregates outgrow a generated method; longer rule lists are split.
 AGGREGATE_WIDTH = 200
@@ -75,6 +75,14 @@ def run_instant(as_of: Column | dt.datetime | str | None) -> Column:
 # -- compilation ---------------------------------------------------------------
 
 
+_BINARY = (T.FloatType, T.DoubleType)
+
+
+def _digits(dtype: T.DataType) -> tuple[int, int]:
+    """Precision and scale that hold every value of an exact numeric type."""
+    return (dtype.precision, dtype.scale) if isinstance(dtype, T.DecimalType) else (20, 0)
+
+
 def _common_key(left: T.DataType, right: T.DataType) -> T.DataType:
     """The type both sides of a key comparison are cast to."""
     if left == right:
@@ -83,7 +91,12 @@ def _common_key(left: T.DataType, right: T.DataType) -> T.DataType:
     if isinstance(left, whole) and isinstance(right, whole):
         return T.LongType()
     if isinstance(left, T.NumericType) and isinstance(right, T.NumericType):
-        return T.DoubleType()
+        if isinstance(left, _BINARY) or isinstance(right, _BINARY):
+            return T.DoubleType()
+        # Exact on both sides: integers beyond 2^53 differ as doubles no more.
+        (p1, s1), (p2, s2) = (_digits(t) for t in (left, right))
+        scale, digits = max(s1, s2), max(p1 - s1, p2 - s2)
+        return T.DecimalType(digits + scale, scale) if digits + scale <= 38 else T.StringType()
     times = (T.DateType, T.TimestampType, T.TimestampNTZType)
     if isinstance(left, times) and isinstance(right, times):
         return T.TimestampNTZType()
@@ -122,28 +135,64 @@ def _compile(no: int, rule: Rule, df: DataFrame, as_of: Column) -> _Compiled:
     if rule.kind == "accuracy_check":
         sides = _truth_sides(rule, df)
         return _Compiled(no, rule, key=_truth_key(sides.mine, sides.value))
-    if "reference_df" in rule.params:
-        reference, names = rule.params["reference_df"], rule.params["reference_columns"]
-        gone = [c for c in names if c not in reference.columns]
-        if gone:
-            raise RuleError(f"missing reference column: {', '.join(gone)}")
-        key, keys = _paired_keys(df, rule.columns, reference, names)
-        return _Compiled(no, rule, key=key, reference=keys)
-    dtype = type_of(df, rule.column)
-    values = [(v,) for v in literals_for(dtype, rule.params["reference_values"])]
-    literals = df.sparkSession.createDataFrame(values, T.StructType([T.StructField("v", dtype)]))
-    key, keys = _paired_keys(df, rule.columns, literals, ["v"])
+    reference, names = rule.params["reference_df"], rule.params["reference_columns"]
+    gone = [c for c in names if c not in reference.columns]
+    if gone:
+        raise RuleError(f"missing reference column: {', '.join(gone)}")
+    key, keys = _paired_keys(df, rule.columns, reference, names)
     return _Compiled(no, rule, key=key, reference=keys)
 
 
 def _compile_all(df: DataFrame, rules: Sequence[Rule], as_of: Column):
+    """``(df, rules that run, rules that cannot and why)``; the table gains a column per text condition.
+
+    Whatever one rule raises, also a custom predicate, skips that rule alone.
+    """
     good, bad = [], []
+    df, held = _with_conditions(df, rules, bad)
+    failed = {no for no, *_ in bad}
     for no, rule in enumerate(rules):
+        if no in failed:
+            continue
         try:
-            good.append(_compile(no, rule, df, as_of))
-        except (RuleError, ValueError, PySparkException) as err:
-            bad.append((no, rule.name, str(err).split("\n")[0]))
-    return _drop_bad_patterns(df, good, bad)
+            if no in held:
+                good.append(_Compiled(no, rule, passes=F.coalesce(ref(held[no]), F.lit(False))))
+            else:
+                good.append(_compile(no, rule, df, as_of))
+        except Exception as err:
+            bad.append((no, rule.name, (str(err) or type(err).__name__).split("\n")[0]))
+    return df, *_drop_bad_patterns(df, good, bad)
+
+
+_CONDITION = "__condition_"
+
+
+def _with_conditions(df: DataFrame, rules: Sequence[Rule], bad: list) -> tuple[DataFrame, dict[int, str]]:
+    """Text conditions as columns in which a bad cast or a division by zero is null, and so fails, in its row alone."""
+    texts = {no: r for no, r in enumerate(rules) if isinstance(r.params.get("condition"), str)}
+    held: dict[int, str] = {}
+    conf = df.sparkSession.conf
+    ansi = conf.get("spark.sql.ansi.enabled")
+    try:
+        conf.set("spark.sql.ansi.enabled", "false")
+        for no, rule in texts.items():
+            gone = [c for c in rule.columns if c not in df.columns]
+            name = f"{_CONDITION}{no}"
+            try:
+                if gone:
+                    raise RuleError(f"missing column: {', '.join(gone)}")
+                # Analysed here, where the lenient mode of casts and divisions is fixed.
+                df = df.withColumn(name, F.expr(f"CAST(({rule.params['condition']}) AS BOOLEAN)"))
+                held[no] = name
+            except Exception as err:
+                bad.append((no, rule.name, str(err).split("\n")[0]))
+    finally:
+        conf.set("spark.sql.ansi.enabled", ansi)
+    return df, held
+
+
+def _own_fields(df: DataFrame) -> list[T.StructField]:
+    return [f for f in df.schema if not f.name.startswith(_CONDITION)]
 
 
 def _drop_bad_patterns(df: DataFrame, good: list[_Compiled], bad: list):
@@ -359,7 +408,7 @@ def _samples(df, row_rules, keyed, judged, order: Column | None, size: int) -> D
     matched against the table. The window keeps ``size`` rows per rule and task
     before it shuffles.
     """
-    position = F.xxhash64(*(text_of(ref(f.name), f.dataType) for f in df.schema)) if order is None else order
+    position = F.xxhash64(*(text_of(ref(f.name), f.dataType) for f in _own_fields(df))) if order is None else order
     marks = [
         F.struct(
             F.lit(c.no).alias("rule_no"),
@@ -372,7 +421,7 @@ def _samples(df, row_rules, keyed, judged, order: Column | None, size: int) -> D
         for c in keyed
     ]
     open_marks = F.filter(F.array(*marks), lambda m: F.coalesce(m["fails"], F.lit(True)))
-    rows = df.select(F.struct(*(ref(n) for n in df.columns)).alias("row"), position.alias("position"), F.inline(open_marks))
+    rows = df.select(F.struct(*(ref(f.name) for f in _own_fields(df))).alias("row"), position.alias("position"), F.inline(open_marks))
     if judged is not None:
         first = W.partitionBy("rule_no").orderBy("first_at", "key")
         suspects = (
@@ -397,7 +446,7 @@ def _samples(df, row_rules, keyed, judged, order: Column | None, size: int) -> D
 
 def failing_rows(df: DataFrame, rules: Sequence[Rule], order_by=None, size: int = 5, as_of=None) -> DataFrame:
     """Long form of the failing samples: rule_name, rank and the row itself."""
-    good, _ = _compile_all(df, rules, run_instant(as_of))
+    df, good, _ = _compile_all(df, rules, run_instant(as_of))
     row_rules = [c for c in good if c.passes is not None]
     keyed = [c for c in good if c.passes is None]
     order = _order_column(df, order_by)
@@ -425,7 +474,7 @@ def evaluate(
     """
     spark = df.sparkSession
     instant = run_instant(as_of)
-    good, bad = _compile_all(df, rules, instant)
+    df, good, bad = _compile_all(df, rules, instant)
     skipped = local_table(spark, bad, "rule_no int, rule_name string, reason string")
     meta = local_table(
         spark,
@@ -462,7 +511,7 @@ def evaluate(
             .groupBy("rule_no")
             .agg(
                 F.transform(
-                    F.array_sort(F.collect_list(F.struct("rank", F.to_json("row").alias("json")))),
+                    F.array_sort(F.collect_list(F.struct("rank", F.to_json("row", {"ignoreNullFields": "false"}).alias("json")))),
                     lambda s: s["json"],
                 ).alias("failing_sample")
             )

@@ -57,17 +57,21 @@ def evaluate_sla(latest: DataFrame, policies: DataFrame) -> DataFrame:
     A policy row has ``policy, dataset, dimension, min_grade, min_score,
     action``. A null dataset means every dataset. ``dimension`` set: that
     dimension's pass rate must reach ``min_score``; ``'*'``: each dimension's
-    must. Null: the overall grade and score are checked. One output row per
-    policy, dataset and checked dimension; a dimension a dataset does not score
-    has no row.
+    must that it scores. Null: the overall grade and score are checked. One
+    output row per policy, dataset and checked dimension; a named dimension that
+    a dataset does not score is not met and has a null score.
     """
-    each = long_scores(latest).join(latest.select("dataset", "grade"), "dataset")
+    scored = long_scores(latest).join(latest.select("dataset", "grade"), "dataset").select("dataset", "dimension", "grade", "score")
+    silent = F.array_except(F.array(*map(F.lit, DIMENSIONS)), F.map_keys("dimensions"))
+    unscored = latest.select("dataset", F.explode(silent).alias("dimension"), "grade", F.lit(None).cast("double").alias("score"))
+    each = scored.withColumn("scored", F.lit(True)).union(unscored.withColumn("scored", F.lit(False)))
     target = (
         F.when(F.col("dimension").isNull(), F.array(F.lit("overall")))
         .when(F.col("dimension") == "*", F.array(*map(F.lit, DIMENSIONS)))
         .otherwise(F.array("dimension"))
     )
-    wanted = policies.withColumn("dimension", F.explode(target))
+    starred = F.coalesce(F.col("dimension") == "*", F.lit(False))
+    wanted = policies.withColumn("starred", starred).withColumn("dimension", F.explode(target))
     everywhere = each.join(wanted.where(F.col("dataset").isNull()).drop("dataset"), "dimension")
     named = each.join(wanted.where(F.col("dataset").isNotNull()), ["dataset", "dimension"])
     grade_ok = (
@@ -75,8 +79,8 @@ def evaluate_sla(latest: DataFrame, policies: DataFrame) -> DataFrame:
         | F.col("min_grade").isNull()
         | (_grade_rank(F.col("grade")) <= _grade_rank(F.col("min_grade")))
     )
-    met = grade_ok & (F.col("min_score").isNull() | (F.col("score") >= F.col("min_score")))
-    return everywhere.unionByName(named).select(
+    met = F.coalesce(F.col("scored") & grade_ok & (F.col("min_score").isNull() | (F.col("score") >= F.col("min_score"))), F.lit(False))
+    return everywhere.unionByName(named).where("scored OR NOT starred").select(
         "policy",
         "dataset",
         "dimension",

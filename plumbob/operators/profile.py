@@ -348,7 +348,9 @@ def quartiles(
         F.max(F.when(holds(F.ceil(at)), F.col("v"))).alias("upper"),
         F.max(at - F.floor(at)).alias("fraction"),
     )
-    exact = F.col("lower") + (F.col("upper") - F.col("lower")) * F.col("fraction")
+    # Equal neighbours need no step between them, which for infinities would be no number.
+    between = F.col("lower") + (F.col("upper") - F.col("lower")) * F.col("fraction")
+    exact = F.when((F.col("lower") == F.col("upper")) | (F.col("fraction") == 0), F.col("lower")).otherwise(between)
     return picked.groupBy("position").agg(
         *(F.max(F.when(F.col("q") == q, exact)).alias(name) for q, name in enumerate(("p25", "median", "p75")))
     )

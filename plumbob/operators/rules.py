@@ -50,9 +50,6 @@ DETAILS = {
     "freshness_check": "Freshness: '{column}' within {max_age_hours}h",
 }
 
-# Longer literal lists are joined as a table instead of becoming an IN list.
-IN_LIST_LIMIT = 1000
-
 
 class RuleError(ValueError):
     """The rule cannot run on this table; it is reported as skipped."""
@@ -368,30 +365,47 @@ def _fresh(rule: Rule, df: DataFrame, as_of: Column) -> Column:
 
 
 def literals_for(dtype: T.DataType, values: Iterable[Any]) -> list[Any]:
-    """The values that can equal a cell of this type at all."""
+    """The values that can equal a cell of this type, as values of this very type.
+
+    Numbers are compared exactly: an integer equals a double or a decimal of the
+    same value, and a value that the type cannot hold equals no cell.
+    """
+    numbers = (bool, int, float, decimal.Decimal)
 
-    def fits(v: Any) -> bool:
+    def held(v: Any) -> Any:
         if v is None or v != v:
-            return False
+            return None
         if isinstance(dtype, T.StringType):
-            return isinstance(v, str)
-        if isinstance(dtype, (T.NumericType, T.BooleanType)):
-            return isinstance(v, (bool, int, float, decimal.Decimal))
+            return v if isinstance(v, str) else None
         if isinstance(dtype, T.DateType):
-            return isinstance(v, dt.date) and not isinstance(v, dt.datetime)
-        return isinstance(v, dt.datetime)
+            return v if isinstance(v, dt.date) and not isinstance(v, dt.datetime) else None
+        if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+            return v if isinstance(v, dt.datetime) else None
+        if not isinstance(v, numbers):
+            return None
+        if isinstance(dtype, T.BooleanType):
+            return bool(v) if v in (0, 1) else None
+        if isinstance(dtype, T.IntegralType):
+            return int(v) if abs(v) != float("inf") and v == int(v) and abs(v) < 1 << 63 else None
+        if isinstance(dtype, (T.FloatType, T.DoubleType)):
+            return float(v) if isinstance(v, (float, decimal.Decimal)) or float(v) == v else None
+        if isinstance(dtype, T.DecimalType):
+            exact = decimal.Decimal(repr(v)) if isinstance(v, float) else decimal.Decimal(v)
+            if not exact.is_finite():
+                return None
+            with decimal.localcontext(prec=100):
+                fixed = exact.quantize(decimal.Decimal(1).scaleb(-dtype.scale))
+            return fixed if fixed == exact and len(fixed.as_tuple().digits) <= dtype.precision else None
+        return None
 
-    return list(dict.fromkeys(v for v in values if fits(v)))
+    return list(dict.fromkeys(h for h in map(held, values) if h is not None))
 
 
 def _member(rule: Rule, df: DataFrame, as_of: Column) -> Column:
+    """One path for lists of any length; Spark turns them into a hash set."""
     dtype = type_of(df, rule.column)
-    col = ref(rule.column)
     values = literals_for(dtype, rule.params["reference_values"])
-    if isinstance(dtype, T.BooleanType):
-        col = col.cast("int")
-        values = [int(v) if v in (0, 1) else float(v) for v in values]
-    known = col.isin(values) if values else F.lit(False)
+    known = ref(rule.column).isin(values) if values else F.lit(False)
     return is_missing(ref(rule.column), dtype) | known
 
 
@@ -405,6 +419,10 @@ def _holds(rule: Rule, df: DataFrame, as_of: Column) -> Column:
     return F.expr(condition) if isinstance(condition, str) else condition
 
 
+def _refuse(rule: Rule, df: DataFrame, as_of: Column) -> Column:
+    raise RuleError(rule.params["reason"])
+
+
 @dataclass(frozen=True)
 class Kind:
     """How one rule type is built from configuration and compiled."""
@@ -429,6 +447,7 @@ _KINDS: dict[str, Kind] = {
     "enum_check": Kind(enum_check, ("values",), _member, {"values": ()}),
     "consistency_check": Kind(consistency_check, ("condition",), _holds),
     "accuracy_check": Kind(accuracy_check),
+    "unbuilt": Kind(lambda *a, **k: None, (), _refuse),
 }
 
 
@@ -465,9 +484,7 @@ def row_predicate(rule: Rule, df: DataFrame, as_of: Column) -> Column:
 
 
 def is_key_rule(rule: Rule) -> bool:
-    if rule.kind in ("unique_check", "accuracy_check") or "reference_df" in rule.params:
-        return True
-    return len(rule.params.get("reference_values", ())) > IN_LIST_LIMIT
+    return rule.kind in ("unique_check", "accuracy_check") or "reference_df" in rule.params
 
 
 # -- configuration -------------------------------------------------------------
@@ -488,16 +505,27 @@ def rule_from_dict(entry: Mapping[str, Any]) -> Rule | None:
     }
     if entry["type"] == "consistency_check":
         return kind.build(**common, **given)
+    if not entry.get("column") and kind.params != ("*",):
+        raise RuleError("a column is needed")
     return kind.build(entry.get("column"), **common, **given)
 
 
 def rules_from_dicts(entries: Iterable[Mapping[str, Any]]) -> list[Rule]:
-    """Build rules from inline dictionaries, leaving out unknown types."""
+    """Build rules from inline dictionaries, leaving out unknown types.
+
+    An entry that cannot be built becomes a rule that is skipped with its
+    reason; only a wrong severity is an error of the whole configuration.
+    """
     import logging
 
     rules = []
     for entry in entries:
-        rule = rule_from_dict(entry)
+        if entry.get("severity", "medium") not in SEVERITIES:
+            raise ValueError(f"unknown severity: {entry['severity']!r}")
+        try:
+            rule = rule_from_dict(entry)
+        except Exception as err:
+            rule = _unbuilt(entry, f"{type(err).__name__}: {err}")
         if rule is None:
             logging.getLogger(__name__).warning("unknown rule type %r skipped", entry.get("type"))
         else:
@@ -505,6 +533,11 @@ def rules_from_dicts(entries: Iterable[Mapping[str, Any]]) -> list[Rule]:
     return rules
 
 
+def _unbuilt(entry: Mapping[str, Any], reason: str) -> Rule:
+    name = entry.get("name") or f"{entry.get('type')}_{entry.get('column')}"
+    return _rule("unbuilt", None, "validity", "medium", 1.0, name, reason, reason=reason)
+
+
 def rules_from_yaml(text: str) -> list[Rule]:
     """Build rules from YAML text with a top-level ``rules`` list."""
     raw = yaml.safe_load(text)

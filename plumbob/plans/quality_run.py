@@ -40,13 +40,14 @@ def run_quality(
     history_path: str | None = None,
     order_by=None,
     sample_size: int = 5,
+    run_id: str | None = None,
 ) -> QualityRun:
     """Evaluate, score and, with a path, append to the history.
 
     The table is read for the rules once; the scores work on the outcome.
     """
     run_at = as_of or dt.datetime.now(dt.timezone.utc)
-    run_id = uuid.uuid4().hex
+    run_id = run_id or uuid.uuid4().hex
     evaluation = evaluate(df, rules, run_at, order_by, sample_size)
     results = _once(evaluation.results)
     score = dataset_score(results, weights)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -30,23 +31,55 @@ def _reader_of(path: str) -> str:
     raise ValueError(f"unsupported file extension: {path}")
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
-    """Header and types are inferred; a schema saves the inference pass."""
-    reader = spark.read.option("header", True)
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, multi_line: bool = True) -> DataFrame:
+    """Header and types are inferred; a schema saves the inference pass.
+
+    A quote within a quoted cell is doubled. Cells may hold line breaks, which
+    makes a file one task; ``multi_line=False`` splits large files whose cells
+    hold none.
+    """
+    reader = spark.read.options(**_csv_options(multi_line))
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
+def _csv_options(multi_line: bool) -> dict[str, str]:
+    return {"header": "true", "quote": '"', "escape": '"', "multiLine": str(multi_line).lower()}
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_json(spark: SparkSession, path: str, schema: str | T.StructType | None = None, flatten_object=False) -> DataFrame:
-    """A JSON array gives its elements as rows, nested cells kept nested.
+def json_kind(spark: SparkSession, path: str) -> str:
+    """``array``, ``object`` or ``lines``: how a JSON file lays out its rows, by its first two lines.
+
+    An object that ends on its line, with another object after it, makes lines.
+    """
+    lines = [r[0].strip() for r in spark.read.text(path).where(F.trim("value") != "").limit(2).collect()]
+    if not lines or lines[0].startswith("["):
+        return "array"
+
+    def whole(line: str) -> bool:
+        try:
+            return isinstance(json.loads(line), dict)
+        except ValueError:
+            return False
+
+    return "lines" if len(lines) == 2 and all(map(whole, lines)) else "object"
+
+
+def read_json(
+    spark: SparkSession, path: str, schema: str | T.StructType | None = None, flatten_object: bool = False, kind: str | None = None
+) -> DataFrame:
+    """A JSON array gives its elements as rows, JSON lines one row each, nested cells kept nested.
 
-    ``flatten_object=True`` is for a file that holds one object: one row whose
-    nested objects become columns ``a.b``.
+    ``kind`` is :func:`json_kind`'s, which is asked if it is not given. Lines
+    are split over tasks; an array or an object is one task, so large data
+    should be lines. ``flatten_object=True`` turns the nested objects of a file
+    that holds one object into columns ``a.b``.
     """
-    reader = spark.read.option("multiLine", True)
+    kind = kind or json_kind(spark, path)
+    reader = spark.read.option("multiLine", kind != "lines")
     df = (reader.schema(schema) if schema else reader).json(path)
     return flatten(df) if flatten_object else df
 
@@ -71,7 +104,9 @@ def load(spark: SparkSession, path: str, schema=None, **options) -> DataFrame:
         return read_csv(spark, path, schema)
     if reader == "parquet":
         return read_parquet(spark, path)
-    return read_json(spark, path, schema, **options)
+    kind = options.pop("kind", None) or json_kind(spark, path)
+    # One object is one row, its nested objects columns.
+    return read_json(spark, path, schema, **{"flatten_object": kind == "object", **options}, kind=kind)
 
 
 def discover(
@@ -104,27 +139,32 @@ def dataset_bytes(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
 
 
 def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Column names of each file, from its footer or header line; null if unreadable."""
+    """Column names of each file, from its footer or header line, and a footer's row count; null if unreadable."""
     from urllib.parse import quote
 
     import pyarrow.fs as fs
     import pyarrow.parquet as pq
 
     for batch in batches:
-        found = []
+        found, rows = [], []
         for path, ext in zip(batch["path"], batch["extension"]):
+            count = None
             try:
                 system, inner = fs.FileSystem.from_uri(quote(path, safe="/:@"))
                 if READERS[ext] == "parquet":
                     with system.open_input_file(inner) as file:
-                        found.append(list(pq.read_schema(file).names))
+                        footer = pq.ParquetFile(file)
+                        found.append(list(footer.schema_arrow.names))
+                        count = footer.metadata.num_rows
                 else:
                     with system.open_input_stream(inner) as stream:
                         line = io.TextIOWrapper(stream, encoding="utf-8", newline="").readline()
                     found.append(next(csv.reader([line])))
             except Exception:
                 found.append(None)
+            rows.append(count)
         batch["columns"] = pd.Series(found, index=batch.index, dtype=object)
+        batch["footer_rows"] = pd.Series(rows, index=batch.index, dtype="Int64")
         yield batch
 
 
@@ -133,35 +173,29 @@ def list_datasets(
     root: str,
     extensions: Sequence[str] = (".csv", ".parquet", ".pq"),
     recursive: bool = True,
+    multi_line: bool = True,
 ) -> DataFrame:
     """The catalogue of ``root``: one row per file with its rows and columns.
 
-    Rows are counted by one job per format, however many files and schemas
-    there are: Parquet is read without any column (row counts come from the
-    footers), CSV as one column. Unreadable files stay listed with null rows.
+    Parquet rows are counted from the footers, CSV rows by one job for all files,
+    with the options of :func:`read_csv`. Unreadable files stay listed with null
+    rows; a read error while counting is an error, never a smaller count.
     """
     files = discover(spark, root, extensions, recursive)
-    described = files.mapInPandas(_describe, T.StructType([*files.schema, T.StructField("columns", T.ArrayType(T.StringType()))]))
-    counted = None
-    for reader, schema in (("parquet", T.StructType([])), ("csv", T.StructType([T.StructField("line", T.StringType())]))):
-        wanted = sorted(e for e in extensions if READERS.get(e.lower()) == reader)
-        if not wanted:
-            continue
+    more = [T.StructField("columns", T.ArrayType(T.StringType())), T.StructField("footer_rows", T.LongType())]
+    described = files.mapInPandas(_describe, T.StructType([*files.schema, *more]))
+    wanted = sorted(e for e in extensions if READERS.get(e.lower()) == "csv")
+    if wanted:
         # Globs are case-sensitive, extensions are not.
         either = ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in wanted)
-        counts = (
-            spark.read.format(reader)
-            .schema(schema)
-            .option("recursiveFileLookup", str(recursive).lower())
-            .option("pathGlobFilter", f"*{{{either}}}")
-            .option("header", "true")
-            .option("ignoreCorruptFiles", "true")
-            .load(root)
+        counted = (
+            spark.read.schema(T.StructType([T.StructField("line", T.StringType())]))
+            .options(**_csv_options(multi_line), recursiveFileLookup=str(recursive).lower(), pathGlobFilter=f"*{{{either}}}")
+            .csv(root)
             .groupBy(F.col("_metadata.file_path").alias("path"))
             .agg(F.count(F.lit(1)).alias("row_count"))
         )
-        counted = counts if counted is None else counted.unionByName(counts)
-    if counted is None:
+    else:
         counted = files.select("path", F.lit(None).cast("bigint").alias("row_count")).limit(0)
     readable = F.col("columns").isNotNull()
     # The metadata column percent-encodes paths, the file listing does not.
@@ -173,7 +207,7 @@ def list_datasets(
         .select(
             "name",
             F.col("path").alias("source"),
-            F.when(readable, F.coalesce("row_count", F.lit(0))).alias("row_count"),
+            F.when(readable, F.coalesce("footer_rows", "row_count", F.lit(0))).alias("row_count"),
             F.coalesce(F.size("columns"), F.lit(0)).alias("column_count"),
             F.coalesce("columns", F.array().cast("array<string>")).alias("columns"),
             "size_bytes",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbob.operators.evaluate import run_instant
 
@@ -39,7 +40,10 @@ def append_run(run: DataFrame, path: str) -> None:
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """All runs. Dataset names are text, also those that look like numbers or dates."""
+    found = spark.read.parquet(path)
+    fields = [T.StructField("dataset", T.StringType()) if f.name == "dataset" else f for f in found.schema]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
 def score_history(history: DataFrame, dataset: str | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import decimal
 import uuid
 from collections.abc import Mapping, Sequence
 from typing import Any
@@ -51,7 +52,38 @@ def from_rows(spark: SparkSession, rows: Sequence[Mapping[str, Any]], schema: T.
     if schema is not None:
         struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         return spark.createDataFrame([tuple(r.get(n) for n in struct.names) for r in rows], struct)
-    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], names)
+    columns = {n: [r.get(n) for r in rows] for n in names}
+    fields = [T.StructField(n, _common_type(c)) for n, c in columns.items()]
+    if any(f.dataType is None for f in fields):  # nested cells
+        return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], names)
+    cells = [_as_type(c, f.dataType) for f, c in zip(fields, columns.values())]
+    return spark.createDataFrame(list(zip(*cells)), T.StructType(fields))
+
+
+def _common_type(cells: Sequence[Any]) -> T.DataType | None:
+    """The type of a column of cells: the narrowest that holds them all, text where they have none in common."""
+    kinds = {type(c) for c in cells if c is not None}
+    if kinds & {dict, list, tuple, set}:
+        return None
+    if not kinds:
+        return T.StringType()
+    if kinds == {bool}:
+        return T.BooleanType()
+    if kinds == {int}:
+        return T.LongType() if all(abs(c) < 1 << 63 for c in cells if c is not None) else T.StringType()
+    if kinds <= {int, float}:
+        return T.DoubleType()
+    if kinds <= {int, decimal.Decimal}:
+        return T.DecimalType(38, 18)
+    for kind, dtype in ((dt.datetime, T.TimestampType()), (dt.date, T.DateType()), (bytes, T.BinaryType())):
+        if kinds == {kind}:
+            return dtype
+    return T.StringType()
+
+
+def _as_type(cells: Sequence[Any], dtype: T.DataType) -> list:
+    make = {T.DoubleType: float, T.DecimalType: decimal.Decimal, T.StringType: str}.get(type(dtype), lambda c: c)
+    return [None if c is None else make(c) for c in cells]
 
 
 class UnknownDataset(LookupError):
