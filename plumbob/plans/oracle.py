@@ -394,7 +394,7 @@ cells AS (SELECT doc_id, head, row_no, j - 1 AS column_no, cells[j] AS value FRO
 
 # -- completions ---------------------------------------------------------------------------
 
-_KEYS = "keyed AS (SELECT conv_id, turn, text, sha256(concat('stub::', text)) AS cache_key FROM conversations)"
+_KEYS = """keyed AS (SELECT conv_id, turn, text, sha256('{"model":"stub","prompt":' || CAST(to_json(text) AS VARCHAR) || ',"schema":null,"attachments":null}') AS cache_key FROM conversations)"""
 _WORDS = r"len(regexp_extract_all(text, '\S+'))"
 
 _PARSED = """raw AS (SELECT conv_id, turn, role, text, (conv_id + turn) % 5 AS kind FROM conversations)"""
@@ -679,4 +679,41 @@ CASE WHEN turn % 3 = 1 THEN 'a,b' ELSE '' END AS pii_types, CAST(NULL AS VARCHAR
     "image_near_duplicates": f"""WITH {_HASHES}, hashes AS (SELECT vec_id AS id,
 CAST(sum(CASE WHEN i < 32 THEN CAST(b AS BIGINT) << CAST(31 - i AS INTEGER) ELSE 0 END) AS BIGINT) AS hi,
 CAST(sum(CASE WHEN i >= 32 THEN CAST(b AS BIGINT) << CAST(63 - i AS INTEGER) ELSE 0 END) AS BIGINT) AS lo FROM bits GROUP BY vec_id){_near(4)}""",
+    "rule_fk_mixed_types": " UNION ALL ".join(
+        _result(f"{kind}_{n}", dimension, severity, _row(f"p_partkey % 3 = 0 AND p_partkey < {3 * n}{extra}", "part"))
+        for n in (10, 5000)
+        for kind, dimension, severity, extra in (
+            ("double", "integrity", "high", ""), ("decimal", "validity", "medium", ""), ("bigint", "integrity", "high", " AND p_partkey % 2 = 0"),
+        )
+    ),
+    "rule_fk_decimal_key": " UNION ALL ".join(
+        (
+            _result("fk_check_wide_key", "integrity", "high", _row("p_partkey % 2 = 0", "part")),
+            _result("accuracy_check_p_size", "accuracy", "high", _row("p_partkey % 2 = 0", "part")),
+        )
+    ),
+    "failing_sample_json": f"""WITH {DIRTY}, bad AS (
+  SELECT 'null_check_email' AS rule_name, * FROM dirty WHERE email IS NULL UNION ALL SELECT 'null_check_segment', * FROM dirty WHERE segment IS NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY rule_name ORDER BY c_custkey) - 1 AS place FROM bad)
+SELECT rule_name, place, '{{"c_custkey":' || c_custkey || ',"email":' || coalesce('"' || email || '"', 'null') || ',"segment":' || coalesce('"' || segment || '"', 'null') || '}}' AS row
+FROM ranked WHERE place < 5""",
+    "rule_isolation": f"""WITH {DIRTY}, ran(rule_name, ok) AS (
+  SELECT 'null_check_email', email IS NOT NULL FROM dirty
+  UNION ALL SELECT 'bad_cast', coalesce(TRY_CAST(bal_text AS DOUBLE) > 0, false) FROM dirty
+  UNION ALL SELECT 'zero_division', c_custkey % 4 <> 0 AND 100.0 / nullif(c_custkey % 4, 0) > 40 FROM dirty
+  UNION ALL SELECT 'unique_check_c_custkey', true FROM dirty)
+SELECT rule_name, 'ran' AS outcome, count(*) FILTER (ok) AS pass_count, count(*) FILTER (NOT ok) AS fail_count FROM ran GROUP BY rule_name
+UNION ALL SELECT unnest(['unknown_column', 'raising', 'without_column']), 'skipped', NULL, NULL""",
+    "rule_yaml_bad_entries": f"""WITH {DIRTY} SELECT 'good' AS rule_name, 'ran' AS outcome, count(*) FILTER (email IS NULL) AS fail_count FROM dirty
+UNION ALL SELECT 'good_too', 'ran', 0 UNION ALL SELECT unnest(['bad_pattern', 'bad_type', 'bad_threshold']), 'skipped', NULL""",
+    "csv_quoted": """SELECT c_custkey, 'a "' || c_mktsegment || '", b' AS said, CASE WHEN c_custkey % 3 = 0 THEN 'one' || chr(10) || c_name ELSE c_name END AS lines FROM customer
+UNION ALL SELECT -1, 'row_count', CAST(count(*) AS VARCHAR) FROM customer""",
+    "json_lines": "SELECT CAST(r_regionkey AS BIGINT) AS k, r_name AS name FROM region",
+    "json_array": "SELECT CAST(r_regionkey AS BIGINT) AS k, r_name AS name FROM region",
+    "json_object": "SELECT CAST(r_regionkey AS BIGINT) AS k, r_name AS name, (SELECT count(*) FROM region) AS n FROM region ORDER BY r_regionkey LIMIT 1",
+    "in_memory_rows": "SELECT CAST(r_regionkey AS BIGINT) AS k, CASE WHEN r_regionkey % 2 = 1 THEN r_regionkey ELSE r_regionkey / 2 END::DOUBLE AS mixed, NULL AS none, CASE WHEN r_regionkey <> 0 THEN r_name END AS name FROM region",
+    "history_names": "SELECT d AS dataset, 'run' || n_regionkey AS run_id, count(*) AS n FROM nation, unnest(['007', '7', '2024-01-01']) AS u(d) GROUP BY d, n_regionkey",
+    "sla_unscored": """WITH d AS (SELECT DISTINCT 'r' || n_regionkey AS dataset FROM nation)
+SELECT 'fresh' AS policy, dataset, 'timeliness' AS dimension, false AS met, 'block' AS action FROM d
+UNION ALL SELECT 'valid', dataset, 'validity', true, 'pass' FROM d UNION ALL SELECT 'each', dataset, 'validity', true, 'pass' FROM d WHERE dataset = 'r1'""",
 }

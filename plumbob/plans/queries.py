@@ -656,6 +656,165 @@ def image_near_duplicates(spark, sf):
     return found.select("id_a", "id_b", F.col("distance").cast("bigint").alias("distance"))
 
 
+# -- inputs that once went wrong -------------------------------------------------
+
+
+def rule_fk_mixed_types(spark, sf):
+    """Literals of another numeric type than the column, in short and long lists: the same answer."""
+    part = table(spark, sf, "part").selectExpr(
+        "CAST(p_partkey AS DOUBLE) AS as_double", "CAST(p_partkey AS DECIMAL(12,2)) AS as_decimal", "p_partkey AS as_bigint"
+    )
+    rules = []
+    for n in (10, 5000):
+        rules += [
+            r.foreign_key_check("as_double", list(range(0, n * 3, 3)), name=f"double_{n}"),
+            r.enum_check("as_decimal", list(range(0, n * 3, 3)), name=f"decimal_{n}"),
+            r.foreign_key_check("as_bigint", [i + (0.5 if i % 2 else 0.0) for i in range(0, n * 3, 3)], name=f"bigint_{n}"),
+        ]
+    return _counts(part, *rules)
+
+
+#: The first integer that a double cannot hold follows this one.
+WIDE = 9007199254740992
+
+
+def rule_fk_decimal_key(spark, sf):
+    """Integers against decimals that differ by one, beyond what doubles tell apart."""
+    part = table(spark, sf, "part")
+    keys = part.selectExpr(f"p_partkey + {WIDE}L AS wide_key", "p_size")
+    known = part.where("p_partkey % 2 = 0").selectExpr(f"CAST(p_partkey + {WIDE}L AS DECIMAL(20,0)) AS wide_key", "CAST(p_size AS DECIMAL(20,2)) AS p_size")
+    return _counts(
+        keys,
+        r.foreign_key_check("wide_key", reference_df=known, reference_column="wide_key"),
+        r.accuracy_check("wide_key", "p_size", known),
+    )
+
+
+def failing_sample_json(spark, sf):
+    """The failing rows of a result row, with their null cells."""
+    rows = dirty_customer(spark, sf).select("c_custkey", "email", "segment")
+    results = evaluate(rows, [r.null_check("email"), r.null_check("segment")], AS_OF, order_by="c_custkey").results
+    return results.select("rule_name", F.posexplode("failing_sample").alias("place", "row")).select(
+        "rule_name", F.col("place").cast("bigint").alias("place"), "row"
+    )
+
+
+def rule_isolation(spark, sf):
+    """Rules that cannot run, or fail in some rows, beside good ones."""
+
+    def broken(rule, df):
+        raise KeyError("no such parameter")
+
+    raising = r.register_rule("raising_check", broken)
+    rules = [
+        r.null_check("email"),
+        r.consistency_check("cast(bal_text AS double) > 0", name="bad_cast"),
+        r.consistency_check("100 / (c_custkey % 4) > 40", name="zero_division"),
+        r.consistency_check("no_such_column > 0", name="unknown_column"),
+        raising("email", name="raising"),
+        *r.rules_from_dicts([{"type": "null_check", "name": "without_column"}]),
+        r.unique_check("c_custkey"),
+    ]
+    found = evaluate(dirty_customer(spark, sf), rules, AS_OF, sample_size=0)
+    ran = found.results.select("rule_name", F.lit("ran").alias("outcome"), "pass_count", "fail_count")
+    return ran.union(found.skipped.select("rule_name", F.lit("skipped"), F.lit(None).cast("bigint"), F.lit(None).cast("bigint")))
+
+
+BROKEN_YAML = r"""
+rules:
+  - {type: null_check, column: email, name: good}
+  - {type: regex_check, column: email, name: bad_pattern, params: {pattern: '['}}
+  - {type: accuracy_check, column: email, name: bad_type}
+  - {type: range_check, column: age, name: bad_threshold, threshold: high}
+  - {type: unique_check, column: c_custkey, name: good_too}
+"""
+
+
+def rule_yaml_bad_entries(spark, sf):
+    """One bad entry of a configuration leaves the others."""
+    found = evaluate(dirty_customer(spark, sf), r.rules_from_yaml(BROKEN_YAML), AS_OF, sample_size=0)
+    ran = found.results.select("rule_name", F.lit("ran").alias("outcome"), "fail_count")
+    return ran.union(found.skipped.select("rule_name", F.lit("skipped"), F.lit(None).cast("bigint")))
+
+
+def _quoted(spark, sf):
+    return table(spark, sf, "customer").selectExpr(
+        "c_custkey", "concat('a \"', c_mktsegment, '\", b') AS said", "CASE WHEN c_custkey % 3 = 0 THEN concat('one', chr(10), c_name) ELSE c_name END AS lines"
+    )
+
+
+def csv_quoted(spark, sf):
+    """Quotes and line breaks within cells, and the catalogue's count of such a file."""
+    path = scratch_path(spark, "quoted")
+    _quoted(spark, sf).coalesce(1).write.options(header=True, escape='"').csv(path)
+    rows = files.load(spark, path + "/*.csv").select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "said", "lines")
+    counted = files.list_datasets(spark, path).select(F.lit(-1).cast("bigint"), F.lit("row_count"), F.col("row_count").cast("string"))
+    return rows.union(counted)
+
+
+def _json(spark, sf, kind):
+    path = scratch_path(spark, kind)
+    rows = table(spark, sf, "region").selectExpr("struct(r_regionkey AS k, r_name AS name) AS r")
+    if kind == "lines":
+        rows.select("r.*").coalesce(1).write.json(path)
+    else:
+        whole = rows.agg(F.sort_array(F.collect_list("r")).alias("a"))
+        text = F.to_json("a") if kind == "array" else F.to_json(F.struct(F.struct(F.element_at("a", 1).alias("first"), F.size("a").alias("n")).alias("o")))
+        whole.select(F.regexp_replace(text, ",", ",\n")).write.text(path)
+    return files.load(spark, path + ("/*.json" if kind == "lines" else "/*.txt")) if kind == "lines" else files.read_json(
+        spark, path, flatten_object=kind == "object"
+    )
+
+
+def json_lines(spark, sf):
+    return _json(spark, sf, "lines").select(F.col("k").cast("bigint").alias("k"), "name")
+
+
+def json_array(spark, sf):
+    return _json(spark, sf, "array").select(F.col("k").cast("bigint").alias("k"), "name")
+
+
+def json_object(spark, sf):
+    found = _json(spark, sf, "object")
+    return found.select(
+        F.col("`o.first.k`").cast("bigint").alias("k"), F.col("`o.first.name`").alias("name"), F.col("`o.n`").cast("bigint").alias("n")
+    )
+
+
+def in_memory_rows(spark, sf):
+    """Rows of a table handed over as dictionaries, with missing and mixed cells."""
+    rows = [
+        {"k": x.r_regionkey, "mixed": x.r_regionkey if x.r_regionkey % 2 else x.r_regionkey / 2, "none": None, **({"name": x.r_name} if x.r_regionkey else {})}
+        for x in table(spark, sf, "region").collect()
+    ]
+    return tables.from_rows(spark, rows)
+
+
+def history_names(spark, sf):
+    """Dataset names that look like numbers stay apart."""
+    path = scratch_path(spark, "names")
+    counts = table(spark, sf, "nation").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"))
+    for name in ("007", "7", "2024-01-01"):
+        rows = counts.selectExpr("concat('run', n_regionkey) AS run_id", "n", f"'{name}' AS dataset")
+        history.append_run(rows, path)
+    return history.read_history(spark, path).select("dataset", "run_id", "n")
+
+
+def sla_unscored(spark, sf):
+    """A gate on a dimension without a score blocks."""
+    scores = table(spark, sf, "nation").groupBy(F.concat(F.lit("r"), "n_regionkey").alias("dataset")).agg(F.count(F.lit(1)).alias("n"))
+    runs = scores.selectExpr(
+        "dataset", "'x' AS run_id", "timestamp'2024-01-01' AS run_at", "1.0D AS overall_score", "'A' AS grade",
+        "map('validity', named_struct('pass_rate', 1.0D)) AS dimensions",
+    )
+    policies = local_table(
+        spark,
+        [("fresh", None, "timeliness", None, 0.5, "block"), ("valid", None, "validity", None, 0.5, "block"), ("each", "r1", "*", None, 0.5, "warn")],
+        "policy string, dataset string, dimension string, min_grade string, min_score double, action string",
+    )
+    return monitor.evaluate_sla(runs, policies).select("policy", "dataset", "dimension", "met", "action")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -670,5 +829,7 @@ QUERIES = {
         text_duplicates, near_duplicates, document_profile, document_pages, table_cells, semantic_types, redact_text,
         explanation_prompts, classification_prompts, proposal_prompt, completion_cache, completion_usage,
         parse_response, typed_answers, image_profile, image_hash, image_near_duplicates,
+        rule_fk_mixed_types, rule_fk_decimal_key, failing_sample_json, rule_isolation, rule_yaml_bad_entries, csv_quoted,
+        json_lines, json_array, json_object, in_memory_rows, history_names, sla_unscored,
     )
 }

@@ -262,7 +262,10 @@ def test_cache_key_matches_its_definition(spark):
 
     df = spark.createDataFrame([("p",)], "prompt string")
     key = df.select(completion.cache_key(F.lit("m"), df.prompt).alias("k")).first().k
-    assert key == hashlib.sha256(b"m::p").hexdigest()
+    assert key == hashlib.sha256(b'{"model":"m","prompt":"p","schema":null,"attachments":null}').hexdigest()
+    # Parts don't run into each other.
+    two = df.select(completion.cache_key(F.lit("m"), F.lit("p"), F.lit("s")), completion.cache_key(F.lit("m"), F.lit("p::s"))).first()
+    assert two[0] != two[1]
 
 
 def test_parsing(spark):
