@@ -13,6 +13,8 @@ import os
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from itertools import compress
+from operator import not_
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from plumbob.llm.common import id_lists, list_slices, scratch, text_blocks, texts
 
 #: Encoded pieces that a worker remembers, twice; beyond it the older ones go. It saves time and changes no result.
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 
 FORMAT = {
     "parquet.writer.version": "PARQUET_2_0",
@@ -71,14 +73,22 @@ class PieceEncoder:
     def encode(self, block: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        pieces = list(map(self.cut, block))
         known, older = self.known, self.older
-        fresh = set().union(*pieces).difference(known)
-        back = fresh.intersection(older)
+        pieces = list(map(self.cut, block))
+        found = [list(map(known.get, ps)) for ps in pieces]
+        # No piece has no ids, so what is missing alone is false.
+        gaps = [list(compress(range(len(f)), map(not_, f))) if None in f else [] for f in found]
+        fresh = set()
+        for ps, places in zip(pieces, gaps):
+            fresh.update(map(ps.__getitem__, places))
+        back = [p for p in fresh if p in older]
         known.update(zip(back, map(older.__getitem__, back)))
         fresh = list(fresh.difference(back))
         known.update(zip(fresh, self._encode_each(fresh)))
-        return [b"".join(map(known.__getitem__, ps)) for ps in pieces]
+        for ps, f, places in zip(pieces, found, gaps):
+            for i in places:
+                f[i] = known[ps[i]]
+        return list(map(b"".join, found))
 
     def _encode_each(self, pieces: list[str]) -> list[bytes]:
         import numpy as np
