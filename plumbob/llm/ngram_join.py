@@ -11,8 +11,9 @@ as the smaller of the two l, and its sizes allow a link.
    of set size: the order, and the estimate. Only its buckets reach the driver.
 2. A second scan gives each distinct set's prefix, by shingle. Shingles with many
    holders by the estimate are dealt out over salted tiles.
-3. Rounds that cost one pair per posting: in each tile every member is compared
-   with one of them. Groups of near copies fall together into components here.
+3. While shingles have many holders in different components, rounds that cost one
+   pair per posting: in each tile every member is compared with one of them.
+   Groups of near copies fall together into components here.
 4. What shares a prefix shingle and is not yet in one component is compared in
    full. Links are lost nowhere: a pair is left out only if its ends are already
    in one component, or its sizes or shared prefixes rule a link out.
@@ -50,7 +51,9 @@ VERIFY_COST = 0.25
 TILE = 1000
 #: Sets and texts a task remembers to have sent; only saves sending them again.
 REMEMBERED = 100_000
-STAR_ROUNDS = 3
+#: Rounds of one pair per posting go on while there are so many pairs per posting, up to a number.
+CROWDED = 2
+STAR_ROUNDS = 4
 SALTS = 16
 #: Near copies are looked up by broadcast up to this many, and by shuffle beyond.
 BROADCAST_KEYS = 200_000
@@ -153,7 +156,7 @@ def choose_prefix(estimates, n: int, threshold: int) -> tuple[int, int]:
     return int(shared[best]), int(length[best])
 
 
-def _prefixes(table, bits: int, threshold: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _prefixes(table, bits: int, threshold: int, tile: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
@@ -182,7 +185,7 @@ def _prefixes(table, bits: int, threshold: int) -> Callable[[Iterable[pa.RecordB
                 shared, length = choose_prefix(estimates, n, threshold)
                 shingles.append(own[first[:length]])
                 heads.append((cls, n, shared))
-                lengths.append((length, 1 + estimates[:length] // TILE))
+                lengths.append((length, 1 + estimates[:length] // tile))
             if not heads:
                 continue
             repeat = [x for x, _ in lengths]
@@ -193,13 +196,13 @@ def _prefixes(table, bits: int, threshold: int) -> Callable[[Iterable[pa.RecordB
     return run
 
 
-def _postings(docs: DataFrame, table, bits: int, threshold: int) -> DataFrame:
+def _postings(docs: DataFrame, table, bits: int, threshold: int, tile: int) -> DataFrame:
     """Prefix shingles that several distinct sets hold: ``shingle, tile, tiles, cls, n, l``.
 
     The holders of one shingle are in one tile, or spread over several by the
     estimate; a tile of several stays even if it has a single holder.
     """
-    rows = docs.select("text").mapInArrow(_prefixes(table, bits, threshold), "shingle bigint, tiles int, cls bigint, n bigint, l bigint")
+    rows = docs.select("text").mapInArrow(_prefixes(table, bits, threshold, tile), "shingle bigint, tiles int, cls bigint, n bigint, l bigint")
     rows = rows.withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")).repartition("shingle", "tile")
     once = rows.groupBy("shingle", "tile", "cls").agg(*(F.first(c).alias(c) for c in ("tiles", "n", "l")))
     # Counted with the rows of a tile together, where the exchange has put them.
@@ -286,6 +289,13 @@ def _labelled(postings: DataFrame, components: DataFrame | None) -> DataFrame:
     return postings.join(components, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
 
 
+def _pairs_apart(postings: DataFrame) -> float:
+    """How many pairs share a prefix shingle and lie in different components, counted per shingle."""
+    n = F.col("n").cast("double")
+    sizes = postings.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("shingle").agg(F.sum(n).alias("all"), F.sum(n * n).alias("same"))
+    return sizes.agg(F.sum(F.col("all") * F.col("all") - F.col("same"))).first()[0] or 0.0
+
+
 def _star_pairs(postings: DataFrame, turn: int, threshold: int) -> DataFrame:
     """Candidates among pairs of a member and its tile's, or a tile's and its shingle's, first one."""
     parts = ("k", "cls", "n", "l", "label")
@@ -328,7 +338,7 @@ def _remaining_pairs(postings: DataFrame, threshold: int) -> DataFrame:
     return counted.where(_may_link(threshold)).select("a", "b")
 
 
-def _linked(df: DataFrame, id_column: str, text_column: str, threshold: int, bits: int) -> tuple[DataFrame, DataFrame | None]:
+def _linked(df: DataFrame, id_column: str, text_column: str, threshold: int, bits: int, tile: int) -> tuple[DataFrame, DataFrame | None]:
     """Documents as ``doc_id, text_key, cls, n_shingles``, and the components ``(cls, label)`` of linked sets, if any."""
     text = F.coalesce(ref(text_column).cast("string"), F.lit(""))
     docs = df.select(as_long(id_column).alias("doc_id"), text.alias("text"))
@@ -340,23 +350,27 @@ def _linked(df: DataFrame, id_column: str, text_column: str, threshold: int, bit
     hashed = rows.where("slice IS NULL").select("doc_id", "text_key", "cls", "n_shingles")
     table = spark.sparkContext.broadcast(zlib.compress(_table(rows.where("slice IS NOT NULL"), bits).tobytes(), 1))
 
-    postings = stored(_postings(docs, table, bits, threshold), "postings")
+    postings = stored(_postings(docs, table, bits, threshold, tile), "postings")
 
     links = components = None
-    labelled = _labelled(postings, None)
-    for turn in range(STAR_ROUNDS + 1):
-        pairs = _star_pairs(labelled, turn, threshold) if turn < STAR_ROUNDS else _remaining_pairs(labelled, threshold)
+    labelled, size, turn = _labelled(postings, None), postings.count(), 0
+    while True:
+        crowded = turn < STAR_ROUNDS and _pairs_apart(labelled) > CROWDED * size
+        pairs = _star_pairs(labelled, turn, threshold) if crowded else _remaining_pairs(labelled, threshold)
         found = _verified(docs, hashed, pairs, threshold)
-        if found.isEmpty():
-            continue
-        links = found if links is None else links.union(found)
-        components = stored(connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("label")), "components")
-        labelled = _labelled(postings, components)
+        turn += 1
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            components = stored(connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("label")), "components")
+            labelled = _labelled(postings, components)
+        if not crowded:
+            break
     return hashed, components
 
 
 def near_components(
-    df: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: int = THRESHOLD, bucket_bits: int = BUCKET_BITS
+    df: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: int = THRESHOLD, bucket_bits: int = BUCKET_BITS,
+    tile: int = TILE,
 ) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``, the smallest id reachable by links.
 
@@ -365,18 +379,19 @@ def near_components(
     they hold, not by their ids, so repeated rows and ids stay; a null id counts
     for no component's smallest. Other columns are ignored.
     """
-    return _with_components(*_linked(df, id_column, text_column, threshold, bucket_bits))
+    return _with_components(*_linked(df, id_column, text_column, threshold, bucket_bits, tile))
 
 
 def one_per_group(
-    df: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: int = THRESHOLD, bucket_bits: int = BUCKET_BITS
+    df: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: int = THRESHOLD, bucket_bits: int = BUCKET_BITS,
+    tile: int = TILE,
 ) -> DataFrame:
     """The rows of ``df`` less the near copies: of each component of linked documents one row stays, of the smallest id.
 
     Documents without words are linked with nothing and stay. All columns stay
     as they are. Rows are found again by id and a hash of the text.
     """
-    hashed, components = _linked(df, id_column, text_column, threshold, bucket_bits)
+    hashed, components = _linked(df, id_column, text_column, threshold, bucket_bits, tile)
     rows = hashed.where("cls IS NOT NULL")
     classes = rows.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"), F.count(F.lit(1)).alias("n"))
     label = F.col("cls")

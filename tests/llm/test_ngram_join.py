@@ -47,8 +47,8 @@ def components(rows):
     return sorted(out, key=str)
 
 
-def run(df):
-    return sorted(map(tuple, nj.near_components(df, bucket_bits=14).collect()), key=str)
+def run(df, **kw):
+    return sorted(map(tuple, nj.near_components(df, bucket_bits=14, **kw).collect()), key=str)
 
 
 def table(data, n=None):
@@ -86,11 +86,13 @@ def crowd(seed=0):
     return [(1000 - 3 * i, t) for i, t in enumerate(rows)] + [(None, "a b c"), (None, "own words only"), (5, rows[0]), (5, rows[1]), (5, None)]
 
 
-@pytest.mark.parametrize("tile", [nj.TILE, 1])
-def test_crowd(frame, monkeypatch, tile):
-    monkeypatch.setattr(nj, "TILE", tile)
+@pytest.mark.parametrize("most, tile", [(nj.CROWDED, nj.TILE), (0, 4)])
+def test_crowd(frame, monkeypatch, most, tile):
+    """At once, and by rounds with the holders of a shingle spread over many tiles."""
+    monkeypatch.setattr(nj, "CROWDED", most)
+    monkeypatch.setattr(nj, "STAR_ROUNDS", 2)
     rows = crowd()
-    assert run(frame(rows)) == components(rows)
+    assert run(frame(rows), tile=tile) == components(rows)
 
 
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(7, "x y")], [(2, "a b c d e f"), (1, "a b c d e f")]])
