@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from plumbob.llm.common import id_lists, list_slices, scratch, text_blocks, texts
 
 #: Encoded pieces that a worker remembers, twice; beyond it the older ones go. It saves time and changes no result.
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 
 FORMAT = {
     "parquet.writer.version": "PARQUET_2_0",
@@ -38,7 +38,7 @@ FORMAT = {
 # The pieces into which byte-level pre-tokenisation cuts a text,
 # in Latin-1, where the classes of letters and digits can be written out.
 LATIN = re.compile(
-    r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zªµºÀ-ÖØ-öø-ÿ]+| ?[0-9²³¹¼½¾]+| ?[^\sA-Za-zªµºÀ-ÖØ-öø-ÿ0-9²³¹¼½¾]+|\s+(?!\S)|\s+"
+    r" ?[A-Za-zªµºÀ-ÖØ-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9²³¹¼½¾]+| ?[^\sA-Za-zªµºÀ-ÖØ-öø-ÿ0-9²³¹¼½¾]+|\s+(?!\S)|\s+"
 )
 # In any text: such pieces are never joined, but may be several.
 PIECE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\x00-@\[-`{-\x7f]|\Z)| ?\S+|\s+(?!\S)|\s+")
