@@ -697,6 +697,18 @@ CAST(sum(CASE WHEN i >= 32 THEN CAST(b AS BIGINT) << CAST(63 - i AS INTEGER) ELS
 ranked AS (SELECT *, row_number() OVER (PARTITION BY rule_name ORDER BY c_custkey) - 1 AS place FROM bad)
 SELECT rule_name, place, '{{"c_custkey":' || c_custkey || ',"email":' || coalesce('"' || email || '"', 'null') || ',"segment":' || coalesce('"' || segment || '"', 'null') || '}}' AS row
 FROM ranked WHERE place < 5""",
+    "explanation_prompts_rows": f"""WITH {DIRTY}, bad AS (
+  SELECT 'email' AS col, * FROM dirty WHERE email IS NULL UNION ALL SELECT 'segment', * FROM dirty WHERE segment IS NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY c_custkey) AS place FROM bad),
+shown AS (SELECT col, string_agg('{{"c_custkey":' || c_custkey || ',"email":' || coalesce('"' || email || '"', 'null') || ',"segment":' || coalesce('"' || segment || '"', 'null') || '}}', ',' ORDER BY place) AS cells
+  FROM ranked WHERE place <= 10 GROUP BY col),
+counts AS (SELECT col, count(*) AS failed, (SELECT count(*) FROM dirty) AS total FROM bad GROUP BY col)
+SELECT 'null_check_' || col AS rule_name, concat_ws(chr(10), 'A data quality rule failed. Explain why.', '',
+  'rule: null_check_' || col || ' (completeness, high)', 'column: ' || col, 'check: Null check on ' || chr(39) || col || chr(39),
+  'pass rate: ' || printf('%.4f', (total - failed) / total) || ', passed ' || (total - failed) || ', failed ' || failed || ' of ' || total || ', threshold 1.0',
+  'failing rows: [' || cells || ']', '',
+  'Answer in JSON with summary, root_cause, impact, suggested_fix, severity_assessment and tags.') AS prompt
+FROM shown JOIN counts USING (col)""",
     "rule_isolation": f"""WITH {DIRTY}, ran(rule_name, ok) AS (
   SELECT 'null_check_email', email IS NOT NULL FROM dirty
   UNION ALL SELECT 'bad_cast', coalesce(TRY_CAST(bal_text AS DOUBLE) > 0, false) FROM dirty

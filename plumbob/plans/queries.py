@@ -699,6 +699,14 @@ def failing_sample_json(spark, sf):
     )
 
 
+def explanation_prompts_rows(spark, sf):
+    """Explanation prompts that show up to ten failing rows."""
+    rows = dirty_customer(spark, sf).select("c_custkey", "email", "segment")
+    rules = [r.null_check("email"), r.null_check("segment"), r.null_check("c_custkey")]
+    results = evaluate(rows, rules, AS_OF, order_by="c_custkey", sample_size=10).results
+    return prompts.explanation_prompts(results).select("rule_name", "prompt")
+
+
 def rule_isolation(spark, sf):
     """Rules that cannot run, or fail in some rows, beside good ones."""
 
@@ -829,7 +837,7 @@ QUERIES = {
         text_duplicates, near_duplicates, document_profile, document_pages, table_cells, semantic_types, redact_text,
         explanation_prompts, classification_prompts, proposal_prompt, completion_cache, completion_usage,
         parse_response, typed_answers, image_profile, image_hash, image_near_duplicates,
-        rule_fk_mixed_types, rule_fk_decimal_key, failing_sample_json, rule_isolation, rule_yaml_bad_entries, csv_quoted,
+        rule_fk_mixed_types, rule_fk_decimal_key, failing_sample_json, explanation_prompts_rows, rule_isolation, rule_yaml_bad_entries, csv_quoted,
         json_lines, json_array, json_object, in_memory_rows, history_names, sla_unscored,
     )
 }
