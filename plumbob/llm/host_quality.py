@@ -150,9 +150,11 @@ def kept_documents(
     m, h = _fresh(df, "quality_metrics"), _fresh(df, "quality_host")
     slim = with_metrics(df.select(ref(host_column).cast("string").alias("host"), ref(text_column).alias("text")), F.col("text"), "m")
     bad = stored(host_rates(slim.select("host", "m.*"), max_rate).where("rejected").select(F.col("host").alias(h)).distinct(), "hosts")
-    rows = with_metrics(df, ref(text_column), m)
-    failed = base_failed_of(m)
-    rows = rows.where(~failed)
+    # Were the condition pushed below the metrics, each word would see all windows
+    # computed anew. It is not pushed past a column that is no function of the row.
+    g = _fresh(df, "quality_row")
+    rows = with_metrics(df, ref(text_column), m).withColumn(g, F.monotonically_increasing_id())
+    rows = rows.where(~base_failed_of(m) & (F.col(g) >= 0))
     n = bad.count()
     if n == 0:
         return rows.select(*map(ref, df.columns))

@@ -353,7 +353,7 @@ def redact(df: DataFrame, text_column: str = "text", length_column: str | None =
     """
     spans = _fresh(df, "personal_spans")
     seen = with_candidates(df.select(ref(text_column).alias("text")), F.col("text"), "spans")
-    model = train(stored(seen.select("spans").where(F.size("spans") > 0), "personal"))
+    model = train(stored(seen.select("spans"), "personal"))
     rows = with_candidates(df, ref(text_column), spans)
     rows = rows.withColumn(spans, accepted(F.col(spans), model, min_probability))
     text = ref(text_column)
