@@ -20,6 +20,8 @@ from plumbob.operators.evaluate import run_instant
 Complete = Callable[[Sequence[str]], Sequence[tuple[str, int, int, float]]]
 
 CACHE_DAYS = 30
+# Tasks over which the rows of one prompt are spread.
+SALTS = 16
 COMPLETION = (
     "cache_key string, model string, content string, prompt_tokens bigint, completion_tokens bigint, "
     "cost double, latency_ms double, completed_at timestamp"
@@ -105,7 +107,10 @@ def complete_batch(
     call(todo, complete, now).write.mode("append").parquet(cache_path)
     stored = valid_entries(_read_cache(spark, cache_path), now, ttl_days)
     known = F.col("completed_at") < F.lit(now)
-    return keyed.join(stored.drop("model"), "cache_key").withColumn("cached", known)
+    # The rows of a frequent prompt meet its one answer in many tasks.
+    answers = stored.drop("model").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = keyed.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return dealt.join(answers, ["cache_key", "__salt"]).drop("__salt").withColumn("cached", known)
 
 
 def _read_cache(spark: SparkSession, path: str) -> DataFrame | None:

@@ -11,6 +11,8 @@ from plumbob.functions.columns import local_table, ref
 
 # Flips are only listed up to this many; see near_duplicates.
 MOST_FLIPS = 2_000_000
+# Tasks over which the copies of one hash are spread.
+SALTS = 32
 # Buckets with more distinct hashes than this are compared by bit flips.
 HOT_BUCKET = 1000
 
@@ -88,8 +90,11 @@ def near_duplicates(
     # so that all of them reuse one exchange.
     whole = F.col("rep").isNotNull() & (F.col("copies") > 0)
     groups = rows.groupBy("hash").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).where(whole)
+    # A hash that much of the table has meets its representative in many tasks.
+    salts = groups.where(F.col("copies") > 1).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     same = (
-        rows.join(groups.where(F.col("copies") > 1), "hash")
+        rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        .join(salts, ["hash", "salt"])
         .where(F.col("id") != F.col("rep"))
         .select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"), F.lit(0).alias("distance"))
     )

@@ -709,6 +709,7 @@ SELECT 'null_check_' || col AS rule_name, concat_ws(chr(10), 'A data quality rul
   'failing rows: [' || cells || ']', '',
   'Answer in JSON with summary, root_cause, impact, suggested_fix, severity_assessment and tags.') AS prompt
 FROM shown JOIN counts USING (col)""",
+    "sample_summary": "SELECT least(count(*), 500) AS n_rows, least(count(*), 500) AS n_known, least(count(*), 500) AS n_distinct FROM orders",
     "rule_isolation": f"""WITH {DIRTY}, ran(rule_name, ok) AS (
   SELECT 'null_check_email', email IS NOT NULL FROM dirty
   UNION ALL SELECT 'bad_cast', coalesce(TRY_CAST(bal_text AS DOUBLE) > 0, false) FROM dirty

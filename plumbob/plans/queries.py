@@ -92,6 +92,16 @@ def sample_rows(spark, sf):
     return tables.sample(table(spark, sf, "orders"), 1000, seed=7)
 
 
+def sample_summary(spark, sf):
+    """What an exact sample promises: its size, rows of the table only, and none twice."""
+    orders = table(spark, sf, "orders")
+    picked = tables.sample(orders, 500, seed=11)
+    known = orders.select("o_orderkey", F.lit(True).alias("known"))
+    return picked.join(known, "o_orderkey", "left").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("known").alias("n_known"), F.count_distinct("o_orderkey").alias("n_distinct")
+    )
+
+
 def preview_rows(spark, sf):
     rows = tables.head(table(spark, sf, "orders"), 100, order_by="o_orderkey")
     return rows.select("o_orderkey", "o_custkey", "o_totalprice")
@@ -826,7 +836,7 @@ def sla_unscored(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_filter, scan_count, sample_rows, preview_rows, list_files, csv_source, flatten_json, dataset_registry,
+        scan_filter, scan_count, sample_rows, sample_summary, preview_rows, list_files, csv_source, flatten_json, dataset_registry,
         dataset_profile, duplicate_rows, column_counts, numeric_stats, quartiles_with_missing, string_lengths,
         top_values, value_patterns, profile_view, full_profile, auto_rules,
         rule_null, rule_unique, rule_unique_multi, rule_range, rule_regex, rule_fk_values, rule_fk_long_list,
