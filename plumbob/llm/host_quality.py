@@ -144,17 +144,14 @@ def kept_documents(
 ) -> DataFrame:
     """The rows of ``df`` that :func:`judge_documents` keeps, with all their columns.
 
-    Hosts are judged first, from the metrics alone; then each row is measured
-    again where it is read, so no text is shuffled.
+    The rows are measured once and written with their metrics to the shared
+    folder; hosts are judged from these, and the rows read again less the rejected.
     """
     m, h = _fresh(df, "quality_metrics"), _fresh(df, "quality_host")
-    slim = with_metrics(df.select(ref(host_column).cast("string").alias("host"), ref(text_column).alias("text")), F.col("text"), "m")
-    bad = stored(host_rates(slim.select("host", "m.*"), max_rate).where("rejected").select(F.col("host").alias(h)).distinct(), "hosts")
-    # Were the condition pushed below the metrics, each word would see all windows
-    # computed anew. It is not pushed past a column that is no function of the row.
-    g = _fresh(df, "quality_row")
-    rows = with_metrics(df, ref(text_column), m).withColumn(g, F.monotonically_increasing_id())
-    rows = rows.where(~base_failed_of(m) & (F.col(g) >= 0))
+    rows = stored(with_metrics(df, ref(text_column), m), "quality-documents")
+    measured = rows.select(ref(host_column).cast("string").alias("host"), f"{m}.*")
+    bad = stored(host_rates(measured, max_rate).where("rejected").select(F.col("host").alias(h)).distinct(), "hosts")
+    rows = rows.where(~base_failed_of(m))
     n = bad.count()
     if n == 0:
         return rows.select(*map(ref, df.columns))
