@@ -225,7 +225,7 @@ def test_prompts(spark):
     assert "std=n/a" in prompts.proposal_prompt(profile(single), dataset_profile(single)).first().prompt
     results = evaluate(df, [null_check("id"), null_check("email")], order_by="id").results
     (failed,) = prompts.explanation_prompts(results).collect()
-    assert failed.rule_name == "null_check_email" and 'failing rows: [{"id":2}]' in failed.prompt
+    assert failed.rule_name == "null_check_email" and 'failing rows: [{"id":2,"email":null}]' in failed.prompt
 
 
 def counting(log):
