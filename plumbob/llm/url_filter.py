@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbob.functions.columns import ref
-from plumbob.llm.common import as_long
+from plumbob.llm.common import as_long, stored
 from plumbob.llm.graph import connected_components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -96,9 +96,9 @@ def page_links(pages: DataFrame, url_column: str, html_column: str) -> DataFrame
     )
     rows = pages.where(url.contains("://")).select(url.alias("url"), targets.alias("targets")).where(F.size("targets") > 0)
     rows = rows.select("url", F.explode("targets").alias("target"))
-    return rows.select("url", resolved(F.col("target"), F.col("url")).alias("target")).where("target IS NOT NULL").select(
-        node_of(F.col("url")).alias("a"), node_of(F.col("target")).alias("b")
-    )
+    # Written between the steps: one expression of both would be too long to compile.
+    rows = stored(rows.select("url", resolved(F.col("target"), F.col("url")).alias("target")), "links")
+    return rows.where("target IS NOT NULL").select(node_of(F.col("url")).alias("a"), node_of(F.col("target")).alias("b"))
 
 
 def alias_decisions(links: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
