@@ -44,8 +44,6 @@ WORDS = frozenset(
     "respond contentinfo complementary search pagination pager".split()
 )
 KEPT = frozenset(("html", "body", "article", "main"))
-#: Blocks beside the main content that may belong to it.
-BESIDE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure section article".split())
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>""")
 PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
@@ -207,9 +205,9 @@ def main_text(html: str) -> str:
     way = set(path[path.index(top) :])
     for i in range(1, n):
         p = tree.parent[i]
-        # A title is short by nature; other blocks beside the way need the threshold.
-        beside = p in way and p != top and (tree.kind[i] == "h1" or tree.kind[i] in BESIDE and of[i] >= threshold)
-        chosen[i] = not out[i] and (chosen[p] or i == top or beside)
+        # A title is short by nature; every other node off the way needs the threshold.
+        beside = i not in way and (of[i] >= threshold or tree.kind[i] == "h1" and p in way and p != top)
+        chosen[i] = not out[i] and below[i] and (chosen[p] or i == top or beside)
     chosen[0] = top == 0
     if top == body or body == 0 and top == 0:
         chosen = [not o for o in out]

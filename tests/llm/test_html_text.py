@@ -88,3 +88,14 @@ def test_tables(frame):
     got = sorted(map(tuple, h.extract_text(frame(rows, SCHEMA)).collect()), key=str)
     assert got == sorted([(1, None, "", 0), (None, "u", "a", 1), (2, "v", "b", 1), (2, "v", "b", 1)], key=str)
     assert h.extract_text(frame([], SCHEMA)).count() == 0
+
+
+def test_article_over_sibling_divs():
+    line = " ".join((LONG * 2).split())
+    half = lambda k: f"<h2>Part {k}</h2>" + f"<p>{LONG * 2}</p>" * 3
+    want = "\n\n".join(f"Part {k}\n\n{line}\n\n{line}\n\n{line}" for k in (1, 2, 3))
+    menu = '<div><a href="/a">One of the links</a> <a href="/b">Another of the links</a></div>'
+    assert h.main_text(page("".join(f"<div>{half(k)}</div>" for k in (1, 2, 3)))) == want
+    # A part in a wrapper that links thin out, and one whose kind is main.
+    split = f"<div>{half(1)}</div><div>{menu * 20}<div>{half(2)}</div></div><div><main>{half(3)}</main></div>"
+    assert h.main_text(page(split.replace("main>", "center>"))) == want
