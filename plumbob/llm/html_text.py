@@ -44,6 +44,10 @@ WORDS = frozenset(
     "respond contentinfo complementary search pagination pager".split()
 )
 KEPT = frozenset(("html", "body", "article", "main"))
+#: The word after one of these says what a layout lacks or has beside the article, not what the element is.
+LAYOUT = frozenset("no not non without with has have hide hides hidden show shows".split())
+#: Words that also name layouts. What the others name may be longer than an article beside it.
+PARTS = frozenset("nav navbar navigation menu menus header masthead topbar footer sidebar sidebars aside search pagination pager".split())
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>""")
 PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
@@ -51,6 +55,15 @@ NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 
 
+def _words(named: str) -> frozenset[str]:
+    """The words of names, less those that only follow a word of :data:`LAYOUT` within a name."""
+    words = set()
+    for name in named.split():
+        parts = [w.lower() for w in SPLIT.split(name) if w]
+        words.update(w for before, w in zip(["", *parts], parts) if before not in LAYOUT)
+    return frozenset(words)
+
+
 class Tree:
     """Nodes in page order: kind, parent, named words, and per node its texts and children in order."""
 
@@ -64,7 +77,7 @@ class Tree:
         named = " ".join(a or b or c for _, a, b, c in NAMED.findall(attributes)) if attributes else ""
         self.kind.append(kind)
         self.parent.append(parent)
-        self.words.append(frozenset(w.lower() for w in SPLIT.split(named) if w) if named else frozenset())
+        self.words.append(_words(named) if named else frozenset())
         self.content.append([])
         self.content[parent].append(node)
         return node
@@ -141,14 +154,47 @@ class Tree:
             opened[kind] = opened.get(kind, 0) + 1
 
 
-def _left_out(tree: Tree) -> list[bool]:
+def _wrappers(tree: Tree, own: list[int]) -> list[bool]:
+    """Whether each node holds the page's main element, its longest article, or most of its characters outside links.
+
+    Beside an article or main element, most of the characters count for names of layouts only.
+    """
+    n = len(tree.kind)
+    aside, plain = [False] * n, [0] * n
+    for i in range(1, n):
+        aside[i] = aside[tree.parent[i]] or tree.kind[i] in ASIDE
+    for i in range(n - 1, 0, -1):
+        if not aside[i] and tree.kind[i] != "a":
+            plain[i] += own[i]
+            plain[tree.parent[i]] += plain[i]
+    plain[0] += own[0]
+    articles = [i for i in range(n) if tree.kind[i] == "article" and not aside[i]]
+    held = [i for i in range(n) if tree.kind[i] == "main" and not aside[i]]
+    if articles:
+        held.append(max(articles, key=lambda i: (plain[i], -i)))
+    holds = [False] * n
+    for i in held:
+        while i > 0 and not holds[i]:
+            holds[i], i = True, tree.parent[i]
+    within, wraps = [False] * n, [False] * n
+    for i in range(1, n):
+        within[i] = within[tree.parent[i]] or tree.kind[i] in ("article", "main")
+        alone = not held or within[i] or tree.words[i] & WORDS <= PARTS
+        wraps[i] = holds[i] or 2 * plain[i] > plain[0] and alone
+    return wraps
+
+
+def _left_out(tree: Tree, own: list[int]) -> list[bool]:
     """Whether each node is no part of an article, by itself or by what it lies in."""
-    out, within = [False], [False]
+    out, within, wraps = [False], [False], None
     for i in range(1, len(tree.kind)):
         kind, parent = tree.kind[i], tree.parent[i]
         article = within[parent] or kind in ("article", "main")
         header = kind == "header" and not within[parent]
         named = kind not in KEPT and not tree.words[i].isdisjoint(WORDS if not within[parent] else WORDS - {"header"})
+        if named and not out[parent]:
+            wraps = wraps or _wrappers(tree, own)
+            named = not wraps[i]
         out.append(out[parent] or kind in ASIDE or header or named)
         within.append(article)
     return out
@@ -167,12 +213,14 @@ def density(chars: int, tags: int, link_chars: int, link_tags: int, body_links:
 def main_text(html: str) -> str:
     """The blocks of a page's main content, joined by empty lines; empty if there is none."""
     tree = Tree(html)
-    n, out = len(tree.kind), _left_out(tree)
+    n = len(tree.kind)
+    own = [sum(len("".join(c.split())) for c in content if isinstance(c, str)) for content in tree.content]
+    out = _left_out(tree, own)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     for i in range(n - 1, -1, -1):  # children follow their parents
         if out[i]:
             continue
-        chars[i] += sum(len("".join(c.split())) for c in tree.content[i] if isinstance(c, str))
+        chars[i] += own[i]
         if tree.kind[i] == "a":
             link_chars[i], link_tags[i] = chars[i], link_tags[i] + 1
         if i:

@@ -99,3 +99,30 @@ def test_article_over_sibling_divs():
     # A part in a wrapper that links thin out, and one whose kind is main.
     split = f"<div>{half(1)}</div><div>{menu * 20}<div>{half(2)}</div></div><div><main>{half(3)}</main></div>"
     assert h.main_text(page(split.replace("main>", "center>"))) == want
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    [
+        '<div class="content no-sidebar">{}</div>', '<div id="page-with-sidebar">{}</div>', '<div class="layout header-fixed">{}</div>',
+        '<div class="search-results-page"><div class="hasComments">{}</div></div>', '<section class="main menu-open" role="main search">{}</section>',
+    ],
+)
+@pytest.mark.parametrize("kind", ["article", "main", "div"])
+def test_named_wrappers(wrapper, kind):
+    line = " ".join(LONG.split())
+    inner = f"<{kind}><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></{kind}>"
+    assert h.main_text(page(wrapper.format(inner))) == f"Title\n\n{line}\n\n{line}"
+
+
+def test_long_layout_beside_a_short_article():
+    line = " ".join(LONG.split())
+    text = f'<div class="page-sidebar-left"><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div>'
+    assert h.main_text(f"<body>{text}<article>A teaser</article></body>").startswith(f"T\n\n{line}\n\n{line}")
+
+
+def test_long_comments_are_left_out():
+    thread = '<div class="comments">' + f"<p>{LONG}</p>" * 20 + "</div>"
+    related = f'<div class="related"><article><p>{LONG}</p></article></div>'
+    line = " ".join(LONG.split())
+    assert h.main_text(page(f"<article><h1>T</h1><p>{LONG}</p><p>{LONG}</p></article>{related}{thread}")) == f"T\n\n{line}\n\n{line}"
