@@ -28,8 +28,8 @@ WINDOW = 2048
 SHARD_TOKENS = 1 << 22
 #: Ids are below this; it bounds the table of document counts.
 VOCABULARY = 1 << 16
-#: Of a seed, the terms of largest BM25 weight that are looked up.
-QUERY_TERMS = 32
+#: A term that more than one in so many of a shard's documents hold is kept as a row of weights, at most this many times the postings' size.
+DENSE = 8
 K1, B = 1.2, 0.75
 
 
@@ -90,12 +90,11 @@ class Shard:
         import numpy as np
 
         self.used = np.zeros(len(ids), bool)
-        self.queries, terms, docs, weights = [], [], [], []
+        self.queries, terms, docs, weights = [], [], [], []  # a query is all distinct terms of a document
         for k, own in enumerate(ids):
             t, tf = np.unique(own, return_counts=True)
             w = (idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(own) / mean_length))).astype(np.float32)
-            best = np.argpartition(-w, QUERY_TERMS)[:QUERY_TERMS] if len(t) > QUERY_TERMS else slice(None)
-            self.queries.append(t[best])
+            self.queries.append(t)
             terms.append(t)
             docs.append(np.full(len(t), k, np.int32))
             weights.append(w)
@@ -103,14 +102,25 @@ class Shard:
         order = np.argsort(terms, kind="stable")
         self.docs, self.weights = np.concatenate(docs)[order], np.concatenate(weights)[order]
         self.places = np.searchsorted(terms[order], np.arange(VOCABULARY + 1))
+        frequent = np.flatnonzero(np.diff(self.places) * DENSE > len(ids))
+        self.row = np.full(VOCABULARY, -1, np.int32)
+        self.row[frequent] = np.arange(len(frequent))
+        self.dense = np.zeros((len(frequent), len(ids)), np.float32)
+        for k, t in enumerate(frequent.tolist()):
+            a, b = self.places[t], self.places[t + 1]
+            self.dense[k, self.docs[a:b]] = self.weights[a:b]
 
     def neighbours(self, seed: int) -> Iterator[int]:
-        """Unused documents that share a looked-up term with the seed, best first; ties by position."""
+        """Unused documents that share a term with the seed, best first by the weights of all shared terms; ties by position."""
         import numpy as np
 
+        terms = self.queries[seed]
+        rows = self.row[terms]
         scores = np.zeros(len(self.used), np.float32)
-        for t in self.queries[seed].tolist():
-            a, b = self.places[t], self.places[t + 1]
+        for k in rows[rows >= 0].tolist():
+            scores += self.dense[k]
+        rare = terms[rows < 0]
+        for a, b in zip(self.places[rare].tolist(), self.places[rare + 1].tolist()):
             scores[self.docs[a:b]] += self.weights[a:b]
         scores[self.used] = 0
         while True:

@@ -97,3 +97,27 @@ def test_windows_keep_neighbours_together():
     idf = np.log(1 + (80 - n + 0.5) / (n + 0.5)).astype(np.float32)
     kinds = [{d % 4 for d, *_ in w} for w in packing.windows(ids, idf, 501.0)]
     assert np.mean([len(k) for k in kinds]) < 1.6
+
+
+def test_long_seeds_score_all_terms():
+    rng = np.random.default_rng(5)
+    ids = [np.concatenate([rng.integers(0, 60, 100), rng.zipf(1.3, 600) % 3000, [3000 + k]]).astype("<u4") for k in range(60)]
+    ids[1] = np.unique(ids[0])[:80].astype("<u4")  # shares frequent terms only
+    assert min(len(np.unique(x)) for x in ids[:1] + ids[2:]) > 100
+    mean = float(np.mean(list(map(len, ids))))
+    n = np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=packing.VOCABULARY)
+    idf = np.log(1 + (60 - n + 0.5) / (n + 0.5)).astype(np.float32)
+    shard = packing.Shard(ids, idf, mean)
+
+    def bm25(q, d):
+        tf = Counter(d.tolist())
+        norm = packing.K1 * (1 - packing.B + packing.B * len(d) / mean)
+        return sum(float(idf[t]) * tf[t] * (packing.K1 + 1) / (tf[t] + norm) for t in set(q.tolist()) if t in tf)
+
+    for seed in (0, 7, 33):
+        shard.used[:] = False
+        shard.used[seed] = True
+        want = [bm25(ids[seed], d) for d in ids]
+        near = list(shard.neighbours(seed))
+        assert set(near) == {d for d in range(60) if d != seed and want[d] > 0}
+        assert all(want[a] >= want[b] - 1e-3 for a, b in zip(near, near[1:]))
