@@ -52,15 +52,21 @@ class PieceEncoder:
 
     Texts are cut where the tokenizer itself always cuts, so the ids are those
     of the whole text. The ids of a text are returned as little-endian unsigned
-    32-bit integers.
+    32-bit integers. The strings of the tokenizer's added tokens are ordinary
+    text, or with ``added`` have their own ids, as by the library's default.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added
+        tokens = self.tokenizer.get_added_tokens_decoder().values() if added else []
+        strings = sorted((t.content for t in tokens), key=len, reverse=True)
+        self.added = re.compile(f"({'|'.join(map(re.escape, strings))})") if strings else None
+        #: Such a token may take the text around it along, so a text that holds it is not cut.
+        self.joined = any(t.single_word or t.lstrip or t.rstrip for t in tokens)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -70,11 +76,19 @@ class PieceEncoder:
             return [text] if DISPUTED.search(text) else PIECE.findall(text)
         return [text] if DISPUTED.search(text) else LATIN.findall(text)
 
+    def _pieces(self, text: str) -> list[str]:
+        if not self.added or not self.added.search(text):
+            return self.cut(text)
+        if self.joined:
+            return [text]
+        parts = self.added.split(text)  # every second one is an added token
+        return [p for i, part in enumerate(parts) for p in ([part] if i % 2 else self.cut(part))]
+
     def encode(self, block: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        pieces = list(map(self.cut, block))
+        pieces = list(map(self._pieces, block))
         found = [list(map(known.get, ps)) for ps in pieces]
         # No piece has no ids, so what is missing alone is false.
         gaps = [list(compress(range(len(f)), map(not_, f))) if None in f else [] for f in found]
@@ -103,9 +117,9 @@ _encoders: dict[str, PieceEncoder] = {}
 
 
 def encoder(path: str) -> PieceEncoder:
-    """The encoder of this worker; it outlives tasks."""
+    """The encoder of this worker, with the ids of added tokens; it outlives tasks."""
     if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
+        _encoders[path] = PieceEncoder(path, added=True)
     return _encoders[path]
 
 

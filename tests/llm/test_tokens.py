@@ -73,3 +73,25 @@ def test_query_over_the_table(spark, data):
     t = pq.read_table(f"{data}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
     got = sorted(map(tuple, queries.op2_token_files(spark, data).collect()))
     assert got == expected([(r["doc_id"], r["text"]) for r in t])
+
+
+ADDED = ["<|endoftext|>", "<|endoftext|> x", "a  <|endoftext|><|endoftext|>\n b", "it's <|endoftext| > <|endoftext|>Ж\x1c", "x" * 50 + " <|endoftext|>"]
+
+
+def test_added_tokens_as_the_library(frame):
+    t = Tokenizer.from_file(PATH)
+    want = [t.encode(x, add_special_tokens=False).ids for x in ODD + ADDED]
+    assert want[ODD.index("<|endoftext|> x")] == [50256, 2124]
+    assert [np.frombuffer(b, "<u4").tolist() for b in tokens.encoder(PATH).encode(ODD + ADDED)] == want
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in tokens.token_table(frame(list(enumerate(ODD + ADDED))), PATH, 2).collect()}
+    assert got == {i: (len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4").tobytes())) for i, x in enumerate(want)}
+
+
+def test_added_tokens_that_take_text_along(tmp_path):
+    from tokenizers import AddedToken
+
+    t = Tokenizer.from_file(PATH)
+    t.add_tokens([AddedToken("<pad>", lstrip=True, rstrip=True)])
+    t.save(path := str(tmp_path / "t.json"))
+    texts = ["a  <pad>  b", "<pad>", "c d"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in tokens.encoder(path).encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
