@@ -10,7 +10,9 @@ is not blocked. Everything is a DataFrame expression.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +29,14 @@ SALTS = 32
 CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical["'\s/>])[^>]*\bhref\s*=\s*(?:"([^">]*)"|'([^'>]*)'|([^\s"'>]+))"""
 REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh["'\s/>])[^>]*\bcontent\s*=\s*["']?\s*[\d.]*\s*[;,]?\s*url\s*=\s*["']?([^"'>\s]+)"""
 
+# A character reference in an attribute. Without its semicolon a name counts only where no "=" follows.
+REFERENCE = r"&(?:#[xX][0-9A-Fa-f]++;?|#[0-9]++;?|[A-Za-z][A-Za-z0-9]*+(?:;|(?!=)))"
+#: What names stand for, and the numbers of Windows-1252 that HTML reads as its characters.
+CHARACTERS = json.dumps(
+    {f"&{name}": text for name, text in html5.items()}
+    | {f"#{n}": text for n in range(128, 160) if (text := bytes([n]).decode("cp1252", "ignore"))}
+)
+
 
 def host_of(url: Column) -> Column:
     """From the first ``://`` to ``/``, ``?``, ``#`` or the end, with A-Z in lower case; else empty."""
@@ -57,15 +67,49 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]],
     return found
 
 
+def without_dots(path: Column) -> Column:
+    """A path without its segments ``.`` and ``..``."""
+    segments = F.split(path, "/", -1)
+    none = F.array().cast("array<string>")
+
+    def step(kept: Column, segment: Column) -> Column:
+        up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(segment == "..", up).when(segment == ".", kept).otherwise(F.concat(kept, F.array(segment)))
+
+    kept = F.aggregate(F.slice(segments, F.lit(2), F.greatest(F.size(segments) - 1, F.lit(0))), none, step)
+    ends = F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(none)
+    return F.when(path.contains("/."), F.concat(F.lit("/"), F.array_join(F.concat(kept, ends), "/"))).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """A URL without its scheme and fragment, host in lower case: what aliases are compared by."""
+    """A URL without its scheme, fragment and dot segments, host in lower case: what aliases are compared by."""
     query = F.regexp_extract(_after_scheme(url), r"^[^?#]*(\?[^#]*)?", 1)
     path = path_of(url)
-    return F.concat(host_of(url), F.when(path == "", "/").otherwise(path), query)
+    return F.concat(host_of(url), F.when(path == "", "/").otherwise(without_dots(path)), query)
+
+
+def decoded(text: Column) -> Column:
+    """An attribute's value with its character references read; what is none stays as it is."""
+    table = F.from_json(F.lit(CHARACTERS), "map<string,string>")
+
+    def character(reference: Column) -> Column:
+        digits = F.regexp_extract(reference, "^&#[xX]?([0-9A-Fa-f]+)", 1)
+        # Longer numbers are no characters, and leading zeros do not count.
+        short = F.right(F.concat(F.lit("0"), F.regexp_replace(digits, "^0+", "")), F.lit(9))
+        n = F.when(reference.rlike("^&#[xX]"), F.conv(short, 16, 10)).otherwise(F.conv(short, 10, 10)).cast("bigint")
+        fine = (F.length(F.regexp_replace(digits, "^0+", "")) <= 8) & n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+        by_number = F.when(fine, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        named = F.coalesce(F.try_element_at(table, reference), reference)
+        return F.when(reference.startswith("&#"), F.coalesce(F.try_element_at(table, F.concat(F.lit("#"), n.cast("string"))), by_number)).otherwise(named)
+
+    between = F.split(text, REFERENCE, -1)
+    read = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), character)
+    parts = F.zip_with(between, read, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.when(text.contains("&"), F.array_join(parts, "")).otherwise(text)
 
 
 def resolved(target: Column, base: Column) -> Column:
-    """A link's target as a URL; relative ones are put on the base's host or folder."""
+    """A link's target as a URL; relative ones are put on the base's host, folder or path."""
     target = F.trim(target)
     root = F.concat(F.lit("http://"), host_of(base))
     folder = F.regexp_extract(path_of(base), "^(.*/)", 1)
@@ -73,6 +117,7 @@ def resolved(target: Column, base: Column) -> Column:
         F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
         .when(target.startswith("//"), F.concat(F.lit("http:"), target))
         .when(target.startswith("/"), F.concat(root, target))
+        .when(target.startswith("?"), F.concat(root, F.when(path_of(base) == "", "/").otherwise(path_of(base)), target))
         .when(target.rlike("^([A-Za-z][A-Za-z0-9+.-]*:|#|$)"), None)
         .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), target))
     )
@@ -95,7 +140,7 @@ def page_links(pages: DataFrame, url_column: str, html_column: str) -> DataFrame
         lambda t: t.isNotNull() & (t != ""),
     )
     rows = pages.where(url.contains("://")).select(url.alias("url"), targets.alias("targets")).where(F.size("targets") > 0)
-    rows = rows.select("url", F.explode("targets").alias("target"))
+    rows = rows.select("url", F.explode("targets").alias("target")).select("url", decoded(F.col("target")).alias("target"))
     # Written between the steps: one expression of both would be too long to compile.
     rows = stored(rows.select("url", resolved(F.col("target"), F.col("url")).alias("target")), "links")
     return rows.where("target IS NOT NULL").select(node_of(F.col("url")).alias("a"), node_of(F.col("target")).alias("b"))

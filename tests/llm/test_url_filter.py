@@ -89,3 +89,36 @@ def test_components(spark, kind):
     }[kind]
     df = spark.createDataFrame([*edges, (None, 1)], "a bigint, b bigint")
     assert {r.node: r.component for r in graph.connected_components(df).collect()} == brute(edges)
+
+
+def test_decoded(spark):
+    from html import unescape
+
+    whole = ["a", "x&amp;y", "&amp;amp;", "&#38;&#x26;&#X26;", "&#128;&#129;", "&#x1F600;", "&eacute;x", "&#0;&#xD800;&#99999999999999999999;", "&nope;", "a&", "&&lt;", "&#00000000000038;", "&quot;&apos;&#233"]
+    attribute = {"?a=1&copy=2": "?a=1&copy=2", "?a=1&copyx=2": "?a=1&copyx=2", "?a&amp": "?a&", "?a&copy/": "?a©/"}
+    df = spark.createDataFrame([(t,) for t in [*whole, *attribute]], "t string")
+    got = {r.t: r.d for r in df.select("t", uf.decoded(df.t).alias("d")).collect()}
+    assert {t: got[t] for t in attribute} == attribute
+    for t in whole:
+        assert got[t].replace("\x81", "") == unescape(t).replace("\x81", ""), t
+
+
+def test_targets_as_written_in_pages(frame):
+    link = '<html><link rel="canonical" href="{}">'.format
+    cases = [
+        ("http://a.net/1", "http://c.com/de/p?x=1&amp;y=2", "http://c.com/de/p?x=1&y=2"),
+        ("http://b.net/f/g", "../de/h", "http://b.net/de/h"),
+        ("http://b.net/f/g/", "./../i/../j/.", "http://b.net/f/j/"),
+        ("http://d.net/k/l", "?p=2", "http://d.net/k/l?p=2"),
+        ("http://e.net", "?p=2", "http://e.net/?p=2"),
+        ("http://f.net/a/", "http://c.com/x/../../../de/q", "http://c.com/de/q"),
+        ("http://g.net/m", "/n&#47;o&#x2F;p", "http://g.net/n/o/p"),
+        ("http://h.net/q", "/r/../s", "http://h.net/t/../s"),
+    ]
+    rows = [(10 * i, a, link(t)) for i, (a, t, _) in enumerate(cases)] + [(10 * i + 1, b, "") for i, (*_, b) in enumerate(cases)]
+    # Each target is blocked by a rule of its own or by its alias.
+    rows += [(10 * i + 2, f"http://c.com/de/{i}", link(b.replace("&", "&amp;"))) for i, (*_, b) in enumerate(cases)]
+    got = {k: v[3] for k, v in verdicts(uf.judge_pages(frame(rows, SCHEMA), URL_RULES)).items()}
+    assert got == dict.fromkeys(got, "block") and len(got) == len(rows)
+    refresh = [(1, "http://a.net/x/y", "<meta http-equiv=refresh content='0; url=../z?a=1&amp;b=2'>"), (2, "http://a.net/z?a=1&b=2", link("http://c.com/de/1"))]
+    assert {v[3] for v in verdicts(uf.judge_pages(frame(refresh, SCHEMA), URL_RULES)).values()} == {"block"}
