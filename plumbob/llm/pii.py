@@ -50,10 +50,10 @@ PATTERNS = (
     ("phone", r"(?<![0-9A-Za-z+.-])(?<!\+[0-9]{1,3}[ .-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])", "digit"),
     ("ssn", r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", "digit"),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])", "digit"),
-    ("name", r"(?<![0-9A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-zà-ÿ]{1,20}+(?: [A-Z][a-zà-ÿ]{1,20}+)?", "title"),
+    ("name", r"(?<![0-9A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-zà-ÿ][\p{L}\p{M}]*+(?: [A-Z][a-zà-ÿ][\p{L}\p{M}]*+)?", "title"),
     (
         "secret",
-        r"(?i)(?<![0-9A-Za-z_])(?:(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key) ?[:=] ?[\"']?[0-9A-Za-z_/+.-]{8,200}+|(?-i:AKIA[0-9A-Z]{16})(?![0-9A-Za-z]))",
+        r"(?i)(?<![0-9A-Za-z_])(?:(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key) ?[:=] ?[\"']?[0-9A-Za-z_/+.-]{8,}+|(?-i:AKIA[0-9A-Z]{16})(?![0-9A-Za-z]))",
         "secret",
     ),
 )
@@ -181,6 +181,8 @@ def votes(span: Column) -> dict[str, Column]:
         return F.when(condition, yes).otherwise(no)
 
     domain = F.regexp_extract(value, r"([A-Za-z]+)$", 1)
+    # Counted without references back, which a value of any length would overflow.
+    distinct = reduce(lambda a, b: a + b, (value.contains(str(d)).cast("int") for d in range(10)))
     near = {k: F.when(left.rlike(f"(?i){w}"), yes).otherwise(none) for k, w in NEAR.items()}
     return {
         "format": by_kind({
@@ -189,11 +191,11 @@ def votes(span: Column) -> dict[str, Column]:
             "card": either(span["base"]),
             "phone": F.when(span["base"], yes).otherwise(none),
             "iban": either(F.length(F.regexp_replace(value, " ", "")).between(15, 34)),
-            "secret": F.when(value.rlike("(?=.*[0-9])(?=.*[A-Za-z]).{16}"), yes).otherwise(none),
+            "secret": F.when(value.rlike("^(?=.*[0-9])(?=.*[A-Za-z]).{16}"), yes).otherwise(none),
             "ssn": either(~value.rlike("^(?:000|666|9)") & ~value.rlike("-00-|-0000$")),
         }),
-        "shape": F.when(value.rlike(r"^\D*([0-9])(?:\D*\1)+\D*$") | value.rlike(r"^[0-9](?:\.[0-9]){3}$"), no)
-        .when(F.length(F.regexp_replace(_digits(value), r"(.)(?=.*\1)", "")) >= 4, yes)
+        "shape": F.when((distinct == 1) & (F.length(_digits(value)) > 1) | value.rlike(r"^[0-9](?:\.[0-9]){3}$"), no)
+        .when(distinct >= 4, yes)
         .otherwise(none),
         "gazetteer": by_kind({
             "email": either(F.lower(domain).rlike(f"^(?:{_any(DOMAINS)})$")),

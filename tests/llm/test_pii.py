@@ -117,3 +117,13 @@ def test_redact(frame):
     assert (r[1].text, r[1].n_chars) == ("mail [EMAIL] now", 16)
     assert tuple(r[2])[:5] == rows[1] and r[3].text is None
     assert r[4].text == "[PHONE], [CARD] x"
+
+
+def test_long_values_whole(frame):
+    token, name = "eyJ" + "a1B2c3D4e5" * 100, "Abcdefghij" + "klmnopqrst" * 4
+    rows = [*corpus(), (900, f"login with token: {token * 200} and go")]
+    rows += [(901 + i, f"login with token: {token}{i} and go") for i in range(40)]
+    rows += [(1000 + i, f"contact Dr James {name} today") for i in range(40)] + [(1100 + i, "contact Dr James McDonaldson today") for i in range(40)]
+    got = {r.doc_id: r.text for r in pii.redact(frame(rows)).collect()}
+    assert all(got[900 + i] == "login with [SECRET] and go" for i in range(41))
+    assert {got[k + i] for k in (1000, 1100) for i in range(40)} == {"contact [NAME] today"}
