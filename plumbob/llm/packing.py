@@ -7,6 +7,7 @@ token ids returns, for the seed of a window, the unused documents most like it,
 and they fill the window in that order. The last one is cut where the window
 ends, and its rest is the next seed. A shard is bounded by its tokens, so a task
 holds one shard whatever the table's size, and nothing but counts is shuffled.
+Similar documents of different shards do not meet; the README says how many.
 """
 
 from __future__ import annotations
