@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbob.llm import host_quality, html_text, ngram_join, packing, pieces, pii, tokens, topk, url_filter, warc
+from plumbob.llm import conversations, host_quality, html_text, ngram_join, packing, pieces, pii, tokens, topk, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op10_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), path, end_id=1, with_tokens=False)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_digests(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_host_quality": op1_host_quality,
     "op2_token_files": op2_token_files,
@@ -75,6 +79,7 @@ QUERIES = {
     "op8_article_text": op8_article_text,
     "op9_warc_segments": op9_warc_segments,
     "op10_lexical_packing": op10_lexical_packing,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE: dict[str, str] = {
