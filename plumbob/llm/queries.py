@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbob.llm import bpe, conversations, host_quality, html_text, ngram_join, packing, pieces, pii, tokens, topk, url_filter, warc
+from plumbob.llm import bpe, conversations, host_quality, html_text, ngram_join, packing, pieces, pii, tokens, topk, url_filter, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op10_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), path, end_id=1, with_tokens=False)
 
 
+def op11_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=16)
+
+
 def op12_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.text_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -83,6 +87,7 @@ QUERIES = {
     "op8_article_text": op8_article_text,
     "op9_warc_segments": op9_warc_segments,
     "op10_lexical_packing": op10_lexical_packing,
+    "op11_lanczos_whitening": op11_lanczos_whitening,
     "op12_pair_index": op12_pair_index,
     "op13_conversation_repair": op13_conversation_repair,
 }
