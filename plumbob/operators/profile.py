@@ -1,18 +1,18 @@
 """Column and dataset profiles.
 
-Two reads of each column, whatever the number of columns:
-
-1. fused aggregates with every count, moment, length and extreme; a few columns
-   per aggregate, so that the generated code stays small enough to be compiled
-   (a row-oriented source is read once per aggregate: raise
-   ``COLUMNS_PER_AGGREGATE`` or store it as Parquet first);
-2. a value-frequency table ``(position, value, n)`` per cell type, laid out long
-   and counted before its only exchange, which distinct counts, top values and
-   patterns all read.
-
-Exact quartiles need one read of the numeric columns more: a sketch encloses
-each quartile, and only the values inside, taken from the frequencies, are
-ranked.
+A full profile reads a table twice, whatever the number of columns:
+
+1. the cells of all columns, counted by value before their only exchange, from
+   which come distinct counts, top values, patterns, quartiles and every
+   statistic of whole numbers and doubles (:mod:`plumbob.operators.frequencies`);
+2. fused aggregates with the extremes and lengths of the other columns; a few
+   columns per aggregate, so that the generated code stays small enough to be
+   compiled (a row-oriented source is read once per aggregate: raise
+   ``COLUMNS_PER_AGGREGATE`` or store it as Parquet first).
+
+Long texts that a result shows are fetched in a third read. A profile with
+quartiles only shuffles no values: one scan sketches, one counts
+(:mod:`plumbob.operators.quartiles`).
 """
 
 from __future__ import annotations
@@ -37,16 +37,11 @@ from plumbob.functions.columns import (
     text_of,
     text_sql,
 )
+from plumbob.operators.frequencies import cells, column_list, counts, deviations, family, leading, numbers
+from plumbob.operators.quartiles import QUARTILES, SKETCH_SIZE, bracket_ranks, cuts_of_brackets, cuts_of_values, quartiles_of
 
-# Rank error of the sketch is at most rows / SKETCH_ACCURACY; brackets are
-# twice as wide on either side.
-SKETCH_ACCURACY = 10_000
-BRACKET = 2.0 / SKETCH_ACCURACY
 # The parts of a profile beyond the fused statistics.
 PARTS = ("distinct", "top", "patterns", "quartiles")
-# The values inside a bracket are ranked in this many pieces.
-PIECES = 64
-QUARTILES = (0.25, 0.5, 0.75)
 
 # Columns per aggregate. Wider ones outgrow what the JVM compiles.
 COLUMNS_PER_AGGREGATE = 4
@@ -73,11 +68,15 @@ def _fields(df: DataFrame, columns: Sequence[str] | None) -> list[tuple[int, T.S
     return [(i, f) for i, f in enumerate(df.schema) if names is None or f.name in names]
 
 
+def _width(dtype: T.DataType) -> int | None:
+    if isinstance(dtype, T.DecimalType):
+        return 8 if dtype.precision <= 18 else 16
+    return _FIXED_WIDTH.get(type(dtype))
+
+
 def _cell_bytes(f: T.StructField) -> str:
     dtype, col = f.dataType, quoted(f.name)
-    width = _FIXED_WIDTH.get(type(dtype))
-    if isinstance(dtype, T.DecimalType):
-        width = 8 if dtype.precision <= 18 else 16
+    width = _width(dtype)
     if width is not None:
         return f"count({col}) * {width}"
     return f"coalesce(sum(octet_length({text_sql(col, dtype)})), 0)"
@@ -131,11 +130,40 @@ def _statistics(df: DataFrame, part: list[tuple[int, T.StructField]]) -> DataFra
     return df.agg(*map(F.expr, aggregates)).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
-def _family(dtype: T.DataType) -> T.DataType:
-    """The type a column's cells are counted in; whole numbers and doubles stay numbers."""
-    if isinstance(dtype, T.IntegralType):
-        return T.LongType()
-    return dtype if isinstance(dtype, T.DoubleType) else T.StringType()
+def _with_statistics(rows: DataFrame, has: dict[str, Column | str]) -> DataFrame:
+    """Rows per column in the form of :func:`column_statistics`; what they lack is null."""
+    kept = [F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c) for c in ("total_count", "null_count")]
+    cast = [(F.expr(has[k]) if k in has else F.lit(None)).cast(t).alias(k) for k, t in _STATISTICS.items()]
+    return rows.select("position", "name", "dtype", *kept, *cast)
+
+
+def _widths(fields: list[tuple[int, T.StructField]]) -> str:
+    """Bytes per present cell, by position."""
+    return "CASE " + " ".join(f"WHEN position = {i} THEN valued * {_width(f.dataType)}" for i, f in fields) + " END"
+
+
+def _statistics_of_cells(df: DataFrame, fields: list, table: DataFrame, counted: DataFrame) -> DataFrame:
+    """The same statistics; those of whole numbers and doubles come from the counted cells."""
+    known = [(i, f) for i, f in fields if not isinstance(family(f.dataType), T.StringType)]
+    others = [(i, f) for i, f in fields if isinstance(family(f.dataType), T.StringType)]
+    parts = [_statistics(df, part) for part in _chunks(others)]
+    if known:
+        rows = (
+            column_list(df, known)
+            .join(F.broadcast(counted), "position", "left")
+            .join(F.broadcast(deviations(table, counted)), "position", "left")
+            .withColumn("null_count", F.col("total_count") - F.col("valued"))
+        )
+        shown = {
+            "bytes": f"coalesce({_widths(known)}, 0)",
+            "min_value": "coalesce(CAST(min_whole AS STRING), CAST(least AS STRING))",
+            "max_value": "coalesce(CAST(max_whole AS STRING), CAST(greatest AS STRING))",
+            "min_number": "coalesce(CAST(min_whole AS DOUBLE), least)",
+            "mean": "mean",
+            "std": "std",
+        }
+        parts.append(_with_statistics(rows, shown))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _frequencies_by_family(df: DataFrame, columns: Sequence[str] | None) -> dict[T.DataType, DataFrame]:
@@ -146,7 +174,7 @@ def _frequencies_by_family(df: DataFrame, columns: Sequence[str] | None) -> dict
     """
     families: dict[T.DataType, list] = {}
     for i, f in _fields(df, columns):
-        families.setdefault(_family(f.dataType), []).append((i, f))
+        families.setdefault(family(f.dataType), []).append((i, f))
 
     def cell(i: int, f: T.StructField, family: T.DataType) -> str:
         value = present_sql(f.name, f.dataType)
@@ -212,148 +240,45 @@ def _number(f: T.StructField) -> str:
     return f"CAST({present_sql(f.name, f.dataType)} AS DOUBLE)"
 
 
-def _double(value: float) -> str:
-    """A SQL double that reads back as the same number."""
-    return f"CAST('{value!r}' AS DOUBLE)"
-
-
 def quartile_brackets(df: DataFrame, columns: Sequence[str] | None = None) -> dict[int, list[float]]:
-    """Per numeric column, six values that enclose the three quartiles pairwise.
+    """Per numeric column, values around each of the three quartiles, ascending.
 
-    Runs the quantile sketches and collects these few numbers, so that the next
-    pass compares with constants. Columns without any number are left out.
+    Runs one scan with quantile sketches and collects these few numbers.
+    Columns without any number are left out.
     """
-    edges = [e for q in QUARTILES for e in (max(q - BRACKET, 0.0), min(q + BRACKET, 1.0))]
-
-    shares = ", ".join(map(repr, edges))
-
-    def sketched(part) -> DataFrame:
-        wide = df.agg(
-            *(
-                F.expr(f"percentile_approx({_number(f)}, array({shares}), {SKETCH_ACCURACY}) AS e_{i}")
-                for i, f in part
-            )
-        )
-        rows = ", ".join(f"struct({i} AS position, e_{i} AS edges)" for i, _ in part)
-        return wide.selectExpr(f"inline(array({rows}))")
-
-    parts = [sketched(part) for part in _chunks(_numeric(df, columns))]
-    if not parts:
+    chosen = _numeric(df, columns)
+    if not chosen:
         return {}
-    rows = reduce(DataFrame.unionByName, parts).where(F.col("edges").isNotNull()).collect()
+    ranks = ", ".join(f"{r!r}D" for r in bracket_ranks())
+    rows = (
+        _long_numbers(df, chosen)
+        .groupBy("position")
+        .agg(F.expr(f"kll_sketch_agg_double(v, {SKETCH_SIZE})").alias("sketch"))
+        .selectExpr("position", f"kll_sketch_get_quantile_double(sketch, array({ranks})) AS edges")
+        .collect()
+    )
     return {r["position"]: list(r["edges"]) for r in rows}
 
 
-def _split_by_scan(df: DataFrame, chosen: list, brackets: dict[int, list[float]]) -> tuple[DataFrame, DataFrame]:
-    """Counts below each bracket, and the enclosed values, from the table itself."""
-    marks = range(len(QUARTILES))
-
-    def counted(part) -> DataFrame:
-        aggregates, rows = [], []
-        for i, f in part:
-            aggregates.append(f"count({_number(f)}) AS rows_{i}")
-            aggregates += [
-                f"coalesce(sum(CAST({_number(f)} < {_double(brackets[i][2 * q])} AS INT)), 0) AS below_{i}_{q}" for q in marks
-            ]
-            each = ", ".join(f"below_{i}_{q}" for q in marks)
-            rows.append(f"struct({i} AS position, rows_{i} AS rows, array({each}) AS below)")
-        return df.agg(*map(F.expr, aggregates)).selectExpr(f"inline(array({', '.join(rows)}))")
-
-    def enclosed(part) -> DataFrame:
-        cells = []
-        for i, f in part:
-            v, e = _number(f), list(map(_double, brackets[i]))
-            hit = " OR ".join(f"({v} >= {e[2 * q]} AND {v} <= {e[2 * q + 1]})" for q in marks)
-            cells.append(f"struct({i} AS position, CASE WHEN {hit} THEN {v} END AS v)")
-        return df.selectExpr(f"inline(array({', '.join(cells)}))").where("v IS NOT NULL")
+def _long_numbers(df: DataFrame, chosen: list[tuple[int, T.StructField]]) -> DataFrame:
+    """``(position, v, n)`` of each numeric cell."""
+    rows = ", ".join(f"struct({i} AS position, {_number(f)} AS v)" for i, f in chosen)
+    return df.selectExpr(f"inline(array({rows}))").where("v IS NOT NULL").withColumn("n", F.lit(1).cast("bigint"))
 
-    below = reduce(DataFrame.unionByName, map(counted, _chunks(chosen)))
-    cells = reduce(DataFrame.unionByName, map(enclosed, _chunks(chosen)))
-    return below, cells.groupBy("position", "v").agg(F.count(F.lit(1)).alias("n"))
 
-
-def _split_by_frequency(numbers: list[DataFrame], edges: str) -> tuple[DataFrame, DataFrame]:
-    """The same from value-frequency tables, whose exchange is already there."""
-    marks = range(len(QUARTILES))
-
-    def marked(t: DataFrame) -> DataFrame:
-        return t.selectExpr("position", "CAST(value AS DOUBLE) AS v", "n", f"{edges} AS e")
-
-    all_cells = reduce(DataFrame.unionByName, map(marked, numbers))
-    below = all_cells.groupBy("position").agg(
-        F.sum("n").alias("rows"),
-        F.array(*(F.expr(f"sum(CASE WHEN v < e[{2 * q}] THEN n ELSE 0L END)") for q in marks)).alias("below"),
-    )
-    hit = " OR ".join(f"(v >= e[{2 * q}] AND v <= e[{2 * q + 1}])" for q in marks)
-    # The condition is on `n`, so that it stays above the shared exchange.
-    values = all_cells.selectExpr("position", "v", f"CASE WHEN {hit} THEN n ELSE 0L END AS n").where("n > 0")
-    return below, values
-
-
-def quartiles(
-    df: DataFrame,
-    brackets: dict[int, list[float]],
-    columns: Sequence[str] | None = None,
-    families: dict[T.DataType, DataFrame] | None = None,
-) -> DataFrame:
+def quartiles(df: DataFrame, brackets: dict[int, list[float]], columns: Sequence[str] | None = None) -> DataFrame:
     """Exact, linearly interpolated quartiles: ``(position, p25, median, p75)``.
 
-    What lies below a bracket is only counted; what lies inside one, about
-    ``4 * rows / SKETCH_ACCURACY`` rows, is ranked. No task ever holds a whole
-    column. With value-frequency tables at hand the table is not read again.
+    Values outside the brackets are only counted, so no column is shuffled; see
+    :mod:`plumbob.operators.quartiles`. Brackets that are off cost a read, not
+    the result.
     """
-    marks = range(len(QUARTILES))
     chosen = [(i, f) for i, f in _numeric(df, columns) if i in brackets]
     if not chosen:
         empty = df.select(F.lit(0).alias("position")).limit(0)
         return empty.select("position", *(F.lit(None).cast("double").alias(c) for c in ("p25", "median", "p75")))
-    # Edges by position; columns without a bracket have none.
-    listed = ", ".join(
-        f"array({', '.join(map(_double, brackets[i]))})" if i in brackets else "CAST(NULL AS ARRAY<DOUBLE>)"
-        for i in range(max(brackets) + 1)
-    )
-    edges = f"array({listed})[position]"
-    if families is None or any(isinstance(_family(f.dataType), T.StringType) for _, f in chosen):
-        below, values = _split_by_scan(df, chosen, brackets)
-    else:
-        numbers = [t for d, t in families.items() if not isinstance(d, T.StringType)]
-        below, values = _split_by_frequency(numbers, edges)
-    hits = ", ".join(f"CASE WHEN v >= edges[{2 * q}] AND v <= edges[{2 * q + 1}] THEN {q} END" for q in marks)
-    inside = values.selectExpr("position", "v", "n", f"{edges} AS edges").selectExpr(
-        "position", "v", "n", f"explode(array_compact(array({hits}))) AS q"
-    )
-    # The running count is taken piece by piece: pieces are cut at quantiles of
-    # the enclosed values, so even a bracket is never ranked by a single task.
-    cuts = inside.groupBy("position", "q").agg(
-        F.percentile_approx(F.when(F.col("n") > 0, F.col("v")), [i / PIECES for i in range(1, PIECES)], 20 * PIECES).alias("cuts")
-    )
-    pieced = inside.join(F.broadcast(cuts), ["position", "q"]).select(
-        "position", "q", "v", "n", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("piece")
-    )
-    before_piece = W.partitionBy("position", "q").orderBy("piece")
-    pieces = pieced.groupBy("position", "q", "piece").agg(F.sum("n").alias("size"))
-    pieces = pieces.withColumn("ahead", F.sum("size").over(before_piece) - F.col("size")).drop("size")
-    in_piece = W.partitionBy("position", "q", "piece").orderBy("v")
-    ranked = (
-        pieced.withColumn("within", F.sum("n").over(in_piece))
-        .join(F.broadcast(pieces), ["position", "q", "piece"])
-        .join(F.broadcast(below), "position")
-        .withColumn("upto", F.col("within") + F.col("ahead") + F.element_at("below", F.col("q") + 1))
-    )
-    p = F.element_at(F.array(*map(F.lit, QUARTILES)), F.col("q") + 1)
-    at = p * (F.col("rows") - 1)
-    holds = lambda rank: (F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto"))
-    picked = ranked.groupBy("position", "q").agg(
-        F.max(F.when(holds(F.floor(at)), F.col("v"))).alias("lower"),
-        F.max(F.when(holds(F.ceil(at)), F.col("v"))).alias("upper"),
-        F.max(at - F.floor(at)).alias("fraction"),
-    )
-    # Equal neighbours need no step between them, which for infinities would be no number.
-    between = F.col("lower") + (F.col("upper") - F.col("lower")) * F.col("fraction")
-    exact = F.when((F.col("lower") == F.col("upper")) | (F.col("fraction") == 0), F.col("lower")).otherwise(between)
-    return picked.groupBy("position").agg(
-        *(F.max(F.when(F.col("q") == q, exact)).alias(name) for q, name in enumerate(("p25", "median", "p75")))
-    )
+    edges = local_table(df.sparkSession, [(i, brackets[i]) for i, _ in chosen], "position int, edges array<double>")
+    return quartiles_of(_long_numbers(df, chosen), cuts_of_brackets(edges), most=max(map(len, brackets.values())))
 
 
 def _gathered(ranked: DataFrame, name: str, **fields: str) -> DataFrame:
@@ -423,29 +348,37 @@ def profile(
     unknown = set(include) - set(PARTS)
     if unknown:
         raise ValueError(f"unknown parts: {sorted(unknown)}")
-    brackets = quartile_brackets(df, columns) if "quartiles" in include else {}
+    numeric = _numeric(df, columns)
     sides = []
     if approx:
+        joined = column_statistics(df, columns)
         sides.append(_sketched(df, columns, top_k, pattern_k))
-        # The lower edge of a bracket is an approximate quartile.
+        # The middle of a bracket is an approximate quartile.
+        brackets = quartile_brackets(df, columns) if "quartiles" in include else {}
         if brackets:
-            near = [(i, *(e[2 * q] for q in range(len(QUARTILES)))) for i, e in brackets.items()]
+            near = [(i, *(e[(2 * q + 1) * len(e) // (2 * len(QUARTILES))] for q in range(len(QUARTILES)))) for i, e in brackets.items()]
             sides.append(local_table(df.sparkSession, near, "position int, p25 double, median double, p75 double"))
-    else:
-        families = _frequencies_by_family(df, columns)
-        frequencies = _as_text(families)
+    elif {"distinct", "top", "patterns"} & set(include):
+        table = cells(df, wanted, shaped="patterns" in include)
+        counted = counts(table)
+        joined = _statistics_of_cells(df, wanted, table, counted)
         if "distinct" in include:
-            sides.append(distinct_counts(frequencies))
-        if "top" in include:
-            sides.append(_gathered(top_values(frequencies, top_k), "top_k", value="value", count="n"))
-        if "patterns" in include and texts:
-            shapes = value_patterns(families[T.StringType()], pattern_k, texts)
+            sides.append(counted.select("position", "distinct_count"))
+        tops, shapes = leading(
+            df, wanted, table, top_k if "top" in include else None, pattern_k if "patterns" in include and texts else None
+        )
+        if tops is not None:
+            sides.append(_gathered(tops, "top_k", value="value", count="n"))
+        if shapes is not None:
             sides.append(_gathered(shapes, "patterns", pattern="pattern", count="n", pct="pct"))
-        if brackets:
-            shared = families if {"distinct", "top"} & set(include) else None
-            sides.append(quartiles(df, brackets, columns, shared))
+        if "quartiles" in include and numeric:
+            values = numbers(table, wanted)
+            sides.append(quartiles_of(values, cuts_of_values(values)))
+    else:
+        joined = column_statistics(df, columns)
+        if "quartiles" in include and numeric:
+            sides.append(quartiles(df, quartile_brackets(df, columns), columns))
     # Each joined side holds at most one row per column.
-    joined = column_statistics(df, columns)
     for side in sides:
         joined = joined.join(F.broadcast(side), "position", "left")
     absent = {"distinct_count": "bigint", "top_k": _BARE, "patterns": "array<struct<pattern:string,count:bigint,pct:double>>", "p25": "double", "median": "double", "p75": "double"}

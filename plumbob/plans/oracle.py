@@ -12,7 +12,7 @@ from plumbob.operators.profile import ID_HINTS
 from plumbob.operators.rules import DIMENSIONS
 from plumbob.operators.score import DEFAULT_WEIGHTS, GRADES, SEVERITY_WEIGHTS
 from plumbob.operators.semantic import DETECTORS, FALLBACK_CONFIDENCE, LEAST_SHARE, REDACTIONS
-from plumbob.plans.queries import POLICIES, TEAM_WEIGHTS
+from plumbob.plans.queries import POLICIES, SMALL_TABLES, TEAM_WEIGHTS
 
 DIRTY = """dirty AS (SELECT c_custkey,
   CASE WHEN c_custkey % 50 = 1 THEN c_custkey - 1 ELSE c_custkey END AS dup_key,
@@ -265,6 +265,29 @@ def _numeric(columns, source, moments=True) -> list[str]:
     return out
 
 
+def _small(name: str, source: str, by: str, value: str) -> str:
+    """Ranks in a sorted list; equal neighbours need no step."""
+    parts = []
+    for column, q in (("p25", 0.25), ("median", 0.5), ("p75", 0.75)):
+        at = f"({q} * (len(v) - 1))"
+        low, high = f"v[CAST(floor({at}) AS INTEGER) + 1]", f"v[CAST(ceil({at}) AS INTEGER) + 1]"
+        parts.append(f"round(CASE WHEN {low} = {high} OR {at} = floor({at}) THEN {low} ELSE {low} + ({high} - {low}) * ({at} - floor({at})) END, 4) AS {column}")
+    grouped = f"SELECT CAST({value} AS DOUBLE) AS x FROM {source} GROUP BY {'ALL' if by == '1' else by}"
+    listed = f"SELECT list(x ORDER BY x) AS v FROM ({grouped}) WHERE x IS NOT NULL"
+    return f"SELECT '{name}' AS name, unnest(['counted', 'brackets']) AS way, {', '.join(parts)} FROM ({listed})"
+
+
+def _text_profile(c: str) -> str:
+    hashed = lambda kind, order: (
+        f"(SELECT string_agg(sha256({kind}) || ':' || n, ' ' ORDER BY n DESC, {kind}) FROM ({order}) WHERE rank <= 3)"
+    )
+    return (
+        f"SELECT '{c}' AS name, count(*) AS total_count, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS distinct_count, "
+        f"max(length({c})) AS max_length, sha256(min({c})) AS least, {hashed('value', _top('documents', c))} AS top, "
+        f"{hashed('pattern', _patterns('documents', c))} AS patterns FROM documents"
+    )
+
+
 def _full_profile() -> str:
     parts = []
     for c in TABLE_COLUMNS["lineitem"].split(","):
@@ -529,7 +552,7 @@ ORACLE: dict[str, str] = {
 count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty)) AS duplicate_row_count,
 CAST({_CELL_BYTES} AS BIGINT) AS memory_bytes,
 round(100.0 * ({" + ".join(f"count(*) - count({_clean(c)})" for c in COLUMNS)}) / (count(*) * 8), 4) AS null_cell_pct FROM dirty""",
-    "duplicate_rows": "SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_row_count FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)",
+    "duplicate_rows": f"SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_row_count FROM (SELECT count(*) AS n FROM (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_quantity % 2 = 1) GROUP BY {TABLE_COLUMNS['lineitem']})",
     "column_counts": _column_counts(),
     "numeric_stats": " UNION ALL ".join(
         _numeric(
@@ -537,6 +560,8 @@ round(100.0 * ({" + ".join(f"count(*) - count({_clean(c)})" for c in COLUMNS)})
         )
     ),
     "quartiles_with_missing": _with(*_numeric(("age", "nation_fk", "bal_nan"), "dirty", moments=False)),
+    "quartiles_small": " UNION ALL ".join(_small(*t) for t in SMALL_TABLES),
+    "text_profile": " UNION ALL ".join(map(_text_profile, ("text", "source", "lang"))),
     "string_lengths": " UNION ALL ".join(
         f"SELECT '{c}' AS name, min(length({c})) AS min_length, max(length({c})) AS max_length, round(avg(length({c})), 2) AS avg_length FROM documents"
         for c in ("text", "lang", "source")

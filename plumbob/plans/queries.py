@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -151,8 +152,9 @@ def dataset_profile(spark, sf):
 
 
 def duplicate_rows(spark, sf):
-    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
-    return profiling.duplicate_rows(rows)
+    """Every line item twice where its quantity is odd, compared over all columns."""
+    rows = table(spark, sf, "lineitem")
+    return profiling.duplicate_rows(rows.unionAll(rows.where("l_quantity % 2 = 1")))
 
 
 def column_counts(spark, sf):
@@ -175,6 +177,42 @@ def quartiles_with_missing(spark, sf):
     return p.select("name", *_rounded(p, ("median", "p25", "p75")))
 
 
+#: Small tables made of large ones: name, table, what to group by, numbers.
+SMALL_TABLES = (
+    ("all", "orders", "1", "max(o_totalprice)"),
+    ("status", "orders", "o_orderstatus", "sum(o_custkey)"),
+    ("flags", "lineitem", "l_returnflag, l_linestatus", "max(l_extendedprice)"),
+    ("priority", "orders", "o_orderpriority", "CASE WHEN min(o_orderkey) % 5 < 9 THEN count(*) END"),
+    ("tens", "orders", "o_custkey % 10", "max(o_totalprice)"),
+    ("tax", "lineitem", "l_tax", "sum(l_quantity)"),
+    ("days", "orders", "CAST(o_orderdate AS DATE)", "min(o_totalprice)"),
+    ("suppliers", "lineitem", "l_suppkey", "max(l_partkey)"),
+    ("infinite", "lineitem", "l_quantity", "CASE WHEN l_quantity >= 49 THEN CAST('Infinity' AS DOUBLE) WHEN l_quantity < 3 THEN CAST('-Infinity' AS DOUBLE) ELSE max(l_tax) * l_quantity END"),
+)
+
+
+def quartiles_small(spark, sf):
+    """Tables of one row to some thousands, by counted cells and by brackets."""
+    found = []
+    for name, source, by, value in SMALL_TABLES:
+        rows = table(spark, sf, source).groupBy(*map(F.expr, by.split(", "))).agg(F.expr(value).alias("v")).select(F.col("v").cast("double").alias("v"))
+        for way, include in (("counted", ("distinct", "quartiles")), ("brackets", ("quartiles",))):
+            p = profiling.profile(rows, include=include)
+            found.append(p.select(F.lit(name).alias("name"), F.lit(way).alias("way"), *_rounded(p, ("p25", "median", "p75"))))
+    return reduce(DataFrame.unionByName, found)
+
+
+def text_profile(spark, sf):
+    """A profile of whole texts, which are counted by digest."""
+    p = profiling.profile(table(spark, sf, "documents").select("text", "source", "lang"), top_k=3, pattern_k=3)
+    ends = lambda name, key: F.transform(F.col(name), lambda v: F.concat_ws(":", F.sha2(v[key], 256), v["count"].cast("string")))
+    return p.select(
+        "name", "total_count", "null_count", "distinct_count", "max_length",
+        F.sha2("min_value", 256).alias("least"), F.array_join(ends("top_k", "value"), " ").alias("top"),
+        F.array_join(ends("patterns", "pattern"), " ").alias("patterns"),
+    )
+
+
 def string_lengths(spark, sf):
     p = profiling.column_statistics(table(spark, sf, "documents"), columns=["text", "lang", "source"])
     return p.select(
@@ -837,7 +875,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scan_filter, scan_count, sample_rows, sample_summary, preview_rows, list_files, csv_source, flatten_json, dataset_registry,
-        dataset_profile, duplicate_rows, column_counts, numeric_stats, quartiles_with_missing, string_lengths,
+        dataset_profile, duplicate_rows, column_counts, numeric_stats, quartiles_with_missing, quartiles_small, text_profile, string_lengths,
         top_values, value_patterns, profile_view, full_profile, auto_rules,
         rule_null, rule_unique, rule_unique_multi, rule_range, rule_regex, rule_fk_values, rule_fk_long_list,
         rule_fk_table, rule_freshness, rule_consistency, rule_consistency_pairs, rule_accuracy, rule_set,

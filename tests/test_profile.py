@@ -146,7 +146,76 @@ def test_profile_counts_values_once(spark, data):
     result = profile(spark.read.parquet(f"{data}/supplier.parquet"))
     result.collect()
     plan = result._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    exchanges = [line for line in plan.splitlines() if "hashpartitioning(position" in line and ", value" in line]
+    exchanges = [line for line in plan.splitlines() if "hashpartitioning(position" in line and ", whole" in line]
     made = [line for line in exchanges if "ReusedExchange" not in line]
-    assert len(made) == 3  # whole numbers, doubles, texts
+    assert len(made) == 1  # whole numbers, doubles and texts together
     assert "Python" not in plan
+
+
+def _quantiles(values):
+    return list(np.quantile(np.array(values, float), (0.25, 0.5, 0.75)))
+
+
+SIZES = [1, 2, 3, 4, 5, 6, 7, 10, 11, 199, 1501, 1502, 3003, 5003, 6000]
+
+
+@pytest.mark.parametrize("part", [0, 1])
+def test_quartiles_of_any_size(spark, part):
+    """Many small columns, through the counted cells and through brackets."""
+    rng = np.random.default_rng(9 + part)
+    columns = [rng.choice([rng.normal(0, 1, n), rng.integers(0, 3, n).astype(float), rng.pareto(0.3, n)]) for n in SIZES]
+    columns[2][0] = columns[5][1] = float("inf")
+    columns[6][2] = -float("inf")
+    rows = zip(*(list(c) + [None] * (max(SIZES) - len(c)) for c in columns))
+    df = spark.createDataFrame([tuple(None if v is None else float(v) for v in r) for r in rows], ", ".join(f"c{n} double" for n in SIZES)).repartition(5)
+    for include in ({"distinct", "quartiles"}, {"quartiles"}):
+        got = {r["name"]: [r["p25"], r["median"], r["p75"]] for r in profile(df, include=include).collect()}
+        for n, values in zip(SIZES, columns):
+            v = np.sort(values)
+            for mine, q in zip(got[f"c{n}"], (0.25, 0.5, 0.75)):
+                low, high, at = v[int(np.floor(q * (n - 1)))], v[int(np.ceil(q * (n - 1)))], q * (n - 1)
+                want = low if low == high or at == int(at) else low + (high - low) * (at - int(at))
+                assert mine == pytest.approx(want, rel=1e-12, nan_ok=True), (n, q, include)
+
+
+def test_cuts_that_are_off_cost_no_rank(spark):
+    values = [float(v) for v in range(1000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    for edges in ([0.0] * 6, [5.0, 6.0] * 3, [-9.0, 2000.0] * 3, [3.0, 3.0, 500.0, 500.0, 999.0, 999.0]):
+        (r,) = p.quartiles(df, {0: edges}).collect()
+        assert [r["p25"], r["median"], r["p75"]] == _quantiles(values)
+
+
+def _plain_leading(values, k):
+    counted = {}
+    for v in values:
+        counted[v] = counted.get(v, 0) + 1
+    return sorted(counted.items(), key=lambda e: (-e[1], e[0].encode()))[:k]
+
+
+def test_long_texts_travel_as_digests(spark):
+    """Ties among long texts with equal beginnings, patterns shared by long and short ones, no text in the exchange."""
+    import re
+
+    start = "the same beginning of many texts, longer than any that is cut off "
+    texts = [f"{start}{c} {n} end" for c in "abcdefghij" for n in (1, 22, 333)] * 2 + [f"{start}{c} 1 end" for c in "ab"]
+    texts += ["x" * 100, "y" * 100, "z", "short 1", "x" * 30, "", "1" * 70, "22"] + [None] * 3
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "t string, i int").repartition(4)
+    got = profile(df, top_k=7, pattern_k=6)
+    (r,) = got.where("name = 't'").collect()
+    present = [t for t in texts if t is not None]
+    assert [tuple(v) for v in r["top_k"]] == _plain_leading(present, 7)
+    shapes = [re.sub(r"\d+", "D+", re.sub(r"[^\W\d_]+", "A+", t)) for t in present]
+    assert [(v["pattern"], v["count"]) for v in r["patterns"]] == _plain_leading(shapes, 6)
+    assert (r["distinct_count"], r["null_count"], r["min_value"], r["max_length"]) == (len(set(present)), 3, "", 100)
+    from plumbob.operators import frequencies as f
+
+    keys = f.cells(df, list(enumerate(df.schema))).where("long IS NOT NULL").selectExpr("max(length(to_json(long))) AS n").first()
+    assert keys["n"] < 300
+
+
+def test_no_long_texts_no_second_read(spark, data):
+    result = profile(spark.read.parquet(f"{data}/supplier.parquet"))
+    result.collect()
+    final = result._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("Scan parquet") <= 2
