@@ -746,12 +746,13 @@ UNION ALL SELECT unnest(['unknown_column', 'raising', 'without_column']), 'skipp
 UNION ALL SELECT 'good_too', 'ran', 0 UNION ALL SELECT unnest(['bad_pattern', 'bad_type', 'bad_threshold']), 'skipped', NULL""",
     "csv_quoted": """SELECT c_custkey, 'a "' || c_mktsegment || '", b' AS said, CASE WHEN c_custkey % 3 = 0 THEN 'one' || chr(10) || c_name ELSE c_name END AS lines FROM customer
 UNION ALL SELECT -1, 'row_count', CAST(count(*) AS VARCHAR) FROM customer""",
-    "json_lines": "SELECT CAST(r_regionkey AS BIGINT) AS k, r_name AS name FROM region",
-    "json_array": "SELECT CAST(r_regionkey AS BIGINT) AS k, r_name AS name FROM region",
-    "json_object": "SELECT CAST(r_regionkey AS BIGINT) AS k, r_name AS name, (SELECT count(*) FROM region) AS n FROM region ORDER BY r_regionkey LIMIT 1",
-    "in_memory_rows": "SELECT CAST(r_regionkey AS BIGINT) AS k, CASE WHEN r_regionkey % 2 = 1 THEN r_regionkey ELSE r_regionkey / 2 END::DOUBLE AS mixed, NULL AS none, CASE WHEN r_regionkey <> 0 THEN r_name END AS name FROM region",
-    "history_names": "SELECT d AS dataset, 'run' || n_regionkey AS run_id, count(*) AS n FROM nation, unnest(['007', '7', '2024-01-01']) AS u(d) GROUP BY d, n_regionkey",
-    "sla_unscored": """WITH d AS (SELECT DISTINCT 'r' || n_regionkey AS dataset FROM nation)
+    "json_lines": "SELECT CAST(c_custkey AS BIGINT) AS k, c_name AS name FROM customer",
+    "json_array": """SELECT CAST(c_custkey AS BIGINT) AS k, '}, {"' || c_name || chr(92) AS name, CAST(c_nationkey AS BIGINT) AS n FROM customer""",
+    "json_object": "SELECT CAST(min(o_orderkey) AS BIGINT) AS k, min(o_orderpriority) AS name, count(*) AS n FROM orders",
+    "in_memory_rows": """SELECT CAST(left(o_orderpriority, 1) AS BIGINT) AS k, (CASE WHEN n % 2 = 1 THEN n ELSE n / 2 END)::DOUBLE AS mixed, NULL AS none,
+CASE WHEN left(o_orderpriority, 1) <> '1' THEN o_orderpriority END AS name FROM (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1)""",
+    "history_names": "SELECT d AS dataset, 'run' || o_orderstatus AS run_id, count(*) AS n FROM orders, unnest(['007', '7', '2024-01-01']) AS u(d) GROUP BY d, o_orderstatus",
+    "sla_unscored": """WITH d AS (SELECT DISTINCT 'r' || o_custkey % 5 AS dataset FROM orders)
 SELECT 'fresh' AS policy, dataset, 'timeliness' AS dimension, false AS met, 'block' AS action FROM d
 UNION ALL SELECT 'valid', dataset, 'validity', true, 'pass' FROM d UNION ALL SELECT 'each', dataset, 'validity', true, 'pass' FROM d WHERE dataset = 'r1'""",
 }

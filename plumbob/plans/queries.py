@@ -800,48 +800,49 @@ def _quoted(spark, sf):
 
 
 def csv_quoted(spark, sf):
-    """Quotes and line breaks within cells, and the catalogue's count of such a file."""
+    """Quotes and line breaks within cells of several files, and the catalogue's counts of such files."""
     path = scratch_path(spark, "quoted")
-    _quoted(spark, sf).coalesce(1).write.options(header=True, escape='"').csv(path)
+    _quoted(spark, sf).repartition(3).write.options(header=True, escape='"').csv(path)
     rows = files.load(spark, path + "/*.csv").select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "said", "lines")
-    counted = files.list_datasets(spark, path).select(F.lit(-1).cast("bigint"), F.lit("row_count"), F.col("row_count").cast("string"))
+    counted = files.list_datasets(spark, path).agg(F.lit(-1).cast("bigint"), F.lit("row_count"), F.sum("row_count").cast("string"))
     return rows.union(counted)
 
 
-def _json(spark, sf, kind):
-    path = scratch_path(spark, kind)
-    rows = table(spark, sf, "region").selectExpr("struct(r_regionkey AS k, r_name AS name) AS r")
-    if kind == "lines":
-        rows.select("r.*").coalesce(1).write.json(path)
-    else:
-        whole = rows.agg(F.sort_array(F.collect_list("r")).alias("a"))
-        text = F.to_json("a") if kind == "array" else F.to_json(F.struct(F.struct(F.element_at("a", 1).alias("first"), F.size("a").alias("n")).alias("o")))
-        whole.select(F.regexp_replace(text, ",", ",\n")).write.text(path)
-    return files.load(spark, path + ("/*.json" if kind == "lines" else "/*.txt")) if kind == "lines" else files.read_json(
-        spark, path, flatten_object=kind == "object"
-    )
-
-
 def json_lines(spark, sf):
-    return _json(spark, sf, "lines").select(F.col("k").cast("bigint").alias("k"), "name")
+    path = scratch_path(spark, "lines")
+    table(spark, sf, "customer").selectExpr("c_custkey AS k", "c_name AS name").write.json(path)
+    return files.load(spark, path + "/*.json").select(F.col("k").cast("bigint").alias("k"), "name")
 
 
 def json_array(spark, sf):
-    return _json(spark, sf, "array").select(F.col("k").cast("bigint").alias("k"), "name")
+    """Files with an array each, of up to a thousand objects whose texts hold brackets and quotes."""
+    path = scratch_path(spark, "arrays")
+    item = "struct(c_custkey AS k, concat('}, {\"', c_name, '\\\\') AS name, array(struct(c_nationkey AS n)) AS more)"
+    rows = table(spark, sf, "customer").selectExpr("c_custkey DIV 1000 AS block", f"{item} AS r")
+    arrays = rows.groupBy("block").agg(F.to_json(F.sort_array(F.collect_list("r"))).alias("value"))
+    arrays.repartition("block").write.partitionBy("block").text(path)
+    found = files.read_json(spark, path + "/*/*.txt")
+    return found.select(F.col("k").cast("bigint").alias("k"), "name", F.col("more")[0]["n"].cast("bigint").alias("n"))
 
 
 def json_object(spark, sf):
-    found = _json(spark, sf, "object")
+    """One object, nested, of figures of all orders."""
+    path = scratch_path(spark, "object")
+    first = F.struct(F.min("o_orderkey").alias("k"), F.min("o_orderpriority").alias("name"))
+    whole = table(spark, sf, "orders").agg(F.struct(first.alias("first"), F.count(F.lit(1)).alias("n")).alias("o"))
+    whole.select(F.regexp_replace(F.to_json(F.struct("o")), ",", ",\n")).write.text(path)
+    found = files.read_json(spark, path, flatten_object=True)
     return found.select(
         F.col("`o.first.k`").cast("bigint").alias("k"), F.col("`o.first.name`").alias("name"), F.col("`o.n`").cast("bigint").alias("n")
     )
 
 
 def in_memory_rows(spark, sf):
-    """Rows of a table handed over as dictionaries, with missing and mixed cells."""
+    """Rows handed over as dictionaries, with missing and mixed cells: one per order priority."""
+    priorities = table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n")).collect()
     rows = [
-        {"k": x.r_regionkey, "mixed": x.r_regionkey if x.r_regionkey % 2 else x.r_regionkey / 2, "none": None, **({"name": x.r_name} if x.r_regionkey else {})}
-        for x in table(spark, sf, "region").collect()
+        {"k": int(x.o_orderpriority[0]), "mixed": x.n if x.n % 2 else x.n / 2, "none": None, **({} if x.o_orderpriority.startswith("1") else {"name": x.o_orderpriority})}
+        for x in priorities
     ]
     return tables.from_rows(spark, rows)
 
@@ -849,16 +850,16 @@ def in_memory_rows(spark, sf):
 def history_names(spark, sf):
     """Dataset names that look like numbers stay apart."""
     path = scratch_path(spark, "names")
-    counts = table(spark, sf, "nation").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"))
+    counts = table(spark, sf, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
     for name in ("007", "7", "2024-01-01"):
-        rows = counts.selectExpr("concat('run', n_regionkey) AS run_id", "n", f"'{name}' AS dataset")
+        rows = counts.selectExpr("concat('run', o_orderstatus) AS run_id", "n", f"'{name}' AS dataset")
         history.append_run(rows, path)
     return history.read_history(spark, path).select("dataset", "run_id", "n")
 
 
 def sla_unscored(spark, sf):
     """A gate on a dimension without a score blocks."""
-    scores = table(spark, sf, "nation").groupBy(F.concat(F.lit("r"), "n_regionkey").alias("dataset")).agg(F.count(F.lit(1)).alias("n"))
+    scores = table(spark, sf, "orders").groupBy(F.concat(F.lit("r"), F.col("o_custkey") % 5).alias("dataset")).agg(F.count(F.lit(1)).alias("n"))
     runs = scores.selectExpr(
         "dataset", "'x' AS run_id", "timestamp'2024-01-01' AS run_at", "1.0D AS overall_score", "'A' AS grade",
         "map('validity', named_struct('pass_rate', 1.0D)) AS dimensions",

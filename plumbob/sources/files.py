@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import csv
 import io
-import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbob.functions.columns import ref
+from plumbob.sources import ranges
 
 # Extensions and the reader each one selects.
 READERS = {".csv": "csv", ".parquet": "parquet", ".pq": "parquet", ".json": "json"}
@@ -31,17 +31,37 @@ def _reader_of(path: str) -> str:
     raise ValueError(f"unsupported file extension: {path}")
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, multi_line: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], schema: str | T.StructType | None = None, multi_line: bool = True) -> DataFrame:
     """Header and types are inferred; a schema saves the inference pass.
 
-    A quote within a quoted cell is doubled. Cells may hold line breaks, which
-    makes a file one task; ``multi_line=False`` splits large files whose cells
-    hold none.
+    A quote within a quoted cell is doubled. Cells may hold line breaks; files
+    are read by ranges all the same (:mod:`plumbob.sources.ranges`): a first pass
+    finds out whether any cell does, and only if so rows are put together from
+    lines. ``multi_line=False`` saves that pass for files known to hold none.
+    The rows of such cells come in no order.
     """
-    reader = spark.read.options(**_csv_options(multi_line))
+    if multi_line:
+        machine = ranges.QuotedLines()
+        found = ranges.functions(spark, path, machine)
+        if not ranges.is_plain(found):
+            return _csv_of_rows(spark, ranges.rows(spark, path, machine, found), schema)
+    reader = spark.read.options(**_csv_options(False))
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
+def _csv_of_rows(spark: SparkSession, rows: DataFrame, schema: str | T.StructType | None) -> DataFrame:
+    """Parse rows of CSV. The first row of a file is its header, and that of any file names the columns."""
+    body = ranges.as_dataset(rows.where("NOT leads").select("text"))
+    options = _csv_options(True)
+    if schema is None:
+        header = rows.where("leads").select("text").limit(1)
+        # The header goes first, so that the reader names the columns by it.
+        both = ranges.as_dataset(header.coalesce(1).unionByName(rows.where("NOT leads").select("text")))
+        inferred = spark.read.options(**options, inferSchema="true")._jreader.csv(both)
+        schema = DataFrame(inferred, spark).schema
+    return DataFrame(spark.read.options(**options | {"header": "false"}).schema(schema)._jreader.csv(body), spark)
+
+
 def _csv_options(multi_line: bool) -> dict[str, str]:
     return {"header": "true", "quote": '"', "escape": '"', "multiLine": str(multi_line).lower()}
 
@@ -51,21 +71,20 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def json_kind(spark: SparkSession, path: str) -> str:
-    """``array``, ``object`` or ``lines``: how a JSON file lays out its rows, by its first two lines.
+    """``objects``, ``array``, ``object`` or ``lines``: how a JSON file lays out its rows.
 
-    An object that ends on its line, with another object after it, makes lines.
+    ``objects`` is an array whose first element is an object. An object that ends
+    on its line, with another object after it, makes lines. Only characters and
+    flags come from the tasks, no text.
     """
-    lines = [r[0].strip() for r in spark.read.text(path).where(F.trim("value") != "").limit(2).collect()]
-    if not lines or lines[0].startswith("["):
-        return "array"
-
-    def whole(line: str) -> bool:
-        try:
-            return isinstance(json.loads(line), dict)
-        except ValueError:
-            return False
-
-    return "lines" if len(lines) == 2 and all(map(whole, lines)) else "object"
+    begins = F.translate("value", " \t\r\n\ufeff", "")
+    first = spark.read.option("lineSep", "}").text(path).where(begins != "").select(F.left(begins, F.lit(2)).alias("begins")).first()
+    if first is None or first["begins"].startswith("["):
+        return "objects" if first and first["begins"] == "[{" else "array"
+    value = F.trim("value")
+    whole = F.coalesce(value.startswith("{") & F.try_parse_json(value).isNotNull(), F.lit(False))
+    lines = spark.read.text(path).where(value != "").select(whole.alias("whole")).limit(2).collect()
+    return "lines" if len(lines) == 2 and all(r["whole"] for r in lines) else "object"
 
 
 def read_json(
@@ -73,14 +92,20 @@ def read_json(
 ) -> DataFrame:
     """A JSON array gives its elements as rows, JSON lines one row each, nested cells kept nested.
 
-    ``kind`` is :func:`json_kind`'s, which is asked if it is not given. Lines
-    are split over tasks; an array or an object is one task, so large data
-    should be lines. ``flatten_object=True`` turns the nested objects of a file
-    that holds one object into columns ``a.b``.
+    ``kind`` is :func:`json_kind`'s, which is asked if it is not given. Lines and
+    arrays of objects are split over tasks, however they are laid out
+    (:mod:`plumbob.sources.ranges`); other arrays and an object are one task.
+    ``flatten_object=True`` turns the nested objects of a file that holds one
+    object into columns ``a.b``.
     """
     kind = kind or json_kind(spark, path)
     reader = spark.read.option("multiLine", kind != "lines")
-    df = (reader.schema(schema) if schema else reader).json(path)
+    reader = reader.schema(schema) if schema else reader
+    if kind == "objects":
+        rows = ranges.rows(spark, path, ranges.ArrayObjects()).select("text")
+        df = DataFrame(reader._jreader.json(ranges.as_dataset(rows)), spark)
+    else:
+        df = reader.json(path)
     return flatten(df) if flatten_object else df
 
 
@@ -158,8 +183,7 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         count = footer.metadata.num_rows
                 else:
                     with system.open_input_stream(inner) as stream:
-                        line = io.TextIOWrapper(stream, encoding="utf-8", newline="").readline()
-                    found.append(next(csv.reader([line])))
+                        found.append(next(csv.reader(io.TextIOWrapper(stream, encoding="utf-8-sig", newline=""))))
             except Exception:
                 found.append(None)
             rows.append(count)
