@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from itertools import combinations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbob.functions.columns import local_table, ref
+from plumbob.functions.columns import ref
+from plumbob.session import stored
 
-# Flips are only listed up to this many; see near_duplicates.
-MOST_FLIPS = 2_000_000
 # Tasks over which the copies of one hash are spread.
 SALTS = 32
-# Buckets with more distinct hashes than this are compared by bit flips.
-HOT_BUCKET = 1000
+# Buckets with more distinct hashes than this are split again.
+HOT_BUCKET = 256
+# A bucket is split if its parts have less than this share of its pairs.
+SPLIT_GAIN = 0.75
 
 
 def text_duplicates(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -36,16 +40,30 @@ def _signed(bits: int) -> int:
     return bits - (1 << 64) if bits >> 63 else bits
 
 
-def _block_masks(blocks: int) -> list[int]:
-    """Masks of ``blocks`` runs of bits that split 64 as evenly as possible."""
-    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    return [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:])]
+def _blocks(bits: int, blocks: int) -> list[int]:
+    """The bits of ``bits`` in runs, as evenly as possible."""
+    ones = [1 << i for i in range(64) if bits >> i & 1]
+    edges = [round(len(ones) * i / blocks) for i in range(blocks + 1)]
+    return [sum(ones[a:b]) for a, b in zip(edges, edges[1:])]
 
 
-def _flips(free: int, most: int) -> list[int]:
-    """Every way to flip at most ``most`` of the bits of ``free``."""
-    bits = [1 << i for i in range(64) if free >> i & 1]
-    return [sum(c) for k in range(most + 1) for c in combinations(bits, k)]
+CROWDED = "mask bigint, key bigint, members bigint, children array<bigint>"
+
+
+def _inner_masks(t: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Masks by which a crowded bucket is split: its constant bits and one block of the varying ones; none if all its pairs are near."""
+    everything = (1 << 64) - 1
+
+    def masks(varying: int) -> list[int]:
+        varying &= everything
+        return [_signed(everything ^ varying | b) for b in _blocks(varying, t + 1)] if varying.bit_count() > t else []
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            children = pa.array(list(map(masks, batch.column("varying").to_pylist())), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("mask", "key", "members")), children], ["mask", "key", "members", "children"])
+
+    return run
 
 
 def near_duplicates(
@@ -64,15 +82,17 @@ def near_duplicates(
     of a group of copies, and every near pair of rows follows from it.
 
     Two hashes that differ in ``t`` bits agree on at least ``blocks - t`` of
-    ``blocks`` bit blocks, so an equi-join per choice of agreeing blocks finds
-    every pair (exact). A bucket that many distinct hashes share is not joined
-    with itself: its members emit the hashes a few flips away on the bits that
-    may still differ, and meet there. That is exact too, and bounds each
-    meeting point whatever the bucket's size. From seven bits on, the flips are
-    too many to list; buckets are then joined as they are, still exact, but a
-    crowded one costs the square of its size.
-
-    The table is read twice, so store hashes that are costly to compute.
+    ``blocks`` bit blocks, so hashes that agree on a choice of blocks form a
+    bucket, and every pair is in one of them (exact). A bucket that more than
+    ``hot_bucket`` distinct hashes share is not joined with itself but split
+    again: near members differ in at most ``t`` of the bits that vary within it,
+    so cut into ``t + 1`` blocks these agree on one. That goes on for any distance until
+    no bucket is crowded, so that each hash meets at most ``hot_bucket`` others a
+    bucket, or until splitting leaves most pairs together, as among hashes that
+    are nearly all near; such a bucket is compared in tiles.
+
+    Hashes are stored below ``spark.checkpoint.dir`` first, and the crowded ones
+    at each split, so costly hashes are computed once.
     """
     t = max_distance
     if not 0 <= t < 32:
@@ -80,12 +100,11 @@ def near_duplicates(
     n_blocks = blocks if blocks is not None else t + 3 if t <= 4 else t + 2
     if n_blocks <= t:
         raise ValueError("more blocks than the distance are needed")
-    pieces = _block_masks(n_blocks)
-    masks = [sum(c) for c in combinations(pieces, n_blocks - t)]
 
     rows = df.select(ref(id_column).alias("id"), ref(hash_column).cast("bigint").alias("hash")).where(
         F.col("hash").isNotNull() & F.col("id").isNotNull()
     )
+    rows = stored(rows, "hashes")
     # The condition always holds. It keeps both aggregates in every branch below,
     # so that all of them reuse one exchange.
     whole = F.col("rep").isNotNull() & (F.col("copies") > 0)
@@ -101,68 +120,47 @@ def near_duplicates(
     if t == 0:
         return same
 
-    mask_literals = [F.lit(_signed(m)) for m in masks]
-    buckets = F.array(
-        *(F.struct(F.lit(i).alias("choice"), F.col("hash").bitwiseAND(m).alias("key")) for i, m in enumerate(mask_literals))
-    )
-    keyed = groups.select("hash", "rep", F.inline(buckets))
-
-    def near(a: str, b: str) -> Column:
-        return F.bit_count(F.col(f"{a}.hash").bitwiseXOR(F.col(f"{b}.hash"))).cast("int")
-
-    def pair(joined: DataFrame) -> DataFrame:
-        return joined.select(
-            F.least("a.rep", "b.rep").alias("id_a"),
-            F.greatest("a.rep", "b.rep").alias("id_b"),
-            near("a", "b").alias("distance"),
-        )
-
-    def together(left: DataFrame, right: DataFrame, place: str) -> DataFrame:
-        """Near pairs among rows that share a choice and a place."""
-        return pair(
-            left.alias("a").join(
-                right.alias("b"),
-                (F.col("a.choice") == F.col("b.choice"))
-                & (F.col(f"a.{place}") == F.col(f"b.{place}"))
-                & (F.col("a.hash") < F.col("b.hash"))
-                & (near("a", "b") <= t),
-            )
+    # As many masks as there are ways to choose blocks.
+    masks = F.array(*(F.lit(_signed(sum(c))) for c in combinations(_blocks((1 << 64) - 1, n_blocks), n_blocks - t)))
+    bucket, found = ["mask", "key"], []
+    keyed = groups.select("hash", "rep", F.explode(masks).alias("mask")).withColumn("key", F.col("hash").bitwiseAND(F.col("mask")))
+    while True:
+        # Bits that vary within a bucket are those that its members may differ in.
+        sizes = keyed.groupBy(bucket).agg(
+            F.count(F.lit(1)).alias("members"), F.bit_or("hash").bitwiseXOR(F.bit_and("hash")).alias("varying")
         )
-
+        hot = sizes.where(F.col("members") > hot_bucket).mapInArrow(_inner_masks(t), CROWDED)
+        hot = stored(hot, "crowded-buckets")
+        none = hot.isEmpty()
+        found.append(_pairs_within(keyed if none else keyed.join(hot, bucket, "left_anti"), t))
+        if none:
+            break
+        crowded = stored(keyed.join(hot, bucket), "crowded-hashes")
+        split = crowded.select("*", F.explode("children").alias("child")).withColumn("inner", F.col("hash").bitwiseAND(F.col("child")))
+        parts = split.groupBy(*bucket, "members", "child", "inner").agg(F.count(F.lit(1)).alias("n"))
+        after = parts.groupBy(*bucket, "members").agg(F.sum(F.col("n") * F.col("n")).alias("after"))
+        worth = stored(after.where(F.col("after") < SPLIT_GAIN * F.col("members") * F.col("members")).select(bucket), "split-buckets")
+        found.append(_pairs_in_tiles(crowded.join(worth, bucket, "left_anti"), t, hot_bucket))
+        if worth.isEmpty():
+            break
+        again = split.join(worth, bucket, "left_semi")
+        keyed = again.select("hash", "rep", F.col("child").alias("mask"), F.col("inner").alias("key")).distinct()
     # A pair may agree on several choices of blocks, hence the distinct.
-    if _flip_count(masks, t) > MOST_FLIPS:
-        return together(keyed, keyed, "key").distinct().unionByName(same)
-
-    hot = (
-        keyed.groupBy("choice", "key")
-        .agg(F.count(F.lit(1)).alias("members"))
-        .where(F.col("members") > hot_bucket)
-        .select("choice", "key")
-    )
-    calm = keyed.join(hot, ["choice", "key"], "left_anti")
-    crowded = keyed.join(hot, ["choice", "key"], "left_semi")
-    flips = [
-        (i, side, _signed(f))
-        for i, m in enumerate(masks)
-        for side, most in (("a", t - t // 2), ("b", t // 2))
-        for f in _flips(~m & ((1 << 64) - 1), most)
-    ]
-    # The table of flips depends on the parameters only, never on the data.
-    flip_table = local_table(df.sparkSession, flips, "choice int, side string, flip bigint")
-
-    def flipped(side: str) -> DataFrame:
-        moves = flip_table.where(F.col("side") == side).select("choice", "flip")
-        return crowded.join(F.broadcast(moves), "choice").select(
-            "hash", "rep", "choice", F.col("hash").bitwiseXOR(F.col("flip")).alias("meet")
-        )
+    return reduce(DataFrame.unionByName, found).distinct().unionByName(same)
 
-    found = together(calm, calm, "key").unionByName(together(flipped("a"), flipped("b"), "meet"))
-    return found.distinct().unionByName(same)
 
+def _pairs_in_tiles(crowded: DataFrame, t: int, tile: int) -> DataFrame:
+    """Near pairs within buckets that can't be thinned out, a tile of each against all of it."""
+    tiles = F.ceil(F.col("members") / max(tile, 1)).cast("int")
+    here = crowded.withColumn("tile", F.pmod(F.xxhash64("hash"), tiles).cast("int"))
+    everywhere = crowded.withColumn("tile", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    return _pairs_within(here, t, everywhere, ("tile",))
 
-def _flip_count(masks: list[int], t: int) -> int:
-    from math import comb
 
-    return sum(
-        sum(comb(64 - m.bit_count(), k) for k in range(most + 1)) for m in masks for most in (t - t // 2, t // 2)
-    )
+def _pairs_within(keyed: DataFrame, t: int, other: DataFrame | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """Near pairs among hashes that share a mask and a key."""
+    distance = F.bit_count(F.col("a.hash").bitwiseXOR(F.col("b.hash"))).cast("int")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("mask", "key", *more)]
+    near = reduce(Column.__and__, same) & (F.col("a.hash") < F.col("b.hash")) & (distance <= t)
+    joined = keyed.alias("a").join((keyed if other is None else other).alias("b"), near)
+    return joined.select(F.least("a.rep", "b.rep").alias("id_a"), F.greatest("a.rep", "b.rep").alias("id_b"), distance.alias("distance"))

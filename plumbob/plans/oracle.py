@@ -177,6 +177,10 @@ _SIGNS = """signs AS (SELECT vec_id,
   FROM embeddings)"""
 
 
+_ALIKE = _SIGNS.replace("signs AS", "all_signs AS") + """, signs AS (
+  SELECT vec_id, hi, CASE WHEN vec_id % 3 = 0 THEN CAST(0 AS BIGINT) ELSE lo END AS lo FROM all_signs)"""
+
+
 def _bit_halves(expr: str) -> tuple[str, str]:
     """The low and high halves of ``1 << expr``."""
     low = f"CASE WHEN {expr} < 32 THEN CAST(1 AS BIGINT) << CAST({expr} AS INTEGER) ELSE 0 END"
@@ -677,6 +681,9 @@ round(CAST(count(*) FILTER (WHERE status = 'ok') AS DOUBLE) / count(*), 6) AS pa
 count(*) FILTER (WHERE status = 'unexpected') AS unexpected, count(*) FILTER (WHERE status = 'size_mismatch') AS size_mismatch FROM checked""",
     "text_duplicates": "SELECT sha256(text) AS text_hash, count(*) AS copies, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "near_duplicates": f"WITH {_SIGNS}, {_copies()}{_near(3)}",
+    "near_duplicates_crowded": f"WITH {_ALIKE}, {_copies()}{_near(3)}",
+    "near_duplicates_8": f"WITH {_ALIKE}, {_copies()}{_near(8)}",
+    "near_duplicates_12": f"WITH {_ALIKE}, {_copies()}{_near(12)}",
     "document_profile": rf"""WITH {_PAGES} SELECT doc_id, CASE WHEN bool_and(native) THEN 'native' WHEN NOT bool_or(native) THEN 'scanned' ELSE 'mixed' END AS doc_type,
 count(*) AS page_count, CAST(sum(length(text)) AS BIGINT) AS total_chars, CAST(sum(len(regexp_extract_all(text, '\S+'))) AS BIGINT) AS word_count,
 count(*) FILTER (WHERE NOT native) AS ocr_page_count FROM pages_ GROUP BY doc_id""",

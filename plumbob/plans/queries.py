@@ -515,24 +515,48 @@ def text_duplicates(spark, sf):
     return dedup.text_duplicates(table(spark, sf, "documents"), "doc_id", "text")
 
 
-def near_duplicates(spark, sf):
-    """Sign bits of the embeddings, each with altered copies up to three bits away."""
+def _altered_hashes(spark, sf, kept: str = "-1L") -> DataFrame:
+    """Sign bits of the embeddings, each with altered copies up to three bits away. ``kept`` are the bits that are not made zero."""
     signs = table(spark, sf, "embeddings").selectExpr(
         "vec_id",
-        "aggregate(transform(embedding, (x, i) -> IF(x > 0, shiftleft(1L, i), 0L)), 0L, (a, x) -> a | x) AS h",
+        f"aggregate(transform(embedding, (x, i) -> IF(x > 0, shiftleft(1L, i), 0L)), 0L, (a, x) -> a | x) & {kept} AS h",
     )
     bit = lambda e: f"shiftleft(1L, CAST({e} AS INT))"
-    copies = signs.selectExpr(
+    return signs.selectExpr(
         "inline(array("
         "struct(vec_id * 10 AS id, h AS hash),"
         f"struct(vec_id * 10 + 1 AS id, h ^ {bit('vec_id % 64')} AS hash),"
         f"struct(vec_id * 10 + 2 AS id, h ^ {bit('vec_id % 31')} ^ {bit('32 + vec_id % 29')} AS hash),"
         "struct(vec_id * 10 + 3 AS id, h AS hash)))"
     )
-    found = dedup.near_duplicates(copies, "id", "hash", max_distance=3)
+
+
+def _near(copies: DataFrame, distance: int) -> DataFrame:
+    found = dedup.near_duplicates(copies, "id", "hash", max_distance=distance)
     return found.select("id_a", "id_b", F.col("distance").cast("bigint").alias("distance"))
 
 
+def near_duplicates(spark, sf):
+    return _near(_altered_hashes(spark, sf), 3)
+
+
+# A third of the hashes has nothing but zeros in its lower 32 bits.
+THIRD_ALIKE = "IF(vec_id % 3 = 0, shiftleft(4294967295L, 32), -1L)"
+
+
+def near_duplicates_crowded(spark, sf):
+    """A third of the hashes share half of their bits."""
+    return _near(_altered_hashes(spark, sf, THIRD_ALIKE), 3)
+
+
+def near_duplicates_8(spark, sf):
+    return _near(_altered_hashes(spark, sf, THIRD_ALIKE), 8)
+
+
+def near_duplicates_12(spark, sf):
+    return _near(_altered_hashes(spark, sf, THIRD_ALIKE), 12)
+
+
 def _pages(spark, sf):
     lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
     return lines.select(
@@ -883,7 +907,7 @@ QUERIES = {
         rule_skipped, rule_by_dimension, rule_report, failing_samples,
         dimension_scores, dataset_score, score_views, score_severity, score_by_team,
         score_latest, score_history, score_drift, sla_gate, manifest_check, manifest_result,
-        text_duplicates, near_duplicates, document_profile, document_pages, table_cells, semantic_types, redact_text,
+        text_duplicates, near_duplicates, near_duplicates_crowded, near_duplicates_8, near_duplicates_12, document_profile, document_pages, table_cells, semantic_types, redact_text,
         explanation_prompts, classification_prompts, proposal_prompt, completion_cache, completion_usage,
         parse_response, typed_answers, image_profile, image_hash, image_near_duplicates,
         rule_fk_mixed_types, rule_fk_decimal_key, failing_sample_json, explanation_prompts_rows, rule_isolation, rule_yaml_bad_entries, csv_quoted,

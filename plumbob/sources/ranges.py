@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbob.session import scratch_path
+from plumbob.session import stored
 
 #: Bytes of rows that a task holds before it passes them on.
 BATCH_BYTES = 1 << 20
@@ -252,7 +252,7 @@ FUNCTIONS = "path string, start bigint, ends array<bigint>, plain boolean"
 
 def functions(spark: SparkSession, path: str | list[str], machine: Machine) -> DataFrame:
     """``(path, start, ends, plain)``: what each range makes of the states it may begin in. Stored, a row per range."""
-    return _kept(_pieces(spark, path, machine).mapInArrow(_functions(machine), FUNCTIONS), "range-functions")
+    return stored(_pieces(spark, path, machine).mapInArrow(_functions(machine), FUNCTIONS), "range-functions")
 
 
 def is_plain(found: DataFrame) -> bool:
@@ -271,20 +271,14 @@ def rows(spark: SparkSession, path: str | list[str], machine: Machine, found: Da
     pieces = _pieces(spark, path, machine)
     found = functions(spark, path, machine) if found is None else found
     ordered = found.drop("plain").repartition("path").sortWithinPartitions("path", "start")
-    states = _kept(ordered.mapInArrow(_composed(machine), "path string, start bigint, state bigint"), "range-states")
+    states = stored(ordered.mapInArrow(_composed(machine), "path string, start bigint, state bigint"), "range-states")
     known = pieces.join(F.broadcast(states), ["path", "start"])
-    shared = _kept(known.mapInArrow(_cut(machine, (HEAD, MIDDLE, TAIL)), PARTS), "range-parts")
+    shared = stored(known.mapInArrow(_cut(machine, (HEAD, MIDDLE, TAIL)), PARTS), "range-parts")
     together = shared.repartition("path").sortWithinPartitions("path", "start", "kind")
     whole = known.mapInArrow(_cut(machine, (ROW,)), PARTS).select("leads", "text")
     return whole.unionByName(together.mapInArrow(_joined(machine), "leads boolean, text string"))
 
 
-def _kept(df: DataFrame, label: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def as_dataset(df: DataFrame):
     """A text column as the JVM's dataset of texts, which Spark's readers parse."""
     return getattr(df._jdf, "as")(df.sparkSession._jvm.org.apache.spark.sql.Encoders.STRING())

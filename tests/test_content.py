@@ -71,7 +71,7 @@ def brute_pairs(rows, distance):
     return out
 
 
-@pytest.mark.parametrize("distance, hot", [(0, 1000), (1, 1000), (3, 1000), (3, 2), (2, 0), (4, 3), (8, 1000)])
+@pytest.mark.parametrize("distance, hot", [(0, 1000), (1, 1000), (3, 1000), (3, 2), (2, 0), (4, 3), (8, 1000), (8, 4), (12, 16)])
 def test_near_duplicates_are_exact(spark, distance, hot):
     rng = np.random.default_rng(distance * 10 + hot)
     base = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 12)]
@@ -89,6 +89,20 @@ def test_near_duplicates_are_exact(spark, distance, hot):
     assert set(got) == brute_pairs(rows, distance)
 
 
+def test_crowded_buckets_are_split(spark, monkeypatch):
+    """A third of the hashes agree on 40 bits; buckets that are joined stay small, but for hashes that are all near."""
+    rng = np.random.default_rng(4)
+    values = [int(v) >> 40 if i % 3 == 0 else int(v) for i, v in enumerate(rng.integers(0, 2**63 - 1, 900))]
+    values += [values[1] ^ 1 << int(b) for b in range(60)]
+    rows = list(enumerate(values))
+    tiled = []
+    plain = dedup._pairs_in_tiles
+    monkeypatch.setattr(dedup, "_pairs_in_tiles", lambda c, t, n: tiled.append(c.agg({"members": "max"}).first()[0]) or plain(c, t, n))
+    df = spark.createDataFrame(rows, "id bigint, h bigint")
+    assert {tuple(r) for r in dedup.near_duplicates(df, "id", "h", 3, hot_bucket=32).collect()} == brute_pairs(rows, 3)
+    assert tiled and max(m or 0 for m in tiled) <= 70  # the near ones only
+
+
 def test_text_duplicates(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None), (5, None)], "id int, t string")
     (row,) = dedup.text_duplicates(df, "id", "t").collect()
