@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from plumbob.functions.columns import strip, text_of, ref, type_of, word_count
 from plumbob.operators.profile import value_frequencies
+from plumbob.operators.redaction import redacted
 
 
 @dataclass(frozen=True)
@@ -137,31 +138,6 @@ def _candidate(confidence: Column, rank: int, kind: str, pii: str = "none", patt
     )
 
 
-# What is replaced, in this order.
-REDACTIONS = (
-    ("[EMAIL]", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-    ("[SSN]", r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
-    ("[CARD]", r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}"),
-    ("[IP]", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"),
-    ("[PHONE]", r"\+?[0-9][0-9 ().-]{7,16}[0-9]"),
-)
-
-
-def redacted(text: Column) -> Column:
-    """Apply the redactions to a text column.
-
-    Mail addresses are only looked for in texts with an ``@``, the rest only in
-    texts with a digit. Replacements contain neither, so the original text
-    decides for the whole chain.
-    """
-    (mail, mail_pattern), *numeric = REDACTIONS
-    without_mail = F.when(text.contains("@"), F.regexp_replace(text, mail_pattern, mail)).otherwise(text)
-    cleaned = without_mail
-    for token, pattern in numeric:
-        cleaned = F.regexp_replace(cleaned, pattern, token)
-    return F.when(text.rlike("[0-9]"), cleaned).otherwise(without_mail)
-
-
 def redact(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Replace personal data in the named text columns."""
+    """Replace personal data in the named text columns, see :mod:`plumbob.operators.redaction`."""
     return df.withColumns({c: redacted(text_of(ref(c), type_of(df, c))) for c in columns})

@@ -11,7 +11,7 @@ from plumbob.operators.images import BLUR_BELOW, OVEREXPOSED_ABOVE, UNDEREXPOSED
 from plumbob.operators.profile import ID_HINTS
 from plumbob.operators.rules import DIMENSIONS
 from plumbob.operators.score import DEFAULT_WEIGHTS, GRADES, SEVERITY_WEIGHTS
-from plumbob.operators.semantic import DETECTORS, FALLBACK_CONFIDENCE, LEAST_SHARE, REDACTIONS
+from plumbob.operators.semantic import DETECTORS, FALLBACK_CONFIDENCE, LEAST_SHARE
 from plumbob.plans.queries import POLICIES, SMALL_TABLES, TEAM_WEIGHTS
 
 DIRTY = """dirty AS (SELECT c_custkey,
@@ -401,9 +401,18 @@ def _semantic() -> str:
 
 
 def _redacted(column: str) -> str:
-    for token, pattern in REDACTIONS:
+    """Mail addresses, addresses of machines and phone numbers by pattern; cards by their checksum."""
+    octet = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
+    steps = (
+        (r"[A-Za-z0-9._%+-]+@([A-Za-z0-9-]+\.)+[A-Za-z]{2,}", "[EMAIL]"),
+        (r"\+[0-9] \([0-9]{3}\) [0-9]{3}-[0-9]{4}", "[PHONE]"),
+        *[(rf"(^|[^0-9A-Za-z.]){octet}\.{octet}\.{octet}\.{octet}($|[^0-9A-Za-z.]|\.$|\.[^0-9])", r"\1[IP]\6")] * 2,
+    )
+    for pattern, token in steps:
         column = f"regexp_replace({column}, '{pattern}', '{token}', 'g')"
-    return column
+    doubled = "list_sum([CASE WHEN (len(w) - i) % 2 = 1 THEN (2 * d) // 10 + (2 * d) % 10 ELSE d END FOR d, i IN [CAST(c AS INTEGER) FOR c IN string_split(w, '')]])"
+    card = f"regexp_full_match(w, '[0-9]{{13,19}}') AND {doubled} % 10 = 0"
+    return f"array_to_string([CASE WHEN {card} THEN '[CARD]' ELSE w END FOR w IN regexp_extract_all({column}, '[0-9A-Za-z]+|[^0-9A-Za-z]+')], '')"
 
 
 # -- documents ---------------------------------------------------------------------------
@@ -690,6 +699,11 @@ count(*) FILTER (WHERE NOT native) AS ocr_page_count FROM pages_ GROUP BY doc_id
     "document_pages": f"WITH {_PAGES} SELECT doc_id, page_number, CASE WHEN native THEN 'native' ELSE 'scanned' END AS page_type, text, NOT native AS is_ocr FROM pages_ WHERE page_number IN (1, 2, 5000)",
     "table_cells": f"WITH {_TABLES} SELECT doc_id, row_no, column_no, CASE WHEN column_no >= len(head) OR head[column_no + 1] = '' THEN concat('col_', CAST(column_no AS VARCHAR)) ELSE head[column_no + 1] END AS header, value FROM cells",
     "semantic_types": _semantic(),
+    "redact_edge_cases": """SELECT c_custkey, CASE c_custkey % 9
+WHEN 0 THEN 'on 20' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') || '-01-02 10:30' WHEN 1 THEN 'order ' || lpad(CAST(c_custkey AS VARCHAR), 20, '7')
+WHEN 2 THEN '12-34-56-78-' || (10 + c_custkey % 90) || ' items' WHEN 3 THEN '1.2.3.4.' || c_custkey WHEN 4 THEN 'host ' || (256 + c_custkey) || '.1.1.1'
+WHEN 5 THEN 'from [IP], by [EMAIL].' WHEN 6 THEN 'call [PHONE] [IP] or [PHONE]' WHEN 7 THEN 'not 4111 1111 1111 1112 but [CARD] [CARD]'
+ELSE c_name || ' born 02.01.1990, [SSN]' END AS redacted FROM customer""",
     "redact_text": f"SELECT doc_id, sha256({_redacted('text')}) AS redacted_hash, length({_redacted('text')}) AS redacted_chars FROM documents",
     "explanation_prompts": _explanations(),
     "classification_prompts": _classification_prompts(),

@@ -599,6 +599,19 @@ def redact_text(spark, sf):
     )
 
 
+def redact_edge_cases(spark, sf):
+    """Numbers that are no personal data, and personal data right beside others."""
+    text = """CASE c_custkey % 9
+        WHEN 0 THEN concat('on 20', lpad(c_custkey % 100, 2, '0'), '-01-02 10:30') WHEN 1 THEN concat('order ', lpad(c_custkey, 20, '7'))
+        WHEN 2 THEN concat('12-34-56-78-', 10 + c_custkey % 90, ' items') WHEN 3 THEN concat('1.2.3.4.', c_custkey)
+        WHEN 4 THEN concat('host ', 256 + c_custkey, '.1.1.1') WHEN 5 THEN concat('from 10.0.0.', c_custkey % 256, ', by u.', c_custkey, '@mail.example.org.')
+        WHEN 6 THEN concat('call +1 (743) 555-', 1000 + c_custkey % 9000, ' 190.137.', c_custkey % 256, '.204 or 555-123-', 1000 + c_custkey % 9000)
+        WHEN 7 THEN 'not 4111 1111 1111 1112 but 4111-1111-1111-1111 7536784127813050'
+        ELSE concat(c_name, ' born 02.01.1990, 123-45-', 1000 + c_custkey % 9000) END"""
+    rows = table(spark, sf, "customer").selectExpr("c_custkey", f"{text} AS redacted")
+    return semantic.redact(rows, ["redacted"])
+
+
 # -- completions -----------------------------------------------------------------
 
 
@@ -907,7 +920,7 @@ QUERIES = {
         rule_skipped, rule_by_dimension, rule_report, failing_samples,
         dimension_scores, dataset_score, score_views, score_severity, score_by_team,
         score_latest, score_history, score_drift, sla_gate, manifest_check, manifest_result,
-        text_duplicates, near_duplicates, near_duplicates_crowded, near_duplicates_8, near_duplicates_12, document_profile, document_pages, table_cells, semantic_types, redact_text,
+        text_duplicates, near_duplicates, near_duplicates_crowded, near_duplicates_8, near_duplicates_12, document_profile, document_pages, table_cells, semantic_types, redact_text, redact_edge_cases,
         explanation_prompts, classification_prompts, proposal_prompt, completion_cache, completion_usage,
         parse_response, typed_answers, image_profile, image_hash, image_near_duplicates,
         rule_fk_mixed_types, rule_fk_decimal_key, failing_sample_json, explanation_prompts_rows, rule_isolation, rule_yaml_bad_entries, csv_quoted,
