@@ -725,6 +725,15 @@ CASE WHEN turn % 3 = 1 THEN 'a,b' ELSE '' END AS pii_types, CAST(NULL AS VARCHAR
     "image_near_duplicates": f"""WITH {_HASHES}, hashes AS (SELECT vec_id AS id,
 CAST(sum(CASE WHEN i < 32 THEN CAST(b AS BIGINT) << CAST(31 - i AS INTEGER) ELSE 0 END) AS BIGINT) AS hi,
 CAST(sum(CASE WHEN i >= 32 THEN CAST(b AS BIGINT) << CAST(63 - i AS INTEGER) ELSE 0 END) AS BIGINT) AS lo FROM bits GROUP BY vec_id){_near(4)}""",
+    "image_files": """WITH kinds AS (SELECT vec_id, vec_id % 17 = 0 AS broken, vec_id % 6 AS k, 1 + vec_id % 9 AS w, 1 + vec_id % 7 AS h FROM embeddings),
+sized AS (SELECT *, h * (1 + CASE k WHEN 1 THEN 3 * w WHEN 2 THEN 4 * w WHEN 4 THEN (w + 7) // 8 ELSE w END) AS raw FROM kinds)
+SELECT 'img-' || vec_id || '.bin' AS name, CASE WHEN broken THEN 'unknown' WHEN k = 5 THEN 'BMP' ELSE 'PNG' END AS format,
+CASE WHEN broken THEN 0 ELSE w END AS width, CASE WHEN broken THEN 0 ELSE h END AS height,
+CASE WHEN broken THEN 0 WHEN k IN (1, 5) THEN 3 WHEN k = 2 THEN 4 ELSE 1 END AS channels,
+CASE WHEN broken THEN 8 WHEN k = 5 THEN 54 + h * ((3 * w + 3) // 4 * 4) ELSE 57 + CASE WHEN k = 3 THEN 24 ELSE 0 END + 11 + raw END AS file_size_bytes,
+broken AS is_corrupt, CASE WHEN broken THEN '' ELSE ['L', 'RGB', 'RGBA', 'P', '1', 'RGB'][k + 1] END AS color_mode,
+CASE WHEN broken THEN NULL WHEN k = 4 THEN 1 ELSE 8 END AS bit_depth,
+CASE WHEN broken THEN 0::DOUBLE ELSE round(w::DOUBLE / h, 4) END AS aspect_ratio FROM sized""",
     "rule_fk_mixed_types": " UNION ALL ".join(
         _result(f"{kind}_{n}", dimension, severity, _row(f"p_partkey % 3 = 0 AND p_partkey < {3 * n}{extra}", "part"))
         for n in (10, 5000)

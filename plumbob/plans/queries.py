@@ -741,6 +741,52 @@ def image_near_duplicates(spark, sf):
     return found.select("id_a", "id_b", F.col("distance").cast("bigint").alias("distance"))
 
 
+def _image_file(kind: int, width: int, height: int, levels: list[int]) -> bytes:
+    """An uncompressed image file; kinds are the modes L, RGB, RGBA, P and 1 of PNG, then BMP."""
+    import struct
+    import zlib
+
+    level = lambda x, y: levels[(y * width + x) % len(levels)]
+    if kind == 5:
+        rows = b"".join(b"".join(bytes([level(x, y)] * 3) for x in range(width)).ljust(-(-width * 3 // 4) * 4, b"\0") for y in range(height))
+        return struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + len(rows), 0, 0, 54, 40, width, height, 1, 24, 0, len(rows), 0, 0, 0, 0) + rows
+    pixel = (lambda v: [v], lambda v: [v, v // 2, 255 - v], lambda v: [v, v, v, 255], lambda v: [v % 4])[min(kind, 3)]
+    row = lambda y: bytes(c for x in range(width) for c in pixel(level(x, y)))
+    if kind == 4:
+        row = lambda y: int("".join("01"[level(x, y) > 127] for x in range(width)).ljust(-(-width // 8) * 8, "0"), 2).to_bytes(-(-width // 8), "big")
+    raw = b"".join(b"\0" + row(y) for y in range(height))
+    chunk = lambda tag, body: struct.pack(">I", len(body)) + tag + body + struct.pack(">I", zlib.crc32(tag + body))
+    head = struct.pack(">IIBBBBB", width, height, 1 if kind == 4 else 8, (0, 2, 6, 3, 0)[kind], 0, 0, 0)
+    colours = chunk(b"PLTE", bytes(12)) if kind == 3 else b""
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + colours + chunk(b"IDAT", zlib.compress(raw, 0)) + chunk(b"IEND", b"")
+
+
+def image_files(spark, sf):
+    """Image files of several kinds drawn from the embeddings, and some that are none, profiled from disk."""
+    path = scratch_path(spark, "images")
+
+    def write(batches):
+        import pyarrow.fs as fs
+
+        system, root = fs.FileSystem.from_uri(path)
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            for i, values in zip(batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist()):
+                levels = [max(0, min(255, int((v + 0.6) * 212))) for v in values]
+                data = b"no image" if i % 17 == 0 else _image_file(i % 6, 1 + i % 9, 1 + i % 7, levels)
+                with system.open_output_stream(f"{root}/img-{i}.bin") as file:
+                    file.write(data)
+            yield batch.select(["vec_id"])
+
+    table(spark, sf, "embeddings").select("vec_id", "embedding").mapInArrow(write, "vec_id bigint").write.format("noop").mode("overwrite").save()
+    found = images.profile_image_files(spark, path)
+    return found.select(
+        F.element_at(F.split("path", "/"), -1).alias("name"), "format", F.col("width").cast("bigint").alias("width"),
+        F.col("height").cast("bigint").alias("height"), F.col("channels").cast("bigint").alias("channels"), "file_size_bytes", "is_corrupt",
+        "color_mode", F.col("bit_depth").cast("bigint").alias("bit_depth"), "aspect_ratio",
+    )
+
+
 # -- inputs that once went wrong -------------------------------------------------
 
 
@@ -922,7 +968,7 @@ QUERIES = {
         score_latest, score_history, score_drift, sla_gate, manifest_check, manifest_result,
         text_duplicates, near_duplicates, near_duplicates_crowded, near_duplicates_8, near_duplicates_12, document_profile, document_pages, table_cells, semantic_types, redact_text, redact_edge_cases,
         explanation_prompts, classification_prompts, proposal_prompt, completion_cache, completion_usage,
-        parse_response, typed_answers, image_profile, image_hash, image_near_duplicates,
+        parse_response, typed_answers, image_profile, image_hash, image_near_duplicates, image_files,
         rule_fk_mixed_types, rule_fk_decimal_key, failing_sample_json, explanation_prompts_rows, rule_isolation, rule_yaml_bad_entries, csv_quoted,
         json_lines, json_array, json_object, in_memory_rows, history_names, sla_unscored,
     )

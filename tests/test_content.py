@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import yaml
 
 from plumbob import null_check, evaluate, profile, rules_from_yaml
@@ -309,3 +310,22 @@ def test_typed_answers(spark):
     rows = {r.rule_name: r for r in completion.explanations(failed).collect()}
     assert (rows["r"].summary, rows["r"].tags, rows["r"].affected_rows_estimate) == ("s", ["x"], 3)
     assert (rows["q"].summary, rows["q"].root_cause, rows["q"].tags) == ("No summary available.", "Unknown.", [])
+
+
+@pytest.mark.parametrize(
+    "head, want",
+    [
+        (b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sIIBB", 13, b"IHDR", 300, 70000, 16, 4), ("PNG", 300, 70000, "LA")),
+        (b"GIF89a" + struct.pack("<HHB", 513, 7, 0x80), ("GIF", 513, 7, "P")),
+        (struct.pack("<2sIHHIIiiHH", b"BM", 0, 0, 0, 54, 40, 12, -34, 1, 8), ("BMP", 12, 34, "P")),
+        (b"\xff\xd8" + b"\xff\xe0\x00\x10" + bytes(14) + b"\xff\xc4\x00\x04ab" + b"\xff\xff\xc2\x00\x0b\x08" + struct.pack(">HHB", 480, 640, 3), ("JPEG", 640, 480, "RGB")),
+        (b"\xff\xd8" + b"\xff\xe1\x03\xe8" + bytes(998) * 1 + b"\xff\xc0\x00\x0b\x08" + struct.pack(">HHB", 1, 2, 1), ("JPEG", 2, 1, "L")),
+        (b"\xff\xd8\xff\xe0\x00", ("JPEG", None, None, None)),
+        (b"\x89PNG", ("PNG", None, None, None)),
+        (b"", (None, None, None, None)),
+    ],
+)
+def test_image_headers(spark, head, want):
+    df = spark.createDataFrame([(bytearray(head),)], "content binary").select(images.image_header(F.col("content")).alias("h"))
+    got = df.select("h.*").first()
+    assert tuple(got)[1:] == want[1:] and got["format"] == (want[0] or "unknown")
