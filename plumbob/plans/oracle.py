@@ -785,4 +785,47 @@ CASE WHEN left(o_orderpriority, 1) <> '1' THEN o_orderpriority END AS name FROM
     "sla_unscored": """WITH d AS (SELECT DISTINCT 'r' || o_custkey % 5 AS dataset FROM orders)
 SELECT 'fresh' AS policy, dataset, 'timeliness' AS dimension, false AS met, 'block' AS action FROM d
 UNION ALL SELECT 'valid', dataset, 'validity', true, 'pass' FROM d UNION ALL SELECT 'each', dataset, 'validity', true, 'pass' FROM d WHERE dataset = 'r1'""",
+    "quality_run": f"WITH {_scored(_DEFAULT)}, o AS (SELECT {_OVERALL} AS overall_score FROM dims) SELECT 'customers' AS dataset, 'second' AS run_id, overall_score, {_grade('overall_score')} AS grade, (SELECT count(*) FROM results) AS total_rules, (SELECT count(*) FROM results WHERE passed) AS total_passed, CAST(2 AS BIGINT) AS runs FROM o",
+    "weights_yaml": f"WITH {_scored(_values([('completeness', 2), ('uniqueness', 1.5), ('validity', 0.5), ('conformity', 0)], 'dimension, weight'))} SELECT dimension, round(weight, 6) AS weight, round(rate, 6) AS pass_rate, round(weight * rate, 6) AS weighted_score FROM dims",
+    "custom_rule": _with(
+        _result("even", "conformity", "medium", _row("c_custkey % 2 = 0")),
+        _result("from_yaml", "conformity", "low", _row("age % 3 = 0"), 0.3),
+        _result("multiple_check_nation_fk", "conformity", "high", _row("nation_fk % 1 = 0"), 0.5),
+    ),
+    "rule_added": _with(
+        _result("null_check_email", "completeness", "high", _row("email IS NOT NULL")),
+        _result("range_check_age", "validity", "medium", _row("age BETWEEN 18 AND 60")),
+        _result("unique_check_dup_key", "uniqueness", "low", _unique("dup_key")),
+    ),
+    "rule_formats": " UNION ALL ".join(
+        _result(f"format_check_{name}", "conformity", "medium", _row(condition, "customer"), 0.5)
+        for name, condition in (
+            ("e164", "c_custkey % 16 BETWEEN 1 AND 14"), ("iso_country2", "c_custkey % 3 = 0"), ("iso_country3", "c_custkey % 2 = 1"),
+            ("iso_language", "c_custkey % 3 = 1"), ("iso_date", "c_custkey % 14 BETWEEN 1 AND 12 AND c_custkey % 33 BETWEEN 1 AND 31"),
+            ("iso_datetime", "c_custkey % 30 < 24 AND c_custkey % 2 = 0"), ("uuid", "c_custkey % 2 = 1"), ("ipv4", "c_custkey % 300 <= 255"),
+            ("email", "c_custkey % 4 <> 0"),
+        )
+    ),
+    "typed_proposals": """WITH a AS (SELECT concat(conv_id, '-', turn) AS table_name, turn, role FROM conversations)
+SELECT table_name, CAST(0 AS BIGINT) AS proposal_no, 'range_check' AS rule_type, role AS "column", '{"min_value":' || turn || '}' AS params, 'medium' AS severity,
+'validity' AS dimension, '' AS rationale, CAST(0.5 AS DOUBLE) AS confidence FROM a WHERE turn % 3 = 0
+UNION ALL SELECT table_name, 1, 'null_check', 'x', '{}', 'medium', 'validity', '', 0 FROM a WHERE turn % 3 = 0
+UNION ALL SELECT table_name, 0, 'null_check', '', '{}', 'high', 'completeness', 'why', 0 FROM a WHERE turn % 3 = 1""",
+    "typed_explanations": """WITH a AS (SELECT concat(conv_id, '-', turn) AS rule_name, turn % 2 = 0 AS even, role, length(text) AS n FROM conversations)
+SELECT rule_name, CASE WHEN even THEN 'by ' || role ELSE 'No summary available.' END AS summary, CASE WHEN even THEN 'Unknown.' ELSE 'load' END AS root_cause,
+CASE WHEN even THEN 'small' ELSE 'Unknown impact.' END AS impact, 'Manual review recommended.' AS suggested_fix, CASE WHEN even THEN '' ELSE 'low' END AS severity_assessment,
+n AS affected_rows_estimate, CASE WHEN even THEN 'a,' || role ELSE '' END AS tags FROM a""",
+    "proposals_yaml": _with(
+        *(_result(f"null_check_{c}", "completeness", "medium", _row(f"{_clean(c)} IS NOT NULL")) for c in ("email", "segment", "bal_nan")),
+        _result("null_check_nation_fk", "completeness", "high", _row("nation_fk IS NOT NULL")),
+        _result("unique_check_c_custkey", "uniqueness", "high", _unique("c_custkey")),
+        *(_result(f"range_check_{c}", "validity", "medium", _row(f"{c} >= 0")) for c in ("c_custkey", "dup_key", "nation_fk")),
+        _result("regex_check_email", "conformity", "high", _row(f"regexp_full_match(email, '{EMAIL_RULE}')")),
+    ),
+    "classification_prompts_samples": f"""WITH {DIRTY} SELECT unnest([{', '.join(f"'{c}'" for c in COLUMNS)}]) AS column_name,
+unnest([{', '.join({"segment": "(SELECT concat('samples: [', coalesce(CAST(to_json(arg_min_null(segment, c_custkey)) AS VARCHAR), 'null'), ']') FROM dirty)", "email": "(SELECT concat('samples: [', to_json(arg_max(email, c_custkey)), ',', to_json(arg_max(email, c_custkey)), ']') FROM dirty WHERE email IS NOT NULL)"}.get(c, "'samples: []'") for c in COLUMNS)}]) AS samples""",
+    "completion_expiry": f"""WITH {_KEYS}, second_run AS (SELECT DISTINCT cache_key FROM keyed WHERE conv_id % 3 = 1),
+first_run AS (SELECT DISTINCT cache_key FROM keyed WHERE conv_id % 3 = 0),
+known AS (SELECT k.*, cache_key IN (SELECT cache_key FROM second_run) AND cache_key NOT IN (SELECT cache_key FROM first_run) AS cached FROM keyed AS k)
+SELECT conv_id, turn, cached, CASE WHEN cached THEN '2024-01-20' ELSE '2024-02-10' END AS answered FROM known""",
 }

@@ -17,7 +17,8 @@ from plumbob.operators import completion, dedup, documents, images, monitor, pro
 from plumbob.operators import profile as profiling
 from plumbob.operators import rules as r
 from plumbob.operators import score as scoring
-from plumbob.operators.evaluate import by_dimension, evaluate, failing_rows, report
+from plumbob.operators.evaluate import RuleSet, by_dimension, evaluate, failing_rows, report
+from plumbob.plans.quality_run import run_quality
 from plumbob.session import scratch_path
 from plumbob.sources import files, history, tables
 
@@ -955,6 +956,130 @@ def sla_unscored(spark, sf):
     return monitor.evaluate_sla(runs, policies).select("policy", "dataset", "dimension", "met", "action")
 
 
+# -- runs, rule sets and answers from end to end -------------------------------------
+
+WEIGHTS_YAML = """
+dimensions:
+  completeness: {weight: 2}
+  uniqueness: 1.5
+  validity: {weight: 0.5}
+  conformity: 0
+"""
+
+
+def quality_run(spark, sf):
+    """A whole run with its rules, weights and history entry, as the history then holds it."""
+    path = scratch_path(spark, "runs")
+    nation = r.foreign_key_check("nation_fk", reference_df=table(spark, sf, "nation"), reference_column="n_nationkey", name="nation")
+    for run_id, day in (("first", dt.datetime(2024, 1, 30)), ("second", dt.datetime.fromisoformat(AS_OF))):
+        rules = r.rules_from_yaml(RULES_YAML) + ([nation] if run_id == "second" else [])
+        run_quality(dirty_customer(spark, sf), "customers", rules, as_of=day, history_path=path, run_id=run_id)
+    last = history.latest_score(history.read_history(spark, path), "customers")
+    runs = history.read_history(spark, path).agg(F.count(F.lit(1)).alias("runs"))
+    return last.select("dataset", "run_id", "overall_score", "grade", F.col("total_rules").cast("bigint").alias("total_rules"), F.col("total_passed").cast("bigint").alias("total_passed")).withColumn("runs", runs.scalar())
+
+
+def weights_yaml(spark, sf):
+    """Dimension scores under weights of a configuration, given as numbers and as entries."""
+    weights = scoring.weights_from_yaml(WEIGHTS_YAML)
+    d = scoring.dimension_scores(_evaluated(spark, sf).results, weights)
+    return d.select("dimension", F.round("weight", 6).alias("weight"), F.round("pass_rate", 6).alias("pass_rate"), F.round("weighted_score", 6).alias("weighted_score"))
+
+
+CUSTOM_YAML = """
+rules:
+  - {type: multiple_check, column: age, name: from_yaml, severity: low, threshold: 0.3, params: {of: 3}}
+"""
+
+
+def custom_rule(spark, sf):
+    """A rule type of one's own, built by its builder and from a configuration."""
+    multiple = r.register_rule("multiple_check", lambda rule, df: F.col(rule.column) % rule.params["of"] == 0, dimension="conformity")
+    rules = [multiple("c_custkey", of=2, name="even"), *r.rules_from_yaml(CUSTOM_YAML), multiple("nation_fk", 0.5, "high", of=1)]
+    return _counts(dirty_customer(spark, sf), *rules)
+
+
+def rule_added(spark, sf):
+    """A rule set that grows after it was read."""
+    rules = RuleSet.from_dicts([{"type": "null_check", "column": "email", "severity": "high"}])
+    rules.add(r.range_check("age", min_value=18, max_value=60))
+    rules.add(r.unique_check("dup_key", severity="low"))
+    found = rules.evaluate(dirty_customer(spark, sf), as_of=AS_OF, sample_size=0)
+    return found.results.select(*COUNTS)
+
+
+#: Columns of the suppliers, orders and others put in the formats that rules know by name.
+FORMATTED = {
+    "e164": "concat('+', 1 + c_custkey % 9, lpad(c_custkey, c_custkey % 16, '5'))",
+    "iso_country2": "IF(c_custkey % 3 = 0, upper(left(c_mktsegment, 2)), left(c_name, 2))",
+    "iso_country3": "left(c_mktsegment, CAST(2 + c_custkey % 2 AS INT))",
+    "iso_language": "lower(left(c_mktsegment, CAST(1 + c_custkey % 3 AS INT)))",
+    "iso_date": "concat('2024-', lpad(c_custkey % 14, 2, '0'), '-', lpad(c_custkey % 33, 2, '0'))",
+    "iso_datetime": "concat('2024-01-02T', lpad(c_custkey % 30, 2, '0'), ':30', IF(c_custkey % 2 = 0, 'Z', '+1'))",
+    "uuid": "concat(lpad(c_custkey, 8, 'a'), '-0000-0000-0000-', lpad(c_custkey, CAST(11 + c_custkey % 2 AS INT), 'F'))",
+    "ipv4": "concat_ws('.', c_custkey % 300, c_custkey % 256, '0', '25')",
+    "email": "concat(c_custkey, IF(c_custkey % 4 = 0, '', '@'), 'x.org')",
+}
+
+
+def rule_formats(spark, sf):
+    """Every named format on a column of which a part has it."""
+    rows = table(spark, sf, "customer").selectExpr(*(f"{sql} AS {name}" for name, sql in FORMATTED.items()))
+    return _counts(rows, *(r.format_check(name, name, threshold=0.5) for name in FORMATTED))
+
+
+def typed_proposals(spark, sf):
+    """Answers that propose rules, with and without their parts."""
+    answers = table(spark, sf, "conversations").selectExpr(
+        "concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS table_name",
+        """CASE turn % 3 WHEN 0 THEN concat('{"rules":[{"rule_type":"range_check","column":"', role, '","params":{"min_value":', turn, '},"confidence":0.5},{"column":"x"}]}')
+        WHEN 1 THEN '{"rules":[{"rule_type":"null_check","severity":"high","dimension":"completeness","rationale":"why"}]}' ELSE '{"text":"none"}' END AS parsed""",
+    )
+    p = completion.proposals(answers)
+    return p.withColumn("proposal_no", F.col("proposal_no").cast("bigint"))
+
+
+def typed_explanations(spark, sf):
+    """Answers that explain failures; missing parts have their texts."""
+    answers = table(spark, sf, "conversations").selectExpr(
+        "concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS rule_name", "length(text) AS fail_count",
+        """CASE turn % 2 WHEN 0 THEN concat('{"summary":"by ', role, '","impact":"small","tags":["a","', role, '"]}') ELSE '{"root_cause":"load","severity_assessment":"low"}' END AS parsed""",
+    )
+    e = completion.explanations(answers)
+    return e.withColumn("tags", F.array_join("tags", ",")).withColumn("affected_rows_estimate", F.col("affected_rows_estimate").cast("bigint"))
+
+
+def proposals_yaml(spark, sf):
+    """Rules that a profile suggests, as an answer, as proposals, as a configuration, and run from it."""
+    derived = profiling.derived_rules(profiling.profile(dirty_customer(spark, sf), include=("distinct",)))
+    params = F.when(F.col("type") == "range_check", F.struct(F.col("min_value"), F.lit(None).cast("string").alias("pattern"))).when(
+        F.col("type") == "regex_check", F.struct(F.lit(None).cast("double").alias("min_value"), F.col("pattern"))
+    )
+    one = F.struct("position", "rule_no", F.col("type").alias("rule_type"), "column", "severity", params.alias("params"))
+    answer = derived.agg(F.to_json(F.struct(F.array_sort(F.collect_list(one)).alias("rules"))).alias("parsed")).withColumn("table_name", F.lit("customers"))
+    text = completion.proposals_to_yaml(completion.proposals(answer))
+    return _counts(dirty_customer(spark, sf), *r.rules_from_yaml(text))
+
+
+def classification_prompts_samples(spark, sf):
+    """Classification prompts that show given samples in place of the top values."""
+    rows = dirty_customer(spark, sf)
+    kept = rows.agg(F.min_by("segment", "c_custkey").alias("a"), F.max_by("email", F.when(F.col("email").isNotNull(), F.col("c_custkey"))).alias("b"))
+    samples = kept.select(F.explode(F.array(F.struct(F.lit("segment").alias("name"), F.array("a").alias("samples")), F.struct(F.lit("email").alias("name"), F.array("b", "b").alias("samples")))).alias("s")).select("s.*")
+    p = prompts.classification_prompts(profiling.profile(rows), samples)
+    return p.select("column_name", F.regexp_extract("prompt", r"(?m)^(samples: .*)$", 1).alias("samples"))
+
+
+def completion_expiry(spark, sf):
+    """Answers older than the cache keeps them are asked for again."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("prompt"))
+    path = scratch_path(spark, "expiry")
+    for part, day in (("conv_id % 3 = 0", dt.datetime(2024, 1, 1)), ("conv_id % 3 = 1", dt.datetime(2024, 1, 20))):
+        completion.complete_batch(turns.where(part), word_answers, "stub", path, as_of=day)
+    last = completion.complete_batch(turns, word_answers, "stub", path, as_of=dt.datetime(2024, 2, 10))
+    return last.select("conv_id", "turn", "cached", F.date_format("completed_at", "yyyy-MM-dd").alias("answered"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -971,5 +1096,7 @@ QUERIES = {
         parse_response, typed_answers, image_profile, image_hash, image_near_duplicates, image_files,
         rule_fk_mixed_types, rule_fk_decimal_key, failing_sample_json, explanation_prompts_rows, rule_isolation, rule_yaml_bad_entries, csv_quoted,
         json_lines, json_array, json_object, in_memory_rows, history_names, sla_unscored,
+        quality_run, weights_yaml, custom_rule, rule_added, rule_formats, typed_proposals, typed_explanations, proposals_yaml,
+        classification_prompts_samples, completion_expiry,
     )
 }
