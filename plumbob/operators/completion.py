@@ -7,6 +7,7 @@ returns one ``(content, prompt_tokens, completion_tokens, cost)`` per prompt.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -20,6 +21,8 @@ from plumbob.operators.evaluate import run_instant
 Complete = Callable[[Sequence[str]], Sequence[tuple[str, int, int, float]]]
 
 CACHE_DAYS = 30
+# Beside the cache: requests and answers of runs, until they are in the table.
+STAGED = "-runs"
 # Tasks over which the rows of one prompt are spread.
 SALTS = 16
 COMPLETION = (
@@ -56,28 +59,82 @@ def valid_entries(cache: DataFrame, as_of=None, ttl_days: float = CACHE_DAYS) ->
     )
 
 
-def call(requests: DataFrame, complete: Complete, run_at: dt.datetime | None = None, batch: int = 64) -> DataFrame:
-    """Run the completion function over the requests, batch by batch in the tasks."""
+def call(requests: DataFrame, complete: Complete, run_at: dt.datetime | None = None, batch: int = 64, staged: str | None = None) -> DataFrame:
+    """Run the completion function over the requests, batch by batch in the tasks.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import time
+    With ``staged``, a folder that all executors share, the answers of a batch
+    are put there as soon as they are in, under a name that its keys decide. A
+    task that is run again, whatever ended it, takes them from there, so a batch
+    is sent again only if it was lost before it was put there. The requests of
+    a task must then be the same each time, as those of a stored table are.
+    """
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for at in range(0, len(frame), batch):
                 part = frame.iloc[at : at + batch]
-                started = time.perf_counter()
-                answers = complete(part["prompt"].tolist())
-                spent = (time.perf_counter() - started) * 1000 / max(len(part), 1)
-                out = pd.DataFrame(answers, columns=["content", "prompt_tokens", "completion_tokens", "cost"])
-                out.insert(0, "cache_key", part["cache_key"].to_numpy())
-                out.insert(1, "model", part["model"].to_numpy())
-                out["latency_ms"] = round(spent, 2)
-                out["completed_at"] = pd.Timestamp(run_at or dt.datetime.now(dt.timezone.utc))
+                name = f"{staged}/{_batch_name(part['cache_key'])}.parquet" if staged else None
+                out = _put_before(name) if name else None
+                if out is None:
+                    out = _answered(part, complete, run_at)
+                    if name:
+                        _put(out, name)
                 yield out
 
     return requests.select("cache_key", "model", "prompt").mapInPandas(run, COMPLETION)
 
 
+def _answered(part: pd.DataFrame, complete: Complete, run_at: dt.datetime | None) -> pd.DataFrame:
+    import time
+
+    started = time.perf_counter()
+    answers = complete(part["prompt"].tolist())
+    spent = (time.perf_counter() - started) * 1000 / max(len(part), 1)
+    out = pd.DataFrame(answers, columns=["content", "prompt_tokens", "completion_tokens", "cost"])
+    out.insert(0, "cache_key", part["cache_key"].to_numpy())
+    out.insert(1, "model", part["model"].to_numpy())
+    out["latency_ms"] = round(spent, 2)
+    out["completed_at"] = pd.Timestamp(run_at or dt.datetime.now(dt.timezone.utc))
+    return out
+
+
+def _batch_name(keys: pd.Series) -> str:
+    import hashlib
+
+    return hashlib.sha256("\n".join(keys).encode()).hexdigest()
+
+
+def _put_before(name: str) -> pd.DataFrame | None:
+    """The answers that an earlier run of the task has put there."""
+    import pyarrow.fs as fs
+    import pyarrow.parquet as pq
+
+    system, path = fs.FileSystem.from_uri(name)
+    if system.get_file_info(path).type == fs.FileType.NotFound:
+        return None
+    return pq.read_table(path, filesystem=system).to_pandas()
+
+
+def _put(answers: pd.DataFrame, name: str) -> None:
+    """Write under a name of one's own and rename, so that nobody reads half a file."""
+    import uuid
+
+    import pyarrow as pa
+    import pyarrow.fs as fs
+    import pyarrow.parquet as pq
+
+    system, path = fs.FileSystem.from_uri(name)
+    folder, _, last = path.rpartition("/")
+    system.create_dir(folder, recursive=True)
+    mine = f"{folder}/_{uuid.uuid4().hex}"
+    table = pa.Table.from_pandas(answers, preserve_index=False)
+    for column, kind in (("latency_ms", pa.float64()), ("cost", pa.float64()), ("completed_at", pa.timestamp("us", "UTC"))):
+        at = table.schema.get_field_index(column)
+        table = table.set_column(at, column, table.column(column).cast(kind, safe=False))
+    pq.write_table(table, mine, filesystem=system)
+    system.move(mine, f"{folder}/{last}")
+
+
 def complete_batch(
     prompts: DataFrame,
     complete: Complete,
@@ -90,10 +147,13 @@ def complete_batch(
 ) -> DataFrame:
     """Answer every row of ``prompts`` (column ``prompt``).
 
-    Only prompts without a valid entry in the cache table are sent, each once;
-    their answers are appended to the table before anything reads them, so a
-    lost executor never repeats a paid call that was stored. ``cached`` tells
-    whether the answer was there before this run.
+    Only prompts without a valid entry in the cache table are sent, each once.
+    The prompts to send are stored first and their answers are put beside the
+    cache batch by batch (see :func:`call`), so neither a lost executor nor a run
+    that ends half way repeats a paid call whose answer was in: the next run
+    moves such answers to the table first. Answers are appended to the table
+    before anything reads them. ``cached`` tells whether the answer was there
+    before this run.
     """
     spark = prompts.sparkSession
     now = as_of or dt.datetime.now(dt.timezone.utc)
@@ -102,9 +162,13 @@ def complete_batch(
     keyed = prompts.withColumn("model", F.lit(model)).withColumn(
         "cache_key", cache_key(F.lit(model), F.col("prompt"), F.lit(schema) if schema else None)
     )
+    _recover(spark, cache_path)
     before = _read_cache(spark, cache_path)
-    todo = missing_prompts(keyed, before if use_cache else None, now, ttl_days)
-    call(todo, complete, now).write.mode("append").parquet(cache_path)
+    run = f"{cache_path.rstrip('/')}{STAGED}/{uuid.uuid4().hex}"
+    missing_prompts(keyed, before if use_cache else None, now, ttl_days).select("cache_key", "model", "prompt").write.parquet(f"{run}/requests")
+    todo = spark.read.schema("cache_key string, model string, prompt string").parquet(f"{run}/requests")
+    call(todo, complete, now, staged=f"{run}/answers").write.mode("append").parquet(cache_path)
+    _finish(spark, run)
     stored = valid_entries(_read_cache(spark, cache_path), now, ttl_days)
     known = F.col("completed_at") < F.lit(now)
     # The rows of a frequent prompt meet its one answer in many tasks.
@@ -113,6 +177,31 @@ def complete_batch(
     return dealt.join(answers, ["cache_key", "__salt"]).drop("__salt").withColumn("cached", known)
 
 
+def _finish(spark: SparkSession, run: str) -> None:
+    """Mark a run whose answers are all in the table."""
+    spark.range(1).write.mode("overwrite").parquet(f"{run}/done")
+
+
+def _recover(spark: SparkSession, cache_path: str) -> None:
+    """Move the answers of runs that ended half way to the table."""
+    import pyarrow.fs as fs
+
+    folder = cache_path.rstrip("/") + STAGED
+    system, root = fs.FileSystem.from_uri(folder)
+    if system.get_file_info(root).type == fs.FileType.NotFound:
+        return
+    runs = {i.base_name for i in system.get_file_info(fs.FileSelector(root))}
+    there = lambda run, part: system.get_file_info(f"{root}/{run}/{part}").type != fs.FileType.NotFound
+    for run in sorted(runs):
+        if there(run, "answers") and not there(run, "done/_SUCCESS"):
+            answers = spark.read.schema(COMPLETION).parquet(f"{folder}/{run}/answers")
+            old = _read_cache(spark, cache_path)
+            if old is not None:  # some may have been appended before the run ended
+                answers = answers.join(old.select("cache_key", "completed_at"), ["cache_key", "completed_at"], "left_anti").select(*answers.columns)
+            answers.write.mode("append").parquet(cache_path)
+            _finish(spark, f"{folder}/{run}")
+
+
 def _read_cache(spark: SparkSession, path: str) -> DataFrame | None:
     """The cache table, or ``None`` before its first entry."""
     try:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +37,14 @@ def as_run(score: DataFrame, dataset: str, run_id: str, run_at=None) -> DataFram
 
 
 def append_run(run: DataFrame, path: str) -> None:
+    """Append runs that the history does not hold yet, so a run that is written again stays one run."""
+    try:
+        known = read_history(run.sparkSession, path).select("dataset", "run_id")
+    except AnalysisException as err:
+        if err.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    else:
+        run = run.join(known, ["dataset", "run_id"], "left_anti").select(*run.columns)
     run.write.mode("append").partitionBy("dataset").parquet(path)
 
 

@@ -272,6 +272,40 @@ def test_completions_are_cached(spark, tmp_path):
     assert (u.call_count, u.total_tokens, u.estimated_cost_usd) == (6, 9 + 6, 3.0)
 
 
+def test_answers_of_a_failed_run_are_not_asked_for_again(spark, tmp_path):
+    path, log, broken = scratch_path(spark, "cache"), str(tmp_path / "calls"), tmp_path / "broken"
+    broken.write_text("x")
+    plain = counting(log)
+
+    def complete(texts):
+        import os
+
+        if os.path.exists(str(broken)) and os.path.exists(log) and len(open(log).read().split()) > 100:
+            raise RuntimeError("provider is down")
+        return plain(texts)
+
+    df = spark.createDataFrame([(f"p{i}",) for i in range(300)], "prompt string").coalesce(1)
+    with pytest.raises(Exception, match="provider is down"):
+        completion.complete_batch(df, complete, "m", path, as_of=dt.datetime(2024, 1, 1)).collect()
+    sent = open(log).read().split()
+    assert 100 < len(sent) < 300
+    broken.rename(tmp_path / "mended")
+    rows = completion.complete_batch(df, complete, "m", path, as_of=dt.datetime(2024, 1, 2)).collect()
+    assert len(rows) == 300 and sum(r.cached for r in rows) == len(sent)
+    assert sorted(open(log).read().split()) == sorted(f"p{i}" for i in range(300))
+    assert spark.read.parquet(path).count() == 300
+    completion.complete_batch(df, complete, "m", path, as_of=dt.datetime(2024, 1, 3)).collect()
+    assert spark.read.parquet(path).count() == 300
+
+
+def test_a_task_that_is_run_again_takes_its_answers(spark, tmp_path):
+    log = str(tmp_path / "calls")
+    requests = spark.createDataFrame([(f"k{i}", "m", f"p{i}") for i in range(90)], "cache_key string, model string, prompt string").coalesce(1)
+    asked = completion.call(requests, counting(log), dt.datetime(2024, 1, 1), 40, staged=str(tmp_path / "staged"))
+    first, again = (sorted(map(tuple, asked.collect())) for _ in range(2))
+    assert first == again and len(first) == 90 and len(open(log).read().split()) == 90
+
+
 def test_cache_key_matches_its_definition(spark):
     from pyspark.sql import functions as F
 

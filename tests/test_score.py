@@ -154,3 +154,14 @@ def test_stream_of_runs(spark):
     query = quality_stream(stream, "live", RULES, path, checkpoint, availableNow=True)
     query.awaitTermination(120)
     assert h.read_history(spark, path).count() >= 1
+
+
+def test_a_run_that_is_appended_twice_is_one(spark, tmp_path):
+    from plumbob.sources import history
+
+    path = str(tmp_path / "history")
+    runs = spark.createDataFrame([("a", "r1", 1.0), ("b", "r1", 0.5)], "dataset string, run_id string, overall_score double")
+    for _ in range(2):
+        history.append_run(runs, path)
+    history.append_run(runs.selectExpr("dataset", "'r2' AS run_id", "overall_score"), path)
+    assert history.read_history(spark, path).count() == 4
