@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from plumbob.functions.columns import (
+    compact,
     is_missing,
     local_table,
     packed,
@@ -329,47 +330,67 @@ def _truth_key(keys: Sequence[Column], value: Column) -> Column:
     return packed(texts, [T.StringType()] * len(texts))
 
 
-def _judged_truth(df: DataFrame, c: _Compiled, order: Column | None) -> DataFrame:
-    """The same shape for a reconciliation with a source of truth.
+def _join_key(keys: Sequence[Column]) -> Column:
+    """Null if a part is missing: such a row has no truth."""
+    there = reduce(Column.__and__, (k.isNotNull() for k in keys))
+    return F.when(there, packed(keys, [T.StringType()] * len(keys)))
 
-    Rows are first counted per (key, value) and the truth is reduced to one row
-    per key, so a hot key costs one row on either side of the join.
+
+def _value_parts(value: Column, tolerance: float | None) -> dict[str, Column]:
+    """A value to compare: a number where it need only be near, else a text that equal values share."""
+    none = F.lit(None)
+    if tolerance is None:
+        return {"text": compact(value.cast("string")), "number": none.cast("double")}
+    return {"text": none.cast("string"), "number": value}
+
+
+def _judged_truths(df: DataFrame, compiled: Sequence[_Compiled], order: Column | None) -> DataFrame:
+    """The same shape for reconciliations with sources of truth, all rules together.
+
+    The table is read once and each source of truth once. Rows are first counted
+    per (rule, key, value) and the truths are reduced to one row per (rule, key),
+    so a hot key costs one row on either side of the one join.
     """
-    p = c.rule.params
-    sides = _truth_sides(c.rule, df)
-    names = sides.names
-    key = _truth_key([F.col(n) for n in names], F.col("v"))
+    sides = {c.no: _truth_sides(c.rule, df) for c in compiled}
+    tolerances = {c.no: c.rule.params["tolerance"] for c in compiled}
     extra = () if order is None else (order.alias("position"),)
     first = F.lit(None).cast("string") if order is None else F.min("position")
+
+    def entry(c: _Compiled) -> Column:
+        side = sides[c.no]
+        parts = _value_parts(side.value, tolerances[c.no])
+        return F.struct(F.lit(c.no).alias("rule_no"), c.key.alias("key"), _join_key(side.mine).alias("meet"), *(v.alias(n) for n, v in parts.items()))
+
     counted = (
-        df.select(*(m.alias(n) for m, n in zip(sides.mine, names)), sides.value.alias("v"), *extra)
-        .groupBy(*names, "v")
+        df.select(*extra, F.inline(F.array(*map(entry, compiled))))
+        .groupBy("rule_no", "key", "meet", "text", "number")
         .agg(F.count(F.lit(1)).alias("n"), first.alias("first_at"))
     )
-    reduced = (
-        p["truth_df"]
-        .select(*(t.alias(n) for t, n in zip(sides.theirs, names)), sides.true_value.alias("t"))
-        .groupBy(*names)
-        .agg(
-            F.min("t").alias("low"),
-            F.max("t").alias("high"),
-            F.count("t").alias("valued"),
-            F.count(F.lit(1)).alias("rows"),
+
+    def truth(c: _Compiled) -> DataFrame:
+        side = sides[c.no]
+        parts = _value_parts(side.true_value, tolerances[c.no])
+        limit = F.lit(None if tolerances[c.no] is None else float(tolerances[c.no])).cast("double")
+        return c.rule.params["truth_df"].select(
+            F.lit(c.no).alias("rule_no"), _join_key(side.theirs).alias("meet"), *(v.alias(n) for n, v in parts.items()), limit.alias("limit")
         )
+
+    truths = reduce(DataFrame.unionByName, map(truth, compiled)).where(F.col("meet").isNotNull())
+    reduced = truths.groupBy("rule_no", "meet").agg(
+        *(f(n).alias(f"{side}_{n}") for n in ("text", "number") for side, f in (("low", F.min), ("high", F.max))),
+        F.count(F.coalesce("text", F.col("number").cast("string"))).alias("valued"),
+        F.count(F.lit(1)).alias("rows"),
+        F.max("limit").alias("limit"),
     )
-    v, low, high = F.col("v"), F.col("low"), F.col("high")
-    if p["tolerance"] is None:
-        close = (v == low) & (v == high)
-    else:
-        limit = F.lit(float(p["tolerance"]))
-        close = (F.abs(v - low) <= limit) & (F.abs(v - high) <= limit)
-    agrees = F.when(v.isNull(), F.col("valued") == 0).otherwise(
-        close & (F.col("valued") == F.col("rows"))
-    )
-    return counted.join(reduced, names, "left").select(
-        F.lit(c.no).alias("rule_no"),
-        key.alias("key"),
-        (key if order is None else F.col("first_at")).alias("first_at"),
+    number = F.col("number")
+    same = (F.col("text") == F.col("low_text")) & (F.col("text") == F.col("high_text"))
+    near = (F.abs(number - F.col("low_number")) <= F.col("limit")) & (F.abs(number - F.col("high_number")) <= F.col("limit"))
+    nothing = F.col("text").isNull() & number.isNull()
+    agrees = F.when(nothing, F.col("valued") == 0).otherwise(F.coalesce(same, near) & (F.col("valued") == F.col("rows")))
+    return counted.join(reduced, ["rule_no", "meet"], "left").select(
+        "rule_no",
+        "key",
+        (F.col("key") if order is None else F.col("first_at")).alias("first_at"),
         "n",
         F.when(F.coalesce(agrees, F.lit(False)), 0).otherwise(F.col("n")).alias("fail"),
     )
@@ -380,7 +401,9 @@ def _judged(df: DataFrame, keyed: Sequence[_Compiled], order: Column | None) ->
     shared = [c for c in keyed if c.rule.kind != "accuracy_check"]
     if shared:
         parts.append(_judged_keys(df, shared, order))
-    parts += [_judged_truth(df, c, order) for c in keyed if c.rule.kind == "accuracy_check"]
+    accurate = [c for c in keyed if c.rule.kind == "accuracy_check"]
+    if accurate:
+        parts.append(_judged_truths(df, accurate, order))
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 

@@ -290,3 +290,21 @@ def test_key_rules_share_one_exchange_and_collect_nothing(spark, data):
     assert plan.count("FileScan") == 2
     assert plan.count("hashpartitioning(rule_no") == 2  # the keys, then a handful of counts
     assert "SortMergeJoin" not in plan
+
+
+def test_reconciliations_share_a_scan(spark, data):
+    from plumbob.operators import rules as r
+    from plumbob.operators.evaluate import evaluate
+
+    customers, truth = (spark.read.parquet(f"{data}/customer.parquet") for _ in range(2))
+    half = truth.where("c_custkey % 2 = 0")
+    rules = [
+        r.accuracy_check("c_custkey", "c_name", truth_df=half),
+        r.accuracy_check("c_custkey", "c_acctbal", truth_df=half.withColumn("c_acctbal", half.c_acctbal + 0.5), tolerance=1.0, name="near"),
+        r.accuracy_check(["c_custkey", "c_nationkey"], "c_mktsegment", truth_df=half, name="pair"),
+    ]
+    results = evaluate(customers, rules, sample_size=0).results
+    n = half.count()
+    assert {(x.rule_name, x.pass_count) for x in results.collect()} == {("accuracy_check_c_name", n), ("near", n), ("pair", n)}
+    scans = [x for x in results._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Relation" in x and "parquet" in x]
+    assert len(scans) == 1 + len(rules)  # the table once, each truth once
