@@ -10,13 +10,17 @@ as the smaller of the two l, and its sizes allow a link.
 1. One scan hashes the sets, identifies equal ones, and counts shingles in a table
    of set size: the order, and the estimate. Only its buckets reach the driver.
 2. A second scan gives each distinct set's prefix, by shingle. Shingles with many
-   holders by the estimate are dealt out over salted tiles.
+   holders by the estimate are dealt out over salted tiles. Each posting carries
+   a sketch of its whole set, which bounds from below in how many shingles two
+   sets differ.
 3. While shingles have many holders in different components, rounds that cost one
-   pair per posting: in each tile every member is compared with one of them.
-   Groups of near copies fall together into components here.
+   pair per posting: in each tile every member is compared with one of them, first
+   with that which has most of its prefix in common with others, as the original
+   of altered copies has. Groups of near copies fall together into components
+   here. Rounds end when one leaves most pairs as they were.
 4. What shares a prefix shingle and is not yet in one component is compared in
    full. Links are lost nowhere: a pair is left out only if its ends are already
-   in one component, or its sizes or shared prefixes rule a link out.
+   in one component, or its sizes, its sketches or shared prefixes rule a link out.
 
 Sets are identified, and shingles compared, by 64-bit hashes.
 """
@@ -51,9 +55,9 @@ VERIFY_COST = 0.25
 TILE = 1000
 #: Sets and texts a task remembers to have sent; only saves sending them again.
 REMEMBERED = 100_000
-#: Rounds of one pair per posting go on while there are so many pairs per posting, up to a number.
+#: Rounds of one pair per posting go on while there are so many pairs per posting, and while a round leaves less than a share of them.
 CROWDED = 2
-STAR_ROUNDS = 4
+STAR_GAIN = 0.8
 SALTS = 16
 #: Near copies are looked up by broadcast up to this many, and by shuffle beyond.
 BROADCAST_KEYS = 200_000
@@ -97,6 +101,21 @@ def _table(slices: DataFrame, bits: int):
     return counts.reshape(-1)
 
 
+#: Columns of a set's sketch, 64 bits each: for each value of the hashes' last bits, whether an odd number of shingles has it.
+SKETCH = ("s0", "s1", "s2", "s3")
+
+
+def _sketches(sets) -> list[pa.Array]:
+    import numpy as np
+
+    bits = 64 * len(SKETCH)
+    marks = np.zeros((len(sets), bits), np.uint8)
+    for row, own in zip(marks, sets):
+        row[:] = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    words = np.packbits(marks, axis=1).view("<i8").reshape(len(sets), len(SKETCH))
+    return [pa.array(np.ascontiguousarray(words[:, i])) for i in range(len(SKETCH))]
+
+
 def _identity(own) -> int:
     import xxhash
 
@@ -109,7 +128,7 @@ def _hash_sets(bits: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Re
 
         from plumbob.llm.shingles import shingle_sets
 
-        names = ["doc_id", "text_key", "cls", "n_shingles", "slice", "counts"]
+        names = ["doc_id", "text_key", "cls", "n_shingles", *SKETCH, "slice", "counts"]
         counts, any_text = np.zeros(1 << bits, np.int32), False
         for batch, block in text_blocks(batches):
             sets = shingle_sets(block, SHINGLE)
@@ -122,6 +141,7 @@ def _hash_sets(bits: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Re
                     batch.column("text_key"),
                     pa.array([_identity(s) if len(s) else None for s in sets], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
+                    *_sketches(sets),
                     pa.nulls(n, pa.int32()),
                     pa.nulls(n, pa.binary()),
                 ],
@@ -129,7 +149,7 @@ def _hash_sets(bits: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Re
             )
         if any_text:
             part = _slices(counts)
-            empty = [pa.nulls(part.num_rows, pa.int64())] * 4
+            empty = [pa.nulls(part.num_rows, pa.int64())] * (4 + len(SKETCH))
             yield pa.RecordBatch.from_arrays([*empty, part.column(0), part.column(1)], names)
 
     return run
@@ -210,6 +230,22 @@ def _postings(docs: DataFrame, table, bits: int, threshold: int, tile: int) -> D
     return held.where("holders > 1 OR tiles > 1").drop("holders")
 
 
+def _described(postings: DataFrame, hashed: DataFrame, threshold: int) -> DataFrame:
+    """Postings with their set's sketch and ``share``, what of its prefix others hold too: more in an original than in its altered copies."""
+    length = F.col("n") - F.ceil(F.col("n") * threshold / 100) + F.col("l")
+    held = postings.groupBy("cls").agg(F.count(F.lit(1)).alias("held"))
+    sketches = hashed.where("cls IS NOT NULL").groupBy("cls").agg(*(F.first(s).alias(s) for s in SKETCH))
+    return postings.join(held.join(sketches, "cls"), "cls").withColumn("share", F.round(F.col("held") / length, 2)).drop("held")
+
+
+def _near_enough(a: str, b: str, threshold: int):
+    """Sizes and sketches that allow a link. Each shingle that one set has alone changes at most one bit of the difference."""
+    n_a, n_b = (x.format("n") for x in (a, b))
+    differ = sum(F.bit_count(F.col(a.format(s)).bitwiseXOR(F.col(b.format(s)))) for s in SKETCH)
+    sizes = 100 * F.least(n_a, n_b) >= threshold * F.greatest(n_a, n_b)
+    return sizes & ((100 + threshold) * differ <= (100 - threshold) * (F.col(n_a) + F.col(n_b)))
+
+
 def _sets(wanted) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -234,8 +270,8 @@ def _sets(wanted) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatc
     return run
 
 
-def _fetch_sets(docs: DataFrame, hashed: DataFrame, classes: DataFrame) -> DataFrame:
-    """``(cls, elements)`` of the given sets, hashed again from texts that a table of their keys lets through."""
+def _fetch_sets(docs: DataFrame, hashed: DataFrame, classes: DataFrame) -> tuple[DataFrame, object]:
+    """``(cls, elements)`` of the given sets, hashed again from texts that a table of their keys lets through; and that broadcast table."""
     import numpy as np
 
     keys = hashed.join(classes, "cls").groupBy("cls").agg(F.min("text_key").alias("text_key"))
@@ -244,7 +280,7 @@ def _fetch_sets(docs: DataFrame, hashed: DataFrame, classes: DataFrame) -> DataF
     marks[np.asarray(buckets.toArrow().column("bucket"))] = True  # at most as many rows as buckets
     wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(marks).tobytes())
     found = docs.select("text_key", "text").mapInArrow(_sets(wanted), "cls bigint, elements binary")
-    return found.join(classes, "cls", "left_semi").groupBy("cls").agg(F.first("elements").alias("elements"))
+    return found.join(classes, "cls", "left_semi").groupBy("cls").agg(F.first("elements").alias("elements")), wanted
 
 
 def _compare(threshold: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -269,17 +305,18 @@ def _verified(docs: DataFrame, hashed: DataFrame, pairs: DataFrame, threshold: i
     if pairs.isEmpty():
         return pairs
     classes = stored(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "candidate-sets")
-    sets = _fetch_sets(docs, hashed, classes)
+    sets, wanted = _fetch_sets(docs, hashed, classes)
     rows = pairs.join(sets.select(F.col("cls").alias("a"), F.col("elements").alias("x")), "a")
     rows = rows.join(sets.select(F.col("cls").alias("b"), F.col("elements").alias("y")), "b")
     found = rows.select("a", "b", "x", "y").mapInArrow(_compare(threshold), "a bigint, b bigint, linked boolean")
-    return stored(found.where("linked").drop("linked"), "links")
+    links = stored(found.where("linked").drop("linked"), "links")
+    wanted.unpersist()
+    return links
 
 
-def _may_link(threshold: int):
-    """Candidates: enough shared prefix shingles, and sizes that allow a link."""
-    sizes = 100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")
-    return (F.col("shared") >= F.least("l_a", "l_b")) & sizes
+def _enough_shared():
+    """Candidates share as many prefix shingles as the smaller prefix asks for."""
+    return F.col("shared") >= F.least("l_a", "l_b")
 
 
 def _labelled(postings: DataFrame, components: DataFrame | None) -> DataFrame:
@@ -298,8 +335,9 @@ def _pairs_apart(postings: DataFrame) -> float:
 
 def _star_pairs(postings: DataFrame, turn: int, threshold: int) -> DataFrame:
     """Candidates among pairs of a member and its tile's, or a tile's and its shingle's, first one."""
-    parts = ("k", "cls", "n", "l", "label")
-    rows = postings.withColumn("k", F.xxhash64("cls", F.lit(turn)))
+    parts = ("k", "cls", "n", "l", "label", *SKETCH)
+    by_label = F.xxhash64("label", F.lit(turn)) if turn % 2 else F.lit(0).cast("bigint")
+    rows = postings.withColumn("k", F.struct(by_label, -F.col("share"), F.xxhash64("cls", F.lit(turn))))
 
     def first(df: DataFrame, *by: str) -> DataFrame:
         found = df.groupBy(*by).agg(F.min(F.struct(*parts)).alias("top"), F.first("tiles").alias("tiles"))
@@ -307,16 +345,16 @@ def _star_pairs(postings: DataFrame, turn: int, threshold: int) -> DataFrame:
 
     tops = first(rows, "shingle", "tile")
     spread = tops.where("tiles > 1").select("shingle", "tiles", *(F.col(f"top_{c}").alias(c) for c in parts))
-    names = ("cls", "n", "l", "label", *(f"top_{c}" for c in parts))
+    names = (*parts[1:], *(f"top_{c}" for c in parts))
     in_tiles = rows.join(tops.drop("tiles"), ["shingle", "tile"]).select(*names)
     over_tiles = spread.join(first(spread, "shingle").drop("tiles"), "shingle").select(*names)
-    pairs = in_tiles.union(over_tiles).where("cls <> top_cls AND label <> top_label")
+    pairs = in_tiles.union(over_tiles).where("cls <> top_cls AND label <> top_label").where(_near_enough("{}", "top_{}", threshold))
     counted = pairs.groupBy(F.col("top_cls").alias("a"), F.col("cls").alias("b")).agg(
         F.count(F.lit(1)).alias("shared"),
         *(F.first(c).alias(f"{c}_b") for c in ("n", "l")),
         *(F.first(f"top_{c}").alias(f"{c}_a") for c in ("n", "l")),
     )
-    return counted.where(_may_link(threshold)).select("a", "b")
+    return counted.where(_enough_shared()).select("a", "b")
 
 
 def _remaining_pairs(postings: DataFrame, threshold: int) -> DataFrame:
@@ -324,18 +362,18 @@ def _remaining_pairs(postings: DataFrame, threshold: int) -> DataFrame:
     mixed = postings.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("tiles").alias("tiles"))
     mixed = mixed.where("low <> high").select("shingle")
     rows = postings.join(mixed, "shingle", "left_semi")
-    left = rows.select("shingle", "tile", *(F.col(c).alias(f"{c}_a") for c in ("cls", "n", "l", "label")))
+    parts = ("cls", "n", "l", "label", *SKETCH)
+    left = rows.select("shingle", "tile", *(F.col(c).alias(f"{c}_a") for c in parts))
     # Each holder meets the tiles of its shingle one by one.
     right = rows.select(
-        "shingle", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), *(F.col(c).alias(f"{c}_b") for c in ("cls", "n", "l", "label"))
+        "shingle", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), *(F.col(c).alias(f"{c}_b") for c in parts)
     )
-    fits = (F.col("label_a") != F.col("label_b")) & (F.col("cls_a") < F.col("cls_b"))
-    fits &= 100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")
+    fits = (F.col("label_a") != F.col("label_b")) & (F.col("cls_a") < F.col("cls_b")) & _near_enough("{}_a", "{}_b", threshold)
     met = left.join(right, ["shingle", "tile"]).where(fits)
     counted = met.groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(
         F.count(F.lit(1)).alias("shared"), *(F.first(c).alias(c) for c in ("n_a", "l_a", "n_b", "l_b"))
     )
-    return counted.where(_may_link(threshold)).select("a", "b")
+    return counted.where(_enough_shared()).select("a", "b")
 
 
 def _linked(df: DataFrame, id_column: str, text_column: str, threshold: int, bits: int, tile: int) -> tuple[DataFrame, DataFrame | None]:
@@ -345,26 +383,30 @@ def _linked(df: DataFrame, id_column: str, text_column: str, threshold: int, bit
     docs = docs.withColumn("text_key", F.xxhash64("text"))
     spark = df.sparkSession
 
-    schema = "doc_id bigint, text_key bigint, cls bigint, n_shingles bigint, slice int, counts binary"
+    sketch = ", ".join(f"{s} bigint" for s in SKETCH)
+    schema = f"doc_id bigint, text_key bigint, cls bigint, n_shingles bigint, {sketch}, slice int, counts binary"
     rows = stored(docs.select("doc_id", "text_key", "text").mapInArrow(_hash_sets(bits), schema), "shingles")
-    hashed = rows.where("slice IS NULL").select("doc_id", "text_key", "cls", "n_shingles")
+    hashed = rows.where("slice IS NULL").select("doc_id", "text_key", "cls", "n_shingles", *SKETCH)
     table = spark.sparkContext.broadcast(zlib.compress(_table(rows.where("slice IS NOT NULL"), bits).tobytes(), 1))
 
-    postings = stored(_postings(docs, table, bits, threshold, tile), "postings")
+    postings = stored(_postings(docs, table, bits, threshold, tile), "all-postings")
+    postings = stored(_described(postings, hashed, threshold), "postings")
 
     links = components = None
-    labelled, size, turn = _labelled(postings, None), postings.count(), 0
+    labelled, size, turn, before = _labelled(postings, None), postings.count(), 0, float("inf")
     while True:
-        crowded = turn < STAR_ROUNDS and _pairs_apart(labelled) > CROWDED * size
+        apart = _pairs_apart(labelled)
+        crowded = CROWDED * size < apart < STAR_GAIN * before
         pairs = _star_pairs(labelled, turn, threshold) if crowded else _remaining_pairs(labelled, threshold)
         found = _verified(docs, hashed, pairs, threshold)
-        turn += 1
+        turn, before = turn + 1, apart
         if not found.isEmpty():
             links = found if links is None else links.union(found)
             components = stored(connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("label")), "components")
             labelled = _labelled(postings, components)
         if not crowded:
             break
+    table.unpersist()
     return hashed, components
 
 

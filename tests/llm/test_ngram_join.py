@@ -90,7 +90,7 @@ def crowd(seed=0):
 def test_crowd(frame, monkeypatch, most, tile):
     """At once, and by rounds with the holders of a shingle spread over many tiles."""
     monkeypatch.setattr(nj, "CROWDED", most)
-    monkeypatch.setattr(nj, "STAR_ROUNDS", 2)
+    monkeypatch.setattr(nj, "STAR_GAIN", 1.0)
     rows = crowd()
     assert run(frame(rows), tile=tile) == components(rows)
 
@@ -144,3 +144,15 @@ def test_one_stays(frame, monkeypatch, limit):
         else:
             ids = [rows[k][0] for k in g if rows[k][0] is not None]
             assert len(stay) == 1 and rows[stay[0]][0] == min(ids, default=None)
+
+
+def test_sketches_never_rule_out_a_link():
+    """The sketches of two sets differ in no more places than the sets do."""
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        x = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 900), dtype=np.uint64))
+        y = np.unique(np.concatenate([rng.permutation(x)[: rng.integers(0, len(x) + 1)], rng.integers(0, 1 << 63, rng.integers(0, 200), dtype=np.uint64)]))
+        a, b = (np.array([c[0].as_py() for c in nj._sketches([s])]) for s in (x, y))
+        differ = sum(int(v & (1 << 64) - 1).bit_count() for v in (a ^ b).tolist())
+        assert differ <= len(np.setxor1d(x, y))
+        assert a.tolist() == [c[0].as_py() for c in nj._sketches([x])]
