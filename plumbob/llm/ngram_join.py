@@ -176,14 +176,21 @@ def choose_prefix(estimates, n: int, threshold: int) -> tuple[int, int]:
     return int(shared[best]), int(length[best])
 
 
+def _compact(counts) -> tuple[int, bytes]:
+    """The usual count, and the counts in 32 bits, packed: a worker unpacks them without a second copy."""
+    import numpy as np
+
+    return int(np.median(counts)), zlib.compress(np.minimum(counts, (1 << 31) - 1).astype("<i4").tobytes(), 1)
+
+
 def _prefixes(table, bits: int, threshold: int, tile: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         from plumbob.llm.shingles import shingle_sets
 
-        counts = np.minimum(np.frombuffer(zlib.decompress(table.value), "<i8"), (1 << 31) - 1).astype(np.int32)
-        usual = int(np.median(counts))
+        usual, packed = table.value
+        counts = np.frombuffer(zlib.decompress(packed), "<i4")
         sent: set[int] = set()
         for _, block in text_blocks(batches):
             shingles, heads, lengths = [], [], []
@@ -387,7 +394,7 @@ def _linked(df: DataFrame, id_column: str, text_column: str, threshold: int, bit
     schema = f"doc_id bigint, text_key bigint, cls bigint, n_shingles bigint, {sketch}, slice int, counts binary"
     rows = stored(docs.select("doc_id", "text_key", "text").mapInArrow(_hash_sets(bits), schema), "shingles")
     hashed = rows.where("slice IS NULL").select("doc_id", "text_key", "cls", "n_shingles", *SKETCH)
-    table = spark.sparkContext.broadcast(zlib.compress(_table(rows.where("slice IS NOT NULL"), bits).tobytes(), 1))
+    table = spark.sparkContext.broadcast(_compact(_table(rows.where("slice IS NOT NULL"), bits)))
 
     postings = stored(_postings(docs, table, bits, threshold, tile), "all-postings")
     postings = stored(_described(postings, hashed, threshold), "postings")
