@@ -1,10 +1,10 @@
 """The main text of web pages by composite text density.
 
 Every node of a page's tree has a density: its characters per tag, lowered where
-they are links. The subtree whose children's densities have the largest sum is
+they are links; marks of words, such as ``b``, are no tags in this count. The subtree whose children's densities have the largest sum is
 the main content; the smallest density on the way from it to the body is the
 threshold that the blocks beside that way must reach to belong to it (Sun, Song
-and Liao, 2011). What markup names as no part of an article is left out first.
+and Liao, 2011), and one of them must hold as much as the subtree's usual child. What markup names as no part of an article is left out first.
 """
 
 from __future__ import annotations
@@ -27,6 +27,9 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+INLINE = frozenset(
+    "abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+)
 #: A start tag ends open elements of these kinds.
 ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -44,6 +47,8 @@ WORDS = frozenset(
     "respond contentinfo complementary search pagination pager".split()
 )
 KEPT = frozenset(("html", "body", "article", "main"))
+#: Headings that belong to an article beside which they stand.
+TITLES = frozenset(("h1",))
 #: The word after one of these says what a layout lacks or has beside the article, not what the element is.
 LAYOUT = frozenset("no not non without with has have hide hides hidden show shows".split())
 #: Words that also name layouts. What the others name may be longer than an article beside it.
@@ -210,23 +215,33 @@ def density(chars: int, tags: int, link_chars: int, link_tags: int, body_links:
     return per_tag * math.log(max(ratio, 1.0)) / math.log(math.log(inner))
 
 
-def main_text(html: str) -> str:
-    """The blocks of a page's main content, joined by empty lines; empty if there is none."""
+def main_text(html: str, titles: frozenset[str] = TITLES) -> str:
+    """The blocks of a page's main content, joined by empty lines; empty if there is none.
+
+    The subtree of the largest density sum is chosen, with the article or main
+    element that holds it. A block beside the way from there to the body belongs
+    to it if its density reaches the least on that way, and its own density, or a
+    density sum within it, the mean density of the chosen subtree's children, by their characters.
+    Elements of the kinds in ``titles`` on that way are short by nature and stay.
+    """
     tree = Tree(html)
     n = len(tree.kind)
     own = [sum(len("".join(c.split())) for c in content if isinstance(c, str)) for content in tree.content]
     out = _left_out(tree, own)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
+    inline = [k in INLINE for k in tree.kind]  # marks of words, which say nothing of blocks
     for i in range(n - 1, -1, -1):  # children follow their parents
         if out[i]:
             continue
+        if i and not inline[i] and tree.kind[i] != "a":
+            inline[tree.parent[i]] = False
         chars[i] += own[i]
         if tree.kind[i] == "a":
             link_chars[i], link_tags[i] = chars[i], link_tags[i] + 1
         if i:
             p = tree.parent[i]
             chars[p] += chars[i]
-            tags[p] += tags[i] + 1
+            tags[p] += tags[i] + (not inline[i])
             link_chars[p] += link_chars[i]
             link_tags[p] += link_tags[i]
     body = next((i for i in range(n) if tree.kind[i] == "body"), 0)
@@ -238,23 +253,30 @@ def main_text(html: str) -> str:
     sums, below = [0.0] * n, [False] * n
     for i in range(n):
         below[i] = i == body or (i > 0 and below[tree.parent[i]])
-        if i and not out[i]:
+        if i and not out[i] and not inline[i]:
             sums[tree.parent[i]] += of[i]
-    best = max((i for i in range(n) if below[i] and not out[i] and chars[i]), key=lambda i: (sums[i], of[i], -i))
+    best = max((i for i in range(n) if below[i] and not out[i] and not inline[i] and chars[i]), key=lambda i: (sums[i], of[i], -i))
     path, node = [], best
     while node != body:
         path.append(node)
         node = tree.parent[node]
     path.append(body)
     threshold = min(of[i] for i in path)
-    # Nothing of an article is lost to a part of it.
-    top = next((i for i in reversed(path) if tree.kind[i] in ("article", "main")), best)
+    # Nothing of an article is lost to a part of it, if the article is no thinner than the page.
+    top = next((i for i in reversed(path) if tree.kind[i] in ("article", "main") and of[i] >= of[body]), best)
+    # A footer's line is as dense as a line of the article, but there is no more of it.
+    parts = [i for i in range(1, n) if tree.parent[i] == best and chars[i] and not out[i]]
+    usual = sum(of[i] * chars[i] for i in parts) / max(1, sum(chars[i] for i in parts))
+    most = [max(s, d) for s, d in zip(sums, of)]
+    for i in range(n - 1, 0, -1):
+        if not out[i]:
+            most[tree.parent[i]] = max(most[tree.parent[i]], most[i])
     chosen = [False] * n
     way = set(path[path.index(top) :])
     for i in range(1, n):
         p = tree.parent[i]
-        # A title is short by nature; every other node off the way needs the threshold.
-        beside = i not in way and (of[i] >= threshold or tree.kind[i] == "h1" and p in way and p != top)
+        part = of[i] >= threshold and most[i] >= usual
+        beside = i not in way and (part or tree.kind[i] in titles and p in way and p != top)
         chosen[i] = not out[i] and below[i] and (chosen[p] or i == top or beside)
     chosen[0] = top == 0
     if top == body or body == 0 and top == 0:

@@ -126,3 +126,70 @@ def test_long_comments_are_left_out():
     related = f'<div class="related"><article><p>{LONG}</p></article></div>'
     line = " ".join(LONG.split())
     assert h.main_text(page(f"<article><h1>T</h1><p>{LONG}</p><p>{LONG}</p></article>{related}{thread}")) == f"T\n\n{line}\n\n{line}"
+
+
+def plain(html):
+    """The page with every element that names a part of a page as a div, without classes, ids and roles."""
+    html = re.sub(r"<(/?)(?:article|nav|footer|header|main|aside|section|h1)\b[^>]*>", r"<\1div>", html)
+    return re.sub(r' (?:class|id|role)="[^"]*"', "", html)
+
+
+def pages(folder):
+    return [html for html in pq.read_table(f"{folder}/pages.parquet").column("html").to_pylist() if html]
+
+
+def test_pages_whose_markup_names_nothing(data, monkeypatch):
+    table = pages(data.replace("sf0.001", "sf0.01"))
+    right = sum(h.main_text(plain(html)) == article(html) for html in table)
+    assert right >= 0.95 * len(table)
+    for other in (lambda *a: 0.0, lambda *a: 1.0, lambda chars, *a: float(chars)):
+        monkeypatch.setattr(h, "density", other)
+        assert sum(h.main_text(plain(html)) == article(html) for html in table) < right
+
+
+def chosen_plainly(html):
+    """The chosen blocks' text, from the definitions alone, each node by itself; for pages without names."""
+    tree = h.Tree(html)
+    children = lambda i: [c for c in tree.content[i] if not isinstance(c, str)]
+    dropped = lambda i: tree.kind[i] in ("head", "script", "style", "title")
+
+    def under(i):
+        return [i] + [d for c in children(i) if not dropped(c) for d in under(c)]
+
+    def size(i):
+        return sum(len("".join(t.split())) for d in under(i) for t in tree.content[d] if isinstance(t, str))
+
+    def mark(i):
+        return all(tree.kind[d] in h.INLINE or tree.kind[d] == "a" for d in under(i)) and tree.kind[i] != "a"
+
+    body = tree.kind.index("body")
+
+    def links(i):
+        return [d for d in under(i) if tree.kind[d] == "a"]
+
+    def dense(i):
+        tags = sum(not mark(d) for d in under(i)) - (not mark(i))
+        return h.density(size(i), tags, sum(map(size, links(i))), len(links(i)), sum(map(size, links(body))), size(body))
+
+    of = {i: dense(i) for i in under(body)}
+    kids = {i: [c for c in children(i) if c in of] for i in of}
+    total = {i: sum(of[c] for c in kids[i] if not mark(c)) for i in of}
+    best = max((i for i in of if not mark(i) and size(i)), key=lambda i: (total[i], of[i], -i))
+    way = [best]
+    while way[-1] != body:
+        way.append(tree.parent[way[-1]])
+    least = min(of[i] for i in way)
+    usual = sum(of[c] * size(c) for c in kids[best]) / max(1, sum(map(size, kids[best])))
+    kept = set(under(best))
+    for i in of:
+        if i not in way and of[i] >= least and max(max(of[d], total[d]) for d in under(i)) >= usual:
+            kept |= set(under(i))
+    return "".join("".join(t.split()) for i in sorted(kept) for t in tree.content[i] if isinstance(t, str))
+
+
+def test_choice_against_plain_code(data):
+    some = [plain(html) for html in pages(data) if len(html) < 4000]
+    some.append(f"<body><div><p>{LONG}<p>{LONG}</div><div><a href=x>{LONG}</a><p>a b</div><div><i>{LONG}</i><p>c</div></body>")
+    assert len(some) > 5
+    for html in some:
+        assert sorted("".join(h.main_text(html).split())) == sorted(chosen_plainly(html))
