@@ -1,10 +1,12 @@
 """The main text of web pages by composite text density.
 
 Every node of a page's tree has a density: its characters per tag, lowered where
-they are links; marks of words, such as ``b``, are no tags in this count. The subtree whose children's densities have the largest sum is
-the main content; the smallest density on the way from it to the body is the
-threshold that the blocks beside that way must reach to belong to it (Sun, Song
-and Liao, 2011), and one of them must hold as much as the subtree's usual child. What markup names as no part of an article is left out first.
+they are links; marks of words, such as ``b``, are no tags in this count. The
+subtree whose children's densities have the largest sum is the main content; the
+smallest density on the way from it to the body is the threshold that the blocks
+beside that way must reach to belong to it (Sun, Song and Liao, 2011), and they
+must hold as much as the subtree's usual child. What markup names as no part of
+an article is left out first.
 """
 
 from __future__ import annotations

@@ -1,21 +1,26 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
 A score is the sum of partial scores, one per list: each list holds a part of the
-vectors' components. Candidates lie in blocks, and a block's list scores one
-query block at a time.
+vectors' components. Candidates lie in blocks; a block's lists are dealt to tasks
+one by one, with the same part of the queries, and none knows another's scores.
 
-1. Every list of a block names its best entries per query. The block adds them
-   up, with the list's least score where an entry is missing, and gives its best
-   sums: lower bounds, and the k-th best of all is a score that k candidates reach.
-2. That bound, divided evenly among the lists, goes to all blocks as the cutoff
+1. Every list of a block names its best entries per query, and its least score.
+   Put side by side they give lower bounds, with the least score where an entry
+   is missing: the k-th best of all is a score that k candidates reach.
+2. That bound, divided evenly among the lists, goes to all of them as the cutoff
    of a query. Each list gives the entries that reach it: a candidate that
    reaches it in no list cannot be among the best. Sums and the cutoff bound
    the rest from above, and candidates that cannot reach the k-th best go.
 3. The missing partial scores of the others are resolved exactly.
 
 (Cao and Wang, 2004; scores may be negative, since the cutoff bounds the sum by
-itself.) Equal vectors are candidates by their k + 1 smallest ids only, so a
-vector that fills much of the table costs no more than another.
+itself.) A list is scored again in phase 2: keeping it sorted would write an entry
+for every query and candidate. Equal vectors are candidates by their k + 1 smallest
+ids only, so a vector that fills much of the table costs no more than another.
+
+Vectors so long that a score might exceed 62 bits meet the others in a path of
+their own, with whole numbers of any length; a score beyond 64 bits counts as the
+largest or smallest number of 64 bits.
 """
 
 from __future__ import annotations
@@ -29,8 +34,8 @@ from pyspark.sql import functions as F
 from plumbob.functions.columns import ref
 from plumbob.llm.common import as_long, stored
 
-#: Larger components could make a score that no 64-bit integer holds.
-LARGEST = 1 << 28
+#: The sum of a vector's magnitudes from which its scores may not fit 62 bits.
+LONGEST = float(1 << 31)
 CANDIDATES_PER_BLOCK = 4096
 QUERIES_PER_BLOCK = 512
 #: Entries that a block's list names per query in the first phase.
@@ -39,22 +44,31 @@ DEPTH = 128
 GROUPS = 32
 NEVER = -(1 << 63)
 
+Batches = Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 
 def integer_vectors(df: DataFrame, id_column: str, vector_column: str, scale: int = 256) -> DataFrame:
-    """``(row, vec_id, v)`` with ``v = floor(scale * x)``; vectors that are null or hold null or non-finite components are left out."""
+    """``(row, vec_id, v, w)`` with ``v = floor(scale * x)``, or the same as whole doubles in ``w`` where the vector is too long for 62 bits.
+
+    Vectors that are null, empty or hold null or non-finite components are left out.
+    """
     x = ref(vector_column)
     finite = F.coalesce(F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf"))), F.lit(False))
-    scaled = F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")))
-    fits = F.forall(scaled, lambda c: F.abs(c) <= LARGEST)
-    whole = F.when(fits, F.transform(scaled, lambda c: c.cast("int"))).otherwise(
-        F.raise_error(F.lit("a component is too large for an exact 64-bit score")).cast("array<int>")
+    # A product with a power of two keeps all digits, so the remainder cuts off just what lies beyond the point.
+    scaled = F.transform(x, lambda c: F.lit(float(scale)) * c.cast("double"))
+    whole = F.transform(scaled, lambda c: F.when(F.abs(c) < float(1 << 53), F.floor(F.when(F.abs(c) < float(1 << 53), c)).cast("double")).otherwise(c))
+    rows = df.where(finite & (F.size(x) > 0)).select(as_long(id_column).alias("vec_id"), whole.alias("w"))
+    length = F.aggregate("w", F.lit(0.0), lambda s, c: s + F.abs(c))
+    return rows.select(
+        F.monotonically_increasing_id().alias("row"),
+        "vec_id",
+        F.when(length < LONGEST, F.transform("w", lambda c: F.when(length < LONGEST, c).cast("int"))).alias("v"),
+        F.when(length >= LONGEST, F.col("w")).alias("w"),
     )
-    rows = df.where(finite & (F.size(x) > 0)).select(as_long(id_column).alias("vec_id"), whole.alias("v"))
-    return rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v")
 
 
-def _blocks(name: str, size: int, cutoffs: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Vectors of one dimension as matrices of up to ``size`` rows."""
+def _blocks(name: str, size: int, lists: int, cutoffs: bool = False, kind: str = "int32") -> Batches:
+    """Vectors of one dimension as matrices of up to ``size`` rows, a matrix per list; a block is named after its first row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -63,13 +77,16 @@ def _blocks(name: str, size: int, cutoffs: bool) -> Callable[[Iterable[pa.Record
 
         def block(dim: int) -> pa.RecordBatch:
             rows = held.pop(dim)
-            matrix = np.array([r[1] for r in rows], np.int32)
-            columns = [[dim], [np.array([r[0] for r in rows], np.int64).tobytes()], [matrix.tobytes()]]
-            names = ["dim", f"{name}_rows", f"{name}_matrix"]
+            matrix = np.array([r[1] for r in rows], kind)
+            edges = [dim * j // lists for j in range(lists + 1)]
+            numbers = np.array([r[0] for r in rows], np.int64).tobytes()
+            parts = [np.ascontiguousarray(matrix[:, a:b]).tobytes() for a, b in zip(edges, edges[1:])]
+            columns = [[dim] * lists, list(range(lists)), [rows[0][0]] * lists, [numbers] * lists, parts]
+            names = ["dim", "list", f"{name}_block", f"{name}_rows", f"{name}_matrix"]
             if cutoffs:
-                columns.append([np.array([r[2] for r in rows], np.int64).tobytes()])
+                columns.append([np.array([r[2] for r in rows], np.int64).tobytes()] * lists)
                 names.append("cutoffs")
-            types = [pa.int32()] + [pa.binary()] * 3
+            types = [pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * 3
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
         for batch in batches:
@@ -85,71 +102,108 @@ def _blocks(name: str, size: int, cutoffs: bool) -> Callable[[Iterable[pa.Record
     return run
 
 
-def _candidate_blocks(rows: DataFrame) -> DataFrame:
-    blocks = rows.select("row", "v").mapInArrow(_blocks("c", CANDIDATES_PER_BLOCK, False), "dim int, c_rows binary, c_matrix binary")
-    return blocks.withColumn("group", F.pmod(F.xxhash64("c_rows"), F.lit(GROUPS)).cast("int"))
+def _candidate_blocks(rows: DataFrame, lists: int, kind: str = "int32") -> DataFrame:
+    schema = "dim int, list int, c_block bigint, c_rows binary, c_matrix binary"
+    blocks = rows.select("row", "v").mapInArrow(_blocks("c", CANDIDATES_PER_BLOCK, lists, kind=kind), schema)
+    return blocks.withColumn("group", F.pmod(F.xxhash64("c_block"), F.lit(GROUPS)).cast("int"))
 
 
-def _query_blocks(rows: DataFrame) -> DataFrame:
+def _query_blocks(rows: DataFrame, lists: int, kind: str = "int32") -> DataFrame:
     with_cutoffs = "cutoff" in rows.columns
-    schema = "dim int, q_rows binary, q_matrix binary" + (", cutoffs binary" if with_cutoffs else "")
-    blocks = rows.mapInArrow(_blocks("q", QUERIES_PER_BLOCK, with_cutoffs), schema)
+    schema = "dim int, list int, q_block bigint, q_rows binary, q_matrix binary" + (", cutoffs binary" if with_cutoffs else "")
+    blocks = rows.mapInArrow(_blocks("q", QUERIES_PER_BLOCK, lists, with_cutoffs, kind), schema)
     return blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))))
 
 
-def _partial_scores(batch: pa.RecordBatch, i: int, lists: int):
-    """Query rows, candidate rows, and per list the scores (queries x candidates), exact."""
+def _pairs(offered: DataFrame, asking: DataFrame) -> DataFrame:
+    """Each list of each block of candidates beside the same list of the queries' blocks."""
+    return offered.join(asking, ["group", "dim", "list"])
+
+
+def _list_scores(batch: pa.RecordBatch, i: int):
+    """Query rows, candidate rows and the scores (queries x candidates) that one list gives, exact."""
     import numpy as np
 
-    dim = batch.column("dim")[i].as_py()
-    q, c = (np.frombuffer(batch.column(n)[i].as_buffer(), np.int32).reshape(-1, dim) for n in ("q_matrix", "c_matrix"))
     q_rows, c_rows = (np.frombuffer(batch.column(n)[i].as_buffer(), np.int64) for n in ("q_rows", "c_rows"))
-    small = int(np.abs(q).max()) * int(np.abs(c).max()) * dim < 1 << 53  # then sums of doubles are exact
+    q, c = (np.frombuffer(batch.column(f"{n}_matrix")[i].as_buffer(), np.int32).reshape(len(r), -1) for n, r in (("q", q_rows), ("c", c_rows)))
+    small = int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0)) * q.shape[1] < 1 << 53  # then sums of doubles are exact
     kind = np.float64 if small else np.int64
-    edges = [dim * j // lists for j in range(lists + 1)]
-    scores = [(q[:, a:b].astype(kind) @ c[:, a:b].astype(kind).T).astype(np.int64) for a, b in zip(edges, edges[1:])]
-    return q_rows, c_rows, scores, q_rows[:, None] == c_rows[None, :]
+    return q_rows, c_rows, (q.astype(kind) @ c.astype(kind).T).astype(np.int64)
+
+
+_NAMED = "q bigint, c_block bigint, ids binary, scores binary, least bigint"
+
+
+def _first_lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A list's best entries per query, and its least score."""
+    import numpy as np
+
+    for batch in batches:
+        for i, block in enumerate(batch.column("c_block").to_pylist()):
+            q_rows, c_rows, scores = _list_scores(batch, i)
+            depth = min(DEPTH, len(c_rows))
+            at = np.argpartition(-scores, depth - 1, axis=1)[:, :depth]
+            best = np.take_along_axis(scores, at, 1)
+            columns = [q_rows, [block] * len(q_rows), [c.tobytes() for c in c_rows[at]], [b.tobytes() for b in best], scores.min(axis=1)]
+            types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["q", "c_block", "ids", "scores", "least"])
+
 
+def _lower_bounds(k: int) -> Batches:
+    """The k largest lower bounds of a query in a block, from the entries that its lists named."""
 
-def _first_lists(k: int, lists: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                q_rows, c_rows, scores, own = _partial_scores(batch, i, lists)
-                bounds = np.zeros(own.shape, np.int64)
-                named = np.zeros(own.shape, bool)
-                depth = min(DEPTH, len(c_rows))
-                for s in scores:
-                    best = np.argpartition(-s, depth - 1, axis=1)[:, :depth]
-                    listed = np.zeros(own.shape, bool)
-                    np.put_along_axis(listed, best, True, 1)
-                    named |= listed
-                    bounds += np.where(listed, s, s.min(axis=1)[:, None])
-                bounds[own | ~named] = NEVER
-                n = min(k, len(c_rows))
-                best = np.argpartition(-(bounds + 1), n - 1, axis=1)[:, :n]
-                bounds = np.take_along_axis(bounds, best, 1)
-                qs, at = np.nonzero(bounds > NEVER)
-                columns = [q_rows[qs], bounds[qs, at]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["q", "bound"])
+            qs, bounds = [], []
+            for q, named in zip(batch.column("q").to_pylist(), batch.column("named").to_pylist()):
+                ids, at = np.unique(np.concatenate([np.frombuffer(n["ids"], np.int64) for n in named]), return_inverse=True)
+                above = np.concatenate([np.frombuffer(n["scores"], np.int64) - n["least"] for n in named])
+                sums = np.full(len(ids), sum(n["least"] for n in named), np.int64)
+                np.add.at(sums, at, above)
+                best = np.sort(sums[ids != q])[::-1][:k].tolist()
+                qs += [q] * len(best)
+                bounds += best
+            yield pa.RecordBatch.from_arrays([pa.array(qs, pa.int64()), pa.array(bounds, pa.int64())], ["q", "bound"])
 
     return run
 
 
-def _enough(lists: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _enough(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of a list that reach the cutoff of their query."""
+    import numpy as np
+
+    for batch in batches:
+        for i, number in enumerate(batch.column("list").to_pylist()):
+            q_rows, c_rows, scores = _list_scores(batch, i)
+            cutoffs = np.frombuffer(batch.column("cutoffs")[i].as_buffer(), np.int64)
+            qs, cs = np.nonzero((scores >= cutoffs[:, None]) & (q_rows[:, None] != c_rows[None, :]))
+            columns = [q_rows[qs], c_rows[cs], np.full(len(qs), number, np.int32), scores[qs, cs]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["q", "c", "list", "score"])
+
+
+def _long_scores(k: int) -> Batches:
+    """The best k scores of each query in a block and all that equal the last, in whole numbers of any length."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        def whole(batch: pa.RecordBatch, i: int, name: str, n: int):
+            matrix = np.frombuffer(batch.column(f"{name}_matrix")[i].as_buffer(), np.float64).reshape(n, -1)
+            return np.array([[int(x) for x in row] for row in matrix.tolist()], object).reshape(n, -1)
+
         for batch in batches:
             for i in range(batch.num_rows):
-                q_rows, c_rows, scores, own = _partial_scores(batch, i, lists)
-                cutoffs = np.frombuffer(batch.column("cutoffs")[i].as_buffer(), np.int64)
-                for j, s in enumerate(scores):
-                    qs, cs = np.nonzero((s >= cutoffs[:, None]) & ~own)
-                    columns = [q_rows[qs], c_rows[cs], np.full(len(qs), j, np.int32), s[qs, cs]]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["q", "c", "list", "score"])
+                q_rows, c_rows = (np.frombuffer(batch.column(n)[i].as_buffer(), np.int64) for n in ("q_rows", "c_rows"))
+                c = whole(batch, i, "c", len(c_rows))
+                for q, vector in zip(q_rows.tolist(), whole(batch, i, "q", len(q_rows))):
+                    scores = np.array([min(max(x, NEVER), -NEVER - 1) for x in c @ vector], np.int64)[c_rows != q]
+                    others = c_rows[c_rows != q]
+                    if len(others):
+                        kept = scores >= np.sort(scores)[-min(k, len(scores))]
+                        columns = [np.full(kept.sum(), q, np.int64), others[kept], scores[kept]]
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["q", "c", "score"])
 
     return run
 
@@ -168,6 +222,17 @@ def _kth(rows: DataFrame, k: int, bound: str) -> DataFrame:
     return best.groupBy("q").agg(F.min(bound).alias(bound), F.count(F.lit(1)).alias("n")).where(F.col("n") == k).select("q", bound)
 
 
+def _with_long(candidates: DataFrame, asking: DataFrame, k: int) -> DataFrame:
+    """``(q, c, score)``: the best of all pairs of which one vector, or both, is too long for the lists."""
+    long, whole = F.col("w").isNotNull(), F.coalesce("w", F.col("v").cast("array<double>")).alias("v")
+
+    def best(offered: DataFrame, asked: DataFrame) -> DataFrame:
+        blocks = _pairs(_candidate_blocks(offered.select("row", whole), 1, "float64"), _query_blocks(asked.select("row", whole), 1, "float64"))
+        return blocks.mapInArrow(_long_scores(k), "q bigint, c bigint, score bigint")
+
+    return best(candidates.where(long), asking).union(best(candidates.where(~long), asking.where(long)))
+
+
 def top_k(
     df: DataFrame, k: int = 5, queries: Column | None = None, id_column: str = "vec_id", vector_column: str = "embedding", lists: int = 2
 ) -> DataFrame:
@@ -178,23 +243,23 @@ def top_k(
     one of the same id; ties go to the smaller id, null ids last. A query gets
     fewer rows if there are fewer candidates of its dimension, none if there is none.
     """
-    vectors = stored(integer_vectors(df, id_column, vector_column), "vectors")
-    asking = vectors if queries is None else vectors.where(queries)
-    alike = Window.partitionBy("v").orderBy(F.col("vec_id").asc_nulls_last(), "row")
-    offered = stored(
-        _candidate_blocks(vectors.withColumn("n", F.row_number().over(alike)).where(F.col("n") <= k + 1)), "vector-blocks"
-    )
+    everything = stored(integer_vectors(df, id_column, vector_column), "vectors")
+    alike = Window.partitionBy("v", "w").orderBy(F.col("vec_id").asc_nulls_last(), "row")
+    candidates = stored(everything.withColumn("n", F.row_number().over(alike)).where(F.col("n") <= k + 1).drop("n"), "candidates")
+    asking_all = everything if queries is None else everything.where(queries)
+    vectors, asking = everything.where(F.col("v").isNotNull()), asking_all.where(F.col("v").isNotNull())
+    offered = stored(_candidate_blocks(candidates.where(F.col("v").isNotNull()), lists), "vector-blocks")
 
     # 1: local lists, and a score that k candidates reach.
-    pairs = offered.join(_query_blocks(asking.select("row", "v")), ["group", "dim"])
-    first = pairs.mapInArrow(_first_lists(k, lists), "q bigint, bound bigint")
-    reached = stored(_kth(first, k, "bound"), "first-lists")
+    first = _pairs(offered, _query_blocks(asking.select("row", "v"), lists)).mapInArrow(_first_lists, _NAMED)
+    named = first.groupBy("q", "c_block").agg(F.collect_list(F.struct("ids", "scores", "least")).alias("named"))  # one for each list
+    reached = stored(_kth(named.select("q", "named").mapInArrow(_lower_bounds(k), "q bigint, bound bigint"), k, "bound"), "first-lists")
     # 2: the cutoff goes to the blocks with the queries, and enough entries come back.
     cutoff = F.coalesce(F.ceil(F.col("bound") / lists), F.lit(NEVER))
     asking_on = asking.join(reached.withColumnRenamed("q", "row"), "row", "left")
     asking_on = stored(asking_on.select("row", "v", "vec_id", "bound", cutoff.alias("cutoff")), "cutoffs")
-    pairs = offered.join(_query_blocks(asking_on.select("row", "v", "cutoff")), ["group", "dim"])
-    enough = pairs.mapInArrow(_enough(lists), _ENTRY).groupBy("q", "c").agg(F.sum("score").alias("known"), F.count(F.lit(1)).alias("n"))
+    pairs = _pairs(offered, _query_blocks(asking_on.select("row", "v", "cutoff"), lists))
+    enough = pairs.mapInArrow(_enough, _ENTRY).groupBy("q", "c").agg(F.sum("score").alias("known"), F.count(F.lit(1)).alias("n"))
     enough = stored(enough, "enough-entries")
     better = _kth(enough.where(F.col("n") == lists).withColumnRenamed("known", "total"), k, "total")
     bounds = asking_on.select(F.col("row").alias("q"), "bound", "cutoff").join(better, "q", "left")
@@ -211,9 +276,12 @@ def top_k(
         .join(asking.select(F.col("row").alias("q"), F.col("v").alias("qv")), "q")
         .select("q", "c", product.alias("score"))
     )
-    named = exact.union(rest).join(vectors.select(F.col("row").alias("c"), "vec_id"), "c")
+    found = exact.union(rest)
+    if not candidates.where(F.col("w").isNotNull()).isEmpty():
+        found = found.union(_with_long(candidates, asking_all, k))
+    named = found.join(everything.select(F.col("row").alias("c"), "vec_id"), "c")
     ranked = _best(named, k, F.col("score").desc(), F.col("vec_id").asc_nulls_last(), F.col("c"))
-    return ranked.join(asking.select(F.col("row").alias("q"), F.col("vec_id").alias("query_id")), "q").select(
+    return ranked.join(asking_all.select(F.col("row").alias("q"), F.col("vec_id").alias("query_id")), "q").select(
         "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"
     )
 

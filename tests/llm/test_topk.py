@@ -1,3 +1,6 @@
+import math
+import operator
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -56,5 +59,26 @@ def test_few(frame, rows):
 def test_large_components(frame):
     rows = [(i, [float(1000 * i), 1e6 - i]) for i in range(30)]
     assert run(frame(rows, SCHEMA)) == brute(rows, 5, lambda i: i % 5 == 0)
-    with pytest.raises(Exception, match="too large"):
-        topk.top_k(frame([(0, [1e30])], SCHEMA)).collect()
+
+
+def test_any_finite_component(frame):
+    """Scores that no double holds are exact; scores beyond 64 bits count as the last number of 64 bits."""
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=3) * 10.0 ** rng.integers(0, 8 if i < 60 else 36)).astype(np.float32).tolist()) for i in range(90)]
+    rows += [(200 + i, [3e38, -3e38, 1.0]) for i in range(8)] + [(300 + i, [1e7, 2e7, 3e7]) for i in range(8)]
+    vectors = [(i, [math.floor(256 * c) for c in x]) for i, x in rows]
+    want = []
+    for a, (i, q) in enumerate(vectors):
+        if i % 5 == 0:
+            found = [(-min(max(sum(map(operator.mul, q, c)), -(1 << 63)), (1 << 63) - 1), j) for b, (j, c) in enumerate(vectors) if a != b]
+            want += [(i, n, j, -s) for n, (s, j) in enumerate(sorted(found)[:5], 1)]
+    assert run(frame(rows, SCHEMA)) == sorted(want, key=str)
+
+
+def test_lists_know_nothing_of_each_other(frame):
+    """Every unit of the first two phases holds the components of one list."""
+    rows = [(i, [float(10 * j + i) for j in range(6)]) for i in range(20)]
+    vectors = topk.integer_vectors(frame(rows, SCHEMA), "vec_id", "embedding")
+    blocks = topk._candidate_blocks(vectors, 3).collect()
+    assert {b["list"] for b in blocks} == {0, 1, 2}
+    assert all(len(b.c_matrix) == len(b.c_rows) // 8 * 2 * 4 for b in blocks)
