@@ -3,11 +3,13 @@
 Patterns give candidate spans. Valid e-mail addresses, IP addresses, card numbers
 and phone numbers are spans by definition; of the other candidates (spelled-out
 addresses, national phone numbers, names after a title, account and identity
-numbers, secrets, near misses of the four) five labelers each vote for, against
-or not: format, shape, gazetteer, context and edges. Expectation-maximisation
-over the counts of their vote patterns estimates how reliable each is and how
-likely each pattern is personal data; a naive Bayes classifier over features of
-the span is trained on these probabilities and decides.
+numbers, secrets) five labelers each vote for, against or not: format, shape,
+gazetteer, context and edges. Expectation-maximisation over the counts of their
+vote patterns estimates how reliable each is with each kind and how likely each
+pattern is personal data; a naive Bayes classifier over features of the span is
+trained on these probabilities and decides. Valid spans, and matches that fail
+their definition, are examples of known truth in both; what overlaps a valid span
+is no candidate, and a labeler that does not vote says nothing.
 
 Texts are read by DataFrame expressions alone. Only candidates leave the scan,
 only counts of vote patterns and feature values, whose number the code bounds,
@@ -31,6 +33,8 @@ LABELERS = ("format", "shape", "gazetteer", "context", "edges")
 #: Candidates that are no valid base span become spans from this probability on.
 MIN_PROBABILITY = 0.9
 ROUNDS = 30
+#: Votes at the rate of all kinds together that a kind's own rate starts with.
+PRIOR = 10.0
 LEFT, RIGHT = 32, 12
 
 # Matches start only where the greedy pattern could start first, and loops never
@@ -47,7 +51,7 @@ PATTERNS = (
     ("card", CARD, "digit"),
     ("phone", PHONE, "+"),
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,64}+(?: ?(?:\.|[(\[]dot[)\]]) ?[A-Za-z0-9-]{2,64}+){1,4}+", "at"),
-    ("phone", r"(?<![0-9A-Za-z+.-])(?<!\+[0-9]{1,3}[ .-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])", "digit"),
+    ("phone", r"(?<![0-9A-Za-z+.(-])(?:\+[0-9]{1,3}[ .-])?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])", "digit"),
     ("ssn", r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", "digit"),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])", "digit"),
     ("name", r"(?<![0-9A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-zà-ÿ][\p{L}\p{M}]*+(?: [A-Z][a-zà-ÿ][\p{L}\p{M}]*+)?", "title"),
@@ -138,7 +142,10 @@ def with_candidates(df: DataFrame, text: Column, name: str) -> DataFrame:
         df = df.withColumn(gaps, F.when(F.size(hits) > 0, F.split(F.col(t), pattern, -1)))
         found.append(_spans(kind, i < len(BASE_KINDS), hits, gaps))
         used += [hits, gaps]
-    return df.withColumn(name, F.concat(*found)).drop(*used)
+    valid = _fresh(df, f"{name}_valid")
+    df = df.withColumn(name, F.concat(*found)).withColumn(valid, F.filter(name, lambda s: s["base"]))
+    free = F.filter(name, lambda s: s["base"] | ~F.exists(valid, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return df.withColumn(name, F.when(F.size(valid) > 0, free).otherwise(F.col(name))).drop(*used, valid)
 
 
 def _spans(kind: str, base: bool, hits: str, gaps: str) -> Column:
@@ -169,6 +176,13 @@ def _spans(kind: str, base: bool, hits: str, gaps: str) -> Column:
     return F.when(F.size(hits) > 0, F.transform(starts, span).cast(f"array<{SPAN}>")).otherwise(none)
 
 
+def failed(span: Column) -> Column:
+    """Whether a span is a match of a base pattern that fails its definition."""
+    kind, value = span["kind"], span["value"]
+    short = value.startswith("+") & ~_valid("phone", value)
+    return ~span["base"] & (kind.isin("ip", "card") | (kind == "phone") & short)
+
+
 def votes(span: Column) -> dict[str, Column]:
     """Each labeler's vote on a span: 1 for, -1 against, 0 neither."""
     kind, value, left, right = span["kind"], span["value"], span["left"], span["right"]
@@ -189,7 +203,7 @@ def votes(span: Column) -> dict[str, Column]:
             "email": F.when(span["base"], yes).otherwise(none),
             "ip": either(span["base"]),
             "card": either(span["base"]),
-            "phone": F.when(span["base"], yes).otherwise(none),
+            "phone": F.when(span["base"], yes).when(failed(span), no).otherwise(none),
             "iban": either(F.length(F.regexp_replace(value, " ", "")).between(15, 34)),
             "secret": F.when(value.rlike("^(?=.*[0-9])(?=.*[A-Za-z]).{16}"), yes).otherwise(none),
             "ssn": either(~value.rlike("^(?:000|666|9)") & ~value.rlike("-00-|-0000$")),
@@ -212,7 +226,7 @@ def votes(span: Column) -> dict[str, Column]:
 
 
 def features(span: Column) -> dict[str, Column]:
-    """What the classifier sees of a span; each has few values."""
+    """What the classifier sees of a span; each has few values, and none where a labeler does not vote."""
     value = span["value"]
 
     def side(text: Column, pattern: str) -> Column:
@@ -227,37 +241,60 @@ def features(span: Column) -> dict[str, Column]:
         "signs": F.least(F.length(F.regexp_replace(value, r"[\p{L}\p{N}]", "")), F.lit(8)).cast("string"),
         "before": side(span["left"], r"(?s)(.)$"),
         "after": side(span["right"], r"(?s)^(.)"),
-        **{k: v.cast("string") for k, v in votes(span).items()},
+        **{k: F.when(v != 0, v.cast("string")) for k, v in votes(span).items()},
     }
 
 
-def reliabilities(patterns: dict[tuple, int], rounds: int = ROUNDS) -> tuple[dict[tuple, float], dict]:
+def reliabilities(patterns: dict[tuple, int], known: dict[tuple, bool] | None = None, rounds: int = ROUNDS) -> tuple[dict[tuple, float], dict]:
     """How likely each vote pattern ``(kind, vote, ...)`` is personal data, and each labeler's vote rates by truth.
 
-    Expectation-maximisation with one rate of votes per labeler and truth, and
-    one share of truth per kind, from the majority's opinion on.
+    Expectation-maximisation from the majority's opinion on, with the truth of
+    some patterns ``known``. A labeler has a rate of votes for, among its votes,
+    per kind and truth, ``(name, kind, truth)``, drawn towards its rate over all
+    kinds, ``(name, truth)``; a pattern without its vote says nothing of it. The
+    share of truth of a kind is that of :func:`shares`.
     """
-    truth = {p: 0.5 + 0.4 * max(-1, min(1, sum(p[1:]))) for p in patterns}
+    known = known or {}
+    truth = {p: float(known[p]) if p in known else 0.5 + 0.4 * max(-1, min(1, sum(p[1:]))) for p in patterns}
+    kinds = sorted({p[0] for p in patterns})
     rates: dict = {}
     for _ in range(rounds):
         rates = {}
         for i, name in enumerate(LABELERS, 1):
             for y in (1, 0):
-                n = {v: 1.0 for v in (-1, 0, 1)}
+                n = {(k, v): 0.0 for k in kinds for v in (-1, 1)}
                 for p, count in patterns.items():
-                    n[p[i]] += count * (truth[p] if y else 1 - truth[p])
-                rates[name, y] = {v: c / sum(n.values()) for v, c in n.items()}
-        share = {}
-        for kind in {p[0] for p in patterns}:
-            own = [(p, c) for p, c in patterns.items() if p[0] == kind]
-            share[kind] = (1 + sum(c * truth[p] for p, c in own)) / (2 + sum(c for _, c in own))
+                    if p[i]:
+                        n[p[0], p[i]] += count * (truth[p] if y else 1 - truth[p])
+                total = {v: 1.0 + sum(n[k, v] for k in kinds) for v in (-1, 1)}
+                rates[name, y] = {v: total[v] / sum(total.values()) for v in (-1, 1)}
+                for k in kinds:
+                    own = {v: n[k, v] + PRIOR * rates[name, y][v] for v in (-1, 1)}
+                    rates[name, k, y] = {v: own[v] / sum(own.values()) for v in (-1, 1)}
+        share = shares(patterns, known, truth)
         for p in patterns:
-            odds = math.log(share[p[0]] / (1 - share[p[0]]))
-            odds += sum(math.log(rates[n, 1][v] / rates[n, 0][v]) for n, v in zip(LABELERS, p[1:]))
-            truth[p] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+            if p not in known:
+                odds = math.log(share[p[0]] / (1 - share[p[0]]))
+                odds += sum(math.log(rates[n, p[0], 1][v] / rates[n, p[0], 0][v]) for n, v in zip(LABELERS, p[1:]) if v)
+                truth[p] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
     return truth, rates
 
 
+def shares(patterns: dict[tuple, int], known: dict[tuple, bool], truth: dict[tuple, float]) -> dict[str, float]:
+    """The share of truth of each kind's patterns that are not known, drawn towards that of the known ones."""
+    found = {}
+    for kind in {p[0] for p in patterns}:
+        yes, n, sure, k = 0.0, 0, 1.0, 2.0
+        for p, count in patterns.items():
+            if p[0] == kind and p in known:
+                sure, k = sure + count * truth[p], k + count
+            elif p[0] == kind:
+                yes, n = yes + count * truth[p], n + count
+        weight = min(k, PRIOR)
+        found[kind] = (weight * sure / k + yes) / (weight + n)
+    return found
+
+
 class SpanModel:
     """Log odds per kind and feature value, and their sum where a value is new."""
 
@@ -288,33 +325,36 @@ def train(candidates: DataFrame) -> SpanModel:
     patterns = {tuple(r[:-1]): r["count"] for r in counted}
     if not patterns:
         return SpanModel({}, {})
-    truth, _ = reliabilities(patterns)
+    # The format of the base kinds is their definition, where it has a vote.
+    known = {p: p[1] > 0 for p in patterns if p[0] in BASE_KINDS and p[1]}
+    truth, _ = reliabilities(patterns, known)
     table = F.create_map(*(x for p, y in sorted(truth.items()) for x in (F.lit("|".join(map(str, p))), F.lit(y))))
     likely = F.try_element_at(table, F.concat_ws("|", F.col("s.kind"), *(F.col(n).cast("string") for n in names)))
     values = F.array(*(F.struct(F.lit(f).alias("feature"), v.alias("value")) for f, v in features(F.col("s")).items()))
-    rows = spans.select(F.col("s.kind").alias("kind"), likely.alias("likely"), F.inline(values))
+    rows = spans.select(F.col("s.kind").alias("kind"), likely.alias("likely"), F.inline(values)).where("value IS NOT NULL")
     sums = rows.groupBy("kind", "feature", "value").agg(F.sum("likely").alias("yes"), F.sum(1 - F.col("likely")).alias("no")).collect()
     total: dict[tuple[str, str], list[float]] = {}
     for r in sums:
-        t = total.setdefault((r.kind, r.feature), [0.0, 0.0, 0])
-        t[0], t[1], t[2] = t[0] + r.yes, t[1] + r.no, t[2] + 1
+        t = total.setdefault((r.kind, r.feature), [0.0, 0.0])
+        t[0], t[1] = t[0] + r.yes, t[1] + r.no
     weights = {}
     for r in sums:
-        yes, no, n = total[r.kind, r.feature]
-        weights[r.kind, r.feature, r.value] = math.log((r.yes + 0.5) / (yes + 0.5 * n)) - math.log((r.no + 0.5) / (no + 0.5 * n))
-    priors = {k: math.log((yes + 1) / (no + 1)) for (k, f), (yes, no, _) in total.items() if f == "length"}
+        # Drawn towards the value's share in the kind: a value is no evidence where the other side has no examples.
+        yes, no = total[r.kind, r.feature]
+        usual = PRIOR * (r.yes + r.no) / (yes + no)
+        weights[r.kind, r.feature, r.value] = math.log((r.yes + usual) / (yes + PRIOR)) - math.log((r.no + usual) / (no + PRIOR))
+    priors = {k: math.log(y / (1 - y)) for k, y in shares(patterns, known, truth).items()}
     return SpanModel(weights, priors)
 
 
 def accepted(spans: Column, model: SpanModel, min_probability: float = MIN_PROBABILITY) -> Column:
-    """The valid base spans, and the likely candidates that overlap none of them; by start, then kind as listed."""
+    """The valid base spans and the likely candidates; by start, then kind as listed."""
     limit = math.log(min_probability / (1 - min_probability))
     base = F.filter(spans, lambda s: s["base"])
-    likely = F.filter(spans, lambda s: ~s["base"] & (model.odds(s) >= limit))
-    free = F.filter(likely, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    likely = F.filter(spans, lambda s: ~s["base"] & ~failed(s) & (model.odds(s) >= limit))
     places = F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))))
     flat = F.transform(
-        F.concat(base, free),
+        F.concat(base, likely),
         lambda s: F.struct(s["start"].alias("start"), F.element_at(places, s["kind"]).alias("place"), s["end"].alias("end"), s["kind"].alias("kind"), s["base"].alias("base")),
     )
     return F.sort_array(F.array_distinct(flat))

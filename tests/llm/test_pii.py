@@ -127,3 +127,56 @@ def test_long_values_whole(frame):
     got = {r.doc_id: r.text for r in pii.redact(frame(rows)).collect()}
     assert all(got[900 + i] == "login with [SECRET] and go" for i in range(41))
     assert {got[k + i] for k in (1000, 1100) for i in range(40)} == {"contact [NAME] today"}
+
+
+def test_nothing_within_a_valid_span(frame):
+    """A part of a valid number is no candidate, and a number that runs into another is found."""
+    rows = [(1, "+1 (705) 555-1902"), (2, "call +1 (826) 555-4081 190.137.223.204 now"), (3, "(705) 555-1902, 705.555.1902 and 705) 555-1902")]
+    seen = pii.with_candidates(frame(rows), pii.F.col("text"), "spans").select("doc_id", "spans").collect()
+    got = {r.doc_id: sorted((s.kind, s.base, s.value) for s in r.spans) for r in seen}
+    assert got[1] == [("phone", True, "+1 (705) 555-1902")]
+    assert ("phone", False, "+1 (826) 555-4081") in got[2] and ("ip", True, "190.137.223.204") in got[2]
+    assert got[3] == [("phone", False, "(705) 555-1902"), ("phone", False, "705.555.1902")]
+
+
+def test_rates_per_kind_and_silence():
+    """Gazetteers that are right for one kind and wrong for another; silence changes nothing."""
+    patterns = {}
+    for kind, votes in (("email", {1: 1, 0: -1}), ("phone", {1: -1, 0: 1})):
+        for y in (1, 0):
+            for f, n in ((1 if y else -1, 95), (-1 if y else 1, 5)):
+                p = (kind, f, 1 if y else -1, votes[y], 0, 0)
+                patterns[p] = patterns.get(p, 0) + n
+    truth, rates = pii.reliabilities(patterns)
+    assert rates["gazetteer", "email", 1][1] > 0.8 and rates["gazetteer", "phone", 1][1] < 0.2
+    assert all((t > 0.5) == (p[2] > 0) for p, t in truth.items())
+    silent = {("name", 1, 0, 0, 0, 0): 50, ("name", -1, 0, 0, 0, 0): 50}
+    more = silent | {("name", 0, 0, 0, 0, 0): 1000}
+    a, b = pii.reliabilities(silent)[0], pii.reliabilities(more)[0]
+    assert all((a[p] > 0.5) == (b[p] > 0.5) for p in silent)
+
+
+def test_added_spans_found_and_false_ones_left(frame):
+    """Precision and recall of spans that no definition decides, over planted ones among lookalikes."""
+    import random
+
+    rng, rows, true = random.Random(4), [], set()
+    number = lambda: f"{rng.randint(200, 989)}{rng.choice(' .-')}555{rng.choice('.-')}{rng.randint(1000, 9999)}"
+
+    def add(before, value, after, kind=None):
+        i = len(rows)
+        rows.append((i, before + value + after))
+        if kind:
+            true.add((i, f"{kind}:{len(before)}:{len(before) + len(value)}"))
+
+    for i in range(120):
+        add("please call ", f"+1 ({rng.randint(200, 989)}) 555-{rng.randint(1000, 9999)}", " today")
+        add(rng.choice(["please call ", "my phone: ", "tel ", "mobile "]), number(), rng.choice([" today", ", thanks", "."]), "phone")
+        add(rng.choice(["login with ", "the "]), f"password={'%032x' % rng.getrandbits(128)}", " and go", "secret")
+        add("dear ", f"Dr {rng.choice(pii.FIRST_NAMES.split())} Smith", rng.choice([", hello", " wrote"]), "name")
+        add("total: ", f"111-111-{rng.choice(['1111'])}", " pieces")
+        add("order ", str(rng.randint(10**15, 10**16 - 1)), " came")
+    base_found = {(i, b) for i, t in rows for b in base(t)}
+    got = {(r.doc_id, x) for r in pii.find_personal_data(frame(rows)).collect() for x in r.spans.split(",") if x} - base_found
+    right = len(got & true)
+    assert right >= 0.9 * len(true) and right >= 0.9 * len(got), (right, len(true), len(got))
