@@ -15,6 +15,8 @@ from plumbob.functions.columns import ref
 
 #: Bytes of text that a task holds unpacked at a time; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
+#: Bytes of a row group of whole texts.
+TEXT_ROW_GROUP = 16 << 20
 
 _local_root: list[str] = []
 
@@ -35,13 +37,18 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, whole_texts: bool = False) -> DataFrame:
     """The rows of ``df``, written to the shared folder and read again.
 
     It ends the lineage: a lost executor costs a read, not the work before it.
+    Tables of ``whole_texts`` are written in small row groups and by a codec that
+    needs no direct buffers of a page's size, which executors would keep.
     """
     path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    writer = df.write
+    if whole_texts:
+        writer = writer.option("compression", "zstd").option("parquet.block.size", TEXT_ROW_GROUP)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -148,7 +148,7 @@ def kept_documents(
     folder; hosts are judged from these, and the rows read again less the rejected.
     """
     m, h = _fresh(df, "quality_metrics"), _fresh(df, "quality_host")
-    rows = stored(with_metrics(df, ref(text_column), m), "quality-documents")
+    rows = stored(with_metrics(df, ref(text_column), m), "quality-documents", whole_texts=True)
     measured = rows.select(ref(host_column).cast("string").alias("host"), f"{m}.*")
     bad = stored(host_rates(measured, max_rate).where("rejected").select(F.col("host").alias(h)).distinct(), "hosts")
     rows = rows.where(~base_failed_of(m))
