@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -74,6 +74,30 @@ def text_blocks(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iter
                 start, size = i + 1, 0
 
 
+def releasing(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, giving back to the system what Arrow and the allocator hold unused, now and then and at its end.
+
+    Spark keeps a worker after its task, and with it all that the worker has not given back.
+    """
+
+    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+
+        pool = pa.default_memory_pool()
+        try:
+            for i, batch in enumerate(run(batches), 1):
+                yield batch
+                if i % 64 == 0:
+                    pool.release_unused()
+        finally:
+            pool.release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some systems have it
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def id_lists(blobs: list[bytes], value_type: pa.DataType = pa.int32()) -> pa.ListArray:
     """Byte strings of little-endian unsigned 32-bit ids as one list column."""
     import numpy as np

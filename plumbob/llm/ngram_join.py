@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbob.functions.columns import ref
-from plumbob.llm.common import as_long, stored, text_blocks
+from plumbob.llm.common import as_long, releasing, stored, text_blocks
 from plumbob.llm.graph import connected_components
 
 SHINGLE = 5
@@ -94,7 +94,7 @@ def _table(slices: DataFrame, bits: int):
     """The whole table of counts, of ``2^bits`` numbers, on the driver."""
     import numpy as np
 
-    merged = slices.select("slice", "counts").repartition(SLICES, "slice").mapInArrow(_add_up, "slice int, counts binary")
+    merged = slices.select("slice", "counts").repartition(SLICES, "slice").mapInArrow(releasing(_add_up), "slice int, counts binary")
     counts = np.zeros((SLICES, (1 << bits) // SLICES), np.int64)
     for r in merged.toLocalIterator():
         counts[r["slice"]] += np.frombuffer(zlib.decompress(r["counts"]), "<i8")
@@ -229,7 +229,7 @@ def _postings(docs: DataFrame, table, bits: int, threshold: int, tile: int) -> D
     The holders of one shingle are in one tile, or spread over several by the
     estimate; a tile of several stays even if it has a single holder.
     """
-    rows = docs.select("text").mapInArrow(_prefixes(table, bits, threshold, tile), "shingle bigint, tiles int, cls bigint, n bigint, l bigint")
+    rows = docs.select("text").mapInArrow(releasing(_prefixes(table, bits, threshold, tile)), "shingle bigint, tiles int, cls bigint, n bigint, l bigint")
     rows = rows.withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")).repartition("shingle", "tile")
     once = rows.groupBy("shingle", "tile", "cls").agg(*(F.first(c).alias(c) for c in ("tiles", "n", "l")))
     # Counted with the rows of a tile together, where the exchange has put them.
@@ -286,7 +286,7 @@ def _fetch_sets(docs: DataFrame, hashed: DataFrame, classes: DataFrame) -> tuple
     marks = np.zeros(1 << MARK_BITS, bool)
     marks[np.asarray(buckets.toArrow().column("bucket"))] = True  # at most as many rows as buckets
     wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(marks).tobytes())
-    found = docs.select("text_key", "text").mapInArrow(_sets(wanted), "cls bigint, elements binary")
+    found = docs.select("text_key", "text").mapInArrow(releasing(_sets(wanted)), "cls bigint, elements binary")
     return found.join(classes, "cls", "left_semi").groupBy("cls").agg(F.first("elements").alias("elements")), wanted
 
 
@@ -315,7 +315,7 @@ def _verified(docs: DataFrame, hashed: DataFrame, pairs: DataFrame, threshold: i
     sets, wanted = _fetch_sets(docs, hashed, classes)
     rows = pairs.join(sets.select(F.col("cls").alias("a"), F.col("elements").alias("x")), "a")
     rows = rows.join(sets.select(F.col("cls").alias("b"), F.col("elements").alias("y")), "b")
-    found = rows.select("a", "b", "x", "y").mapInArrow(_compare(threshold), "a bigint, b bigint, linked boolean")
+    found = rows.select("a", "b", "x", "y").mapInArrow(releasing(_compare(threshold)), "a bigint, b bigint, linked boolean")
     links = stored(found.where("linked").drop("linked"), "links")
     wanted.unpersist()
     return links
@@ -392,7 +392,7 @@ def _linked(df: DataFrame, id_column: str, text_column: str, threshold: int, bit
 
     sketch = ", ".join(f"{s} bigint" for s in SKETCH)
     schema = f"doc_id bigint, text_key bigint, cls bigint, n_shingles bigint, {sketch}, slice int, counts binary"
-    rows = stored(docs.select("doc_id", "text_key", "text").mapInArrow(_hash_sets(bits), schema), "shingles")
+    rows = stored(docs.select("doc_id", "text_key", "text").mapInArrow(releasing(_hash_sets(bits)), schema), "shingles")
     hashed = rows.where("slice IS NULL").select("doc_id", "text_key", "cls", "n_shingles", *SKETCH)
     table = spark.sparkContext.broadcast(_compact(_table(rows.where("slice IS NOT NULL"), bits)))
 

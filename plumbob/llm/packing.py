@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbob.llm import tokens as tok
-from plumbob.llm.common import id_lists, list_slices, scratch, text_blocks, texts
+from plumbob.llm.common import id_lists, list_slices, releasing, scratch, text_blocks, texts
 
 WINDOW = 2048
 #: Tokens of an index shard; a task holds one at a time.
@@ -48,7 +48,7 @@ def _encode(path: str, end_id: int) -> Callable[[Iterable[pa.RecordBatch]], Iter
 def encode_documents(df: DataFrame, tokenizer_path: str, end_id: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(doc_id, tokens)`` of whole texts, each with ``end_id`` at its end, written to the shared folder."""
     path = scratch(df.sparkSession, "packing")
-    encoded = texts(df, id_column, text_column).mapInArrow(_encode(tokenizer_path, end_id), "doc_id bigint, tokens array<int>")
+    encoded = texts(df, id_column, text_column).mapInArrow(releasing(_encode(tokenizer_path, end_id)), "doc_id bigint, tokens array<int>")
     encoded.write.options(**tok.FORMAT).parquet(path)
     return df.sparkSession.read.schema(encoded.schema).parquet(path)
 
@@ -80,7 +80,7 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def document_counts(encoded: DataFrame) -> dict[int, int]:
     """Documents that hold each token id, over the whole table; at -1 all documents, at -2 all tokens."""
-    counts = encoded.select("tokens").mapInArrow(_count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = encoded.select("tokens").mapInArrow(releasing(_count), "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     return {r.term: r.n for r in counts.collect()}  # at most VOCABULARY + 2 rows
 
 
@@ -251,4 +251,4 @@ def pack_documents(
     """
     encoded = encode_documents(df, tokenizer_path, end_id, id_column, text_column)
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return encoded.mapInArrow(_pack(document_counts(encoded), with_tokens, shard_tokens), schema + (", tokens array<int>" if with_tokens else ""))
+    return encoded.mapInArrow(releasing(_pack(document_counts(encoded), with_tokens, shard_tokens)), schema + (", tokens array<int>" if with_tokens else ""))
