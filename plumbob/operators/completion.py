@@ -43,7 +43,8 @@ def missing_prompts(requests: DataFrame, cache: DataFrame | None, as_of=None, tt
     wanted = requests.dropDuplicates(["cache_key"])
     if cache is None:
         return wanted
-    return wanted.join(valid_entries(cache, as_of, ttl_days).select("cache_key"), "cache_key", "left_anti")
+    # Keys hardly compress and grow with the cache, so they are sorted, never broadcast.
+    return wanted.join(valid_entries(cache, as_of, ttl_days).select("cache_key").hint("merge"), "cache_key", "left_anti")
 
 
 def valid_entries(cache: DataFrame, as_of=None, ttl_days: float = CACHE_DAYS) -> DataFrame:
@@ -171,10 +172,11 @@ def complete_batch(
     _finish(spark, run)
     stored = valid_entries(_read_cache(spark, cache_path), now, ttl_days)
     known = F.col("completed_at") < F.lit(now)
-    # The rows of a frequent prompt meet its one answer in many tasks.
+    # The rows of a frequent prompt meet its one answer in many tasks. Estimates
+    # leave out the repeats, so without the hint all of them went through the driver.
     answers = stored.drop("model").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = keyed.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-    return dealt.join(answers, ["cache_key", "__salt"]).drop("__salt").withColumn("cached", known)
+    return dealt.join(answers.hint("merge"), ["cache_key", "__salt"]).drop("__salt").withColumn("cached", known)
 
 
 def _finish(spark: SparkSession, run: str) -> None:
@@ -197,7 +199,7 @@ def _recover(spark: SparkSession, cache_path: str) -> None:
             answers = spark.read.schema(COMPLETION).parquet(f"{folder}/{run}/answers")
             old = _read_cache(spark, cache_path)
             if old is not None:  # some may have been appended before the run ended
-                answers = answers.join(old.select("cache_key", "completed_at"), ["cache_key", "completed_at"], "left_anti").select(*answers.columns)
+                answers = answers.join(old.select("cache_key", "completed_at").hint("merge"), ["cache_key", "completed_at"], "left_anti").select(*answers.columns)
             answers.write.mode("append").parquet(cache_path)
             _finish(spark, f"{folder}/{run}")
 

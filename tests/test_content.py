@@ -298,6 +298,18 @@ def test_answers_of_a_failed_run_are_not_asked_for_again(spark, tmp_path):
     assert spark.read.parquet(path).count() == 300
 
 
+def test_answers_never_pass_through_the_driver(spark, tmp_path):
+    """Estimates leave out that answers are repeated, so nothing may be broadcast by them."""
+    path, plan = scratch_path(spark, "cache"), lambda df: df._jdf.queryExecution().executedPlan().toString()
+    prompts_ = spark.createDataFrame([(f"p{i % 7}",) for i in range(30)], "prompt string")
+    done = completion.complete_batch(prompts_, counting(str(tmp_path / "calls")), "m", path, as_of=dt.datetime(2024, 1, 1))
+    assert "SortMergeJoin" in plan(done) and "Broadcast" not in plan(done)
+    assert done.count() == 30
+    wanted = completion.missing_prompts(done.select("cache_key", "prompt"), spark.read.parquet(path), dt.datetime(2024, 1, 2))
+    assert "SortMergeJoin" in plan(wanted) and "Broadcast" not in plan(wanted)
+    assert wanted.count() == 0
+
+
 def test_a_task_that_is_run_again_takes_its_answers(spark, tmp_path):
     log = str(tmp_path / "calls")
     requests = spark.createDataFrame([(f"k{i}", "m", f"p{i}") for i in range(90)], "cache_key string, model string, prompt string").coalesce(1)
