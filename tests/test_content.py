@@ -104,6 +104,29 @@ def test_crowded_buckets_are_split(spark, monkeypatch):
     assert tiled and max(m or 0 for m in tiled) <= 70  # the near ones only
 
 
+def test_hashes_that_share_many_choices_are_compared_once(spark, monkeypatch):
+    """All hashes agree on ten of the choices; they are compared for the first one only, and each pair is found once."""
+    rng = np.random.default_rng(5)
+    rows = [(i, int(v) << 32) for i, v in enumerate(rng.integers(-(2**31), 2**31 - 1, 200))]
+    rows += [(1000 + i, h ^ 1 << 32 + i % 31) for i, h in rows[:60]]
+    tiled = []
+    plain = dedup._pairs_in_tiles
+    monkeypatch.setattr(dedup, "_pairs_in_tiles", lambda c, t, n: tiled.append(c.count()) or plain(c, t, n))
+    got = [tuple(r) for r in dedup.near_duplicates(spark.createDataFrame(rows, "id bigint, h bigint"), "id", "h", 8, hot_bucket=64).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(rows, 8)
+    assert sum(tiled) <= len({h for _, h in rows})
+
+
+def test_copies_of_hashes_are_neither_multiplied_nor_broadcast(spark):
+    rows = [(f"r{i:03}", i % 40 - (2**62 if i % 3 else 0)) for i in range(400)]
+    found = dedup.near_duplicates(spark.createDataFrame(rows, "id string, h bigint"), "id", "h", 0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Broadcast" not in plan
+    assert {tuple(r) for r in found.collect()} == brute_pairs(rows, 0)
+    near = {tuple(r) for r in dedup.near_duplicates(spark.createDataFrame(rows, "id string, h bigint"), "id", "h", 2, hot_bucket=8).collect()}
+    assert near == brute_pairs(rows, 2)
+
+
 def test_text_duplicates(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None), (5, None)], "id int, t string")
     (row,) = dedup.text_duplicates(df, "id", "t").collect()
