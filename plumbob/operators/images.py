@@ -92,6 +92,8 @@ def _format(content: Column) -> Column:
 # Bits and bands by colour mode; other modes have no depth of their own.
 DEPTHS = {"1": 1, "L": 8, "P": 8, "RGB": 8, "RGBA": 8, "I": 32, "F": 32}
 BANDS = {"1": 1, "L": 1, "P": 1, "I": 1, "F": 1, "LA": 2, "RGB": 3, "RGBA": 4, "CMYK": 4}
+#: Partitions of files that are read by one task, where there are more than enough.
+FILES_TOGETHER = 16
 #: Segments of a JPEG file that may come before its frame header.
 MOST_SEGMENTS = 400
 
@@ -167,20 +169,22 @@ def profile_image_files(spark: SparkSession, path: str) -> DataFrame:
     Pixels are measured where they are decoded; only the metrics are joined
     with the size and what the file's header says of format and colours.
     """
-    decoded = spark.read.format("image").option("recursiveFileLookup", "true").load(path).select("image.*")
+    decoded = _read_files(spark, "image", path).select("image.*")
     files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .select(
-            _plain(F.col("path")).alias("path"),
-            F.col("length").alias("file_size_bytes"),
-            image_header(F.col("content")).alias("header"),
-        )
-        .select("path", "file_size_bytes", "header.format", "header.mode")
+        _read_files(spark, "binaryFile", path)
+        # As a generator, so that the header is parsed once for all its fields.
+        .select("path", "length", F.inline(F.array(image_header(F.col("content")))))
+        .select(_plain(F.col("path")).alias("path"), F.col("length").alias("file_size_bytes"), "format", "mode")
     )
     metrics = measure_images(decoded).withColumn("path", _plain(F.col("path")))
-    return image_profile(metrics.join(files, "path", "left"))
+    return image_profile(metrics.join(files.hint("merge"), "path", "left"))
+
+
+def _read_files(spark: SparkSession, kind: str, path: str) -> DataFrame:
+    """Every file below ``path``. Spark counts a small file as 4 MB, so its tasks have a few dozen; here many of these are one task."""
+    files = spark.read.format(kind).option("recursiveFileLookup", "true").load(path)
+    tasks = files.rdd.getNumPartitions()
+    return files.coalesce(max(3 * spark.sparkContext.defaultParallelism, -(-tasks // FILES_TOGETHER)))
 
 
 def hash_bits(phash: Column) -> Column:

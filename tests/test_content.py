@@ -191,6 +191,25 @@ def pictures(spark, tmp_path_factory):
     return {r.path.rsplit("/", 1)[1]: r for r in rows}, texture
 
 
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    """One task per few files made most of the time; sizes and headers must not pass through the driver."""
+    for i in range(40):
+        png(tmp_path / f"{i}.png", np.full((3, 2 + i % 5), i))
+    bytes_, cost = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    was = {c: spark.conf.get(c) for c in (bytes_, cost)}
+    try:
+        spark.conf.set(bytes_, "1000"), spark.conf.set(cost, "1000")
+        assert spark.read.format("binaryFile").load(str(tmp_path)).rdd.getNumPartitions() == 40
+        least = 3 * spark.sparkContext.defaultParallelism
+        assert images._read_files(spark, "binaryFile", str(tmp_path)).rdd.getNumPartitions() <= least
+        found = images.profile_image_files(spark, str(tmp_path))
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {r.path.rsplit("/", 1)[1]: (r.width, r.height, r.format) for r in found.collect()} == {f"{i}.png": (2 + i % 5, 3, "PNG") for i in range(40)}
+    finally:
+        for c, v in was.items():
+            spark.conf.set(c, v)
+
+
 def test_image_metadata(pictures):
     rows, _ = pictures
     t = rows["texture.png"]
