@@ -9,6 +9,7 @@ let a reader fetch a few documents, or the lengths alone, without the tokens.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 
 from plumbob.llm.common import id_lists, list_slices, scratch, text_blocks, texts
 
-#: Encoded pieces that a worker remembers, twice; beyond it the older ones go. It saves time and changes no result.
-REMEMBERED = 200_000
+#: Encoded words, and pieces, that a worker remembers; beyond it words not met again go. It saves time and changes no result.
+REMEMBERED = 1_000_000
+#: Words of more bytes are not remembered, and a text that holds one is cut as a whole.
+LONG = 100
 
 FORMAT = {
     "parquet.writer.version": "PARQUET_2_0",
@@ -45,13 +48,22 @@ PIECE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\x00-@\[-`{-\x7f]|\Z)| ?\S+|\
 BEYOND_LATIN = re.compile("[^\x00-\xff]")
 # White space for Python only, so such a text is encoded as one piece.
 DISPUTED = re.compile("[\x1c-\x1f]")
+# Words between blanks that may not be pieces of their own: with white space at an end, or of disputed class. And the same in a line of them.
+BLURRED = re.compile("\\A\\s|\\s\\Z|\\A\\Z|[\x1c-\x1f\u180e]")
+BLURRED_LINE = re.compile(" \\s|\\s |\\s\\Z|[\x1c-\x1f\u180e]")
+# Bytes that no text has: one begins a word, one is between pieces.
+MARK, CUT = 0xFF, 0xFE
+
 
 
 class PieceEncoder:
-    """Byte-level BPE by the tokenizers library, one call per distinct piece of text.
+    """Byte-level BPE by the tokenizers library, for each distinct word of text once.
 
-    Texts are cut where the tokenizer itself always cuts, so the ids are those
-    of the whole text. The ids of a text are returned as little-endian unsigned
+    Texts are cut at blanks, and words that are not known yet where the tokenizer
+    itself always cuts, so the ids are those of the whole text. A text with other
+    white space beside a blank is cut as a whole. Pieces in Latin-1 go to the
+    library's model in the characters that stand for their bytes; all others to
+    the whole tokenizer. The ids of a text are returned as little-endian unsigned
     32-bit integers. The strings of the tokenizer's added tokens are ordinary
     text, or with ``added`` have their own ids, as by the library's default.
     """
@@ -60,15 +72,45 @@ class PieceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        from plumbob.llm.words import WordTable
+
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not added
-        tokens = self.tokenizer.get_added_tokens_decoder().values() if added else []
+        tokens = self.tokenizer.get_added_tokens_decoder().values()
         strings = sorted((t.content for t in tokens), key=len, reverse=True)
-        self.added = re.compile(f"({'|'.join(map(re.escape, strings))})") if strings else None
+        own = re.compile(f"({'|'.join(map(re.escape, strings))})") if strings else None
+        self.added = own if added else None
         #: Such a token may take the text around it along, so a text that holds it is not cut.
-        self.joined = any(t.single_word or t.lstrip or t.rstrip for t in tokens)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.joined = added and any(t.single_word or t.lstrip or t.rstrip for t in tokens)
+        #: Words do not show whether a text holds such a token.
+        self.spaced = self.added if any(" " in s for s in strings) else None
+        self.model = self._model()
+        #: The ids of first words, and of others with a blank before them.
+        self.words = WordTable(REMEMBERED)
+        #: The ids of pieces of new words, and of texts that are cut as a whole.
+        self.pieces: dict[str, bytes] = {}
+
+    def _model(self):
+        """A tokenizer that takes pieces in the characters of their bytes, one a line, if the file's is of the usual kind."""
+        import numpy as np
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        spec = json.loads(self.tokenizer.to_str())
+        pre = spec.get("pre_tokenizer") or {}
+        characters = pre_tokenizers.ByteLevel.alphabet()
+        plain = [b for b in range(256) if chr(b) in characters]
+        if spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+            return None
+        if spec["model"].get("type") != "BPE" or len(plain) + 68 != 256 or self.tokenizer.model.token_to_id(chr(MARK)) is None:
+            return None
+        self.characters = np.zeros(256, np.uint32)
+        self.characters[plain] = plain
+        self.characters[[b for b in range(256) if chr(b) not in characters]] = np.arange(256, 256 + 68)
+        self.characters[CUT] = ord("\n")
+        self.mark = self.tokenizer.model.token_to_id(chr(MARK))
+        model = Tokenizer(self.tokenizer.model)
+        model.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
+        return model
 
     @staticmethod
     def cut(text: str) -> list[str]:
@@ -84,25 +126,149 @@ class PieceEncoder:
         parts = self.added.split(text)  # every second one is an added token
         return [p for i, part in enumerate(parts) for p in ([part] if i % 2 else self.cut(part))]
 
+    def _apart(self, word: str) -> bool:
+        """Whether the ids of a blank and a word are the same in any text."""
+        return not BLURRED.search(word) and not (self.joined and self.added.search(word))
+
+    def _usual(self, text: str) -> bool:
+        """Whether :data:`LATIN` cuts a text as the tokenizer does."""
+        return not DISPUTED.search(text) and not BEYOND_LATIN.search(text) and not (self.added and self.added.search(text))
+
     def encode(self, block: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        pieces = list(map(self._pieces, block))
-        found = [list(map(known.get, ps)) for ps in pieces]
-        # No piece has no ids, so what is missing alone is false.
-        gaps = [list(compress(range(len(f)), map(not_, f))) if None in f else [] for f in found]
-        fresh = set()
-        for ps, places in zip(pieces, gaps):
-            fresh.update(map(ps.__getitem__, places))
-        back = [p for p in fresh if p in older]
-        known.update(zip(back, map(older.__getitem__, back)))
-        fresh = list(fresh.difference(back))
-        known.update(zip(fresh, self._encode_each(fresh)))
-        for ps, f, places in zip(pieces, found, gaps):
-            for i in places:
-                f[i] = known[ps[i]]
-        return list(map(b"".join, found))
+        import numpy as np
+
+        from plumbob.llm.words import FIRST, word_keys
+
+        if not block:
+            return []
+        if len(self.pieces) > REMEMBERED // 10:
+            self.pieces = {}
+        table = self.words
+        table.most = REMEMBERED
+        table.shrink()
+        parts = [t.encode() for t in block]
+        data = b" ".join([*parts, b""])  # a blank ends each text's last word
+        raw = np.frombuffer(data, np.uint8)
+        ends = np.flatnonzero(raw == 32)
+        begins = np.append(0, ends[:-1] + 1)
+        texts = np.cumsum([0] + [len(p) + 1 for p in parts])
+        heads = np.searchsorted(begins, texts[:-1])  # first words have no blank before them
+        first, second = word_keys(raw, begins, ends)
+        first[heads] ^= FIRST
+        found = table.find(first, second)
+        missing = np.flatnonzero(found < 0)
+        table.met[found[found >= 0]] = True
+        if len(missing):
+            one = missing[np.unique(first[missing], return_index=True)[1]]
+            is_head = np.zeros(len(begins), bool)
+            is_head[heads] = True
+            for at, learn in ((one[~is_head[one]], self._learn), (one[is_head[one]], self._learn_heads)):
+                at = at[ends[at] - begins[at] <= LONG]
+                if len(at):
+                    words = b" ".join([data[x:y] for x, y in zip(begins[at].tolist(), ends[at].tolist())])
+                    learn(words.decode().split(" "))
+            found[missing] = table.find(first[missing], second[missing])
+        # Texts with words that could not be learned are cut as a whole.
+        whole = set(np.searchsorted(heads, np.flatnonzero(found < 0), "right").tolist())
+        if self.spaced:
+            whole.update(i for i, t in enumerate(block, 1) if self.spaced.search(t))
+        there = found >= 0
+        totals = np.zeros(len(found) + 1, np.int64)
+        np.cumsum(np.where(there, table.lengths[found], 0), out=totals[1:])
+        flat = table.spelled(found[there]).astype("<u4", copy=False).tobytes()
+        cuts = (4 * totals[[*heads, len(found)]]).tolist()
+        return [self._joined([self._pieces(t)])[0] if i in whole else flat[x:y] for i, (t, x, y) in enumerate(zip(block, cuts, cuts[1:]), 1)]
+
+    def _remember(self, spelled: dict[str, bytes], heads: bool = False) -> None:
+        import numpy as np
+
+        from plumbob.llm.words import FIRST
+
+        first, second = self._keys(list(spelled))
+        ids = np.frombuffer(b"".join(spelled.values()), "<u4")
+        self.words.add(first ^ FIRST if heads else first, second, np.array([len(x) // 4 for x in spelled.values()], np.int64), ids)
+
+    @staticmethod
+    def _keys(words: list[str]):
+        import numpy as np
+
+        from plumbob.llm.words import word_keys
+
+        raw = np.frombuffer(" ".join([*words, ""]).encode(), np.uint8)
+        ends = np.flatnonzero(raw == 32)
+        return word_keys(raw, np.append(0, ends[:-1] + 1)[: len(ends)], ends)
+
+    def _learn_heads(self, words: list[str]) -> None:
+        """Remember the ids of first words; white space before them changes nothing."""
+        words = [w for w in words if not w or self._apart(w.lstrip())]
+        self._remember(dict(zip(words, self._joined([self._pieces(w) for w in words]))), heads=True)
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of words with a blank before them, but of those that the text around them may change."""
+        pieces, table = self.pieces, self.words
+        learned = {}
+        line, other = " " + " ".join(words), []
+        if BLURRED_LINE.search(line) or not self._usual(line) or not self.model:
+            words = list(filter(self._apart, words))
+            other = [w for w in words if not self.model or not self._usual(w)]
+            words = list(set(words).difference(other))
+            line = " " + " ".join(words)
+        if words:
+            cut = LATIN.findall(line)  # a blank begins a word and is nowhere else
+            spelled, new, begun = {}, [], []
+            for p in set(cut):
+                if p[0] == " ":
+                    begun.append(p)
+                elif p in pieces:
+                    spelled[p] = pieces[p]
+                else:
+                    new.append(p)
+            # What a word begins with may be a known word by itself.
+            entries = table.find(*self._keys([p[1:] for p in begun])).tolist()
+            begins, lengths, ids = table.begins, table.lengths, table.ids
+            for p, e in zip(begun, entries):
+                if e < 0:
+                    new.append(p)
+                else:
+                    spelled[p] = ids[begins[e] : begins[e] + lengths[e]].tobytes()
+            for p, blob in zip(new, self._latin(new)):
+                spelled[p] = blob
+                if p[0] == " ":
+                    learned[p[1:]] = blob
+                else:
+                    pieces[p] = blob
+            blobs = list(map(spelled.__getitem__, cut))
+            starts = [i for i, p in enumerate(cut) if p[0] == " "]
+            learned.update(zip(words, [blobs[a] if b - a == 1 else b"".join(blobs[a:b]) for a, b in zip(starts, [*starts[1:], len(cut)])]))
+        learned.update(zip(other, self._joined([self._pieces(" " + w) for w in other])))
+        if learned:
+            self._remember(learned)
+
+    def _joined(self, cuts: list[list[str]]) -> list[bytes]:
+        """The ids of each list of pieces."""
+        pieces = self.pieces
+        fresh = list({p for ps in cuts for p in ps if p not in pieces})
+        # What PIECE cuts may be several pieces.
+        usual = [self.model and self._usual(p) and LATIN.match(p).end() == len(p) for p in fresh]
+        latin = list(compress(fresh, usual))
+        pieces.update(zip(latin, self._latin(latin)))
+        other = list(compress(fresh, map(not_, usual)))
+        pieces.update(zip(other, self._encode_each(other)))
+        return [b"".join(map(pieces.__getitem__, ps)) for ps in cuts]
+
+    def _latin(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces that :data:`LATIN` has cut. Marks and cuts are written as lone surrogates, for bytes that no text has."""
+        import numpy as np
+
+        if not pieces:
+            return []
+        line = "\udcff\udcfe" + "\udcfe\udcff\udcfe".join(pieces)
+        raw = np.frombuffer(line.encode("utf-8", "surrogateescape"), np.uint8)
+        spelled = self.characters[raw].tobytes().decode("utf-32-le")
+        ids = np.array(self.model.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, "<u4")
+        at = (4 * np.flatnonzero(ids == self.mark)).tolist()
+        flat = ids.tobytes()
+        return [flat[a + 4 : b] for a, b in zip(at, [*at[1:], len(flat)])]
 
     def _encode_each(self, pieces: list[str]) -> list[bytes]:
         import numpy as np

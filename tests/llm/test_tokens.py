@@ -95,3 +95,51 @@ def test_added_tokens_that_take_text_along(tmp_path):
     t.save(path := str(tmp_path / "t.json"))
     texts = ["a  <pad>  b", "<pad>", "c d"]
     assert [np.frombuffer(b, "<u4").tolist() for b in tokens.encoder(path).encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_any_white_space_and_script_as_the_library(monkeypatch):
+    rng = np.random.default_rng(3)
+    parts = ["a", "the", "é", "Ж", "字", "'s", "'", "12", "²", "_", "%%%", " ", " ", " ", "\n", "\t", "\x85", "\xa0", "　", "᠎", "\x1c", " ",
+             "w" * 120, "<|endoftext|>", "ÿþ", "😀"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(3000)]
+    t = Tokenizer.from_file(PATH)
+    want = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    e = tokens.PieceEncoder(PATH, added=True)
+    for remembered in (1, 1000, 10**6):
+        monkeypatch.setattr(tokens, "REMEMBERED", remembered)
+        got = [b for k in range(0, 3000, 500) for b in e.encode(texts[k : k + 500])]
+        assert [np.frombuffer(b, "<u4").tolist() for b in got] == want
+
+
+def test_the_library_sees_a_word_once():
+    e = tokens.PieceEncoder(PATH, added=True)
+    seen = []
+    e._latin = lambda ps, run=e._latin: seen.extend(ps) or run(ps)
+    e._encode_each = lambda ps, run=e._encode_each: seen.extend(ps) or run(ps)
+    for text in ("x word word, word. x", "y word,word word", "word. x word,word"):
+        e.encode([text])
+    assert len(seen) == len(set(seen)) and seen.count(" word") == 1
+    before = len(seen)
+    e.encode(["x word word, word. x"] * 50)
+    assert len(seen) == before
+
+
+def test_word_table_grows_and_forgets():
+    from plumbob.llm.words import WordTable, word_keys
+
+    words = [f"w{i}" for i in range(5000)]
+    raw = np.frombuffer((" ".join(words) + " ").encode(), np.uint8)
+    ends = np.flatnonzero(raw == 32)
+    a, b = word_keys(raw, np.append(0, ends[:-1] + 1), ends)
+    assert len(set(zip(a.tolist(), b.tolist()))) == 5000
+    t = WordTable(3000)
+    for k in range(0, 5000, 700):
+        n = len(a[k : k + 700])
+        t.add(a[k : k + 700], b[k : k + 700], np.arange(n) % 3, np.repeat(np.arange(k, k + n), np.arange(n) % 3).astype(np.uint32))
+    e = t.find(a, b)
+    assert (e >= 0).all() and t.spelled(e[1:3]).tolist() == [1, 2, 2] and (t.find(b, a) < 0).all()
+    t.met[e[4001:4003]] = True
+    t.shrink()
+    e = t.find(a, b)
+    assert np.flatnonzero(e >= 0).tolist() == [4001, 4002]
+    assert t.spelled(e[4001:4003]).tolist() == [4001] * ((4001 % 700) % 3) + [4002] * ((4002 % 700) % 3)
