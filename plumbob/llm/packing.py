@@ -110,6 +110,22 @@ class Shard:
         for k, t in enumerate(frequent.tolist()):
             a, b = self.places[t], self.places[t + 1]
             self.dense[k, self.docs[a:b]] = self.weights[a:b]
+        #: The documents that the index still holds, by their place in it.
+        self.held = np.arange(len(ids))
+
+    def compact(self) -> None:
+        """Take used documents out of the index once they are half of it; what it returns stays the same."""
+        import numpy as np
+
+        free = ~self.used[self.held]
+        if 2 * int(free.sum()) > len(free):
+            return
+        place = np.cumsum(free) - 1
+        kept = free[self.docs]
+        self.places = np.append(0, np.cumsum(kept))[self.places]
+        self.docs, self.weights = place[self.docs[kept]].astype(np.int32), self.weights[kept]
+        self.dense = np.ascontiguousarray(self.dense[:, free])
+        self.held = self.held[free]
 
     def neighbours(self, seed: int) -> Iterator[int]:
         """Unused documents that share a term with the seed, best first by the weights of all shared terms; ties by position."""
@@ -117,19 +133,21 @@ class Shard:
 
         terms = self.queries[seed]
         rows = self.row[terms]
-        scores = np.zeros(len(self.used), np.float32)
+        scores = np.zeros(len(self.held), np.float32)
         for k in rows[rows >= 0].tolist():
             scores += self.dense[k]
         rare = terms[rows < 0]
-        for a, b in zip(self.places[rare].tolist(), self.places[rare + 1].tolist()):
-            scores[self.docs[a:b]] += self.weights[a:b]
-        scores[self.used] = 0
-        while True:
+        begins, lengths = self.places[rare], self.places[rare + 1] - self.places[rare]
+        ends = np.cumsum(lengths)
+        at = np.repeat(begins - ends + lengths, lengths) + np.arange(lengths.sum())
+        np.add.at(scores, self.docs[at], self.weights[at])
+        scores[self.used[self.held]] = 0
+        while len(scores):
             best = int(scores.argmax())
             if scores[best] <= 0:
                 return
             scores[best] = 0
-            yield best
+            yield int(self.held[best])
 
 
 def windows(ids: list, idf, mean_length: float) -> Iterator[list[tuple[int, int, int]]]:
@@ -164,6 +182,7 @@ def windows(ids: list, idf, mean_length: float) -> Iterator[list[tuple[int, int,
                 seed = None
                 break
             if nearest is None:
+                shard.compact()
                 nearest = shard.neighbours(leader)
             seed, start = next(nearest, None), 0
             if seed is None:

@@ -121,3 +121,18 @@ def test_long_seeds_score_all_terms():
         near = list(shard.neighbours(seed))
         assert set(near) == {d for d in range(60) if d != seed and want[d] > 0}
         assert all(want[a] >= want[b] - 1e-3 for a, b in zip(near, near[1:]))
+
+
+def test_a_compact_index_returns_the_same():
+    rng = np.random.default_rng(7)
+    ids = [np.concatenate([rng.integers(0, 40, 30), rng.zipf(1.3, 200) % 2000]).astype("<u4") for _ in range(90)]
+    n = np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=packing.VOCABULARY)
+    idf = np.log(1 + (90 - n + 0.5) / (n + 0.5)).astype(np.float32)
+    whole, compact = (packing.Shard(ids, idf, 230.0) for _ in range(2))
+    for gone in (10, 50, 75, 90):
+        for shard in (whole, compact):
+            shard.used[:gone] = True
+        compact.compact()
+        for seed in (0, 45, 89):
+            assert list(compact.neighbours(seed)) == list(whole.neighbours(seed))
+    assert len(whole.held) == 90 and not len(compact.held) and not len(compact.docs)
