@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,6 +19,10 @@ from plumbob.functions.columns import ref
 BLOCK_BYTES = 1 << 20
 #: Bytes of a row group of whole texts.
 TEXT_ROW_GROUP = 16 << 20
+#: Rows that Spark hands a Python worker at a time while a table is stored; both hold them, and the buffers that grew with them.
+BATCH_ROWS = 2000
+#: Parts of a table of counts that are added up apart.
+SLICES = 64
 
 _local_root: list[str] = []
 
@@ -37,6 +43,19 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is run meanwhile hands workers at most :data:`BATCH_ROWS` rows at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, label: str, whole_texts: bool = False) -> DataFrame:
     """The rows of ``df``, written to the shared folder and read again.
 
@@ -48,7 +67,8 @@ def stored(df: DataFrame, label: str, whole_texts: bool = False) -> DataFrame:
     writer = df.write
     if whole_texts:
         writer = writer.option("compression", "zstd").option("parquet.block.size", TEXT_ROW_GROUP)
-    writer.parquet(path)
+    with small_batches(df.sparkSession):
+        writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -120,6 +140,39 @@ def list_slices(column: pa.Array) -> Iterator[memoryview]:
         yield values[4 * a : 4 * b]
 
 
+def count_slices(counts) -> pa.RecordBatch:
+    """A table of counts as rows ``slice, counts``."""
+    import numpy as np
+
+    blobs = [zlib.compress(p.astype("<i8").tobytes(), 1) for p in np.split(counts, SLICES)]
+    return pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], ["slice", "counts"])
+
+
+def _add_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of slices; the number of slices bounds what is held."""
+    import numpy as np
+
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, blob in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
+            part = np.frombuffer(zlib.decompress(blob), "<i8")
+            sums[k] = sums[k] + part if k in sums else part
+    if sums:
+        blobs = [zlib.compress(p.tobytes(), 1) for p in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(blobs, pa.binary())], ["slice", "counts"])
+
+
+def count_table(slices: DataFrame, size: int):
+    """The whole table of ``size`` counts, the sum of what tasks have counted, on the driver."""
+    import numpy as np
+
+    merged = slices.select("slice", "counts").repartition("slice").mapInArrow(releasing(_add_up), "slice int, counts binary")
+    counts = np.zeros((SLICES, size // SLICES), np.int64)
+    for r in merged.collect():  # at most SLICES rows
+        counts[r["slice"]] += np.frombuffer(zlib.decompress(r["counts"]), "<i8")
+    return counts.reshape(-1)
+
+
 def tally(*columns: Column) -> Column:
     """A checksum of rows that doesn't depend on their order."""
     return F.sum(F.xxhash64(*columns).cast("decimal(20,0)"))

@@ -35,14 +35,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbob.functions.columns import ref
-from plumbob.llm.common import as_long, releasing, stored, text_blocks
+from plumbob.llm.common import as_long, count_slices, count_table, releasing, stored, text_blocks
 from plumbob.llm.graph import connected_components
 
 SHINGLE = 5
 THRESHOLD = 80
 #: Buckets of the table of counts, as a power of two. The driver and each worker hold it once.
 BUCKET_BITS = 22
-SLICES = 64
 #: Marks of the texts whose sets are hashed again, as a power of two.
 MARK_BITS = 20
 #: The most shared shingles that a prefix asks for.
@@ -69,38 +68,6 @@ def _buckets(hashes, bits: int):
     return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _slices(counts) -> pa.RecordBatch:
-    import numpy as np
-
-    blobs = [zlib.compress(p.astype("<i8").tobytes(), 1) for p in np.split(counts, SLICES)]
-    return pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], ["slice", "counts"])
-
-
-def _add_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of slices; the number of slices bounds what is held."""
-    import numpy as np
-
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, blob in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
-            part = np.frombuffer(zlib.decompress(blob), "<i8")
-            sums[k] = sums[k] + part if k in sums else part
-    if sums:
-        blobs = [zlib.compress(p.tobytes(), 1) for p in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(blobs, pa.binary())], ["slice", "counts"])
-
-
-def _table(slices: DataFrame, bits: int):
-    """The whole table of counts, of ``2^bits`` numbers, on the driver."""
-    import numpy as np
-
-    merged = slices.select("slice", "counts").repartition(SLICES, "slice").mapInArrow(releasing(_add_up), "slice int, counts binary")
-    counts = np.zeros((SLICES, (1 << bits) // SLICES), np.int64)
-    for r in merged.toLocalIterator():
-        counts[r["slice"]] += np.frombuffer(zlib.decompress(r["counts"]), "<i8")
-    return counts.reshape(-1)
-
-
 #: Columns of a set's sketch, 64 bits each: for each value of the hashes' last bits, whether an odd number of shingles has it.
 SKETCH = ("s0", "s1", "s2", "s3")
 
@@ -148,7 +115,7 @@ def _hash_sets(bits: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Re
                 names,
             )
         if any_text:
-            part = _slices(counts)
+            part = count_slices(counts)
             empty = [pa.nulls(part.num_rows, pa.int64())] * (4 + len(SKETCH))
             yield pa.RecordBatch.from_arrays([*empty, part.column(0), part.column(1)], names)
 
@@ -394,7 +361,7 @@ def _linked(df: DataFrame, id_column: str, text_column: str, threshold: int, bit
     schema = f"doc_id bigint, text_key bigint, cls bigint, n_shingles bigint, {sketch}, slice int, counts binary"
     rows = stored(docs.select("doc_id", "text_key", "text").mapInArrow(releasing(_hash_sets(bits)), schema), "shingles")
     hashed = rows.where("slice IS NULL").select("doc_id", "text_key", "cls", "n_shingles", *SKETCH)
-    table = spark.sparkContext.broadcast(_compact(_table(rows.where("slice IS NOT NULL"), bits)))
+    table = spark.sparkContext.broadcast(_compact(count_table(rows.where("slice IS NOT NULL"), 1 << bits)))
 
     postings = stored(_postings(docs, table, bits, threshold, tile), "all-postings")
     postings = stored(_described(postings, hashed, threshold), "postings")
