@@ -1,7 +1,7 @@
 """Token windows filled with lexically similar documents.
 
-Documents are encoded once. How many documents hold each token id is counted
-over all of them (the vocabulary bounds this table), then shards of the encoded
+Documents are encoded once, and written as ids of 16 bits. How many documents hold
+each token id is counted meanwhile (the vocabulary bounds this table), then shards of the encoded
 documents are packed one by one: a shard's inverted index with BM25 weights over
 token ids returns, for the seed of a window, the unused documents most like it,
 and they fill the window in that order. The last one is cut where the window
@@ -22,66 +22,105 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbob.llm import tokens as tok
-from plumbob.llm.common import id_lists, list_slices, releasing, scratch, text_blocks, texts
+from plumbob.llm.common import count_slices, count_table, id_lists, list_slices, releasing, stored, text_blocks, texts
 
 WINDOW = 2048
 #: Tokens of an index shard; a task holds one at a time.
 SHARD_TOKENS = 1 << 22
 #: Ids are below this; it bounds the table of document counts.
 VOCABULARY = 1 << 16
+#: Tokens of a shard that are sorted at a time.
+STRETCH = 1 << 18
 #: A term that more than one in so many of a shard's documents hold is kept as a row of weights, at most this many times the postings' size.
 DENSE = 8
 K1, B = 1.2, 0.75
 
 
+def _distinct(ids: list) -> tuple:
+    """``(term, document, times)`` of lists of ids, in order of the terms and then of the documents."""
+    import numpy as np
+
+    flat = np.concatenate(ids).astype(np.uint16)
+    order = np.argsort(flat, kind="stable")  # 16 bits are sorted without comparisons
+    terms, documents = flat[order], np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in ids])[order]
+    at = np.flatnonzero(np.append(len(terms) > 0, (terms[1:] != terms[:-1]) | (documents[1:] != documents[:-1])))
+    return terms[at].astype(np.int32), documents[at], np.diff(np.append(at, len(terms)))
+
+
 def _encode(path: str, end_id: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        names = ["doc_id", "ids", "n_tokens", "slice", "counts"]
+        holders, any_text = np.zeros(VOCABULARY, np.int32), False
         for batch, block in text_blocks(batches):
-            blobs = [b + end for b in tok.encoder(path).encode(block)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), id_lists(blobs)], ["doc_id", "tokens"])
+            ids = [np.frombuffer(b + end, "<u4") for b in tok.encoder(path).encode(block)]
+            if max(int(x.max()) for x in ids) >= VOCABULARY:
+                raise ValueError(f"token ids must be below {VOCABULARY}")
+            holders += np.bincount(_distinct(ids)[0], minlength=VOCABULARY).astype(np.int32)
+            any_text = True
+            n = len(ids)
+            columns = [batch.column("doc_id"), pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary()), pa.array(list(map(len, ids)), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+        if any_text:
+            part = count_slices(holders)
+            n = part.num_rows
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), part.column(0), part.column(1)], names)
 
     return run
 
 
+def _encoded(df: DataFrame, tokenizer_path: str, end_id: int, id_column: str, text_column: str) -> DataFrame:
+    """``(doc_id, ids, n_tokens)`` of whole texts, the ids in 16 bits, and in rows of their own how many documents of a task hold each id."""
+    run = releasing(_encode(tokenizer_path, end_id))
+    rows = texts(df, id_column, text_column).mapInArrow(run, "doc_id bigint, ids binary, n_tokens bigint, slice int, counts binary")
+    return stored(rows, "packing", whole_texts=True)
+
+
+def _lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), id_lists([x.astype("<u4").tobytes() for x in _ids(batch)])], ["doc_id", "tokens"])
+
+
 def encode_documents(df: DataFrame, tokenizer_path: str, end_id: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(doc_id, tokens)`` of whole texts, each with ``end_id`` at its end, written to the shared folder."""
-    path = scratch(df.sparkSession, "packing")
-    encoded = texts(df, id_column, text_column).mapInArrow(releasing(_encode(tokenizer_path, end_id)), "doc_id bigint, tokens array<int>")
-    encoded.write.options(**tok.FORMAT).parquet(path)
-    return df.sparkSession.read.schema(encoded.schema).parquet(path)
+    rows = _encoded(df, tokenizer_path, end_id, id_column, text_column).where("slice IS NULL")
+    return rows.select("doc_id", "ids").mapInArrow(_lists, "doc_id bigint, tokens array<int>")
 
 
 def _ids(batch: pa.RecordBatch) -> list:
     import numpy as np
 
+    if "ids" in batch.schema.names:
+        return [np.frombuffer(x.as_buffer(), "<u2") for x in batch.column("ids")]
     return [np.frombuffer(m, "<u4") for m in list_slices(batch.column("tokens"))]
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import numpy as np
 
-    holders, documents, total = np.zeros(VOCABULARY, np.int64), 0, 0
-    seen = np.zeros(VOCABULARY, bool)
+    holders = np.zeros(VOCABULARY, np.int64)
     for batch in batches:
-        for ids in _ids(batch):
-            seen[ids] = True
-            own = np.flatnonzero(seen)
-            holders[own] += 1
-            seen[own] = False
-            total += len(ids)
-        documents += batch.num_rows
-    used = np.flatnonzero(holders)
-    terms = np.concatenate([[-2, -1], used])
-    counts = np.concatenate([[total, documents], holders[used]])
-    yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int32()), pa.array(counts, pa.int64())], ["term", "n"])
+        if batch.num_rows:
+            holders += np.bincount(_distinct(_ids(batch))[0], minlength=VOCABULARY)
+    yield count_slices(holders)
 
 
 def document_counts(encoded: DataFrame) -> dict[int, int]:
     """Documents that hold each token id, over the whole table; at -1 all documents, at -2 all tokens."""
-    counts = encoded.select("tokens").mapInArrow(releasing(_count), "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    return {r.term: r.n for r in counts.collect()}  # at most VOCABULARY + 2 rows
+    import numpy as np
+
+    if "counts" in encoded.columns:  # counted while they were encoded
+        slices, rows = encoded.where("slice IS NOT NULL"), encoded.where("slice IS NULL")
+    else:
+        slices = encoded.select("tokens").mapInArrow(releasing(_count), "slice int, counts binary")
+        rows = encoded.select(F.size("tokens").alias("n_tokens"))
+    counts = count_table(slices, VOCABULARY)
+    total, documents = rows.agg(F.sum("n_tokens"), F.count(F.lit(1))).first()
+    used = np.flatnonzero(counts)
+    return dict(zip(used.tolist(), counts[used].tolist())) | {-2: total or 0, -1: documents}
 
 
 class Shard:
@@ -91,17 +130,18 @@ class Shard:
         import numpy as np
 
         self.used = np.zeros(len(ids), bool)
-        self.queries, terms, docs, weights = [], [], [], []  # a query is all distinct terms of a document
-        for k, own in enumerate(ids):
-            t, tf = np.unique(own, return_counts=True)
-            w = (idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(own) / mean_length))).astype(np.float32)
-            self.queries.append(t)
-            terms.append(t)
-            docs.append(np.full(len(t), k, np.int32))
-            weights.append(w)
-        terms = np.concatenate(terms)
-        order = np.argsort(terms, kind="stable")
-        self.docs, self.weights = np.concatenate(docs)[order], np.concatenate(weights)[order]
+        lengths = np.array([len(x) for x in ids], np.int64)
+        found, ends = [], np.cumsum(lengths)
+        cuts = [0, *(np.flatnonzero(np.diff(ends // STRETCH)) + 1).tolist(), len(ids)]
+        for a, b in zip(cuts, cuts[1:]):
+            t, d, tf = _distinct(ids[a:b])
+            found.append((t, d + np.int32(a), tf))
+        terms, docs, tf = (np.concatenate(c) for c in zip(*found))
+        weights = (idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths / mean_length)[docs])).astype(np.float32)
+        by_document = np.argsort(docs, kind="stable")
+        self.queries = np.split(terms[by_document], np.cumsum(np.bincount(docs, minlength=len(ids)))[:-1])  # a query is all distinct terms of a document
+        order = np.argsort(terms.astype(np.uint16), kind="stable")
+        self.docs, self.weights = docs[order], weights[order]
         self.places = np.searchsorted(terms[order], np.arange(VOCABULARY + 1))
         frequent = np.flatnonzero(np.diff(self.places) * DENSE > len(ids))
         self.row = np.full(VOCABULARY, -1, np.int32)
@@ -232,7 +272,7 @@ def _pack(counts: dict[int, int], with_tokens: bool, shard_tokens: int) -> Calla
                     offset += length
                 sequence += 1
             columns = list(zip(*rows))
-            blobs = [x.tobytes() for x in columns[3]]
+            blobs = [x.astype("<u4").tobytes() for x in columns[3]]
             arrays = [pa.array(columns[i], pa.int64()) for i in (0, 1, 2)]
             arrays.append(pa.array(list(map(zlib.crc32, blobs)), pa.int64()))
             arrays += [pa.array(columns[i], pa.int64()) for i in (4, 5, 6)]
@@ -268,6 +308,8 @@ def pack_documents(
     piece, ``offset`` the window's. A null or empty text is its end id alone;
     repeated rows are packed each; an empty table gives no rows.
     """
-    encoded = encode_documents(df, tokenizer_path, end_id, id_column, text_column)
+    encoded = _encoded(df, tokenizer_path, end_id, id_column, text_column)
+    run = releasing(_pack(document_counts(encoded), with_tokens, shard_tokens))
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return encoded.mapInArrow(releasing(_pack(document_counts(encoded), with_tokens, shard_tokens)), schema + (", tokens array<int>" if with_tokens else ""))
+    rows = encoded.where("slice IS NULL").select("doc_id", "ids")
+    return rows.mapInArrow(run, schema + (", tokens array<int>" if with_tokens else ""))

@@ -53,14 +53,20 @@ BLURRED = re.compile("\\A\\s|\\s\\Z|\\A\\Z|[\x1c-\x1f\u180e]")
 BLURRED_LINE = re.compile(" \\s|\\s |\\s\\Z|[\x1c-\x1f\u180e]")
 # Bytes that no text has: one begins a word, one is between pieces.
 MARK, CUT = 0xFF, 0xFE
-
+# Kinds of bytes: letters, digits and signs of ASCII, which never share a piece; apostrophes, which may begin one; line ends; all others are 0.
+LETTER, DIGIT, SIGN, APOSTROPHE, LINE_END = range(1, 6)
+KINDS = bytes(
+    LETTER if chr(b).isalpha() else DIGIT if chr(b).isdigit() else APOSTROPHE if b == 39 else SIGN if 32 < b < 127 else LINE_END if b == 10 else 0
+    for b in range(128)
+) + bytes(128)
 
 
 class PieceEncoder:
     """Byte-level BPE by the tokenizers library, for each distinct word of text once.
 
-    Texts are cut at blanks, and words that are not known yet where the tokenizer
-    itself always cuts, so the ids are those of the whole text. A text with other
+    Texts are cut at blanks and between letters, digits and signs of ASCII, and
+    words that are not known yet where the tokenizer itself always cuts, so the
+    ids are those of the whole text. A text with other
     white space beside a blank is cut as a whole. Pieces in Latin-1 go to the
     library's model in the characters that stand for their bytes; all others to
     the whole tokenizer. The ids of a text are returned as little-endian unsigned
@@ -84,8 +90,9 @@ class PieceEncoder:
         self.joined = added and any(t.single_word or t.lstrip or t.rstrip for t in tokens)
         #: Words do not show whether a text holds such a token.
         self.spaced = self.added if any(" " in s for s in strings) else None
+        self.strings = [t.encode() for t in strings] if added else []
         self.model = self._model()
-        #: The ids of first words, and of others with a blank before them.
+        #: The ids of words with nothing before them, and of others with a blank.
         self.words = WordTable(REMEMBERED)
         #: The ids of pieces of new words, and of texts that are cut as a whole.
         self.pieces: dict[str, bytes] = {}
@@ -137,7 +144,7 @@ class PieceEncoder:
     def encode(self, block: list[str]) -> list[bytes]:
         import numpy as np
 
-        from plumbob.llm.words import FIRST, word_keys
+        from plumbob.llm.words import FIRST, LINE, word_keys
 
         if not block:
             return []
@@ -151,22 +158,39 @@ class PieceEncoder:
         raw = np.frombuffer(data, np.uint8)
         ends = np.flatnonzero(raw == 32)
         begins = np.append(0, ends[:-1] + 1)
+        kinds = np.frombuffer(KINDS, np.uint8)[raw]
+        usual = bool(self.model) and not any(t in data for t in self.strings)
+        inner = self._inner(kinds) if usual else begins[:0]
+        begins, ends = (np.sort(np.concatenate([x, inner]), kind="stable") for x in (begins, ends))
         texts = np.cumsum([0] + [len(p) + 1 for p in parts])
-        heads = np.searchsorted(begins, texts[:-1])  # first words have no blank before them
+        heads = np.searchsorted(begins, texts[:-1])
+        bare = np.zeros(len(begins), bool)  # first words, and what is cut off another, have no blank before them
+        bare[heads] = bare[np.searchsorted(begins, inner)] = True
         first, second = word_keys(raw, begins, ends)
-        first[heads] ^= FIRST
+        first[bare] ^= FIRST
+        line = np.searchsorted(begins, inner[kinds[inner] == LINE_END])
+        first[line] ^= LINE  # alone between two words, and not before other white space
         found = table.find(first, second)
         missing = np.flatnonzero(found < 0)
         table.met[found[found >= 0]] = True
         if len(missing):
             one = missing[np.unique(first[missing], return_index=True)[1]]
-            is_head = np.zeros(len(begins), bool)
-            is_head[heads] = True
-            for at, learn in ((one[~is_head[one]], self._learn), (one[is_head[one]], self._learn_heads)):
-                at = at[ends[at] - begins[at] <= LONG]
+            one = one[ends[one] - begins[one] <= LONG]
+            others = np.zeros(len(raw) + 1, np.int32)
+            np.cumsum(kinds != LETTER, out=others[1:])
+            plain = usual & (begins[one] < ends[one]) & (others[begins[one]] == others[ends[one]])
+
+            def words(at) -> list[str]:
+                return b" ".join([data[x:y] for x, y in zip(begins[at].tolist(), ends[at].tolist())]).decode().split(" ")
+
+            plain |= np.isin(one, line)
+            for at, blank in ((one[plain & ~bare[one]], " "), (one[plain & bare[one]], "")):
+                if len(at):  # of letters alone, or a line end, so a piece each
+                    blobs = self._latin([blank + w for w in words(at)])
+                    table.add(first[at], second[at], np.array(list(map(len, blobs)), np.int64) // 4, np.frombuffer(b"".join(blobs), "<u4"))
+            for at, learn in ((one[~plain & ~bare[one]], self._learn), (one[~plain & bare[one]], self._learn_heads)):
                 if len(at):
-                    words = b" ".join([data[x:y] for x, y in zip(begins[at].tolist(), ends[at].tolist())])
-                    learn(words.decode().split(" "))
+                    learn(words(at))
             found[missing] = table.find(first[missing], second[missing])
         # Texts with words that could not be learned are cut as a whole.
         whole = set(np.searchsorted(heads, np.flatnonzero(found < 0), "right").tolist())
@@ -179,6 +203,18 @@ class PieceEncoder:
         cuts = (4 * totals[[*heads, len(found)]]).tolist()
         return [self._joined([self._pieces(t)])[0] if i in whole else flat[x:y] for i, (t, x, y) in enumerate(zip(block, cuts, cuts[1:]), 1)]
 
+    @staticmethod
+    def _inner(kinds):
+        """Where a piece always begins without a blank before it: between two kinds, and around the line end between two words."""
+        import numpy as np
+
+        alike = (kinds >= LETTER) & (kinds <= SIGN)
+        begun = np.flatnonzero((kinds[1:] != kinds[:-1]) & alike[1:] & alike[:-1]) + 1
+        lines = np.flatnonzero(kinds[1:-1] == LINE_END) + 1
+        before, after = kinds[lines - 1], kinds[lines + 1]
+        lines = lines[(before >= LETTER) & (before <= APOSTROPHE) & (after >= LETTER) & (after <= APOSTROPHE)]
+        return np.sort(np.concatenate([begun, lines, lines + 1]), kind="stable")
+
     def _remember(self, spelled: dict[str, bytes], heads: bool = False) -> None:
         import numpy as np
 

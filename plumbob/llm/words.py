@@ -14,6 +14,8 @@ from plumbob.llm.shingles import _BYTES, _mixed, _powers_to
 STRETCH = 1 << 17
 #: What tells a text's first word from the same word after a blank.
 FIRST = np.uint64(0x5851F42D4C957F2D)
+#: And a line end between two words from any other.
+LINE = np.uint64(0x2545F4914F6CDD1D)
 _OTHER = np.random.Generator(np.random.PCG64(20250311)).integers(0, 1 << 64, 256, dtype=np.uint64)
 
 

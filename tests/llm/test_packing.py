@@ -136,3 +136,31 @@ def test_a_compact_index_returns_the_same():
         for seed in (0, 45, 89):
             assert list(compact.neighbours(seed)) == list(whole.neighbours(seed))
     assert len(whole.held) == 90 and not len(compact.held) and not len(compact.docs)
+
+
+def test_counted_while_encoding(frame):
+    rows = [(i, f"{'apple pear' if i % 2 else 'steel iron'} {'x' * i}" if i else None) for i in range(30)]
+    files = packing._encoded(frame(rows), PATH, 1, "doc_id", "text")
+    counts = packing.document_counts(files)
+    encoded = packing.encode_documents(frame(rows), PATH, 1)
+    assert counts == packing.document_counts(encoded) and counts[-1] == 30 and counts[1] == 30
+    want = {r.doc_id: r.tokens for r in encoded.collect()}
+    got = files.where("slice IS NULL").collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u2").tolist() for r in got} == want and all(2 * r.n_tokens == len(r.ids) for r in got)
+
+
+def test_stored_hands_out_few_rows(spark, monkeypatch):
+    from plumbob.llm import common
+
+    monkeypatch.setattr(common, "BATCH_ROWS", 7)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    got = [r.n for r in common.stored(spark.range(100).mapInArrow(sizes, "n bigint"), "sizes").collect()]
+    assert sum(got) == 100 and max(got) <= 7 and spark.conf.get(name) == before

@@ -143,3 +143,21 @@ def test_word_table_grows_and_forgets():
     e = t.find(a, b)
     assert np.flatnonzero(e >= 0).tolist() == [4001, 4002]
     assert t.spelled(e[4001:4003]).tolist() == [4001] * ((4001 % 700) % 3) + [4002] * ((4002 % 700) % 3)
+
+
+def test_words_are_cut_between_letters_digits_signs_and_lines():
+    rng = np.random.default_rng(11)
+    parts = ["a", "Be", "7", "42", ".", ",", "--", "'", "'s", "'ll", "\n", "\n", "\n\n", "\r\n", "\t", " ", " ", "  ", "é", "\x00", "\x7f", "<|endoftext|>"]
+    texts = ["".join(rng.choice(parts[: 21 if i % 2 else 22], rng.integers(0, 25))) for i in range(4000)]
+    texts += ["\n  foo", "a\n  foo", "a\n foo", "\nfoo", "a\nfoo\n", "a\n\nb", "a.\nb", "a'\n'b", "don't.'s", "x'5", "5'x"]
+    t = Tokenizer.from_file(PATH)
+    e = tokens.PieceEncoder(PATH, added=True)
+    for k in (1, 40, 1000):
+        for i in range(0, len(texts), k):
+            got = [np.frombuffer(b, "<u4").tolist() for b in e.encode(texts[i : i + k])]
+            assert got == [x.ids for x in t.encode_batch(texts[i : i + k], add_special_tokens=False)]
+    e = tokens.PieceEncoder(PATH, added=True)
+    e.encode(["The word. A word, one word;\nAnd (word) and word9 word"])
+    known = e.words.n
+    e.encode([f"The {a}word{b} A word" for a in "(.," for b in ".,);"])
+    assert e.words.n <= known + 12 and not any("word" in p and "." in p for p in e.pieces)
