@@ -117,6 +117,50 @@ def test_hashes_that_share_many_choices_are_compared_once(spark, monkeypatch):
     assert sum(tiled) <= len({h for _, h in rows})
 
 
+@pytest.mark.parametrize("hot", [0, 32])
+def test_no_more_pairs_are_compared_than_there_are(spark, monkeypatch, hot):
+    """A third of the hashes agree on most of 32 bits; at 12 bits the buckets hold more pairs than there are."""
+    rng = np.random.default_rng(6)
+    values = [int(v) & (-(2**32) if i % 3 == 0 else -1) for i, v in enumerate(rng.integers(-(2**63), 2**63 - 1, 120))]
+    values += [v ^ 1 << int(b) for v, b in zip(values, rng.integers(0, 63, 120))]
+    rows = list(enumerate(values))
+    compared = []
+    plain = dedup._pairs_within
+
+    def counted(units, *rest):
+        unit = [c for c in dedup.UNIT if c in units.columns]
+        parts = {}
+        for *of, _, n in units.withColumn("tile", units.tile if "tile" in units.columns else F.lit(0)).groupBy(*unit, "tile").count().collect():
+            parts.setdefault(tuple(of), []).append(n)
+        tiled = "tile" in units.columns
+        for of, sizes in parts.items():
+            n = sizes[0]
+            compared.append(n * sum(sizes[1:]) if tiled and of[-1] != of[-2] else n * (n - 1) // 2)
+        return plain(units, *rest)
+
+    monkeypatch.setattr(dedup, "_pairs_within", counted)
+    found = dedup.near_duplicates(spark.createDataFrame(rows, "id bigint, h bigint"), "id", "h", 12, hot_bucket=hot)
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(rows, 12)
+    n = len(set(values))
+    assert sum(compared) <= n * (n - 1) // 2
+
+
+@pytest.mark.parametrize("same", [True, False])
+@pytest.mark.parametrize("size", [0, 1, 30, 400])
+def test_arrays_of_hashes_are_compared_in_blocks(monkeypatch, same, size):
+    monkeypatch.setattr(dedup, "CHUNK", 1 << 10)
+    monkeypatch.setattr(dedup, "WIDTH", 1 << 6)
+    rng = np.random.default_rng(size)
+    left = rng.integers(0, 2**64, size, dtype=np.uint64) & rng.choice(np.array([2**64 - 1, 2**20 - 1, 2**40 - 1], np.uint64), size)
+    right = left if same else rng.permutation(left)[: size * 2 // 3] ^ np.uint64(1 << 63)
+    got = [(int(i), int(j), int(d)) for a, b, c in dedup._compared(left, right, 12, same) for i, j, d in zip(a, b, c)]
+    assert len(got) == len({frozenset(x[:2]) if same else x[:2] for x in got})
+    near = {(i, j): (int(x) ^ int(y)).bit_count() for i, x in enumerate(left) for j, y in enumerate(right) if i != j or not same}
+    want = {(min(k), max(k), d) if same else (*k, d) for k, d in near.items() if d <= 12}
+    assert {(min(i, j), max(i, j), d) if same else (i, j, d) for i, j, d in got} == want
+
+
 def test_copies_of_hashes_are_neither_multiplied_nor_broadcast(spark):
     rows = [(f"r{i:03}", i % 40 - (2**62 if i % 3 else 0)) for i in range(400)]
     found = dedup.near_duplicates(spark.createDataFrame(rows, "id string, h bigint"), "id", "h", 0)
